@@ -85,7 +85,9 @@ def tree(leaves: DataFrame, fanout: int = FANOUT, levels: int = LEVELS) -> DataF
 
 
 def descend(ours: DataFrame, theirs: DataFrame, fanout: int = FANOUT, levels: int = LEVELS) -> DataFrame:
-    """(file, ordinal, verdict) of the records that differ, found from the roots down."""
+    """(file, ordinal, verdict) of the records that differ, found from the roots down. The differing
+    nodes of each level are a written table, so the plan doesn't nest level in level."""
+    scratch = Scratch(ours.sparkSession)
     bad = None
     for k in range(levels, -1, -1):
         a = ours.where(F.col("level") == k).select("file", "node", F.col("hash").alias("h_a"))
@@ -93,7 +95,7 @@ def descend(ours: DataFrame, theirs: DataFrame, fanout: int = FANOUT, levels: in
         if bad is not None:
             up = bad.select(F.col("file"), F.col("node").alias("up"))
             a, b = (x.withColumn("up", F.floor(F.col("node") / fanout).cast("long")).join(up, ["file", "up"], "left_semi").drop("up") for x in (a, b))
-        bad = a.join(b, ["file", "node"], "full").where(~F.col("h_a").eqNullSafe(F.col("h_b")))
+        bad = scratch.write(a.join(b, ["file", "node"], "full").where(~F.col("h_a").eqNullSafe(F.col("h_b"))))
     verdict = F.when(F.col("h_b").isNull(), "missing").when(F.col("h_a").isNull(), "extra").otherwise("corrupt")
     return bad.select("file", F.col("node").alias("ordinal"), verdict.alias("verdict"))
 
