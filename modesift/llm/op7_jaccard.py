@@ -3,8 +3,10 @@
 Documents become sets of word shingles (64-bit hashes). Equal sets form classes; only one of each is
 joined. All sets are written in one global order, rare shingles first. Two sets with Jaccard t share a
 shingle within their first |s| - ceil(t |s|) + 1, so those are posted, and shingles that only one set
-posts are dropped. The sets under one posted shingle meet at its *leader*, the least of them: sets that
-share many shingles thus meet once instead of once for each. There the sets are stored in a trie by
+posts are dropped. Of the sets under one shingle, those stay that have a mate there whose size and
+signature (parities of the shingles, which bound from below in how many two sets differ) allow a link;
+each chain of mates meets at its *leader*, the least of them, so sets that share many shingles meet
+once instead of once for each. There the sets are stored in a trie by
 their global order, and each set is matched by one traversal: the partial overlap is carried down a
 path and shared by all sets below it, and a subtree is left as soon as the shingles remaining on
 either side cannot reach the overlap asked for. Sets that are already connected below a leader are not
@@ -12,7 +14,7 @@ matched again, which leaves the components as they are. Links are exact.
 
 The order is a hint that cannot change the result, only its cost: all shingles are counted, the most
 frequent (at most 2^18 of them, 4 MB, broadcast) come last by their count, all others are rare and go
-by hash. A leader with more than ``GROUP`` sets is dealt in blocks to several tasks. Which sets are met
+by hash. A shingle or leader with more than ``GROUP`` sets is dealt in blocks to several tasks. Which sets are met
 at all is told by a bitmap of at most 2^27 bits, so only those are read again. Links are gathered as
 pairs of classes; components come from ``common.components``.
 
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_rows, components, documents, shingle_sets, text_bytes
+from .common import Scratch, arrow_rows, components, documents, mix64, shingle_sets, shuffle_partitions, text_bytes
 
 FREQUENT = 1 << 18
 CHUNK = 1 << 22
@@ -61,7 +63,91 @@ def in_order(s: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndar
     return s[np.lexsort((s, rank))]
 
 
-_IDS = "sid long, n long, shingle long, docs long"
+_IDS = "sid long, n long, sig binary, shingle long, docs long"
+
+
+def signature(s: np.ndarray) -> bytes:
+    """Parities of the set's shingles over 512 bits or, for larger sets, 4, 16 or 64 times as many. Two
+    sets' signatures, folded to the same length, differ in no more bits than the sets in shingles."""
+    bits = 512
+    while len(s) > bits * 3 // 2 and bits < 32768:
+        bits *= 4
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def fold(sig: bytes, size: int) -> np.ndarray:
+    """The signature folded to size bytes, as 64-bit words."""
+    return np.bitwise_xor.reduce(np.frombuffer(sig, dtype=np.uint64).reshape(-1, size // 8), axis=0)
+
+
+def most_apart(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """In how many shingles sets of a and b elements may differ."""
+    return a + b - 2 * -(-num * (a + b) // (num + den))
+
+
+def _mates(shingles: np.ndarray, sids: np.ndarray, n: np.ndarray, sigs: list[bytes], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows sorted by their groups in; out (leader, sid) of the sets that have a mate in their group whose
+    size and signature allow a link. The leader is the least set that a chain of mates reaches."""
+    k = len(sids)
+    small = np.stack([fold(x, 64) for x in sigs])
+    head = np.flatnonzero(np.concatenate(([True], shingles[1:] != shingles[:-1])))
+    size = np.diff(np.append(head, k))
+    parent = np.arange(k)
+    met = np.zeros(k, dtype=bool)
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    def check(a: np.ndarray, b: np.ndarray) -> None:
+        fits = (den * np.minimum(n[a], n[b]) >= num * np.maximum(n[a], n[b])) & (sids[a] != sids[b])
+        a, b = a[fits], b[fits]
+        apart = np.bitwise_count(small[a] ^ small[b]).sum(axis=1)
+        near = apart <= most_apart(n[a], n[b], num, den)
+        for i, j in zip(a[near].tolist(), b[near].tolist(), strict=True):
+            short = min(len(sigs[i]), len(sigs[j]))
+            if short > 64 and int(np.bitwise_count(fold(sigs[i], short) ^ fold(sigs[j], short)).sum()) > most_apart(n[i], n[j], num, den):
+                continue
+            met[i] = met[j] = True
+            x, y = find(i), find(j)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+
+    group = np.repeat(size, size)
+    for lag in range(1, min(int(size.max()), 64)):
+        a = np.flatnonzero((shingles[:-lag] == shingles[lag:]) & (group[lag:] <= 64))
+        check(a, a + lag)
+    for g in np.flatnonzero(size > 64).tolist():
+        rows = np.arange(head[g], head[g] + size[g])
+        rows = rows[np.argsort(n[rows], kind="stable")]
+        for k2, i in enumerate(rows[:-1].tolist()):
+            b = rows[k2 + 1 :]
+            b = b[: int(np.searchsorted(n[b], n[i] * den // num, side="right"))]
+            check(np.full(len(b), i), b)
+    roots = np.array([find(i) for i in np.flatnonzero(met).tolist()], dtype=np.int64)
+    return sids[roots] if len(roots) else sids[:0], sids[met]
+
+
+def _mate_finder(num: int, den: int):
+    """(leader, sid) over a partition's whole groups of (shingle, i, j), which are sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        key = mix64(mix64(t["shingle"].to_numpy().view(np.uint64)) + (t["i"].to_numpy().astype(np.uint64) << np.uint64(32)) + t["j"].to_numpy().astype(np.uint64))
+        order = np.lexsort((t["sid"].to_numpy(), key))
+        sigs = t["sig"].to_pylist()
+        leader, sid = _mates(key[order], t["sid"].to_numpy()[order], t["n"].to_numpy()[order], [sigs[i] for i in order], num, den)
+        if len(sid):
+            pairs = np.unique(np.stack([leader, sid], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["leader", "sid"])
+
+    return run
 
 
 def _id_sets(width: int, id_col: str):
@@ -79,14 +165,14 @@ def _id_sets(width: int, id_col: str):
             docs = np.diff(np.append(first, len(s)))
             many = docs >= LOCAL
             k = int(many.sum())
-            return pa.RecordBatch.from_arrays([pa.nulls(k, kind), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(s[first[many]].view(np.int64)), pa.array(docs[many])], names=[id_col, "sid", "n", "shingle", "docs"])
+            return pa.RecordBatch.from_arrays([pa.nulls(k, kind), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(s[first[many]].view(np.int64)), pa.array(docs[many])], names=[id_col, "sid", "n", "sig", "shingle", "docs"])
 
         for batch in batches:
             kind = batch.column(id_col).type
             for part in arrow_rows(batch, CHUNK):
                 sets = shingle_sets(text_bytes(part.column("text")), width)
                 k = len(sets)
-                yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array([set_id(s) if len(s) else 0 for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=[id_col, "sid", "n", "shingle", "docs"])
+                yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array([set_id(s) if len(s) else 0 for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=[id_col, "sid", "n", "sig", "shingle", "docs"])
                 held.extend(sets)
                 size += sum(map(len, sets))
                 if size > CHUNK:
@@ -266,21 +352,31 @@ def _joiner(num: int, den: int, order):
     return run
 
 
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """rows(key, sid, blocks) dealt to blocks (key, i, j) so that every two of a key's sets meet in one:
+    a set goes to as many as its key has blocks, almost always one."""
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select(key, "sid", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+
+
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """One row a document: id, n_shingles, class (its set's name, 0 if empty) and component_id."""
     spark, scratch = df.sparkSession, Scratch(df.sparkSession)
     texts = df.select(F.col(text_col).alias("text"))
     kind = df.schema[id_col].dataType.simpleString()
     both = scratch.write(df.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(_id_sets(width, id_col), f"`{id_col}` {kind}, {_IDS}"))
-    ids = both.where("sid is not null").select(id_col, "sid", "n")
+    ids = both.where("sid is not null").select(id_col, "sid", "n", "sig")
     top = both.where("shingle is not null").groupBy("shingle").agg(F.sum("docs").alias("docs")).orderBy(F.desc("docs"), "shingle").limit(FREQUENT).toPandas()
     frequent = top["shingle"].to_numpy(dtype=np.int64).view(np.uint64)
     by_value = np.argsort(frequent)
     order = spark.sparkContext.broadcast((frequent[by_value], top["docs"].to_numpy(dtype=np.int64)[by_value]))
 
     postings = scratch.write(texts.mapInArrow(_postings(width, num, den, order), "shingle long, sid long"))
-    shared = postings.groupBy("shingle").agg(F.min("sid").alias("leader"), F.max("sid").alias("last")).where("leader < last").drop("last")
-    met = scratch.write(postings.join(shared, "shingle").select("leader", "sid").distinct())
+    shared = postings.groupBy("shingle").agg(F.min("sid").alias("least"), F.max("sid").alias("most"), F.ceil(F.count("*") / F.lit(float(GROUP))).cast("int").alias("blocks")).where("least < most").drop("least", "most")
+    classes = ids.where("sid <> 0").groupBy("sid").agg(F.min(id_col).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    asked = _dealt(postings.join(shared, "shingle").distinct(), "shingle").join(classes.drop("rep"), "sid")
+    mates = asked.repartition(shuffle_partitions(spark), "shingle", "i", "j").select("shingle", "i", "j", "sid", "n", "sig").mapInArrow(_mate_finder(num, den), "leader long, sid long")
+    met = scratch.write(mates.distinct())
     scratch.drop(postings)
 
     words = 1 << max(10, min(21, (max(1, ids.count()) * 8 // 64).bit_length()))
@@ -291,15 +387,12 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
     bitmap = spark.sparkContext.broadcast(bits)
     sets = texts.mapInArrow(_active_sets(width, bitmap), "sid long, shingles binary").dropDuplicates(["sid"])
     sizes = met.groupBy("leader").agg(F.ceil(F.count("*") / F.lit(float(GROUP))).cast("int").alias("blocks"))
-    big = sizes.where("blocks > 1")
-    dealt = met.join(big, "leader", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    # Every two blocks of a leader meet in one task: a set goes to as many tasks as there are blocks.
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("leader", "sid", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    dealt = _dealt(met.join(sizes, "leader"), "leader")
     links = dealt.join(sets, "sid").groupBy("leader", "i", "j").applyInPandas(_joiner(num, den, order), "a long, b long")
     comps = components(spark, links, scratch)
     scratch.drop(met)
 
-    classes = ids.where("sid <> 0").groupBy("sid").agg(F.min(id_col).alias("rep"))
+    classes = classes.select("sid", "rep")
     named = comps.join(classes, comps.node == classes.sid).select("sid", "comp", "rep")
     best = named.groupBy("comp").agg(F.min("rep").alias("best"))
     linked = named.join(best, "comp").select("sid", "best")
