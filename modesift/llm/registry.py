@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import op1_media, op2_pii, op3_pack, op4_toxicity, op6_ctw, op7_jaccard, op9_mix, op10_warc
+from . import op1_media, op2_pii, op3_pack, op4_toxicity, op5_quality, op6_ctw, op7_jaccard, op9_mix, op10_warc
 
 QUERIES = {
     "op1_signature_sniffing": op1_media.query,
     "op2_information_sanitisation": op2_pii.query,
     "op3_best_fit_packing": op3_pack.query,
     "op4_clause_grammar": op4_toxicity.query,
+    "op5_empirical_bayes_quality": op5_quality.query,
     "op6_context_tree_weighting": op6_ctw.query,
     "op7_prefix_tree_join": op7_jaccard.query,
     "op9_source_mixing": op9_mix.query,
