@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_media, op2_pii, op3_pack, op4_toxicity, op5_quality, op6_ctw, op7_jaccard, op9_mix, op10_warc
+from . import op1_media, op2_pii, op3_pack, op4_toxicity, op5_quality, op6_ctw, op7_jaccard, op8_graph, op9_mix, op10_warc
 
 QUERIES = {
     "op1_signature_sniffing": op1_media.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_empirical_bayes_quality": op5_quality.query,
     "op6_context_tree_weighting": op6_ctw.query,
     "op7_prefix_tree_join": op7_jaccard.query,
+    "op8_robust_graph": op8_graph.query,
     "op9_source_mixing": op9_mix.query,
     "op10_merkle_fixity": op10_warc.query,
 }
