@@ -2,9 +2,8 @@
 
 Documents become sets of word shingles (64-bit hashes). Equal sets form classes; only one of each is
 joined. All sets are written in one global order, rare shingles first. Two sets with Jaccard t share a
-shingle within their first |s| - ceil(t |s|) + 1, so those are posted, and shingles that only one set
-posts are dropped. Of the sets under one shingle, those stay that have a mate there whose size and
-signature (parities of the shingles, which bound from below in how many two sets differ) allow a link;
+shingle within their first |s| - ceil(t |s|) + 1, so those are posted. Of the sets under one shingle, those
+stay that have a mate there whose size (told first, before anything else is shipped) and signature (parities of the shingles, which bound from below in how many two sets differ) allow a link;
 each chain of mates meets at its *leader*, the least of them, so sets that share many shingles meet
 once instead of once for each. There the sets are stored in a trie by
 their global order, and each set is matched by one traversal: the partial overlap is carried down a
@@ -185,23 +184,53 @@ def _id_sets(width: int, id_col: str):
 
 
 def _postings(width: int, num: int, den: int, order):
-    """Each set's shingles of its prefix: (shingle, sid). Copies read by one task post once."""
+    """Each set's shingles of its prefix: (shingle, sid, n). Copies read by one task post once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, counts = order.value
         seen: set[int] = set()
         for batch in batches:
             for part in arrow_rows(batch, CHUNK):
-                shingles, sids = [], []
+                shingles, sids, sizes = [], [], []
                 for s in shingle_sets(text_bytes(part.column("text")), width):
                     if not len(s) or (sid := set_id(s)) in seen:
                         continue
                     seen.add(sid)
-                    p = in_order(s, frequent, counts)[: prefix_length(len(s), num, den)]
-                    shingles.append(p)
-                    sids.append(np.full(len(p), sid, dtype=np.int64))
+                    shingles.append(in_order(s, frequent, counts)[: prefix_length(len(s), num, den)])
+                    sids.append(sid)
+                    sizes.append(len(s))
                 if shingles:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingles).view(np.int64)), pa.array(np.concatenate(sids))], names=["shingle", "sid"])
+                    each = [len(p) for p in shingles]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingles).view(np.int64)), pa.array(np.repeat(np.array(sids, dtype=np.int64), each)), pa.array(np.repeat(np.array(sizes, dtype=np.int32), each))], names=["shingle", "sid", "n"])
+
+    return run
+
+
+def _sized(num: int, den: int):
+    """Of rows sorted by shingle, n and sid, those with a neighbour under the same shingle whose size
+    allows a link. If any set's size does, a neighbour's in this order does. One row is carried over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = None  # the last row, and whether the row before it fits it
+        for batch in batches:
+            rows = [batch.column(c).to_numpy() for c in ("shingle", "sid", "n")]
+            if not len(rows[0]):
+                continue
+            fits_before = False
+            if carry is not None:
+                rows = [np.concatenate(([c], r)) for c, r in zip(carry[0], rows, strict=True)]
+                fits_before = carry[1]
+            shingle, sid, n = rows
+            new = np.concatenate(([True], (sid[1:] != sid[:-1]) | (shingle[1:] != shingle[:-1])))
+            shingle, sid, n = shingle[new], sid[new], n[new].astype(np.int64)
+            fits = (shingle[1:] == shingle[:-1]) & (den * n[:-1] >= num * n[1:])
+            before = np.concatenate(([fits_before], fits))
+            keep = before[:-1] | fits
+            carry = ((shingle[-1], sid[-1], n[-1]), bool(before[-1]))
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle[:-1][keep]), pa.array(sid[:-1][keep])], names=["shingle", "sid"])
+        if carry is not None and carry[1]:
+            yield pa.RecordBatch.from_arrays([pa.array([carry[0][0]], pa.int64()), pa.array([carry[0][1]], pa.int64())], names=["shingle", "sid"])
 
     return run
 
@@ -371,13 +400,16 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
     by_value = np.argsort(frequent)
     order = spark.sparkContext.broadcast((frequent[by_value], top["docs"].to_numpy(dtype=np.int64)[by_value]))
 
-    postings = scratch.write(texts.mapInArrow(_postings(width, num, den, order), "shingle long, sid long"))
-    shared = postings.groupBy("shingle").agg(F.min("sid").alias("least"), F.max("sid").alias("most"), F.ceil(F.count("*") / F.lit(float(GROUP))).cast("int").alias("blocks")).where("least < most").drop("least", "most")
+    postings = texts.mapInArrow(_postings(width, num, den, order), "shingle long, sid long, n int")
+    sorted_postings = postings.repartition(shuffle_partitions(spark), "shingle").sortWithinPartitions("shingle", "n", "sid")
+    sized = scratch.write(sorted_postings.mapInArrow(_sized(num, den), "shingle long, sid long"))
+    blocks = F.ceil(F.count("*") / F.lit(float(GROUP))).cast("int")
+    hot = sized.groupBy("shingle").agg(blocks.alias("blocks")).where("blocks > 1")
     classes = ids.where("sid <> 0").groupBy("sid").agg(F.min(id_col).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    asked = _dealt(postings.join(shared, "shingle").distinct(), "shingle").join(classes.drop("rep"), "sid")
+    asked = _dealt(sized.join(hot, "shingle", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))), "shingle").join(classes.drop("rep"), "sid")
     mates = asked.repartition(shuffle_partitions(spark), "shingle", "i", "j").select("shingle", "i", "j", "sid", "n", "sig").mapInArrow(_mate_finder(num, den), "leader long, sid long")
     met = scratch.write(mates.distinct())
-    scratch.drop(postings)
+    scratch.drop(sized)
 
     words = 1 << max(10, min(21, (max(1, ids.count()) * 8 // 64).bit_length()))
     bit = F.pmod(F.col("sid"), F.lit(words * 64))
