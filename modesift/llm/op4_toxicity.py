@@ -222,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dic
     """Lexicon and logistic weights."""
     rows = _sample(docs, labels, sample)
     lexicon = learn_lexicon(rows)
-    found = rows.mapInArrow(_features(lexicon, ["toxic"]), "toxic int, f_max double, f_sum double").toPandas()
+    found = rows.mapInArrow(_features(lexicon, ["toxic"]), "toxic int, f_max double, f_sum double").toArrow().to_pandas()
     if found["toxic"].nunique() < 2:
         return lexicon, DEFAULT_FIT
     return lexicon, fit_logistic(found[["f_max", "f_sum"]].to_numpy(), found["toxic"].to_numpy(dtype=float))

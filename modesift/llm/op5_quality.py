@@ -86,7 +86,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, tex
 
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     x = features(text_or_empty(text_col))
-    rows = base.join(F.broadcast(drawn), "doc_id").select("q__y", *(c.alias(f"x{k}") for k, c in enumerate(x))).toPandas()
+    rows = base.join(F.broadcast(drawn), "doc_id").select("q__y", *(c.alias(f"x{k}") for k, c in enumerate(x))).toArrow().to_pandas()
     y = rows.pop("q__y").to_numpy()
     fit = fit_logistic(rows.to_numpy(dtype=float), y, ridge=0.1) if 0 < y.sum() < len(y) else np.array([np.log(overall / (1 - overall)), *[0.0] * len(x)])
     z = F.lit(float(fit[0]))

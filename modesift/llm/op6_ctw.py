@@ -238,7 +238,7 @@ def build(strings: DataFrame) -> DataFrame:
         if (part := _part_of(frames)) is not None:
             yield part.hand_up()
 
-    sums = parts.mapInPandas(up, "last long, node long, zeros double, ones double, weighted double").groupBy("last", "node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "weighted"))).toPandas()
+    sums = parts.mapInPandas(up, "last long, node long, zeros double, ones double, weighted double").groupBy("last", "node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "weighted"))).toArrow().to_pandas()
     top = spark.sparkContext.broadcast(Top(sums))
 
     def predict(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -348,14 +348,15 @@ def score(df: DataFrame, held_out: str = "held_out", table_rows: int = TABLE, fr
     words = counts.where("word is not null").select("word", "n")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     often = -(-max(1, total["n"]) // frequent_share)
-    top = words.where(F.col("n") >= often).select("word", F.log10(F.col("n") + 1.0).alias("v")).toPandas()
-    frequent = spark.sparkContext.broadcast(dict(zip(map(bytes, top["word"]), top["v"], strict=True)))
+    top = words.where(F.col("n") >= often).select("word", F.log10(F.col("n") + 1.0).alias("v")).toArrow()
+    frequent = spark.sparkContext.broadcast(dict(zip(top["word"].to_pylist(), top["v"].to_pylist(), strict=True)))
+    del top
     model = scratch.write(build(counts.where("string is not null").select("string", "n")))
     small = model.count() <= table_rows
     table = None
     if small:
-        held = model.toPandas()
-        table = spark.sparkContext.broadcast((held["string"].to_numpy(dtype=np.int64), held["log10_p"].to_numpy(dtype=np.float32)))
+        held = model.select("string", F.col("log10_p").cast("float").alias("log10_p")).toArrow()
+        table = spark.sparkContext.broadcast((held["string"].to_numpy(), held["log10_p"].to_numpy()))
         del held
     keyed = rows.withColumn("h", F.xxhash64("text"))
     flat = keyed.select("doc_id", "h", "text").mapInArrow(_scorer(frequent, table), "doc_id long, h long, word binary, tf int, stats struct<n_tokens:long,n_known:long,base:double,score:double>")

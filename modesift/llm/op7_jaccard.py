@@ -395,7 +395,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
     kind = df.schema[id_col].dataType.simpleString()
     both = scratch.write(df.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(_id_sets(width, id_col), f"`{id_col}` {kind}, {_IDS}"))
     ids = both.where("sid is not null").select(id_col, "sid", "n", "sig")
-    top = both.where("shingle is not null").groupBy("shingle").agg(F.sum("docs").alias("docs")).orderBy(F.desc("docs"), "shingle").limit(FREQUENT).toPandas()
+    top = both.where("shingle is not null").groupBy("shingle").agg(F.sum("docs").alias("docs")).orderBy(F.desc("docs"), "shingle").limit(FREQUENT).toArrow().to_pandas()
     frequent = top["shingle"].to_numpy(dtype=np.int64).view(np.uint64)
     by_value = np.argsort(frequent)
     order = spark.sparkContext.broadcast((frequent[by_value], top["docs"].to_numpy(dtype=np.int64)[by_value]))
@@ -413,7 +413,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
 
     words = 1 << max(10, min(21, (max(1, ids.count()) * 8 // 64).bit_length()))
     bit = F.pmod(F.col("sid"), F.lit(words * 64))
-    rows = met.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(sid, {words * 64}) % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    rows = met.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(sid, {words * 64}) % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow().to_pandas()
     bits = np.zeros(words, dtype=np.uint64)
     bits[rows["word"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64).view(np.uint64)
     bitmap = spark.sparkContext.broadcast(bits)

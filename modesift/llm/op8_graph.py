@@ -208,7 +208,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     classes = scratch.write(rows.where(usable).groupBy("vec").agg(F.min("vec_id").alias("sid"), F.count("*").alias("mult")))
     n = classes.count()
     k = max(1, min(CENTRES, n // shard))
-    sample = classes.orderBy(F.xxhash64("sid"), "sid").limit(32 * k).select("vec").toPandas()
+    sample = classes.orderBy(F.xxhash64("sid"), "sid").limit(32 * k).select("vec").toArrow().to_pandas()
     centres = spark.sparkContext.broadcast(fit_centres(unit(_vectors(sample)), k))
     spread = min(overlap, k)
 
@@ -246,7 +246,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
 
 def audit_recall(of_class: DataFrame, classes: DataFrame, audit: int, cosine: float) -> float | None:
     """Links counted over links there are, for ``audit`` classes against all; None without links."""
-    drawn = of_class.orderBy(F.xxhash64("sid", F.lit(1)), "sid").limit(audit).toPandas()
+    drawn = of_class.orderBy(F.xxhash64("sid", F.lit(1)), "sid").limit(audit).toArrow().to_pandas()
     if drawn.empty:
         return None
     queries = classes.sparkSession.sparkContext.broadcast(unit(_vectors(drawn)))
@@ -258,7 +258,7 @@ def audit_recall(of_class: DataFrame, classes: DataFrame, audit: int, cosine: fl
                 total += (f["mult"].to_numpy()[:, None] * (unit(_vectors(f)) @ queries.value.T >= cosine)).sum(axis=0)
         yield pd.DataFrame({"q": np.arange(len(total)), "links": total})
 
-    truth = classes.select("vec", "mult").mapInPandas(count, "q long, links double").groupBy("q").agg(F.sum("links").alias("links")).orderBy("q").toPandas()["links"].to_numpy() - 1
+    truth = classes.select("vec", "mult").mapInPandas(count, "q long, links double").groupBy("q").agg(F.sum("links").alias("links")).orderBy("q").toArrow().to_pandas()["links"].to_numpy() - 1
     there = float(np.maximum(truth, 0).sum())
     return None if there == 0 else float(np.minimum(drawn["links"].to_numpy(), truth).sum() / there)
 
