@@ -381,8 +381,8 @@ def fingerprint(spark, d):
     return D.table(spark, d, "documents").select("doc_id", R.fingerprint([("mode", F.col("text")), ("datcon", F.col("source"))]).alias("input_fingerprint"))
 
 
-TREES = """a AS (SELECT source || '/N1/egn' || doc_id AS path, source AS shot, CASE WHEN doc_id % 9 = 0 THEN 'datcon' ELSE 'mode' END AS k, strlen(text)::BIGINT AS size, sha256(text) AS sha FROM documents WHERE doc_id % 10 <> 3 AND doc_id % 50 <> 7),
-b AS (SELECT source || '/N1/egn' || doc_id AS path, source AS shot, CASE WHEN doc_id % 9 = 0 THEN 'datcon' ELSE 'mode' END AS k, strlen(text)::BIGINT + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS size, sha256(text || CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE '' END) AS sha FROM documents WHERE doc_id % 10 <> 7),
+TREES = """a AS (SELECT source || '/N1/egn' || doc_id AS path, source AS shot, CASE WHEN doc_id % 9 = 0 THEN 'datcon' ELSE 'mode' END AS k, strlen(text)::BIGINT AS size, sha256(text) AS sha FROM documents WHERE lang NOT IN ('fr', 'de')),
+b AS (SELECT source || '/N1/egn' || doc_id AS path, source AS shot, CASE WHEN doc_id % 9 = 0 THEN 'datcon' ELSE 'mode' END AS k, strlen(text)::BIGINT + CASE WHEN source IN ('src1', 'src2') THEN 1 ELSE 0 END AS size, sha256(text || CASE WHEN source IN ('src1', 'src2') THEN 'x' ELSE '' END) AS sha FROM documents WHERE lang NOT IN ('es', 'de')),
 l AS (SELECT source || '/N1/egn' || d.doc_id AS path, source AS shot, CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS label FROM documents d JOIN labels USING (doc_id)),
 mf AS (SELECT coalesce(a.path, b.path, l.path) AS path, coalesce(a.shot, b.shot, l.shot) AS shot, coalesce(a.k, b.k, 'mode') AS file_kind, l.path IS NOT NULL AS in_training_csv, coalesce(label, '') AS training_label, CASE WHEN a.sha IS NOT NULL AND b.sha IS NOT NULL THEN CASE WHEN a.sha = b.sha THEN 'identical' ELSE 'different' END WHEN a.sha IS NOT NULL THEN 'training_only' WHEN b.sha IS NOT NULL THEN 'reference_only' ELSE 'missing_both' END AS status, a.size AS training_size, b.size AS reference_size, a.sha AS training_sha256, b.sha AS reference_sha256 FROM a FULL JOIN b ON a.path = b.path FULL JOIN l ON l.path = coalesce(a.path, b.path))"""
 
@@ -391,8 +391,8 @@ def _manifest(spark, d):
     docs = D.table(spark, d, "documents")
     path = F.concat("source", F.lit("/N1/egn"), F.col("doc_id").cast("string"))
     tree = lambda rows, text: rows.select(path.alias("path"), F.col("source").alias("shot"), F.when(F.col("doc_id") % 9 == 0, "datcon").otherwise("mode").alias("file_kind"), F.octet_length(text).cast("long").alias("size"), F.sha2(text, 256).alias("sha256"))
-    ours = tree(docs.where("doc_id % 10 <> 3 and doc_id % 50 <> 7"), F.col("text"))
-    theirs = tree(docs.where("doc_id % 10 <> 7"), F.concat("text", F.when(F.col("doc_id") % 5 == 0, "x").otherwise("")))
+    ours = tree(docs.where("lang not in ('fr', 'de')"), F.col("text"))
+    theirs = tree(docs.where("lang not in ('es', 'de')"), F.concat("text", F.when(F.col("source").isin("src1", "src2"), "x").otherwise("")))
     listed = docs.join(D.table(spark, d, "labels"), "doc_id").select(path.alias("path"), F.col("source").alias("shot"), F.when(F.col("quality") == 1, "good").otherwise("bad").alias("label"))
     return R.manifest(ours, theirs, listed)
 
@@ -410,22 +410,22 @@ def provenance_summary(spark, d):
     return R.provenance_summary(_manifest(spark, d))
 
 
-@query("""WITH r AS (SELECT doc_id, CASE WHEN doc_id % 41 = 0 THEN 'k1' ELSE 'k' || doc_id END AS key, sha256(text) AS fp, CASE WHEN doc_id % 6 = 0 THEN 'INVALID' WHEN doc_id % 3 = 0 THEN 'BAD' ELSE 'REVIEW' END AS dec FROM documents),
-o AS (SELECT key, CASE WHEN doc_id % 10 = 5 THEN 'stale' ELSE fp END AS fp, CASE WHEN doc_id % 4 = 0 THEN 'G' WHEN doc_id % 4 = 2 THEN '' ELSE 'bad' END AS md FROM r WHERE doc_id % 5 = 0 UNION ALL SELECT key, fp, 'good' FROM r WHERE doc_id % 35 = 0),
+@query("""WITH r AS (SELECT doc_id, CASE WHEN doc_id % 41 = 0 THEN 'k1' ELSE 'k' || doc_id END AS key, sha256(text) AS fp, CASE WHEN doc_id % 6 = 0 THEN 'INVALID' WHEN doc_id % 3 = 0 THEN 'BAD' ELSE 'REVIEW' END AS dec, source, lang FROM documents),
+o AS (SELECT key, CASE WHEN doc_id % 10 = 5 THEN 'stale' ELSE fp END AS fp, CASE WHEN doc_id % 4 = 0 THEN 'G' WHEN doc_id % 4 = 2 THEN '' ELSE 'bad' END AS md FROM r WHERE source IN ('src0', 'src1', 'src2') UNION ALL SELECT key, fp, 'good' FROM r WHERE source = 'src1' AND lang <> 'en'),
 g AS (SELECT key, count(*) AS n, any_value(fp) AS fp, any_value(md) AS md FROM o WHERE md <> '' GROUP BY 1), k AS (SELECT key, count(*) AS n FROM r GROUP BY 1),
 x AS (SELECT doc_id, dec, g.md, CASE WHEN g.n IS NULL THEN CASE WHEN dec <> 'INVALID' THEN 'NOT_PRESENT' ELSE '' END WHEN k.n <> 1 OR g.n <> 1 THEN 'AMBIGUOUS_OVERRIDE' WHEN g.fp <> r.fp THEN 'STALE_FINGERPRINT' WHEN dec = 'INVALID' THEN 'INELIGIBLE_DECISION' ELSE 'APPLIED' END AS override_status FROM r JOIN k USING (key) LEFT JOIN g USING (key))
 SELECT doc_id, override_status, CASE WHEN override_status = 'APPLIED' THEN CASE WHEN md = 'bad' THEN 'BAD' ELSE 'GOOD' END ELSE dec END AS final_decision FROM x""")
 def override_join(spark, d):
     i = F.col("doc_id")
-    rows = D.table(spark, d, "documents").select("doc_id", F.when(i % 41 == 0, "k1").otherwise(F.concat(F.lit("k"), i.cast("string"))).alias("mode_key"), F.sha2("text", 256).alias("input_fingerprint"), F.when(i % 6 == 0, "INVALID").when(i % 3 == 0, "BAD").otherwise("REVIEW").alias("rule_decision"))
-    one = rows.where("doc_id % 5 = 0").select("mode_key", F.when(i % 10 == 5, "stale").otherwise(F.col("input_fingerprint")).alias("input_fingerprint"), F.when(i % 4 == 0, "G").when(i % 4 == 2, "").otherwise("bad").alias("manual_decision"))
-    two = rows.where("doc_id % 35 = 0").select("mode_key", "input_fingerprint", F.lit("good").alias("manual_decision"))
+    rows = D.table(spark, d, "documents").select("doc_id", F.when(i % 41 == 0, "k1").otherwise(F.concat(F.lit("k"), i.cast("string"))).alias("mode_key"), F.sha2("text", 256).alias("input_fingerprint"), F.when(i % 6 == 0, "INVALID").when(i % 3 == 0, "BAD").otherwise("REVIEW").alias("rule_decision"), "source", "lang")
+    one = rows.where("source in ('src0', 'src1', 'src2')").select("mode_key", F.when(i % 10 == 5, "stale").otherwise(F.col("input_fingerprint")).alias("input_fingerprint"), F.when(i % 4 == 0, "G").when(i % 4 == 2, "").otherwise("bad").alias("manual_decision"))
+    two = rows.where("source = 'src1' and lang <> 'en'").select("mode_key", "input_fingerprint", F.lit("good").alias("manual_decision"))
     return R.apply_overrides(rows, one.unionByName(two)).select("doc_id", "override_status", "final_decision")
 
 
-@query("WITH s AS (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0), l AS (SELECT doc_id FROM labels) SELECT count(*) FILTER (WHERE s.doc_id IS NOT NULL AND l.doc_id IS NOT NULL) AS matched, count(*) FILTER (WHERE l.doc_id IS NULL) AS unmatched_scored, count(*) FILTER (WHERE s.doc_id IS NULL) AS labeled_not_scored FROM s FULL JOIN l ON s.doc_id = l.doc_id")
+@query("WITH s AS (SELECT doc_id FROM documents WHERE lang <> 'de'), l AS (SELECT doc_id FROM labels) SELECT count(*) FILTER (WHERE s.doc_id IS NOT NULL AND l.doc_id IS NOT NULL) AS matched, count(*) FILTER (WHERE l.doc_id IS NULL) AS unmatched_scored, count(*) FILTER (WHERE s.doc_id IS NULL) AS labeled_not_scored FROM s FULL JOIN l ON s.doc_id = l.doc_id")
 def label_match(spark, d):
-    return R.label_match(D.table(spark, d, "documents").where("doc_id % 3 <> 0"), D.table(spark, d, "labels"), "doc_id")
+    return R.label_match(D.table(spark, d, "documents").where("lang <> 'de'"), D.table(spark, d, "labels"), "doc_id")
 
 
 @query("SELECT source, arg_max(lang, doc_id) AS lang, count(*) AS n_rows, min(doc_id) AS first_seq FROM documents GROUP BY 1")
@@ -433,10 +433,10 @@ def label_last_wins(spark, d):
     return R.last_wins(D.table(spark, d, "documents"), "source", "lang", "doc_id")
 
 
-@query("SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0) ORDER BY 1 LIMIT 20")
+@query("SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang <> 'de') ORDER BY 1 LIMIT 20")
 def unmatched_labels(spark, d):
     """A report of the first 20."""
-    return D.table(spark, d, "labels").select("doc_id").join(D.table(spark, d, "documents").where("doc_id % 3 <> 0"), "doc_id", "left_anti").orderBy("doc_id").limit(20)
+    return D.table(spark, d, "labels").select("doc_id").join(D.table(spark, d, "documents").where("lang <> 'de'"), "doc_id", "left_anti").orderBy("doc_id").limit(20)
 
 
 @query("SELECT doc_id, CASE quality WHEN 1 THEN 'good' ELSE 'bad' END AS old_label, CASE toxic WHEN 1 THEN 'bad' ELSE 'good' END AS new_label FROM labels WHERE (quality = 1) <> (toxic <> 1)")
@@ -446,10 +446,10 @@ def label_changes(spark, d):
     return R.label_changes(y.select("doc_id", name(F.col("quality") == 1)), y.select("doc_id", name(F.col("toxic") != 1)), "doc_id")
 
 
-@query("WITH a AS (SELECT doc_id, quality FROM labels WHERE doc_id % 2 = 0), b AS (SELECT doc_id, toxic FROM labels WHERE doc_id % 3 = 0) SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, quality AS first_label, toxic AS second_label, CASE WHEN quality <> toxic THEN 'conflict' WHEN quality IS NULL OR toxic IS NULL THEN 'missing' ELSE 'agree' END AS disagreement FROM a FULL JOIN b ON a.doc_id = b.doc_id")
+@query("WITH a AS (SELECT doc_id, quality FROM labels WHERE toxic = 0), b AS (SELECT doc_id, toxic FROM labels WHERE quality = 1) SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, quality AS first_label, toxic AS second_label, CASE WHEN quality <> toxic THEN 'conflict' WHEN quality IS NULL OR toxic IS NULL THEN 'missing' ELSE 'agree' END AS disagreement FROM a FULL JOIN b ON a.doc_id = b.doc_id")
 def label_disagreements(spark, d):
     y = D.table(spark, d, "labels")
-    return R.label_disagreements({"first": y.where("doc_id % 2 = 0").select("doc_id", F.col("quality").alias("label")), "second": y.where("doc_id % 3 = 0").select("doc_id", F.col("toxic").alias("label"))}, "doc_id")
+    return R.label_disagreements({"first": y.where("toxic = 0").select("doc_id", F.col("quality").alias("label")), "second": y.where("quality = 1").select("doc_id", F.col("toxic").alias("label"))}, "doc_id")
 
 
 @query("SELECT source, coalesce(nullif(CASE WHEN doc_id % 4 = 0 THEN '' ELSE lang END, ''), '<blank>') AS label, count(*) AS n FROM documents GROUP BY 1, 2")
