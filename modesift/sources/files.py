@@ -57,7 +57,8 @@ def read_modes(spark: SparkSession, root: str, n_min: int | None = None, n_max:
                     rows.append(decode_mode(bytes(content)) | {"load_error": None})
                 except (ValueError, OverflowError) as e:
                     rows.append({"load_error": f"{type(e).__name__}: {e}"})
-            found = pd.DataFrame(rows, columns=names, index=frame.index)
+            found = pd.DataFrame(rows, columns=names, index=frame.index, dtype=object)
+            found = found.where(found.notna(), None)
             yield pd.concat([frame.drop(columns="content"), found], axis=1)[["path", "shot", "expected_n", "file", *names, "size", "sha256"]]
 
     d = d.select("path", "shot", "expected_n", "file", "content", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
@@ -91,7 +92,7 @@ def read_continuum(spark: SparkSession, root: str) -> DataFrame:
                     rows.append((i1, i2, plain(low), plain(high), None))
                 except ValueError as e:
                     rows.append((None, None, None, None, f"{type(e).__name__}: {e}"))
-            found = pd.DataFrame(rows, columns=["i1", "i2", "low", "high", "continuum_error"], index=frame.index)
+            found = pd.DataFrame(rows, columns=["i1", "i2", "low", "high", "continuum_error"], index=frame.index, dtype=object)
             yield pd.concat([frame[["shot", "n"]], found], axis=1)
 
     return d.select("shot", F.col("expected_n").alias("n"), "content").mapInPandas(run, "shot string, n int, i1 int, i2 int, low array<double>, high array<double>, continuum_error string")
