@@ -3,10 +3,10 @@
 Documents become sets of word shingles (64-bit hashes). Equal sets form classes; only one of each is
 joined. All sets are written in one global order, rare shingles first. Two sets with Jaccard t share a
 shingle within their first |s| - ceil(t |s|) + 1, so those are posted. Of the sets under one shingle, those
-stay that have a mate there whose size (told first, before anything else is shipped) and signature (parities of the shingles, which bound from below in how many two sets differ) allow a link;
-each chain of mates meets at its *leader*, the least of them, so sets that share many shingles meet
-once instead of once for each. There the sets are stored in a trie by
-their global order, and each set is matched by one traversal: the partial overlap is carried down a
+stay that have a mate there whose size (told first, before anything else is shipped) and signature
+(parities of the shingles, which bound from below in how many two sets differ) allow a link; each chain
+of mates meets at its *leader*, the least of them, so sets that share many shingles meet once instead
+of once for each. There the sets are stored in a trie by their global order, and each set is matched by one traversal: the partial overlap is carried down a
 path and shared by all sets below it, and a subtree is left as soon as the shingles remaining on
 either side cannot reach the overlap asked for. Sets that are already connected below a leader are not
 matched again, which leaves the components as they are. Links are exact.
@@ -428,7 +428,8 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
     named = comps.join(classes, comps.node == classes.sid).select("sid", "comp", "rep")
     best = named.groupBy("comp").agg(F.min("rep").alias("best"))
     linked = named.join(best, "comp").select("sid", "best")
-    of_class = classes.join(linked, "sid", "left").select("sid", F.coalesce("best", "rep").alias("component_id"))
+    # A written table: the join below may then split the rows of a hot class, whose own row is one.
+    of_class = scratch.write(classes.join(linked, "sid", "left").select("sid", F.coalesce("best", "rep").alias("component_id")))
     out = ids.join(of_class, "sid", "left")
     return out.select(id_col, F.col("n").alias("n_shingles"), F.col("sid").alias("class"), F.coalesce("component_id", id_col).alias("component_id"))
 
@@ -446,3 +447,17 @@ def keep_one(df: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> Da
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
+#: All pairs that share a shingle, counted: right where the table is small.
+ORACLE = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2])) END AS g FROM d),
+n AS (SELECT doc_id, len(g)::BIGINT AS n_shingles FROM s),
+x AS (SELECT doc_id, unnest(g) AS g FROM s),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+h AS (SELECT i.a, i.b FROM i JOIN n na ON na.doc_id = i.a JOIN n nb ON nb.doc_id = i.b WHERE 100 * c >= 90 * (na.n_shingles + nb.n_shingles - c)),
+e AS (SELECT a, b FROM h UNION ALL SELECT b, a FROM h),
+r AS (SELECT doc_id, doc_id AS other FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other)
+SELECT n.doc_id, any_value(n_shingles) AS n_shingles, min(r.other)::BIGINT AS component_id FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id
+"""

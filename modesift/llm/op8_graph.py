@@ -264,4 +264,14 @@ def audit_recall(of_class: DataFrame, classes: DataFrame, audit: int, cosine: fl
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")).drop("recall")
+
+
+#: All pairs by brute force: right where the table is small.
+ORACLE = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS l FROM v),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) / (a.l * b.l) >= 0.9e0),
+r AS (SELECT vec_id, vec_id AS other FROM v UNION SELECT r.vec_id, p.b FROM r JOIN p ON p.a = r.other)
+SELECT v.vec_id, (SELECT count(*) FROM p WHERE p.a = v.vec_id)::BIGINT AS n_links, min(r.other)::BIGINT AS component_id, v.vec_id = min(r.other) AS kept FROM v JOIN r ON r.vec_id = v.vec_id GROUP BY v.vec_id
+"""

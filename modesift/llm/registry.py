@@ -16,4 +16,8 @@ QUERIES = {
     "op9_source_mixing": op9_mix.query,
     "op10_merkle_fixity": op10_warc.query,
 }
-ORACLES: dict[str, str] = {"op10_merkle_fixity": op10_warc.ORACLE}
+ORACLES: dict[str, str] = {
+    "op7_prefix_tree_join": op7_jaccard.ORACLE,
+    "op8_robust_graph": op8_graph.ORACLE,
+    "op10_merkle_fixity": op10_warc.ORACLE,
+}
