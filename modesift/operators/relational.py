@@ -111,9 +111,16 @@ def provenance_summary(rows: DataFrame) -> DataFrame:
 
 def frequency_clusters(df: DataFrame, group: list[str], value: str, key: str, tolerance: float = 0.02) -> DataFrame:
     """cluster_index per row: in order of value, a row joins the cluster while its distance from the
-    cluster's first member, relative to that, is below the tolerance. One pass over each group's sorted
-    (value, key) pairs; nothing else is gathered."""
-    pairs = df.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col(value).alias("v"), F.col(key).alias("k")))).alias("pairs"))
+    cluster's first member, relative to that, is below the tolerance.
+
+    Where a value is farther than the tolerance from the one before it, it is farther still from any
+    earlier anchor, so a cluster must begin there. Groups are cut at these gaps by a window that streams,
+    and only the stretches between them are folded over their sorted pairs. All steps share one shuffle."""
+    order = Window.partitionBy(*group).orderBy(value, key)
+    before = F.lag(value).over(order)
+    gap = before.isNull() | F.coalesce((before > 0) & (F.try_divide(F.col(value) - before, before) >= tolerance), F.lit(False))
+    cut = df.select(*group, F.col(value).alias("v"), F.col(key).alias("k"), F.col(value), F.col(key)).withColumn("gap", gap.cast("int")).withColumn("stretch", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    pairs = cut.groupBy(*group, "stretch").agg(F.array_sort(F.collect_list(F.struct("v", "k"))).alias("pairs"))
     start = F.struct(F.lit(0).alias("c"), F.lit(None).cast("double").alias("anchor"), F.array().cast("array<int>").alias("out"))
 
     def step(acc: Column, p: Column) -> Column:
@@ -122,7 +129,9 @@ def frequency_clusters(df: DataFrame, group: list[str], value: str, key: str, to
         return F.struct(c.alias("c"), F.when(joins, acc["anchor"]).otherwise(p["v"]).alias("anchor"), F.concat(acc["out"], F.array(c)).alias("out"))
 
     marked = pairs.withColumn("marks", F.aggregate("pairs", start, step, lambda acc: acc["out"]))
-    zipped = F.zip_with("pairs", "marks", lambda p, c: F.struct(p["k"].alias(key), p["v"].alias(value), c.alias("cluster_index")))
+    earlier = Window.partitionBy(*group).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    marked = marked.withColumn("shift", F.coalesce(F.sum(F.element_at("marks", -1)).over(earlier), F.lit(0)).cast("int"))
+    zipped = F.zip_with("pairs", "marks", lambda p, c: F.struct(p["k"].alias(key), p["v"].alias(value), (c + F.col("shift")).alias("cluster_index")))
     return marked.select(*group, F.inline(zipped))
 
 

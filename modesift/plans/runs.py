@@ -1,4 +1,8 @@
-"""Whole runs: from files to decisions, reports and evaluations."""
+"""Whole runs: from files to decisions, reports and evaluations.
+
+Sorts keep their scored rows persisted, as the joins after them and every report read them again; the
+caller drops them with ``spark.catalog.clearCache()`` when the reports are written.
+"""
 
 from __future__ import annotations
 
@@ -50,7 +54,7 @@ def _scored(df: DataFrame, scorers: dict[str, Callable[[DataFrame], DataFrame]])
 def sort_mixed(df: DataFrame, score_rf: Callable[[DataFrame], DataFrame], score_cnn: Callable[[DataFrame], DataFrame], group: tuple[str, ...] = ("shot", "ntor"), **dedup_args) -> DataFrame:
     """All rows of a mixed run: scores, fusion, flags and ``selected`` after near-duplicates among the good."""
     d, rest = _scored(preprocess(df), {"rf": score_rf, "cnn": score_cnn})
-    d = S.flagged(S.fuse(d))
+    d = S.flagged(S.fuse(d)).persist()  # read twice below: scoring must not run again
     good = d.where("final_label = 'good'").withColumn("score", F.col("p_avg"))
     marks = dedup.representatives(good.select(*group, "path", "omega", "score", "mode"), list(group), "path", **dedup_args)
     d = d.join(marks.select("path", "cluster_index", "type_index", "selected"), "path", "left")
@@ -62,7 +66,7 @@ def sort_rules(df: DataFrame, overrides: DataFrame | None = None, cfg: gates.Gat
     scorer, or where it leaves a cluster member without score, all members of the cluster stay."""
     d = preprocess(df)
     go = (F.col("rejection_reason") == "") & F.col("gap_region").isin("tae_like", "mixed")
-    ruled = gates.evaluate(d.where(go).drop("w", "r"), cfg)
+    ruled = gates.evaluate(d.where(go).drop("w", "r"), cfg).persist()  # every report below reads it
     rest = d.where(~F.coalesce(go, F.lit(False))).withColumn("rule_decision", F.when(F.col("rejection_reason") != "", "INVALID").otherwise("EAE")).withColumn("primary_reason", F.upper("rejection_reason"))
     rows = ruled.unionByName(rest, allowMissingColumns=True)
     if overrides is not None:
