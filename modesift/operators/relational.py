@@ -174,3 +174,28 @@ def mode_diff(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     shape = (F.size("m_a") == F.size("m_b")) & (F.size(F.get("m_a", F.lit(0))) == F.size(F.get("m_b", F.lit(0))))
     gap = F.array_max(F.zip_with(F.flatten("m_a"), F.flatten("m_b"), lambda p, q: F.abs(p - q)))
     return x.join(y, key).select(key, shape.alias("shape_equal"), (shape & F.col("m_a").eqNullSafe(F.col("m_b"))).alias("array_equal"), F.when(shape, gap).alias("max_abs_delta"), F.try_divide(F.col("w_b") - F.col("w_a"), F.abs("w_a")).alias("relative_omega"))
+
+
+def in_list(df: DataFrame, listed: DataFrame, path: str = "path", with_two: bool = False) -> DataFrame:
+    """Rows whose path shares a key with a listed one."""
+    keys = lambda d: d.select(path, F.explode(match_keys(F.col(path), with_two)).alias("match_key"))
+    hits = keys(df.select(path)).join(keys(listed.select(path)).select("match_key").distinct(), "match_key", "left_semi").select(path).distinct()
+    return df.join(hits, path, "left_semi")
+
+
+def not_done(df: DataFrame, done: DataFrame, path: str = "path") -> DataFrame:
+    """Rows to resume with: those not in the log."""
+    hits = in_list(df.select(path), done, path)
+    return df.join(hits, path, "left_anti")
+
+
+def changed_modes(diff: DataFrame) -> DataFrame:
+    """Over modes that differ between trees: how many, how many in shape, and by how much."""
+    d = diff.where(~F.coalesce("array_equal", F.lit(False)) | (F.col("relative_omega") != 0))
+    change = F.abs("relative_omega")
+    return d.agg(F.count("*").alias("n_changed"), F.count_if(~F.col("shape_equal")).alias("n_shape"), F.median(change).alias("median_abs_relative_omega"), F.max(change).alias("max_abs_relative_omega"), F.max("max_abs_delta").alias("max_abs_delta"))
+
+
+def resolve_path(path: Column, root: str) -> Column:
+    """Absolute paths as they are, others below the data root."""
+    return F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path))

@@ -139,3 +139,12 @@ def zscore_top(df: DataFrame, features: list[str], key: str, k: int = 3) -> Data
     d = df.crossJoin(F.broadcast(stats))  # one row of statistics
     z = F.array(*(F.struct(F.abs(F.try_divide(F.col(f) - F.col(f"m_{f}"), F.col(f"s_{f}"))).alias("size"), F.lit(f).alias("feature"), F.try_divide(F.col(f) - F.col(f"m_{f}"), F.col(f"s_{f}")).alias("z")) for f in features))
     return d.select(key, F.posexplode(F.slice(F.reverse(F.array_sort(z)), 1, k)).alias("rank", "x")).select(key, "rank", "x.feature", "x.z")
+
+
+def rule_matrix(df: DataFrame, decision: str, truth: str) -> DataFrame:
+    """Decisions against labels: agreement (BAD is bad, REVIEW or GOOD is good), share of bad found,
+    share of good kept, and share of good among what is left."""
+    bad, y = F.col(decision) == "BAD", F.col(truth)
+    d = df.where(y.isNotNull() & F.col(decision).isin("GOOD", "BAD", "REVIEW")).agg(F.count("*").alias("n"), F.count_if(bad & (y == 0)).alias("bad_found"), F.count_if(~bad & (y == 1)).alias("good_kept"), F.count_if(y == 0).alias("n_bad"), F.count_if(y == 1).alias("n_good"), F.count_if(~bad).alias("n_left"))
+    over = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b))
+    return d.withColumns({"agreement": F.try_divide((F.col("bad_found") + F.col("good_kept")).cast("double"), F.col("n")), "bad_recall": over("bad_found", "n_bad"), "good_retention": over("good_kept", "n_good"), "good_precision": over("good_kept", "n_left")})

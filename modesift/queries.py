@@ -456,3 +456,25 @@ def label_disagreements(spark, d):
 def label_groups(spark, d):
     label = F.coalesce(F.nullif(F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.col("lang")), F.lit("")), F.lit("<blank>"))
     return D.table(spark, d, "documents").groupBy("source", label.alias("label")).agg(F.count("*").alias("n"))
+
+
+@query(SC + FUSED + ", t AS (SELECT y, CASE WHEN final_label = 'bad' THEN 'BAD' ELSE 'REVIEW' END AS d FROM ff WHERE y IS NOT NULL), c AS (SELECT count(*) AS n, count(*) FILTER (WHERE d = 'BAD' AND y = 0) AS bad_found, count(*) FILTER (WHERE d <> 'BAD' AND y = 1) AS good_kept, count(*) FILTER (WHERE y = 0) AS n_bad, count(*) FILTER (WHERE y = 1) AS n_good, count(*) FILTER (WHERE d <> 'BAD') AS n_left FROM t) SELECT *, round((bad_found + good_kept) / n::DOUBLE, 6) AS agreement, round(bad_found / n_bad::DOUBLE, 6) AS bad_recall, round(good_kept / n_good::DOUBLE, 6) AS good_retention, round(good_kept / n_left::DOUBLE, 6) AS good_precision FROM c")
+def rule_label_matrix(spark, d):
+    rows = _fused(spark, d).withColumn("decision", F.when(F.col("final_label") == "bad", "BAD").otherwise("REVIEW"))
+    out = S.rule_matrix(rows, "decision", "y")
+    return out.select(*(r6(c) if c in ("agreement", "bad_recall", "good_retention", "good_precision") else F.col(c) for c in out.columns))
+
+
+@query("WITH m AS (SELECT vec_id FROM embeddings WHERE vec_id % 7 = 0 OR vec_id % 5 = 0) SELECT count(*) AS n_changed, 0::BIGINT AS n_shape, round(median(CASE WHEN vec_id % 5 = 0 THEN 0.1e0 ELSE 0e0 END), 6) AS median_abs_relative_omega, 0.1e0 AS max_abs_relative_omega, 0.25e0 AS max_abs_delta FROM m")
+def changed_modes(spark, d):
+    out = R.changed_modes(mode_diff(spark, d))
+    return out.select("n_changed", "n_shape", *map(r6, ("median_abs_relative_omega", "max_abs_relative_omega", "max_abs_delta")))
+
+
+@query("SELECT doc_id, source || '/N1/egn' || doc_id AS path FROM documents JOIN labels USING (doc_id)")
+def list_filter(spark, d):
+    """Files that a list of other absolute paths names by their last three parts."""
+    path = F.concat("source", F.lit("/N1/egn"), F.col("doc_id").cast("string")).alias("path")
+    docs = D.table(spark, d, "documents")
+    listed = docs.join(D.table(spark, d, "labels").select("doc_id"), "doc_id").select(F.concat(F.lit("/other/root/"), path).alias("path"))
+    return R.in_list(docs.select("doc_id", path), listed)
