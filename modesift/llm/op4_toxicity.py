@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, documents, text_bytes
+from .common import crc_mod, documents, draw, text_bytes
 
 SAMPLE = 60_000
 CLAUSE = re.compile(r"[.!?;\n]+")
@@ -160,8 +160,7 @@ def _counter(wanted: frozenset[str] | None):
 def _sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     """(text, toxic) of at most ``sample`` labelled rows that are not held out."""
     drawn = labels.where("doc_id is not null and toxic is not null").where(crc_mod(F.col("doc_id"), 5) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    drawn = drawn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic")
+    return docs.select("doc_id", "text").join(F.broadcast(draw(drawn, "doc_id", sample)), "doc_id").select("text", "toxic")
 
 
 def learn_lexicon(sample: DataFrame, chance: float = 0.01) -> dict[str, float]:

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, crc_mod, documents, text_or_empty
+from .common import Scratch, crc_mod, documents, draw, text_or_empty
 from .op4_toxicity import fit_logistic
 
 SAMPLE = 30_000
@@ -84,7 +84,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, tex
     s_path = _strength(paths.select("k", "n", "quality__host"), "quality__host")
     paths = paths.select(F.col("q__host").alias("h2"), F.col("q__path").alias("p2"), ((F.col("k") + s_path * F.col("quality__host")) / (F.col("n") + s_path)).alias("quality__path"))
 
-    drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    drawn = draw(known, "doc_id", sample)
     x = features(text_or_empty(text_col))
     rows = base.join(F.broadcast(drawn), "doc_id").select("q__y", *(c.alias(f"x{k}") for k, c in enumerate(x))).toArrow().to_pandas()
     y = rows.pop("q__y").to_numpy()

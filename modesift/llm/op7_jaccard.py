@@ -11,8 +11,8 @@ path and shared by all sets below it, and a subtree is left as soon as the shing
 either side cannot reach the overlap asked for. Sets that are already connected below a leader are not
 matched again, which leaves the components as they are. Links are exact.
 
-The order is a hint that cannot change the result, only its cost: all shingles are counted, the most
-frequent (at most 2^18 of them, 4 MB, broadcast) come last by their count, all others are rare and go
+The order is a hint that cannot change the result, only its cost: all shingles are counted, those
+with a share of 2^-18 or more of the counts (so at most 2^18, 4 MB, broadcast) come last by their count, all others are rare and go
 by hash. A shingle or leader with more than ``GROUP`` sets is dealt in blocks to several tasks. Which sets are met
 at all is told by a bitmap of at most 2^27 bits, so only those are read again. Links are gathered as
 pairs of classes; components come from ``common.components``.
@@ -395,7 +395,10 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
     kind = df.schema[id_col].dataType.simpleString()
     both = scratch.write(df.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(_id_sets(width, id_col), f"`{id_col}` {kind}, {_IDS}"))
     ids = both.where("sid is not null").select(id_col, "sid", "n", "sig")
-    top = both.where("shingle is not null").groupBy("shingle").agg(F.sum("docs").alias("docs")).orderBy(F.desc("docs"), "shingle").limit(FREQUENT).toArrow().to_pandas()
+    counted = both.where("shingle is not null").groupBy("shingle").agg(F.sum("docs").alias("docs"))
+    # Shingles with a share of 1 / FREQUENT of all counts or more: at most FREQUENT of them, without any ordering.
+    least = -(-(both.agg(F.sum("docs")).first()[0] or 0) // FREQUENT)
+    top = counted.where(F.col("docs") >= least).toArrow().to_pandas()
     frequent = top["shingle"].to_numpy(dtype=np.int64).view(np.uint64)
     by_value = np.argsort(frequent)
     order = spark.sparkContext.broadcast((frequent[by_value], top["docs"].to_numpy(dtype=np.int64)[by_value]))

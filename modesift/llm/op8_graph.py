@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from .common import Scratch, components, draw
 from .op7_jaccard import _dealt
 
 SHARD, CENTRES, GROUP = 512, 2048, 4096
@@ -208,7 +208,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     classes = scratch.write(rows.where(usable).groupBy("vec").agg(F.min("vec_id").alias("sid"), F.count("*").alias("mult")))
     n = classes.count()
     k = max(1, min(CENTRES, n // shard))
-    sample = classes.orderBy(F.xxhash64("sid"), "sid").limit(32 * k).select("vec").toArrow().to_pandas()
+    sample = draw(classes, "sid", 32 * k).select("vec").toArrow().to_pandas()
     centres = spark.sparkContext.broadcast(fit_centres(unit(_vectors(sample)), k))
     spread = min(overlap, k)
 
@@ -246,7 +246,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
 
 def audit_recall(of_class: DataFrame, classes: DataFrame, audit: int, cosine: float) -> float | None:
     """Links counted over links there are, for ``audit`` classes against all; None without links."""
-    drawn = of_class.orderBy(F.xxhash64("sid", F.lit(1)), "sid").limit(audit).toArrow().to_pandas()
+    drawn = draw(of_class, "sid", audit, seed=1).toArrow().to_pandas()
     if drawn.empty:
         return None
     queries = classes.sparkSession.sparkContext.broadcast(unit(_vectors(drawn)))
