@@ -126,10 +126,19 @@ def stable_counts(df: DataFrame, key: str, group: list[str]) -> DataFrame:
 
 
 def stratified_split(df: DataFrame, label: str, key: str, fraction: float = 0.1, seed: int = 42) -> DataFrame:
-    """is_test: max(1, int(n * fraction)) rows of each label, by a seeded hash order."""
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), key), key)
-    size = F.greatest(F.lit(1), F.floor(F.count("*").over(Window.partitionBy(label)) * fraction))
-    return df.withColumn("is_test", F.row_number().over(order) <= size)
+    """is_test: max(1, int(n * fraction)) rows of each label, by a seeded hash order. The order is cut into
+    2^16 parts: whole parts are taken by running counts, and rows are ranked only within their part, so a
+    label with most of the rows is not ordered in one place."""
+    cols = df.columns
+    d = df.withColumn("split__hash", F.xxhash64(F.lit(seed), key)).withColumn("split__part", F.shiftrightunsigned("split__hash", 48))
+    counts = d.groupBy(F.col(label).alias("split__label"), F.col("split__part").alias("p")).agg(F.count("*").alias("n"))
+    own = Window.partitionBy("split__label")
+    sized = counts.withColumn("size", F.greatest(F.lit(1), F.floor(F.sum("n").over(own) * fraction))).withColumn("upto", F.sum("n").over(own.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)))
+    edge = sized.where(F.col("upto") >= F.col("size")).groupBy("split__label").agg(F.min_by(F.struct("p", (F.col("size") - F.col("upto") + F.col("n")).alias("left")), "p").alias("edge"))
+    ranked = d.withColumn("split__rank", F.row_number().over(Window.partitionBy(label, "split__part").orderBy("split__hash", key)))
+    out = ranked.join(edge, F.col(label).eqNullSafe(F.col("split__label")))
+    test = (F.col("split__part") < F.col("edge.p")) | ((F.col("split__part") == F.col("edge.p")) & (F.col("split__rank") <= F.col("edge.left")))
+    return out.withColumn("is_test", test).select(*cols, "is_test")
 
 
 def zscore_top(df: DataFrame, features: list[str], key: str, k: int = 3) -> DataFrame:
