@@ -1,8 +1,10 @@
 """Embedding near-duplicates by a robust-pruned flat graph.
 
 Equal vectors form classes, of which one takes part. Classes are dealt to overlapping cluster shards:
-each to its nearest centre (its home) and to the ``overlap`` - 1 next ones. In each shard a flat graph
-is built by robust pruning: a node keeps its nearest neighbour, drops the candidates that are nearer to
+each to its nearest cell (its home) and to the ``overlap`` - 1 next ones. A cell is a centre, or all
+centres that reach each other by steps in range: a large group of near copies draws many centres, and
+its links must not be cut by them. In such a merged cell nearly all are in range of all, so its links
+are found by plain products. In each other shard a flat graph is built by robust pruning: a node keeps its nearest neighbour, drops the candidates that are nearer to
 that one than to itself, keeps the nearest of the rest, and so on, up to ``degree``; such a graph
 contains the shard's spanning tree of nearest links. The adjacency lists of all shards are united by
 node. The search then runs in each shard for the nodes at home there, on the united graph: a greedy
@@ -10,7 +12,8 @@ beam search from the medoid to an entry in range, and from there (and from the n
 expansion over neighbours for as long as they are in range. What is found is verified by its cosine in
 double precision. Each node is searched for in its home only, so links are counted, not listed, and
 only a spanning forest of them leaves a shard. Recall is audited against brute force for ``audit``
-vectors (a stated query set against all rows).
+vectors (a stated query set against all rows); while it is below ``RECALL`` the whole is repeated with
+twice the overlap, up to all cells, where nothing is missed for lack of a shard.
 
 Bounds: the centres are fitted on at most 32 vectors a centre, at most 2048 centres (a sample of at
 most 65,536 vectors); every vector is indexed. A shard of more than ``GROUP`` members is dealt in
@@ -34,7 +37,7 @@ from .common import Scratch, components, draw
 from .op7_jaccard import _dealt
 
 SHARD, CENTRES, GROUP = 512, 2048, 4096
-COSINE = 0.9
+COSINE, RECALL = 0.9, 0.9
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -57,6 +60,18 @@ def fit_centres(x: np.ndarray, k: int, rounds: int = 6, seed: int = 8) -> np.nda
     return c
 
 
+def merged_cells(c: np.ndarray, cosine: float) -> np.ndarray:
+    """The cell of each centre, from 0 on: centres that reach each other by steps in range share one."""
+    near = c @ c.T >= cosine
+    np.fill_diagonal(near, True)
+    cell = np.arange(len(c))
+    while True:
+        new = np.where(near, cell[None, :], len(c)).min(axis=1)
+        if (new == cell).all():
+            return np.unique(cell, return_inverse=True)[1]
+        cell = new
+
+
 def robust_prune(x: np.ndarray, degree: int) -> np.ndarray:
     """Neighbours of each row of unit vectors, -1 where fewer than degree remain."""
     n = len(x)
@@ -130,6 +145,44 @@ def _builder(degree: int):
     return run
 
 
+def in_merged(raw: np.ndarray, mult: np.ndarray, home: np.ndarray, mine: np.ndarray, cross: bool, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each home node and the least node of each node's component, by products of all with all;
+    cross: only those between the two blocks."""
+    n = len(raw)
+    norm = np.linalg.norm(raw, axis=1)
+    x = raw / norm[:, None]
+    links, label = np.zeros(n, dtype=np.int64), np.arange(n)
+    for block in np.unique(mine):
+        others = np.flatnonzero(mine != block) if cross else np.arange(n)
+        asked = np.flatnonzero(home & (mine == block))
+        for k in range(0, len(asked), 512):
+            part = asked[k : k + 512]
+            s = x[part] @ x[others].T
+            near = s >= cosine
+            for q, o in np.argwhere(np.abs(s - cosine) <= 1e-9).tolist():
+                v, w = part[q], others[o]
+                near[q, o] = (raw[w] @ raw[v]) / (norm[w] * norm[v]) >= cosine
+            near[part[:, None] == others[None, :]] = False
+            links[part] = near @ mult[others]
+            for q, v in enumerate(part.tolist()):
+                met = label[others[near[q]]]
+                if (met != label[v]).any():
+                    met = np.unique(np.append(met, label[v]))
+                    label[np.isin(label, met)] = met[0]
+    return links, label
+
+
+def _merged_searcher(cosine: float):
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("sid").reset_index(drop=True)
+        nodes, home = frame["sid"].to_numpy(), frame["home"].to_numpy(dtype=bool)
+        links, label = in_merged(_vectors(frame), frame["mult"].to_numpy(), home, frame["mine"].to_numpy(), key[1] != key[2], cosine)
+        keep = home | (label != np.arange(len(nodes)))
+        return pd.DataFrame({"a": nodes[keep], "b": nodes[label[keep]], "links": links[keep]})
+
+    return run
+
+
 def _searcher(cosine: float):
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("sid").reset_index(drop=True)
@@ -194,49 +247,67 @@ def _searcher(cosine: float):
     return run
 
 
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = COSINE, overlap: int = 3, degree: int = 16, shard: int = SHARD, audit: int = 200) -> DataFrame:
-    """One row a vector: id, n_links, component_id, kept, and the audited recall."""
-    spark, scratch = df.sparkSession, Scratch(df.sparkSession)
-    rows = df.select(F.col(id_col).alias("vec_id"), F.transform(F.col(vec_col), lambda v: v.cast("double")).alias("vec"))
-    good = F.col("vec_id").isNotNull() & F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vec", lambda v: v != 0)
-    sound = rows.where(F.col("vec").isNotNull() & F.coalesce(good, F.lit(False)))
-    dims = sound.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    nothing = (F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(None).cast("double").alias("recall"))
-    if dims is None:
-        return rows.select(F.col("vec_id").alias(id_col), *nothing)
-    usable = F.col("vec").isNotNull() & F.coalesce(good, F.lit(False)) & (F.size("vec") == dims["d"])
-    classes = scratch.write(rows.where(usable).groupBy("vec").agg(F.min("vec_id").alias("sid"), F.count("*").alias("mult")))
-    n = classes.count()
-    k = max(1, min(CENTRES, n // shard))
-    sample = draw(classes, "sid", 32 * k).select("vec").toArrow().to_pandas()
-    centres = spark.sparkContext.broadcast(fit_centres(unit(_vectors(sample)), k))
-    spread = min(overlap, k)
+def _linked(spark: SparkSession, scratch: Scratch, classes: DataFrame, centres, spread: int, cosine: float, degree: int) -> DataFrame:
+    """(vec, sid, links, comp) of each class, searched for in shards of its ``spread`` nearest cells."""
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = centres.value
+        c, first, merged = centres.value
         for f in frames:
             for at in range(0, len(f), 2048):
                 g = f.iloc[at : at + 2048]
-                s = unit(_vectors(g)) @ c.T
+                s = np.maximum.reduceat(unit(_vectors(g)) @ c.T, first, axis=1)
                 top = np.argsort(-s, axis=1, kind="stable")[:, :spread]
                 for r in range(spread):
-                    yield pd.DataFrame({"shard": top[:, r].astype(np.int64), "home": r == 0, "sid": g["sid"].to_numpy(), "mult": g["mult"].to_numpy(), "vec": g["vec"].to_numpy()})
+                    yield pd.DataFrame({"shard": top[:, r].astype(np.int64), "merged": merged[top[:, r]], "home": r == 0, "sid": g["sid"].to_numpy(), "mult": g["mult"].to_numpy(), "vec": g["vec"].to_numpy()})
 
-    members = scratch.write(classes.select("sid", "mult", "vec").mapInPandas(assign, "shard long, home boolean, sid long, mult long, vec array<double>"))
+    members = scratch.write(classes.select("sid", "mult", "vec").mapInPandas(assign, "shard long, merged boolean, home boolean, sid long, mult long, vec array<double>"))
     sizes = members.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(float(GROUP))).cast("int").alias("blocks"))
     keyed = members.select("shard", "sid").join(sizes, "shard")
     mine = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("mine")
     marks = keyed.select("shard", "sid", mine)
     dealt = _dealt(keyed, "shard").join(members, ["shard", "sid"]).join(marks, ["shard", "sid"])
-    graph = dealt.groupBy("shard", "i", "j").applyInPandas(_builder(degree), "sid long, near array<long>")
+    plain = dealt.where("not merged")
+    graph = plain.groupBy("shard", "i", "j").applyInPandas(_builder(degree), "sid long, near array<long>")
     union = scratch.write(graph.groupBy("sid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
-    found = scratch.write(dealt.join(union, "sid", "left").groupBy("shard", "i", "j").applyInPandas(_searcher(cosine), "a long, b long, links long"))
+    walked = plain.join(union, "sid", "left").groupBy("shard", "i", "j").applyInPandas(_searcher(cosine), "a long, b long, links long")
+    multiplied = dealt.where("merged").groupBy("shard", "i", "j").applyInPandas(_merged_searcher(cosine), "a long, b long, links long")
+    found = scratch.write(walked.unionByName(multiplied))
     comps = components(spark, found.select("a", "b"), scratch)
     counts = found.groupBy(F.col("a").alias("sid")).agg(F.sum("links").alias("links"))
     of_class = classes.join(counts, "sid", "left").join(comps, F.col("sid") == F.col("node"), "left").select("vec", "sid", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links"), F.coalesce("comp", "sid").alias("comp"))
     of_class = scratch.write(of_class)
-    recall = audit_recall(of_class, classes, audit, cosine)
     scratch.drop(members, union, found)
+    return of_class
+
+
+def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = COSINE, overlap: int = 3, degree: int = 16, shard: int = SHARD, audit: int = 200) -> DataFrame:
+    """One row a vector: id, n_links, component_id, kept, and the audited recall."""
+    spark, scratch = df.sparkSession, Scratch(df.sparkSession)
+    rows = df.select(F.col(id_col).alias("vec_id"), F.transform(F.col(vec_col), lambda v: v.cast("double")).alias("vec"))
+    good = F.col("vec_id").isNotNull() & F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vec", lambda v: v != 0)
+    sound = rows.where(F.col("vec").isNotNull() & F.coalesce(good, F.lit(False)))
+    dims = sound.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    nothing = (F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(None).cast("double").alias("recall"))
+    if dims is None:
+        return rows.select(F.col("vec_id").alias(id_col), *nothing)
+    usable = F.col("vec").isNotNull() & F.coalesce(good, F.lit(False)) & (F.size("vec") == dims["d"])
+    classes = scratch.write(rows.where(usable).groupBy("vec").agg(F.min("vec_id").alias("sid"), F.count("*").alias("mult")))
+    n = classes.count()
+    k = max(1, min(CENTRES, n // shard))
+    sample = draw(classes, "sid", 32 * k).select("vec").toArrow().to_pandas()
+    fitted = fit_centres(unit(_vectors(sample)), k)
+    cell = merged_cells(fitted, cosine)
+    order = np.argsort(cell, kind="stable")
+    n_cells = int(cell.max()) + 1
+    centres = spark.sparkContext.broadcast((fitted[order], np.searchsorted(cell[order], np.arange(n_cells)), np.bincount(cell) > 1))
+    while True:
+        spread = min(overlap, n_cells)
+        of_class = _linked(spark, scratch, classes, centres, spread, cosine, degree)
+        recall = audit_recall(of_class, classes, audit, cosine)
+        if recall is None or recall >= RECALL or spread == n_cells:
+            break
+        scratch.drop(of_class)
+        overlap *= 2
     # Joined by the vector itself; a hot vector's rows are split, its class is one row.
     linked = rows.where(usable).join(of_class, "vec").select("vec_id", "links", "comp")
     out = linked.select("vec_id", F.col("links").cast("long").alias("n_links"), F.col("comp").alias("component_id"), (F.col("vec_id") == F.col("comp")).alias("kept"), F.lit(recall).cast("double").alias("recall"))

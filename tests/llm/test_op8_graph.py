@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 
 from modesift.llm import op8_graph
 
@@ -65,3 +66,22 @@ def test_copies_and_empty(spark):
     out = sorted((r.vec_id is None, r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in op8_graph.near_duplicates(df).collect())
     assert out == [(False, 2, 2, 2, True), (False, 2, 2, 2, True), (False, 4, 2, 2, False), (True, 0, 0, None, True)]
     assert op8_graph.near_duplicates(df.where("vec_id > 100")).count() == 0
+
+
+def test_a_group_over_many_centres(spark):
+    """A third of 60,000 vectors are different near copies of one vector: far more than three shards hold."""
+    rng = np.random.default_rng(3)
+    n, d = 60_000, 64
+    x = rng.normal(size=(n, d))
+    group = np.arange(0, n, 3)
+    base = rng.normal(size=d)
+    x[group] = base / np.linalg.norm(base) + rng.normal(size=(len(group), d)) * 0.27 / np.sqrt(d)
+    x = x.astype(np.float32).astype(np.float64)
+    u = x[group] / np.linalg.norm(x[group], axis=1)[:, None]
+    want = np.concatenate([(u[k : k + 1000] @ u.T >= 0.9).sum(axis=1) - 1 for k in range(0, len(u), 1000)])
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": [v.tolist() for v in x]}), "vec_id long, embedding array<float>")
+    out = op8_graph.near_duplicates(df).select("vec_id", "n_links", "recall").toPandas().set_index("vec_id")
+    got = out.loc[group, "n_links"].to_numpy()
+    assert (got <= want).all()
+    assert got.sum() >= 0.99 * want.sum()
+    assert out["recall"].iloc[0] >= 0.99
