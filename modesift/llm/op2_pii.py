@@ -2,18 +2,22 @@
 (DataFrame functions only).
 
 Base spans are the leftmost non-overlapping matches of four patterns, checked after matching (address
-parts, Luhn, digit counts). Their kinds are the protected entities. The corpus tells how strongly a
-term (a run of letters, lower-cased) reveals a kind: the disclosure of kind c by term t is the share of
-c's information that t gives away,
+parts, Luhn, digit counts). Protected are each kind and each single entity (a kind's value). The corpus
+tells how strongly a term (a run of letters, lower-cased) reveals one of them: the disclosure of c by
+term t is the share of c's information that t gives away,
 
     D(c; t) = log(p(c|t) / p(c)) / -log p(c),
 
-1 where t occurs only beside c, 0 where they are independent. Evidence for t beside c is the number of
-different entities of c (not of documents) it occurs with, so that copies and near copies of one
-document count once; evidence against is every document with t and without c. p(c|t) is shrunk towards
-p(c) by ``prior`` pseudo-documents, and t must meet ``min_entities`` entities, so chance meetings
-disclose nothing. In documents that hold c, terms with disclosure from ``generalise`` on are generalised
-and from ``remove`` on removed. Rewriting puts [KIND] for base spans and [TERM] for generalised terms.
+1 where t occurs only beside c, 0 where they are independent. Evidence for t beside a kind is the number
+of different entities of the kind it occurs with; beside an entity, the number of different texts that
+hold both, where copies and near copies (texts with an entity in common whose words and entities agree
+by half, found through min-hashes, and what these join) are one text. Evidence against is every document
+with t and without c. p(c|t) is shrunk towards p(c) by ``prior`` pseudo-documents. Chance meetings
+disclose nothing: evidence counts only if the odds of as much by chance (Chernoff's bound), taken over
+as many pairs as documents squared, are below ``chance``; so three texts at least are needed, and few
+more where t occurs nowhere else. In documents that hold c, terms with disclosure from ``generalise`` on
+are generalised and from ``remove`` on removed. Rewriting puts [KIND] for base spans and [TERM] for
+generalised terms.
 
 Terms are counted over all documents in one grouped sum with partial aggregation; the terms found are
 joined only to documents that hold personal data.
@@ -28,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, text_or_empty
+from .common import Scratch, components, documents, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -43,6 +47,8 @@ PATTERNS = {
 }
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 TERM = r"\p{L}+"
+#: Min-hashes of a text: pairs that agree by half share one of so many bands of two with odds of 0.97 or more.
+BANDS, ALIKE = 12, 0.5
 
 
 def _luhn(digits: Column) -> Column:
@@ -126,40 +132,73 @@ def _has(kind: str | None = None) -> Column:
     return F.expr(" or ".join(f"size(pii__{k}) > 0" for k in ([kind] if kind else KINDS)))
 
 
-def disclosing(light: DataFrame, held: DataFrame, text_col: str, generalise: float, min_entities: int, prior: float) -> DataFrame:
-    """(term, kind, disclosure) from the threshold on. light: all documents with their spans; held: a
-    kept copy of those that have any."""
+def _entities() -> Column:
+    """The distinct entities of a document as <kind>:<hash of its text>; ``pii__text`` holds the text."""
+    spans = F.concat(*(F.col(f"pii__{k}") for k in KINDS))
+    return F.array_distinct(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], F.hex(F.xxhash64(F.substring(F.col("pii__text"), s["start"] + 1, s["end"] - s["start"]))))))
+
+
+def text_classes(texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, class) of texts(key, entities, words) that stand for themselves no more: near copies that share an
+    entity take the least key of all they are joined to."""
+    band = lambda b: F.xxhash64(b, *(F.array_min(F.transform("words", lambda w: F.xxhash64(w, b * 2 + i))) for i in range(2)))
+    signed = scratch.write(texts.withColumn("bands", F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)))
+    dealt = signed.select("key", F.explode("entities").alias("entity"), "bands").select("key", "entity", F.explode("bands").alias("band"))
+    # The least of a bucket stands for it, so a bucket's links grow with its texts and not with their pairs.
+    least = dealt.groupBy("entity", "band").agg(F.min("key").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
+    links = dealt.join(least, ["entity", "band"]).where("key <> leader").select("key", "leader").distinct()
+    words = signed.select("key", "words")
+    both = links.join(words, "key").join(words.select(F.col("key").alias("leader"), F.col("words").alias("others")), "leader")
+    alike = both.where(F.size(F.array_intersect("words", "others")) >= ALIKE * F.size(F.array_union("words", "others")))
+    comps = components(texts.sparkSession, alike.select(F.col("key").alias("a"), F.col("leader").alias("b")), scratch)
+    return comps.select(F.col("node").alias("key"), F.col("comp").alias("class"))
+
+
+def disclosing(light: DataFrame, held: DataFrame, text_col: str, generalise: float, chance: float, prior: float) -> DataFrame:
+    """(term, target, disclosure) from the threshold on, where a target is a kind or an entity. light: all
+    documents with their spans; held: a kept copy of those that have any."""
+    scratch = Scratch(light.sparkSession)
     text = text_or_empty(text_col)
-    # A document's entities of a kind stand for it by the least hash of them, the same in all its copies.
-    values = {k: F.array_min(F.transform(F.col(f"pii__{k}"), lambda s: F.xxhash64(F.substring(text, s["start"] + 1, s["end"] - s["start"])))) for k in KINDS}
-    marks = F.array(*(F.when(_has(k), F.struct(F.lit(k).alias("kind"), v.alias("entity"))) for k, v in values.items()))
-    marked = held.select(F.filter(marks, lambda m: m.isNotNull()).alias("marks"), F.concat(F.array(F.lit("")), _terms(text_col)).alias("terms"))
-    met = marked.select("terms", F.explode("marks").alias("m")).select("m.kind", "m.entity", F.explode("terms").alias("term")).distinct()
-    met = met.groupBy("term", "kind").agg(F.count("*").alias("entities")).where(F.col("entities") >= min_entities)
-    met = Scratch(light.sparkSession).write(met)
-    # Documents without the kind that hold one of these terms; the empty term stands for every document.
+    of_held = scratch.write(held.withColumn("pii__text", text).select(F.xxhash64("pii__text").alias("key"), _entities().alias("entities"), _terms(text_col).alias("terms")))
+    # Only entities of two different texts or more can have evidence; few texts hold one.
+    often = of_held.select(F.explode("entities").alias("target"), "key").distinct().groupBy("target").agg(F.count("*").alias("texts")).where("texts > 1").select("target")
+    beside = scratch.write(of_held.select("key", F.explode("entities").alias("target"), "terms").join(often, "target", "left_semi"))
+    words = F.array_distinct(F.concat(F.transform(F.concat("terms", "entities"), lambda w: F.xxhash64(w))))
+    texts = of_held.join(beside.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]).select("key", "entities", words.alias("words"))
+    alike = text_classes(texts, scratch)
+    by_entity = beside.join(alike, "key", "left").select("target", F.coalesce("class", "key").alias("evidence"), "terms")
+    # For a kind, a document's entities of it stand for it by the least of them, the same in all its copies.
+    own = F.transform(F.array(*map(F.lit, KINDS)), lambda k: F.struct(k.alias("target"), F.array_min(F.filter("entities", lambda e: F.startswith(e, F.concat(k, F.lit(":"))))).alias("entity")))
+    by_kind = of_held.select(F.explode(F.filter(own, lambda o: o["entity"].isNotNull())).alias("o"), "terms").select("o.target", F.xxhash64("o.entity").alias("evidence"), "terms")
+    # The empty term stands for every document.
+    met = by_kind.unionByName(by_entity).select("target", "evidence", F.explode(F.concat(F.array(F.lit("")), "terms")).alias("term"))
+    met = met.groupBy("term", "target", "evidence").agg(F.count("*").alias("docs")).groupBy("term", "target").agg(F.count("*").alias("found"), F.sum("docs").alias("docs"))
+    met = scratch.write(met.where("found > 1"))
     # All terms are counted before the join: what is shuffled is a row for each term and task, not each document's.
-    flags = [(~_has(k)).cast("long").alias(k) for k in KINDS]
-    against = light.select(*flags, F.explode(F.concat(F.array(F.lit("")), _terms(text_col))).alias("term")).groupBy("term").agg(*(F.sum(k).alias(k) for k in KINDS))
-    without = F.coalesce(F.element_at(F.create_map(*(x for k in KINDS for x in (F.lit(k), F.col(k)))), F.col("kind")), F.lit(0))
-    counted = met.join(against, "term").select("term", "kind", "entities", without.alias("without"))
-    whole = counted.where("term = ''").select("kind", (F.col("entities") / (F.col("entities") + F.col("without"))).alias("p"))
-    given = (F.col("entities") + F.lit(prior) * F.col("p")) / (F.col("entities") + F.col("without") + F.lit(prior))
-    scored = counted.where("term <> ''").join(F.broadcast(whole), "kind").where("p < 1").withColumn("disclosure", F.log(given / F.col("p")) / -F.log("p"))
-    return scored.where(F.col("disclosure") >= generalise).select("term", "kind", "disclosure")
-
-
-def find(df: DataFrame, text_col: str = "text", generalise: float = 0.5, remove: float = 0.9, min_entities: int = 20, prior: float = 10.0) -> DataFrame:
+    every = light.select(F.explode(F.concat(F.array(F.lit("")), _terms(text_col))).alias("term")).groupBy("term").agg(F.count("*").alias("all"))
+    counted = scratch.write(met.join(every, "term").select("term", "target", "found", (F.col("all") - F.col("docs")).alias("without")))
+    whole = counted.where("term = ''").select("target", (F.col("found") + F.col("without")).alias("n"), (F.col("found") / (F.col("found") + F.col("without"))).alias("p"))
+    given = (F.col("found") + F.lit(prior) * F.col("p")) / (F.col("found") + F.col("without") + F.lit(prior))
+    share = F.col("found") / (F.col("found") + F.col("without"))
+    against = F.when(F.col("without") > 0, F.col("without") * F.log((1 - share) / (1 - F.col("p")))).otherwise(0.0)
+    odds = F.col("found") * F.log(share / F.col("p")) + against
+    sure = (share > F.col("p")) & (odds >= 2 * F.log("n") - F.log(F.lit(chance)))
+    scored = counted.where("term <> ''").join(whole, "target").where("p < 1").where(sure).withColumn("disclosure", F.log(given / F.col("p")) / -F.log("p"))
+    return scored.where(F.col("disclosure") >= generalise).select("term", "target", "disclosure")
+
+
+def find(df: DataFrame, text_col: str = "text", generalise: float = 0.5, remove: float = 0.9, chance: float = 0.01, prior: float = 10.0) -> DataFrame:
     """df with pii__<kind> base spans and pii__terms: spans of kind ``term`` (generalised) and
     ``removed``, none overlapping a base span."""
     scratch = Scratch(df.sparkSession)
     light = base_spans(df, text_col)
     held = scratch.write(light.where(_has()))
-    terms = scratch.write(disclosing(light, held, text_col, generalise, min_entities, prior))
+    terms = scratch.write(disclosing(light, held, text_col, generalise, chance, prior))
     held = held.withColumn("pii__key", F.sha2(text_or_empty(text_col), 256))
     kinds = F.array(*(F.when(_has(k), F.lit(k)) for k in KINDS))
-    asked = held.select("pii__key", kinds.alias("kinds"), F.explode(_terms(text_col)).alias("term"))
-    told = asked.join(terms, "term").where(F.array_contains("kinds", F.col("kind")))
+    targets = held.withColumn("pii__text", text_or_empty(text_col)).select("pii__key", F.concat(F.array_compact(kinds), _entities()).alias("targets"), _terms(text_col).alias("own"))
+    # Joined by the target, of which a document has few, then by the term.
+    told = targets.dropDuplicates(["pii__key"]).select("pii__key", "own", F.explode("targets").alias("target")).join(terms, "target").where(F.array_contains("own", F.col("term")))
     told = told.groupBy("pii__key", "term").agg((F.max("disclosure") >= remove).alias("gone"))
     told = told.groupBy("pii__key").agg(F.collect_list("term").alias("pii__found"), F.collect_list(F.when(F.col("gone"), F.col("term"))).alias("pii__gone"))
     held = held.join(told, "pii__key", "left").drop("pii__key")

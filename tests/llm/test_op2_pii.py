@@ -91,6 +91,29 @@ def test_terms_are_judged_by_entities_not_copies(spark):
     assert gone[0] == "common words [EMAIL]  tail"
 
 
+def test_a_term_beside_one_entity(spark):
+    """'weaver' always stands beside one person's address, in eight texts of different words."""
+    words = [f"{chr(97 + a)}{chr(97 + b)}{chr(97 + c)}" for a in range(12) for b in range(12) for c in range(12)]
+    say = lambda k: " ".join(words[(k * 101 + j * 37) % len(words)] for j in range(8))
+    rows = [(i, f"plain text to write {say(i)}") for i in range(400)]
+    rows += [(1000 + i, f"{say(500 + i)} plain weaver pw@host.org") for i in range(8)]
+    rows += [(2000 + i, f"write to other{i}@host.org {say(700 + i)} plain") for i in range(100)]
+    rows += [(3000 + i, f"copy@host.org rowan {say(900)} {say(900)[:3]}{'z' * i}") for i in range(40)]
+    out = {r.doc_id: r for r in op2_pii.find(spark.createDataFrame(rows, "doc_id long, text string"), remove=0.99).collect()}
+    for i in range(8):
+        r = out[1000 + i]
+        assert [r.text[s.start : s.end] for s in r.pii__terms] == ["weaver"]
+    assert [i for i, r in out.items() if r.pii__terms and not 1000 <= i < 1008] == []
+
+
+def test_a_term_beside_nineteen_addresses(spark):
+    rows = [(i, f"common words user{i}@host.org wattle") for i in range(19)] + [(100 + i, "common words") for i in range(300)]
+    rows += [(1000 + i, f"common words post{i}@host.org") for i in range(19)]
+    out = {r.doc_id: r for r in op2_pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [out[0].text[s.start : s.end] for s in out[0].pii__terms] == ["wattle"]
+    assert not out[1000].pii__terms
+
+
 @pytest.mark.parametrize("rows", [[], [(None, None)], [(1, None), (1, None)]])
 def test_edges(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string")
