@@ -125,6 +125,20 @@ def crossing_summary(df: DataFrame, shear_from: float = 0.2) -> DataFrame:
     })
 
 
+def secondary_crossing(df: DataFrame, beyond: float = 0.03) -> DataFrame:
+    """W_secondary: the largest W_peak of the crossings more than ``beyond`` from the matched extremum's
+    radius ext_r; 0 without any, NULL without an extremum."""
+    d = crossing_records(df) if "crossings" not in df.columns else df
+    other = F.filter("crossings", lambda x: F.abs(x["r_cross"] - F.col("ext_r")) > beyond)
+    return d.withColumn("W_secondary", F.when(F.col("ext_r").isNotNull(), F.coalesce(F.array_max(F.transform(other, lambda x: x["W_peak"])), F.lit(0.0))))
+
+
+def star_interactions(df: DataFrame, keys: list[str], r_star: float = 0.02, w_star: float = 0.30) -> DataFrame:
+    """Modes and interactions (the legacy r_star at the inner boundary, much energy about it) by keys."""
+    hit = (F.col("r_star") <= r_star) & (F.col("W_star") >= w_star)
+    return df.groupBy(*keys).agg(F.count("*").alias("n_modes"), F.count_if(F.coalesce(hit, F.lit(False))).alias("n_interaction"))
+
+
 def cross_window(df: DataFrame, half_width: int = 2) -> DataFrame:
     """Largest amplitude and energy within ``half_width`` grid cells of any crossing (inclusive), with the
     sample's radius; NULL without crossings. Ties keep the low boundary, then the smaller radius."""

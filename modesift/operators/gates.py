@@ -46,7 +46,7 @@ MEASURES = (
     "axis_peak double, axis_peak_harmonic_index int, axis_peak_r double, axis_peak_is_local_max boolean, axis_halfmax_width_r double, axis_halfmax_width_grid double, axis_halfmax_outer_edge_r double, axis_component_touches_boundary boolean, "
     "grid_scale_candidate_found boolean, grid_scale_peak double, grid_scale_peak_sign int, grid_scale_peak_harmonic_index int, grid_scale_peak_r double, grid_scale_halfmax_width_r double, grid_scale_halfmax_width_grid double, grid_scale_component_touches_boundary boolean, "
     "edge_energy_peak_r double, edge_energy_peak_in_window boolean, edge_energy_halfmax_width_grid double, edge_energy_component_touches_boundary boolean, edge_harmonic_peak double, edge_harmonic_peak_harmonic_index int, edge_harmonic_peak_r double, edge_harmonic_peak_is_local_max boolean, edge_harmonic_halfmax_width_grid double, "
-    "ext_dr double, ext_df_gap double, ext_energy_frac double, ext_matched boolean, measure_error string"
+    "ext_dr double, ext_df_gap double, ext_energy_frac double, ext_matched boolean, ext_r double, measure_error string"
 )
 
 
@@ -59,8 +59,8 @@ def measure_one(mode: np.ndarray, omega: float, low2: np.ndarray, high2: np.ndar
         raise ValueError("mode must be finite with two or more radii")
     out = P.axis_artifact(mode, cfg.axis_r) | P.edge_artifact(mode, cfg.edge_r)
     out |= P.grid_spike(mode, cfg.grid_width) if cfg.grid_width is not None else {"grid_scale_candidate_found": False}
-    dr, df, energy, matched = P.extremum(mode, omega, low2, high2)
-    return out | {"ext_dr": dr, "ext_df_gap": df, "ext_energy_frac": energy, "ext_matched": matched}
+    dr, df, energy, matched, at = P.extremum_at(mode, omega, low2, high2)
+    return out | {"ext_dr": dr, "ext_df_gap": df, "ext_energy_frac": energy, "ext_matched": matched, "ext_r": at}
 
 
 def measure(df: DataFrame, cfg: GateConfig = GateConfig()) -> DataFrame:

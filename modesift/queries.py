@@ -151,10 +151,12 @@ def rule_gates(spark, d):
 
 @query()
 def extremum_screen(spark, d):
-    """Candidates aligned with an inner extremum and little energy at other crossings, counted by group."""
-    e = X.crossing_summary(X.with_energy(gates.measure(D.joined(spark, d))))
+    """Candidates of the regions tae_like and mixed, aligned with an inner extremum and with little energy at
+    the crossings away from it, counted by group."""
+    routed = X.route(X.upper_gap(D.joined(spark, d))).where("gap_region in ('tae_like', 'mixed')").drop("w", "r")
+    e = X.secondary_crossing(X.with_energy(gates.measure(routed)))
     good = F.col("ext_matched") & (F.col("ext_dr") <= 0.02) & F.col("ext_df_gap").between(0, 0.04) & (F.col("ext_energy_frac") >= 0.25)
-    return e.groupBy("ntor").agg(F.count("*").alias("n_modes"), F.count_if(F.col("ext_matched")).alias("n_matched"), F.count_if(good).alias("n_candidates"), *(F.count_if(good & (F.col("W_star_max") < t)).alias(n) for t, n in ((0.001, "n_below_0_1_percent"), (0.01, "n_below_1_percent"), (0.05, "n_below_5_percent"))))
+    return e.groupBy("ntor").agg(F.count("*").alias("n_modes"), F.count_if(F.col("ext_matched")).alias("n_matched"), F.count_if(good).alias("n_candidates"), *(F.count_if(good & (F.col("W_secondary") < t)).alias(n) for t, n in ((0.001, "n_below_0_1_percent"), (0.01, "n_below_1_percent"), (0.05, "n_below_5_percent"))))
 
 
 @query(M + RAD + """, x AS (SELECT * FROM cells WHERE h = 0), c AS (SELECT mode_id, i, r, sum(a * a) OVER (PARTITION BY mode_id ORDER BY i) / sum(a * a) OVER (PARTITION BY mode_id) AS s FROM x),
@@ -367,6 +369,14 @@ def interaction_counts(spark, d):
     return c.groupBy("ntor").agg(F.count("*").alias("n_modes"), F.count_if((F.col("n_cross") > 0) & (F.col("W_star_max") >= 0.30) & (F.col("r_star_max") <= 0.02)).alias("n_interaction"))
 
 
+@query()
+def star_interaction_counts(spark, d):
+    """The same of the legacy r_star and W_star, by label and regime of shots (and over all)."""
+    of_mode = D.scores(spark, d).where("y is not null").select("doc_id", F.when(F.col("y") == 1, "good").otherwise("bad").alias("label"), F.when(F.startswith("shot", F.lit("src1")), "g").otherwise("non_g").alias("own"))
+    m = X.continuum_scalars(D.joined(spark, d)).join(of_mode, F.col("mode_id") == F.col("doc_id"))
+    return X.star_interactions(m.withColumn("regime", F.explode(F.array(F.lit("all"), "own"))), ["label", "regime"])
+
+
 @query("WITH t AS (SELECT vec_id % 4 AS label, (row_number() OVER (PARTITION BY vec_id % 4 ORDER BY vec_id)) AS k, count(*) OVER (PARTITION BY vec_id % 4) AS n FROM embeddings) SELECT label::INTEGER AS label, count(*) AS n_rows, greatest(1, floor(any_value(n) * 0.1e0))::BIGINT AS n_test FROM t GROUP BY 1")
 def stratified_split(spark, d):
     rows = D.table(spark, d, "embeddings").select("vec_id", (F.col("vec_id") % 4).cast("int").alias("label"))

@@ -106,3 +106,27 @@ def test_gates(spark):
     w = r.W_star_max
     assert gates.evaluate(cross, gates.GateConfig(cross_energy=w, window_amplitude=None, window_energy=None)).first().primary_reason == "NO_GOOD_TEMPLATE"
     assert gates.evaluate(cross, gates.GateConfig(cross_energy=None)).first().primary_reason == "BAD_CONT_CROSS_WINDOW"
+
+
+def test_secondary_crossing_against_a_loop(spark):
+    """A mode with its own root at the extremum, where its energy peaks, has only far crossings as secondary."""
+    mode, _, low, high = gate_mode()
+    df = frame(spark, (mode, 0.901, low, high), (mode, 1.1, low, high), (mode, 1, [0.25] * 201, [4.0] * 201))
+    rows = X.secondary_crossing(X.crossing_summary(X.with_energy(gates.measure(df)))).orderBy("mode_id").collect()
+    for r in rows[:2]:
+        far = [c.W_peak for c in r.crossings if abs(c.r_cross - r.ext_r) > 0.03]
+        assert r.ext_r == pytest.approx(0.2) and r.W_secondary == max(far, default=0.0)
+    assert rows[0].W_star_max > 0.05 and rows[0].W_secondary == 0
+    assert rows[1].W_secondary > 0 and rows[2].W_secondary is None
+
+
+def test_star_interactions_against_a_loop(spark):
+    rng = np.random.default_rng(5)
+    rows = [(as_w(np.exp(-((np.arange(20) - rng.integers(0, 12)) / 3.0) ** 2)), 1, [0.0] * 20, [2.0] * 20 if k % 2 else [0.9] + [2.0] * 19) for k in range(24)]
+    m = X.continuum_scalars(frame(spark, *rows)).withColumn("label", F.col("mode_id") % 3).withColumn("regime", F.col("mode_id") % 2)
+    want = {}
+    for r in m.collect():
+        n, hits = want.get((r.label, r.regime), (0, 0))
+        want[r.label, r.regime] = n + 1, hits + (r.r_star <= 0.02 and r.W_star >= 0.30)
+    got = {(r.label, r.regime): (r.n_modes, r.n_interaction) for r in X.star_interactions(m, ["label", "regime"]).collect()}
+    assert got == want and 0 < sum(h for _, h in got.values()) < 24
