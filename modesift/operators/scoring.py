@@ -125,6 +125,35 @@ def stable_counts(df: DataFrame, key: str, group: list[str]) -> DataFrame:
     return c.groupBy(*group).agg(F.concat(F.lit("{"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), item.alias("v")))), lambda s: s["v"]), ","), F.lit("}")).alias("counts_json"))
 
 
+def rule_summary(df: DataFrame, unmatched: DataFrame | None = None) -> DataFrame:
+    """A rule run's counts by shot (n NULL) and by shot and n: decisions before and after overrides, override
+    statuses, and as JSON with sorted keys the transitions of applied overrides that changed a decision and
+    the primary reasons (of an invalid row its rejection reason). Rows without n count in the shot's row only.
+    unmatched(shot, key): overrides that no mode has; they belong to no n, so their count is 0 there."""
+    c = F.col
+    n_col = c("ntor").cast("int")
+    changed = F.coalesce((c("override_status") == "APPLIED") & ~c("rule_decision").eqNullSafe(c("final_decision")), F.lit(False))
+    reason = F.when((F.coalesce("rejection_reason", F.lit("")) != ""), c("rejection_reason")).otherwise(F.coalesce("primary_reason", F.lit("")))
+    d = df.withColumn("of_n", F.explode(F.when(n_col.isNotNull(), F.array(F.lit(None).cast("int"), n_col)).otherwise(F.array(F.lit(None).cast("int")))))
+    d = d.withColumns({"changed": changed, "reason": reason, "transition": F.when(changed, F.concat(F.coalesce("rule_decision", F.lit("None")), F.lit("->"), "final_decision")).otherwise("")})
+    n = lambda x: F.count_if(F.coalesce(x, F.lit(False))).cast("long")
+    evaluated = c("rule_decision").isNotNull() & (F.coalesce("rejection_reason", F.lit("")) == "")
+    status = {"n_overrides_applied": "APPLIED", "n_stale_overrides": "STALE_FINGERPRINT", "n_ambiguous_overrides": "AMBIGUOUS_OVERRIDE", "n_ineligible_overrides": "INELIGIBLE_DECISION"}
+    out = d.groupBy("shot", "of_n").agg(
+        F.count("*").alias("n_total_files"), n(c("final_decision") == "INVALID").alias("n_invalid"), *(n(c("gap_region") == g).alias(f"n_{g}") for g in ("tae_like", "mixed", "eae_like")), n(evaluated).alias("n_rule_evaluated"),
+        *(n(evaluated & (c("rule_decision") == x)).alias(f"n_preliminary_{x.lower()}") for x in ("BAD", "REVIEW", "GOOD", "INVALID")), *(n(c("final_decision") == x).alias(f"n_final_{x.lower()}") for x in ("BAD", "REVIEW")),
+        n(c("final_decision") == "GOOD").alias("n_final_good_before_clustering"), n(c("selected")).alias("n_final_good"), *(n(c("override_status") == v).alias(k) for k, v in status.items()), n(c("changed")).alias("n_decisions_changed"),
+    ).withColumn("n_good_removed_as_duplicates", c("n_final_good_before_clustering") - c("n_final_good"))
+    for key, name in (("transition", "transition_counts_json"), ("reason", "primary_reason_counts_json")):
+        counts = stable_counts(d, key, ["shot", "of_n"]).select(c("shot").alias("c_shot"), c("of_n").alias("c_n"), c("counts_json").alias(name))
+        out = out.join(counts, c("shot").eqNullSafe(c("c_shot")) & c("of_n").eqNullSafe(c("c_n")), "left").drop("c_shot", "c_n").withColumn(name, F.coalesce(name, F.lit("{}")))
+    out = out.withColumnRenamed("of_n", "n")
+    if unmatched is None:
+        return out.withColumn("n_unmatched_overrides", F.lit(0).cast("long"))
+    lost = unmatched.groupBy(c("shot").alias("u_shot")).agg(F.count("*").alias("u"))
+    return out.join(lost, c("shot") == c("u_shot"), "left").withColumn("n_unmatched_overrides", F.when(c("n").isNull(), F.coalesce("u", F.lit(0))).otherwise(0).cast("long")).drop("u_shot", "u")
+
+
 def stratified_split(df: DataFrame, label: str, key: str, fraction: float = 0.1, seed: int = 42) -> DataFrame:
     """is_test: max(1, int(n * fraction)) rows of each label, by a seeded hash order. The order is cut into
     2^16 parts: whole parts are taken by running counts, and rows are ranked only within their part, so a

@@ -433,6 +433,13 @@ def override_join(spark, d):
     return R.apply_overrides(rows, one.unionByName(two)).select("doc_id", "override_status", "final_decision")
 
 
+@query()
+def rule_summary(spark, d):
+    i = F.col("doc_id")
+    rows = D.scores(spark, d).join(override_join(spark, d), "doc_id").withColumns({"ntor": F.col("n"), "rule_decision": F.when(i % 6 == 0, "INVALID").when(i % 3 == 0, "BAD").otherwise("REVIEW"), "selected": (F.col("final_decision") == "GOOD") & (i % 2 == 0)})
+    return S.rule_summary(rows.withColumn("primary_reason", F.when(i % 6 == 0, "RULE_INPUT_INVALID").when(i % 3 == 0, "BAD_CONT_CROSS").otherwise("NO_GOOD_TEMPLATE")).drop("n"))
+
+
 @query("WITH s AS (SELECT doc_id FROM documents WHERE lang <> 'de'), l AS (SELECT doc_id FROM labels) SELECT count(*) FILTER (WHERE s.doc_id IS NOT NULL AND l.doc_id IS NOT NULL) AS matched, count(*) FILTER (WHERE l.doc_id IS NULL) AS unmatched_scored, count(*) FILTER (WHERE s.doc_id IS NULL) AS labeled_not_scored FROM s FULL JOIN l ON s.doc_id = l.doc_id")
 def label_match(spark, d):
     return R.label_match(D.table(spark, d, "documents").where("lang <> 'de'"), D.table(spark, d, "labels"), "doc_id")

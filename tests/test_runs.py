@@ -203,3 +203,29 @@ def test_keys(spark):
     d = spark.createDataFrame([("/x/shot/N3/egn1", "shot"), ("nothing", "shot")], "path string, shot string")
     r = d.select(R.mode_key(F.col("path")).alias("k"), R.shot_relative(F.col("path"), F.col("shot")).alias("s"), R.match_keys(F.col("path"), True).alias("m")).collect()
     assert (r[0].k, r[0].s, r[1].k, r[1].s) == ("shot/N3/egn1", "shot/N3/egn1", None, "nothing") and "N3/egn1" in r[0].m
+
+
+def test_rule_summary_against_a_loop(spark):
+    import json
+    from collections import Counter
+
+    rules, status, finals = ("BAD", "REVIEW", "INVALID"), ("APPLIED", "STALE_FINGERPRINT", "AMBIGUOUS_OVERRIDE", "INELIGIBLE_DECISION", "NOT_PRESENT"), ("GOOD", "BAD")
+    rows = []
+    for i in range(60):
+        st = status[i % 5]
+        rule = rules[i % 3]
+        rows.append((f"s{i % 2}", i % 4 or None, "mixed", "mode_load_failed" if i % 7 == 0 else "", rule, ("BAD_EDGE_SPIKE", "NO_GOOD_TEMPLATE")[i % 2], st, finals[i % 4 // 2] if st == "APPLIED" else rule, i % 8 == 0))
+    cols = "shot string, ntor int, gap_region string, rejection_reason string, rule_decision string, primary_reason string, override_status string, final_decision string, selected boolean"
+    lost = spark.createDataFrame([("s1", "k1"), ("s1", "k2")], "shot string, key string")
+    got = {(r.shot, r.n): r for r in S.rule_summary(spark.createDataFrame(rows, cols), lost).collect()}
+    keys = {(r[0], n) for r in rows for n in (None, r[1])}
+    assert set(got) == keys
+    for shot, n in keys:
+        own = [r for r in rows if r[0] == shot and (n is None or r[1] == n)]
+        moved = Counter(f"{r[4]}->{r[7]}" for r in own if r[6] == "APPLIED" and r[4] != r[7])
+        g = got[shot, n]
+        assert json.loads(g.transition_counts_json) == moved and list(json.loads(g.transition_counts_json)) == sorted(moved)
+        assert json.loads(g.primary_reason_counts_json) == Counter(r[3] or r[5] for r in own)
+        assert (g.n_total_files, g.n_decisions_changed, g.n_final_good) == (len(own), sum(moved.values()), sum(r[8] for r in own))
+        assert [g.n_overrides_applied, g.n_stale_overrides, g.n_ambiguous_overrides, g.n_ineligible_overrides] == [sum(r[6] == s for r in own) for s in status[:4]]
+        assert g.n_unmatched_overrides == (2 if (shot, n) == ("s1", None) else 0)
