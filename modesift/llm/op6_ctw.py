@@ -7,17 +7,24 @@ weighted probability is the even mixture of its estimate and the product of its
 prediction mixes all depths by how well each has coded the training text. Where a longer context was
 never seen in training, the mixture ends at the longest that was.
 
+DEPTH bounds the contexts: five bytes, the longest whose strings of six still pack into one integer
+with room to spare; all depths from 0 to it are mixed.
+
 Everything follows from the counts of the strings of DEPTH + 1 bytes in training, over all documents.
-They are counted in sorted runs inside the tasks and summed. The trees are then built bottom up in
-parts that share the last two bytes of context, each in one task (a part has one entry per distinct
-string, however often it occurs); what the parts hand up to depths 1 and 0 is at most 255 sums for
-each of 256 contexts. Strings of documents not trained on are carried along with count 0, so scoring
-is a lookup that never misses. The table is broadcast when it has at most TABLE entries (12 bytes
-each) and joined by string otherwise; both ways give the same scores.
+They are counted in sorted runs inside the tasks and summed. The trees are built bottom up: depths 5 to
+3 in runs of strings that share three bytes of context (a run has one entry per distinct string, however
+often it occurs), depth 2 from sums of what these hand up, depths 1 and 0 from at most 65,536 sums.
+Probabilities are handed up and added as integers (units of 2^-20 nats, and of 2^-32 digits for scores),
+so results are equal bit for bit however the rows are dealt. Strings of documents not trained on are
+carried along with count 0, so every string of every document has a probability.
+
+One path serves all sizes: strings and words with a share of 2^-22 and 2^-20 or more of the training
+strings and tokens (by that share never more than 2^22 and 2^20 of them) are looked up in broadcast
+tables; the others leave a document as one row for each distinct one and are joined, strings and words
+in one join.
 
-The base is sum log10((c + 1) / (N + V + 1)) over the tokens. Words with a share of 2^-19 or more of
-the training tokens (by that share, never more than 2^19 of them) are looked up in a broadcast table,
-the others joined by word.
+The base is sum log10((c + 1) / (N + V + 1)) over the tokens. Besides the score the code length per
+byte is returned, in bits, over the bytes of the text and its end mark.
 
 Defined results: null text is empty text, one end token; a null id counts by the crc of the empty
 text; repeated rows get equal scores each; with no training rows the base is 0 and each bit costs one
@@ -40,9 +47,10 @@ from .common import Scratch, arrow_rows, crc_mod, documents, shuffle_partitions,
 
 DEPTH = 5
 MARK = b"\xff"  # never part of UTF-8: stands before and after every text
-TABLE = 3_000_000
-FREQUENT_SHARE = 1 << 19
+STRING_SHARE, WORD_SHARE = 1 << 22, 1 << 20
 RUN = 1 << 23
+PART = 1 << 20  # strings whose trees are built at once, the last three context bytes kept together
+NATS, DIGITS = float(1 << 20), float(1 << 32)  # units of the integers that are added
 END = b""  # the end token, no word
 
 
@@ -151,7 +159,7 @@ def keep_own(own: np.ndarray, below: np.ndarray) -> np.ndarray:
 
 
 class Part:
-    """Context trees of depth 2 to DEPTH over strings that share their contexts' last two bytes."""
+    """Context trees of depths 3 to DEPTH over all strings of some three-byte contexts."""
 
     def __init__(self, keys: np.ndarray, n: np.ndarray):
         self.keys, self.n = keys, n.astype(np.float64)
@@ -159,12 +167,12 @@ class Part:
         self.context = keys >> 8
 
     def levels(self, k: int):
-        """Of the k-th decision: each string's node, then by depth the groups of strings at one node
-        with their counts, estimates and weighted probabilities."""
+        """Of the k-th decision: each string's node and bit, by depth the groups of strings at one node
+        with their counts, estimates and children, and the depth-3 nodes' strings and probabilities."""
         node = (1 << k) | (self.byte >> (8 - k))
         bit = (self.byte >> (7 - k)) & 1
         out, below = {}, None
-        for d in range(DEPTH, 1, -1):
+        for d in range(DEPTH, 2, -1):
             key = ((self.context & ((1 << (8 * d)) - 1)) << 8) | node
             _, index, group = np.unique(key, return_index=True, return_inverse=True)
             ones = np.bincount(group, weights=self.n * bit)
@@ -180,26 +188,34 @@ class Part:
         return node, bit, out, below
 
     def hand_up(self) -> pd.DataFrame:
-        """For each (last byte, node): counts and ln weighted probability of the depth-2 contexts."""
+        """(context, node, zeros, ones, weighted) of the depth-3 nodes."""
         frames = []
         for k in range(8):
             node, _, levels, (index, weighted) = self.levels(k)
-            _, zeros, ones, _, _ = levels[2]
-            frames.append(pd.DataFrame({"last": self.context[index] & 255, "node": node[index], "zeros": zeros, "ones": ones, "weighted": weighted}))
-        return pd.concat(frames).groupby(["last", "node"], as_index=False).sum()
+            _, zeros, ones, _, _ = levels[3]
+            frames.append(pd.DataFrame({"context": self.context[index] & 0xFFFFFF, "node": node[index], "zeros": zeros.astype(np.int64), "ones": ones.astype(np.int64), "weighted": np.rint(weighted * NATS).astype(np.int64)}))
+        return pd.concat(frames)
 
-    def log10_p(self, top: "Top") -> np.ndarray:
-        """log10 of the probability of each string's last byte after the bytes before it."""
+    def log10_p(self, above: pd.DataFrame, top: "Top") -> np.ndarray:
+        """log10 of the probability of each string's last byte after the bytes before it; above: for
+        each depth-3 (context, node) the counts and the weight of the depth-2 node above it."""
         total = np.zeros(len(self.keys))
         last = self.context & 255
+        code = (above["context"].to_numpy(dtype=np.int64) << 8) | above["node"].to_numpy(dtype=np.int64)
+        order = np.argsort(code)
+        code, zeros2, ones2, keep2 = code[order], *(above[c].to_numpy(dtype=np.float64)[order] for c in ("zeros", "ones", "keep"))
         for k in range(8):
             node, bit, levels, _ = self.levels(k)
             p, seen = np.full(len(self.keys), 0.5), np.zeros(len(self.keys), dtype=bool)
+            at = np.searchsorted(code, ((self.context & 0xFFFFFF) << 8) | node)
             for d in range(DEPTH, -1, -1):
-                if d >= 2:
+                if d >= 3:
                     group, zeros, ones, own, children = levels[d]
                     count, estimate = (zeros + ones)[group], ((ones + 0.5) / (zeros + ones + 1))[group]
                     weight = keep_own(own, children)[group] if children is not None else 1.0
+                elif d == 2:
+                    count = (zeros2 + ones2)[at]
+                    estimate, weight = (ones2[at] + 0.5) / (count + 1), keep2[at]
                 elif d == 1:
                     count, estimate, weight = top.count1[last, node], top.kt1[last, node], top.weight1[last, node]
                 else:
@@ -217,47 +233,80 @@ class Top:
     def __init__(self, sums: pd.DataFrame):
         zeros, ones, below = (np.zeros((256, 256)) for _ in range(3))
         at = sums["last"].to_numpy(dtype=np.int64), sums["node"].to_numpy(dtype=np.int64)
-        zeros[at], ones[at], below[at] = sums["zeros"], sums["ones"], sums["weighted"]
+        zeros[at], ones[at], below[at] = sums["zeros"], sums["ones"], sums["weighted"] / NATS
         own = log_kt(zeros, ones)
         self.count1, self.kt1, self.weight1 = zeros + ones, (ones + 0.5) / (zeros + ones + 1), keep_own(own, below)
         below, zeros, ones = mix_up(own, below).sum(axis=0), zeros.sum(axis=0), ones.sum(axis=0)
         self.count0, self.kt0, self.weight0 = zeros + ones, (ones + 0.5) / (zeros + ones + 1), keep_own(log_kt(zeros, ones), below)
 
 
-def _part_of(frames: Iterator[pd.DataFrame]) -> Part | None:
-    held = [f for f in frames if len(f)]
-    return Part(np.concatenate([f["string"].to_numpy(dtype=np.int64) for f in held]), np.concatenate([f["n"].to_numpy() for f in held])) if held else None
-
-
-def build(strings: DataFrame) -> DataFrame:
-    """(string, log10_p) of strings(string, n)."""
+def _whole_contexts(frames: Iterator[pd.DataFrame], part: int) -> Iterator[pd.DataFrame]:
+    """Rows sorted by context, regrouped into frames of about ``part`` rows that cut no context."""
+    held: list[pd.DataFrame] = []
+    size = 0
+    for f in frames:
+        if not len(f):
+            continue
+        held.append(f)
+        size += len(f)
+        if size < part:
+            continue
+        whole = pd.concat(held)
+        cut = int(np.searchsorted(whole["context"].to_numpy(), whole["context"].iloc[-1]))
+        if cut:
+            yield whole.iloc[:cut]
+        held, size = [whole.iloc[cut:]], len(whole) - cut
+    if size:
+        yield pd.concat(held)
+
+
+def _second(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Depth-2 nodes from their summed children: what they hand up, and the weight of their own estimate."""
+    for f in frames:
+        own, below = log_kt(f["zeros"].to_numpy(dtype=np.float64), f["ones"].to_numpy(dtype=np.float64)), f["weighted"].to_numpy() / NATS
+        yield f.assign(weighted=np.rint(mix_up(own, below) * NATS).astype(np.int64), keep=keep_own(own, below))
+
+
+def build(strings: DataFrame, scratch: Scratch, part: int = PART) -> DataFrame:
+    """(string, n, log10_p) of strings(string, n), the probabilities in units of 1 / DIGITS."""
     spark = strings.sparkSession
-    parts = strings.repartition(shuffle_partitions(spark), F.shiftright("string", 8).bitwiseAND(0xFFFF))
+    keyed = strings.select(F.shiftright("string", 8).bitwiseAND(0xFFFFFF).alias("context"), "string", "n")
+    dealt = lambda df: df.repartition(shuffle_partitions(spark), "context").sortWithinPartitions("context")
 
     def up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if (part := _part_of(frames)) is not None:
-            yield part.hand_up()
+        for f in _whole_contexts(frames, part):
+            yield Part(f["string"].to_numpy(dtype=np.int64), f["n"].to_numpy()).hand_up()
 
-    sums = parts.mapInPandas(up, "last long, node long, zeros double, ones double, weighted double").groupBy("last", "node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "weighted"))).toArrow().to_pandas()
-    top = spark.sparkContext.broadcast(Top(sums))
+    third = scratch.write(dealt(keyed).mapInPandas(up, "context long, node long, zeros long, ones long, weighted long"))
+    summed = lambda df, by: df.groupBy(by, "node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "weighted")))
+    second = summed(third.withColumn("pair", F.col("context").bitwiseAND(0xFFFF)), "pair")
+    second = scratch.write(second.mapInPandas(_second, "pair long, node long, zeros long, ones long, weighted long, keep double"))
+    top = spark.sparkContext.broadcast(Top(summed(second.withColumn("last", F.col("pair").bitwiseAND(0xFF)), "last").toArrow().to_pandas()))
+    above = third.select("context", "node", F.col("context").bitwiseAND(0xFFFF).alias("pair")).join(second.select("pair", "node", "zeros", "ones", "keep"), ["pair", "node"])
 
     def predict(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if (part := _part_of(frames)) is not None:
-            yield pd.DataFrame({"string": part.keys, "log10_p": part.log10_p(top.value)})
+        for f in _whole_contexts(frames, part):
+            own = f["string"].notna().to_numpy()
+            if own.any():
+                mine = Part(f["string"].to_numpy(dtype=np.float64, na_value=np.nan)[own].astype(np.int64), f["n"].to_numpy()[own])
+                yield pd.DataFrame({"string": mine.keys, "n": mine.n.astype(np.int64), "log10_p": np.rint(mine.log10_p(f[~own], top.value) * DIGITS).astype(np.int64)})
 
-    return parts.mapInPandas(predict, "string long, log10_p double")
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    both = keyed.select("context", "string", "n", none("long", "node"), none("long", "zeros"), none("long", "ones"), none("double", "keep"))
+    both = both.unionByName(above.select("context", none("long", "string"), F.lit(0).cast("long").alias("n"), "node", "zeros", "ones", "keep"))
+    return dealt(both).mapInPandas(predict, "string long, n long, log10_p long")
 
 
 # --- scores --------------------------------------------------------------------------------------
 
 
 class Table:
-    """Values by 48-bit key: open addressing in flat arrays."""
+    """Integers by 48-bit key: open addressing in flat arrays."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.bits = max(4, int(2 * len(keys)).bit_length())
         self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
-        self.values = np.zeros(1 << self.bits, dtype=np.float32)
+        self.values = np.zeros(1 << self.bits, dtype=np.int64)
         left, at = np.arange(len(keys)), self._slot(keys)
         while len(left):
             free = self.keys[at] < 0
@@ -271,33 +320,58 @@ class Table:
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
 
-    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each key's value, 0 where it has none, and the places of the keys without."""
         at = self._slot(keys)
-        out = self.values[at]
-        miss = np.flatnonzero(self.keys[at] != keys)
-        while len(miss):
-            at[miss] = (at[miss] + 1) & (len(self.keys) - 1)
-            now = at[miss]
-            out[miss] = self.values[now]
-            miss = miss[self.keys[now] != keys[miss]]
-        return out
+        out, held = self.values[at], self.keys[at]
+        out[held != keys] = 0
+        look, lost = np.flatnonzero((held != keys) & (held >= 0)), [np.flatnonzero(held < 0)]
+        while len(look):
+            at[look] = (at[look] + 1) & (len(self.keys) - 1)
+            held = self.keys[at[look]]
+            met = held == keys[look]
+            out[look[met]] = self.values[at[look[met]]]
+            lost.append(look[held < 0])
+            look = look[~met & (held >= 0)]
+        return out, np.sort(np.concatenate(lost))
+
+
+_TABLES: dict[str, Table] = {}
+
+
+def _table(name: str, held) -> Table:
+    """The table of a broadcast, built once in each worker."""
+    if name not in _TABLES:
+        _TABLES.clear()
+        _TABLES[name] = Table(*held.value)
+    return _TABLES[name]
 
 
 def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Sums of consecutive runs of the given sizes, all above 0."""
-    return np.add.reduceat(values, np.cumsum(sizes) - sizes, dtype=np.float64) if len(sizes) else np.zeros(0)
+    return np.add.reduceat(values, np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0, dtype=np.int64)
+
+
+#: Keys of the one join: words as they are, strings and a document's own row behind bytes that no UTF-8 has.
+_STRING, _OWN = b"\xfe", b"\xff"
+_STATS = pa.struct([(c, pa.int64()) for c in ("n_tokens", "n_known", "n_bytes", "base", "score")])
+_FLAT = "doc_id long, h long, key binary, times int, stats struct<n_tokens:long,n_known:long,n_bytes:long,base:long,score:long>"
 
 
-_STATS = pa.struct([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+def _string_keys(strings: np.ndarray) -> pa.Array:
+    data = np.empty((len(strings), 7), dtype=np.uint8)
+    data[:, 0] = _STRING[0]
+    data[:, 1:] = strings.astype(">i8").view(np.uint8).reshape(-1, 8)[:, 2:]
+    return pa.Array.from_buffers(pa.binary(), len(strings), [None, pa.py_buffer(np.arange(0, 7 * len(strings) + 1, 7, dtype=np.int32)), pa.py_buffer(data.tobytes())])
 
 
-def _scorer(frequent, table):
-    """Per document a row with its statistics, and a row for each word outside the broadcast table. A
-    document's row has a word of its own that occurs nowhere else, so that all rows join alike."""
+def _scorer(frequent, table, name: str):
+    """Per document a row with its statistics, a row for each distinct word (times above 0) and for each
+    distinct string (below 0) outside the broadcast tables. A document's row has a key of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = frequent.value.get
-        tree = Table(*table.value) if table is not None else None
+        get, tree = frequent.value.get, _table(name, table)
+        names = ["doc_id", "h", "key", "times", "stats"]
         for batch in batches:
             for part in arrow_rows(batch, 1 << 22):
                 texts = [t.lower() for t in text_bytes(part.column("text"))]
@@ -308,77 +382,67 @@ def _scorer(frequent, table):
                     own.append(END)
                     words += own
                     counts.append(len(own))
-                values = np.fromiter(map(get, words, repeat(-1.0)), np.float64, len(words))
+                values = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
                 rare = values < 0
                 sizes = np.array(counts, dtype=np.int64)
-                base = _sums(np.where(rare, 0.0, values), sizes)
-                known = _sums((~rare).astype(np.int64), sizes).astype(np.int64)
-                if tree is not None:
-                    keys, lens = strings_of(texts)
-                    score = _sums(tree[keys], lens)
-                else:
-                    score = np.zeros(len(texts))
+                base = _sums(np.where(rare, 0, values), sizes)
+                known = _sums((~rare).astype(np.int64), sizes)
+                keys, lens = strings_of(texts)
+                found, lost = tree.find(keys)
+                ids, h = part.column("doc_id"), part.column("h")
+                stats = pa.StructArray.from_arrays([pa.array(x) for x in (sizes, known, lens, base, _sums(found, lens))], fields=list(_STATS))
+                yield pa.RecordBatch.from_arrays([ids, h, pa.array([_OWN + str(x).encode() for x in h.to_pylist()], pa.binary()), pa.array(np.zeros(len(texts), dtype=np.int32)), stats], names=names)
                 owner = np.repeat(np.arange(len(texts)), sizes)
                 pairs = Counter(zip(owner[rare].tolist(), (words[i] for i in np.flatnonzero(rare)), strict=True))
-                ids, h = part.column("doc_id"), part.column("h")
-                stats = pa.StructArray.from_arrays([pa.array(sizes), pa.array(known), pa.array(base), pa.array(score)], fields=list(_STATS))
-                own_words = [b"\xff" + str(x).encode() for x in h.to_pylist()]
-                yield pa.RecordBatch.from_arrays([ids, h, pa.array(own_words, pa.binary()), pa.array(np.zeros(len(texts), dtype=np.int32)), stats], names=["doc_id", "h", "word", "tf", "stats"])
                 if pairs:
                     at = pa.array([i for i, _ in pairs])
-                    yield pa.RecordBatch.from_arrays([ids.take(at), h.take(at), pa.array([w for _, w in pairs], pa.binary()), pa.array(list(pairs.values()), pa.int32()), pa.nulls(len(pairs), _STATS)], names=["doc_id", "h", "word", "tf", "stats"])
+                    yield pa.RecordBatch.from_arrays([ids.take(at), h.take(at), pa.array([w for _, w in pairs], pa.binary()), pa.array(list(pairs.values()), pa.int32()), pa.nulls(len(pairs), _STATS)], names=names)
+                if len(lost):
+                    owner = np.searchsorted(np.cumsum(lens), lost, side="right")
+                    order = np.lexsort((keys[lost], owner))
+                    owner, strings = owner[order], keys[lost][order]
+                    first = np.flatnonzero(np.concatenate(([True], (strings[1:] != strings[:-1]) | (owner[1:] != owner[:-1]))))
+                    times, at = -np.diff(np.append(first, len(strings))), pa.array(owner[first])
+                    yield pa.RecordBatch.from_arrays([ids.take(at), h.take(at), _string_keys(strings[first]), pa.array(times.astype(np.int32)), pa.nulls(len(first), _STATS)], names=names)
 
     return run
 
 
-def _strings_by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in arrow_rows(batch, 1 << 20):
-            for i, h, t in zip(part.column("doc_id").to_pylist(), part.column("h").to_pylist(), text_bytes(part.column("text")), strict=True):
-                keys, n = _runs(strings_of([t.lower()])[0])
-                yield pa.RecordBatch.from_arrays([pa.array([i] * len(keys), pa.int64()), pa.array([h] * len(keys), pa.int64()), pa.array(keys), pa.array(n)], names=["doc_id", "h", "string", "times"])
-
-
-def score(df: DataFrame, held_out: str = "held_out", table_rows: int = TABLE, frequent_share: int = FREQUENT_SHARE) -> DataFrame:
-    """df(doc_id, text, held_out): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def score(df: DataFrame, held_out: str = "held_out", string_share: int = STRING_SHARE, word_share: int = WORD_SHARE, part: int = PART) -> DataFrame:
+    """df(doc_id, text, held_out): doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     spark, scratch = df.sparkSession, Scratch(df.sparkSession)
     rows = df.select("doc_id", text_or_empty("text").alias("text"), F.col(held_out).alias("held_out"))
     counts = rows.select("text", "held_out").mapInArrow(_count, "string long, word binary, n long").groupBy("string", "word").agg(F.sum("n").alias("n"))
     counts = scratch.write(counts)
-    words = counts.where("word is not null").select("word", "n")
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    often = -(-max(1, total["n"]) // frequent_share)
-    top = words.where(F.col("n") >= often).select("word", F.log10(F.col("n") + 1.0).alias("v")).toArrow()
-    frequent = spark.sparkContext.broadcast(dict(zip(top["word"].to_pylist(), top["v"].to_pylist(), strict=True)))
-    del top
-    model = scratch.write(build(counts.where("string is not null").select("string", "n")))
-    small = model.count() <= table_rows
-    table = None
-    if small:
-        held = model.select("string", F.col("log10_p").cast("float").alias("log10_p")).toArrow()
-        table = spark.sparkContext.broadcast((held["string"].to_numpy(), held["log10_p"].to_numpy()))
-        del held
-    keyed = rows.withColumn("h", F.xxhash64("text"))
-    flat = keyed.select("doc_id", "h", "text").mapInArrow(_scorer(frequent, table), "doc_id long, h long, word binary, tf int, stats struct<n_tokens:long,n_known:long,base:double,score:double>")
-    rare = words.where(F.col("n") < often).select("word", F.log10(F.col("n") + 1.0).alias("v"))
-    met = flat.join(rare, "word", "left")
-    add = lambda name: F.coalesce(F.sum(f"stats.{name}"), F.lit(0))
+    total = counts.groupBy(F.col("word").isNotNull().alias("words")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
+    (n_words, v_words), n_strings = next(((r["n"], r["v"]) for r in total if r["words"]), (0, 0)), next((r["n"] for r in total if not r["words"]), 0)
+    often = lambda n, share: -(-max(1, n) // share)
+    words = counts.where("word is not null").select(F.col("word").alias("key"), "n", F.rint(F.log10(F.col("n") + 1.0) * DIGITS).cast("long").alias("v"))
+    many = F.col("n") >= often(n_words, word_share)
+    held = words.where(many).select("key", "v").toArrow()
+    frequent = spark.sparkContext.broadcast(dict(zip(held["key"].to_pylist(), held["v"].to_pylist(), strict=True)))
+    model = scratch.write(build(counts.where("string is not null"), scratch, part))
+    common = F.col("n") >= often(n_strings, string_share)
+    held = model.where(common).select("string", "log10_p").toArrow()
+    table = spark.sparkContext.broadcast((held["string"].to_numpy(), held["log10_p"].to_numpy()))
+    del held
+    rare = model.where(~common).select(F.unhex(F.concat(F.lit(_STRING.hex()), F.lpad(F.hex("string"), 12, "0"))).alias("key"), F.col("log10_p").alias("v")).unionByName(words.where(~many).select("key", "v"))
+    flat = rows.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(_scorer(frequent, table, scratch.root), _FLAT)
+    met = flat.join(rare, "key", "left")
+    add = lambda name, when, c: (F.coalesce(F.sum(f"stats.{name}"), F.lit(0)) + F.coalesce(F.sum(F.when(F.expr(when), c)), F.lit(0))).alias(name)
+    none = F.lit(None).cast("long")
     found = met.groupBy("doc_id", "h").agg(
-        F.count("stats").alias("copies"), add("n_tokens").alias("n_tokens"),
-        (add("n_known") + F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("tf"))), F.lit(0))).alias("n_known"),
-        (add("base") + F.coalesce(F.sum(F.col("tf") * F.col("v")), F.lit(0.0))).alias("base"), add("score").alias("score"),
+        F.count("stats").alias("copies"), add("n_tokens", "false", none), add("n_bytes", "false", none), add("n_known", "times > 0 and v is not null", F.col("times")),
+        add("base", "times > 0", F.col("times") * F.col("v")), add("score", "times < 0", -F.col("times") * F.col("v")),
     )
-    if not small:
-        told = keyed.select("doc_id", "h", "text").mapInArrow(_strings_by_row, "doc_id long, h long, string long, times long").join(model, "string").groupBy("doc_id", "h").agg(F.sum(F.col("times") * F.col("log10_p")).alias("joined"))
-        found = found.join(told.withColumnsRenamed({"doc_id": "t_id", "h": "t_h"}), F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("h") == F.col("t_h")), "left").withColumn("score", F.coalesce("joined", F.lit(0.0)))
     # Rows that repeat an id and text were summed together: divide, and give each its row again.
     k = F.col("copies")
-    found = found.select("doc_id", *((F.col(c) / k).cast("long").alias(c) for c in ("n_tokens", "n_known")), *((F.col(c) / k).alias(c) for c in ("base", "score")), F.explode(F.sequence(F.lit(1).cast("long"), k)).alias("copy"))
-    bits = F.lit(float(np.log10(max(1, total["n"] + total["v"] + 1))))
-    return found.select("doc_id", "n_tokens", "n_known", F.lit(int(total["n"])).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * bits).alias("base_score"), "score")
+    found = found.select("doc_id", *((F.expr(f"{c} div copies")).alias(c) for c in ("n_tokens", "n_known", "n_bytes", "base", "score")), F.explode(F.sequence(F.lit(1).cast("long"), k)).alias("copy"))
+    digits = F.lit(float(np.log10(max(1, n_words + v_words + 1))))
+    score = F.col("score") / DIGITS
+    return found.select("doc_id", "n_tokens", "n_known", F.lit(int(n_words)).cast("long").alias("train_tokens"), (F.col("base") / DIGITS - F.col("n_tokens") * digits).alias("base_score"), score.alias("score"), (-score * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", (crc_mod(F.col("doc_id"), 7) == 2).alias("held_out"))
-    out = score(docs)
-    return out.select("doc_id", (crc_mod(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return score(docs).select("doc_id", (crc_mod(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")

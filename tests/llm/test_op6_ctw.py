@@ -80,25 +80,47 @@ def corpus():
     return [*rows, (40, None), (41, ""), (42, " \n"), (3, rows[3][1]), (None, "the"), (43, "qqq\x00w zz")]
 
 
-@pytest.mark.parametrize("table_rows,share", [(10**6, 1 << 19), (0, 4)])
-def test_scores_match_brute_force(spark, table_rows, share):
-    from pyspark.sql import functions as F
+SCHEMA = "doc_id long, text string, held_out boolean, word string, key string, score double"
+COLUMNS = ("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
+
+def scored(spark, rows, parts=None, **options):
+    df = spark.createDataFrame([(i, t, held(i), "x", "y", 0.0) for i, t in rows], SCHEMA)
+    out = op6_ctw.score(df.repartition(parts) if parts else df, **options).select(*COLUMNS).collect()
+    return sorted(map(tuple, out), key=lambda r: (r[0] is None, r[0] or 0, r[1], r[5]))
+
+
+def test_scores_match_brute_force(spark):
     rows = corpus()
-    df = spark.createDataFrame([(i, t, held(i), "x") for i, t in rows], "doc_id long, text string, held_out boolean, word string")
-    out = op6_ctw.score(df, table_rows=table_rows, frequent_share=share).withColumn("base_score", F.round("base_score", 6)).withColumn("score", F.round("score", 3)).collect()
-    got = [(r.doc_id, held(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in out]
     key = lambda r: (r[0] is None, r[0] or 0, r[2])
-    for a, b in zip(sorted(got, key=key), sorted(brute(rows), key=key), strict=True):
-        assert a[:5] == b[:5]
-        assert a[5:] == pytest.approx(b[5:], abs=3e-3)
+    text = {i: t for i, t in rows}
+    for a, b in zip(scored(spark, rows), sorted(brute(rows), key=key), strict=True):
+        assert (a[0], held(a[0]), *a[1:4]) == b[:5]
+        assert a[4:6] == pytest.approx(b[5:], abs=1e-3)
+        assert a[6] == pytest.approx(-a[5] * math.log2(10) / (len((text[a[0]] or "").encode()) + 1))
+
+
+def test_equal_bit_for_bit_however_dealt(spark):
+    """Whether strings and words are broadcast or joined, whatever the partitions and the runs of contexts."""
+    rows = corpus()
+    want = scored(spark, rows)
+    assert want == scored(spark, rows, parts=7, string_share=1, word_share=1, part=5)  # all joined
+    assert want == scored(spark, rows, parts=2, string_share=64, word_share=8, part=50)
+    assert want == scored(spark, rows[::-1], parts=1)
+
+
+def test_long_texts(spark):
+    rng = random.Random(1)
+    rows = [(i, "the bring of thing") for i in range(20)] + [(50, " ".join(rng.choices("ab cde fgh".split(), k=200_000))), (51, "y" * 3_000_000)]
+    out = {r[0]: r for r in scored(spark, rows)}
+    assert out[50][1] == 200_001 and out[51][1] == 2 and out[51][6] < 1
 
 
 def test_empty_and_untrained(spark):
     schema = "doc_id long, text string, held_out boolean"
     assert op6_ctw.score(spark.createDataFrame([], schema)).count() == 0
     r = op6_ctw.score(spark.createDataFrame([(1, "ab", True)], schema)).first()
-    assert (r.n_tokens, r.n_known, r.train_tokens) == (2, 0, 0)
+    assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (2, 0, 0, 0.0)
     assert r.score == pytest.approx(-24 * math.log10(2), abs=1e-5)
 
 
