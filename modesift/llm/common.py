@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Iterator
 
@@ -127,8 +128,10 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_POW = _powers(_P, _WINDOW + 1)
-_POW_INV = _powers(_P_INV, _WINDOW + 1)
+@functools.cache
+def _pow() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _P and of its inverse, made by the workers that hash."""
+    return _powers(_P, _WINDOW + 1), _powers(_P_INV, _WINDOW + 1)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -148,8 +151,9 @@ def _window_words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ends = np.flatnonzero(~gap[1:] & np.append(gap[2:], True))
     ends = ends[: len(starts)] + 1
     sums = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[_LOWER[buf]] * _POW[: len(buf)], out=sums[1:])
-    hashes = (sums[ends] - sums[starts]) * _POW_INV[starts]
+    power, inverse = _pow()
+    np.cumsum(_BYTE[_LOWER[buf]] * power[: len(buf)], out=sums[1:])
+    hashes = (sums[ends] - sums[starts]) * inverse[starts]
     return starts, mix64(hashes + (ends - starts).astype(np.uint64))
 
 
@@ -202,7 +206,7 @@ def _long_words(text: bytes) -> np.ndarray:
             value = 0
             for k in range(0, len(word), _WINDOW):
                 piece = _LOWER[np.frombuffer(word[k : k + _WINDOW], dtype=np.uint8)]
-                part = int((_BYTE[piece] * _POW[: len(piece)]).sum(dtype=np.uint64))
+                part = int((_BYTE[piece] * _pow()[0][: len(piece)]).sum(dtype=np.uint64))
                 value = (value * 0x100000001B3 + part) % 2**64
             out.append(mix64(np.array([(value + len(word)) % 2**64], dtype=np.uint64)))
             continue

@@ -18,8 +18,8 @@ Probabilities are handed up and added as integers (units of 2^-20 nats, and of 2
 so results are equal bit for bit however the rows are dealt. Strings of documents not trained on are
 carried along with count 0, so every string of every document has a probability.
 
-One path serves all sizes: strings and words with a share of 2^-22 and 2^-20 or more of the training
-strings and tokens (by that share never more than 2^22 and 2^20 of them) are looked up in broadcast
+One path serves all sizes: strings and words with a share of 2^-22 and 2^-19 or more of the training
+strings and tokens (by that share never more than 2^22 and 2^19 of them) are looked up in broadcast
 tables; the others leave a document as one row for each distinct one and are joined, strings and words
 in one join.
 
@@ -47,9 +47,9 @@ from .common import Scratch, arrow_rows, crc_mod, documents, shuffle_partitions,
 
 DEPTH = 5
 MARK = b"\xff"  # never part of UTF-8: stands before and after every text
-STRING_SHARE, WORD_SHARE = 1 << 22, 1 << 20
-RUN = 1 << 23
-PART = 1 << 20  # strings whose trees are built at once, the last three context bytes kept together
+STRING_SHARE, WORD_SHARE = 1 << 22, 1 << 19
+RUN = 1 << 22
+PART = 1 << 18  # strings whose trees are built at once, the last three context bytes kept together
 NATS, DIGITS = float(1 << 20), float(1 << 32)  # units of the integers that are added
 END = b""  # the end token, no word
 
@@ -100,7 +100,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return out
 
     for batch in batches:
-        for part in arrow_rows(batch, 1 << 22):
+        for part in arrow_rows(batch, 1 << 21):
             texts = [t.lower() for t in text_bytes(part.column("text"))]
             held_out = part.column("held_out").to_pylist()
             for trained in (False, True):
@@ -117,7 +117,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if size > RUN:
                 yield from strings()
                 size = 0
-            if len(words) > 500_000:
+            if len(words) > 300_000:
                 yield vocabulary()
     yield from strings()
     if words:
@@ -373,7 +373,7 @@ def _scorer(frequent, table, name: str):
         get, tree = frequent.value.get, _table(name, table)
         names = ["doc_id", "h", "key", "times", "stats"]
         for batch in batches:
-            for part in arrow_rows(batch, 1 << 22):
+            for part in arrow_rows(batch, 1 << 21):
                 texts = [t.lower() for t in text_bytes(part.column("text"))]
                 words: list[bytes] = []
                 counts = []
