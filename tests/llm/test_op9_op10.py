@@ -1,5 +1,5 @@
+import gzip
 import hashlib
-import os
 import random
 from collections import defaultdict
 
@@ -62,38 +62,115 @@ def test_mix_edges(spark):
     assert one.target == 6.0 and one.copies in (1, 2)
 
 
+LEAVES = "record_id long, file string, offset long, length long, leaf string"
+
+
+def sha(x):
+    return hashlib.sha256(str(x).encode()).hexdigest()
+
+
+def files(n=600, names=("a", "b", "c"), seed=4):
+    """Records (id, bytes' hash, length) of each file, in order."""
+    rng = random.Random(seed)
+    out = {name: [] for name in names}
+    for i in range(n):
+        out[names[i % len(names)]].append((i if i % 50 else None, sha(i), rng.randint(1, 400)))
+    return out
+
+
+def placed(content):
+    rows = []
+    for name, records in content.items():
+        at = 0
+        for i, leaf, length in records:
+            rows.append((i, name, at, length, leaf))
+            at += length
+    return rows
+
+
+def verdicts(spark, ours, theirs):
+    """Counts of (record_id, leaf, verdict), with small ranges so that trees are deep."""
+    df = [spark.createDataFrame(x, LEAVES).selectExpr("*", "'x' as node", "1 as side") for x in (ours, theirs)]
+    out = op10_warc.audit(*df, base=512, fanout=3, levels=4).collect()
+    return sorted(((r.record_id or -1, r.leaf, r.verdict) for r in out))
+
+
+def expected(ours, **verdict):
+    told = {leaf: v for v, leaves in verdict.items() for leaf in leaves}
+    return sorted((i or -1, leaf, told.get(leaf, "ok")) for i, _, _, _, leaf in ours)
+
+
 def test_merkle_tree_by_hand(spark):
-    leaves = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(20)]
-    df = spark.createDataFrame([(0, i, h) for i, h in enumerate(leaves)], "file long, ordinal long, leaf string")
-    nodes = {(r.level, r.node): r.hash for r in op10_warc.tree(df, fanout=4, levels=3).collect()}
-    level = leaves
-    for k in range(1, 4):
-        level = [hashlib.sha256(",".join(f"{i + j}:{h}" for j, h in enumerate(level[i : i + 4])).encode()).hexdigest() for i in range(0, len(level), 4)]
-        for i, h in enumerate(level):
-            assert nodes[k, i] == h
-
-
-def test_audit_finds_what_was_damaged(spark):
-    rng = random.Random(4)
-    leaf = lambda x: hashlib.sha256(str(x).encode()).hexdigest()
-    ours = [(i, 100 + i, leaf(i)) for i in range(3000)] + [(None, 7, leaf("n")), (5, 9, leaf("twin"))]
-    hurt, lost = set(rng.sample(range(10, 3000), 9)), set(rng.sample(range(10, 3000), 4))
-    theirs = [(i, n, leaf("bad") if i in hurt else h) for i, n, h in ours if i not in lost] + [(9999, 3, leaf("new"))]
-    schema = "record_id long, length long, leaf string"
-    out = op10_warc.audit(spark.createDataFrame(ours, schema), spark.createDataFrame(theirs, schema), file_records=500).collect()
-    verdict = {(r.record_id, r.leaf): r.verdict for r in out}
-    want = {(i, h): "missing" if i in lost else "corrupt" if i in hurt else "ok" for i, _, h in ours} | {(9999, leaf("new")): "extra"}
-    assert verdict == want
-    files = defaultdict(list)
+    rows = placed(files())
+    nodes = op10_warc.tree(spark.createDataFrame(rows, LEAVES).selectExpr("0 as side", "*"), op10_warc.Scratch(spark), base=512, fanout=3, levels=4)
+    level = defaultdict(list)
+    for _, name, at, length, leaf in sorted(rows, key=lambda r: (r[1], r[2])):
+        level[name, at // 512].append(f"{at}:{length}:{leaf}")
+    level = {k: sha(",".join(v)) for k, v in level.items()}
+    for k, got in enumerate(nodes):
+        assert {(r.file, r.node): r.hash for r in got.collect()} == level
+        up = defaultdict(list)
+        for (name, node), h in sorted(level.items()):
+            up[name, node // 3 if k < 3 else 0].append(f"{node}:{h}")
+        level = {key: sha(",".join(v)) for key, v in up.items()}
+
+
+def test_only_differing_branches_are_compared(spark):
+    content = files()
+    ours = placed(content)
+    content["b"][70] = (*content["b"][70][:1], sha("bad"), content["b"][70][2])
+    both = spark.createDataFrame(ours, LEAVES).selectExpr("0 as side", "*").unionByName(spark.createDataFrame(placed(content), LEAVES).selectExpr("1 as side", "*"))
+    bad = op10_warc.descend(op10_warc.tree(both, op10_warc.Scratch(spark), 512, 3, 4), 3).collect()
+    assert [(r.file, r.node) for r in bad] == [("b", placed(content)[270][2] // 512)]
+
+
+def test_damage_is_told_apart(spark):
+    content = files()
+    ours = placed(content)
+    assert verdicts(spark, ours, ours) == expected(ours)
+    # bytes changed in place
+    hurt = {name: [(i, sha("bad") if k in (3, 90) else leaf, n) for k, (i, leaf, n) in enumerate(rows)] for name, rows in content.items()}
+    assert verdicts(spark, ours, placed(hurt)) == expected(ours, corrupt=[rows[k][1] for rows in content.values() for k in (3, 90)])
+    # shifted: every record of a file two bytes on
+    shifted = [(i, name, at + 2 * (name == "b"), n, leaf) for i, name, at, n, leaf in ours]
+    assert verdicts(spark, ours, shifted) == expected(ours, moved=[r[1] for r in content["b"]])
+    # reordered: two neighbours of different lengths change places
+    swapped = {**content, "c": [*content["c"][:8], content["c"][9], content["c"][8], *content["c"][10:]]}
+    assert verdicts(spark, ours, placed(swapped)) == expected(ours, moved=[r[1] for r in content["c"][8:10]])
+    # truncated, and a record that only the replica has
+    cut = {**content, "a": content["a"][:150], "b": [*content["b"], (9999, sha("new"), 5)]}
+    want = expected(ours, missing=[r[1] for r in content["a"][150:]])
+    assert verdicts(spark, ours, placed(cut)) == sorted([*want, (9999, sha("new"), "extra")])
+    # lengths, hence offsets, that differ though all bytes' hashes agree
+    longer = {name: [(i, leaf, n + 1) for i, leaf, n in rows] for name, rows in content.items()}
+    assert [v for _, _, v in verdicts(spark, ours, placed(longer))].count("ok") == 0
+    # repeated ids, one copy lost
+    twins = {"a": [(7, sha(k % 3), 10) for k in range(30)]}
+    found = verdicts(spark, placed(twins), placed({"a": twins["a"][:-1]}))
+    assert [v for _, _, v in found].count("missing") == 1 and len(found) == 30
+
+
+def test_layout_spreads_hot_and_null_ids(spark):
+    rows = [(None, 10 + i % 7, sha(i)) for i in range(900)] + [(5, 3, sha("same"))] * 900 + [(i, 4, sha(i)) for i in range(900)]
+    out = op10_warc.layout(spark.createDataFrame(rows, "record_id long, length long, leaf string"), 27).collect()
+    assert len(out) == len(rows)
+    by_file = defaultdict(list)
     for r in out:
-        if r.ordinal is not None:
-            files[r.file].append((r.ordinal, r.offset, r.length))
-    for rows in files.values():
+        by_file[r.file].append((r.ordinal, r.offset, r.length))
+    assert max(map(len, by_file.values())) < 200
+    for found in by_file.values():
         at = 0
-        for k, (ordinal, offset, length) in enumerate(sorted(rows)):
+        for k, (ordinal, offset, length) in enumerate(sorted(found)):
             assert (ordinal, offset) == (k, at)
             at += length
-    assert op10_warc.audit(spark.createDataFrame([], schema), spark.createDataFrame([], schema)).count() == 0
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], LEAVES)
+    assert op10_warc.audit(none, none).count() == 0
+    ours = placed(files(9))
+    assert verdicts(spark, ours, []) == expected(ours, missing=[r[4] for r in ours])
+    assert op10_warc.layout(spark.createDataFrame([], "record_id long, length long, leaf string"), 1).count() == 0
 
 
 def test_oracle(spark):
@@ -107,10 +184,17 @@ def test_oracle(spark):
 
 
 def test_warc_files(spark, tmp_path):
-    records = [f"WARC/1.0\r\nWARC-Target-URI: u{i}\r\nContent-Length: {len(b)}\r\n\r\n".encode() + b + b"\r\n\r\n" for i, b in enumerate([b"", b"\r\n\r\n", b"body"])]
-    (tmp_path / "a.warc").write_bytes(b"".join(records))
-    out = op10_warc.read_warc(spark, str(tmp_path)).orderBy("offset").collect()
-    assert [(r.offset, r.length, r.uri, r.sha256) for r in out] == [(sum(map(len, records[:i])), len(b), f"u{i}", hashlib.sha256(b).hexdigest()) for i, b in enumerate(records)]
+    bodies = [b"", b"\r\n\r\n", b"body" * 100_000]
+    records = [f"WARC/1.0\r\nWARC-Record-ID: r{i}\r\nWARC-Target-URI: u{i}\r\nContent-Length: {len(b)}\r\n\r\n".encode() + b + b"\r\n\r\n" for i, b in enumerate(bodies)]
+    members = [gzip.compress(r) for r in records]
+    for name, parts in (("a.warc", records), ("b.warc.gz", members)):
+        (tmp_path / name).write_bytes(b"".join(parts))
+        out = op10_warc.read_warc(spark, str(tmp_path / name)).orderBy("offset").collect()
+        assert [(r.offset, r.length, r.record_id, r.uri, r.leaf, r.error) for r in out] == [(sum(map(len, parts[:i])), len(b), f"r{i}", f"u{i}", hashlib.sha256(records[i]).hexdigest(), None) for i, b in enumerate(parts)]
+        (tmp_path / f"cut-{name}").write_bytes(b"".join(parts)[:-10])
+        out = op10_warc.read_warc(spark, str(tmp_path / f"cut-{name}")).collect()
+        assert len(out) == 3 and [r.error is None for r in out] == [True, True, False]
+    (tmp_path / "empty.warc").write_bytes(b"")
+    assert op10_warc.read_warc(spark, str(tmp_path / "empty.warc")).count() == 0
     with pytest.raises(ValueError):
         list(op10_warc.parse_warc(b"nonsense"))
-    assert os.path.exists(tmp_path / "a.warc")
