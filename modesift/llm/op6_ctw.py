@@ -18,8 +18,8 @@ Probabilities are handed up and added as integers (units of 2^-20 nats, and of 2
 so results are equal bit for bit however the rows are dealt. Strings of documents not trained on are
 carried along with count 0, so every string of every document has a probability.
 
-One path serves all sizes: strings and words with a share of 2^-22 and 2^-19 or more of the training
-strings and tokens (by that share never more than 2^22 and 2^19 of them) are looked up in broadcast
+One path serves all sizes: strings and words with a share of 2^-23 and 2^-19 or more of the training
+strings and tokens (by that share never more than 2^23 and 2^19 of them) are looked up in broadcast
 tables; the others leave a document as one row for each distinct one and are joined, strings and words
 in one join.
 
@@ -47,8 +47,8 @@ from .common import Scratch, arrow_rows, crc_mod, documents, shuffle_partitions,
 
 DEPTH = 5
 MARK = b"\xff"  # never part of UTF-8: stands before and after every text
-STRING_SHARE, WORD_SHARE = 1 << 22, 1 << 19
-RUN = 1 << 22
+STRING_SHARE, WORD_SHARE = 1 << 23, 1 << 19
+RUN = 1 << 21
 PART = 1 << 18  # strings whose trees are built at once, the last three context bytes kept together
 NATS, DIGITS = float(1 << 20), float(1 << 32)  # units of the integers that are added
 END = b""  # the end token, no word
@@ -304,7 +304,7 @@ class Table:
     """Integers by 48-bit key: open addressing in flat arrays."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.bits = max(4, (4 * len(keys) // 3).bit_length())  # three quarters full at most
         self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
         self.values = np.zeros(1 << self.bits, dtype=np.int64)
         left, at = np.arange(len(keys)), self._slot(keys)
