@@ -35,8 +35,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each time that the mix takes a document."""
-    taken = op9_mix.mix(docs).where("copies > 0")
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(docs.columns)
+    taken = op9_mix.mix(docs).where("mix__copies > 0")
+    return taken.withColumn("mix__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix__copies")))).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

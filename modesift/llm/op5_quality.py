@@ -11,11 +11,13 @@ the rates themselves (method of moments over all hosts, and over all paths aroun
 score adds, in log odds, the classifier's evidence and the path's posterior shift from the global rate.
 
 All counts are grouped aggregations over all labelled rows that are not held out, whatever their
-number; the classifier's eight weights are fitted on at most ``sample`` of them (30,000).
+number (a labelled row's own label is thus among those of its site); the classifier's eight weights are
+fitted on at most ``sample`` of the documents (30,000), of rows that repeat an id on the least text.
 
 Defined results: null text is empty text; null host and path are one host and path of their own; rows
 without label count nowhere; hosts without labels get the global rate; with no labels every score is
-1/2; repeated rows get equal scores; an empty table gives no rows; extra columns pass through.
+1/2; repeated rows get equal scores; an empty table gives no rows; extra columns pass through, names
+beginning with ``q__`` or ``quality__`` are reserved.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, crc_mod, documents, draw, text_or_empty
-from .op4_toxicity import fit_logistic
+from .common import Scratch, crc_mod, documents, text_or_empty
+from .op4_toxicity import fit_logistic, labelled
 
 SAMPLE = 30_000
 
@@ -75,28 +77,28 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, tex
     sites = Scratch(docs.sparkSession).write(base.select("doc_id", "q__host", "q__path").join(known, "doc_id").groupBy("q__host", "q__path").agg(F.sum("q__y").alias("k"), F.count("*").alias("n")))
     whole = sites.agg(F.sum("k").alias("k"), F.sum("n").alias("n")).first()
     if not whole["n"]:
-        return base.select(*cols, *(F.lit(0.5).alias(f"quality__{c}") for c in ("own", "host", "path", "score")))
+        return base.select(*(F.col(f"`{c}`") for c in cols), *(F.lit(0.5).alias(f"quality__{c}") for c in ("own", "host", "path", "score")))
     overall = (whole["k"] + 0.5) / (whole["n"] + 1.0)
     hosts = sites.groupBy("q__host").agg(F.sum("k").alias("k"), F.sum("n").alias("n")).withColumn("m", F.lit(overall))
     s_host = _strength(hosts, "m")
-    hosts = hosts.select(F.col("q__host").alias("h"), ((F.col("k") + s_host * overall) / (F.col("n") + s_host)).alias("quality__host"))
-    paths = sites.join(hosts, sites.q__host.eqNullSafe(hosts.h))
+    hosts = hosts.select(F.col("q__host").alias("q__h"), ((F.col("k") + s_host * overall) / (F.col("n") + s_host)).alias("quality__host"))
+    paths = sites.join(hosts, sites.q__host.eqNullSafe(hosts.q__h))
     s_path = _strength(paths.select("k", "n", "quality__host"), "quality__host")
-    paths = paths.select(F.col("q__host").alias("h2"), F.col("q__path").alias("p2"), ((F.col("k") + s_path * F.col("quality__host")) / (F.col("n") + s_path)).alias("quality__path"))
+    paths = paths.select(F.col("q__host").alias("q__h2"), F.col("q__path").alias("q__p2"), ((F.col("k") + s_path * F.col("quality__host")) / (F.col("n") + s_path)).alias("quality__path"))
 
-    drawn = draw(known, "doc_id", sample)
     x = features(text_or_empty(text_col))
-    rows = base.join(F.broadcast(drawn), "doc_id").select("q__y", *(c.alias(f"x{k}") for k, c in enumerate(x))).toArrow().to_pandas()
+    drawn = labelled(docs, labels, label_col, sample, text_col)
+    rows = drawn.select(F.col(label_col).cast("double").alias("q__y"), *(c.alias(f"x{k}") for k, c in enumerate(features(text_or_empty("text"))))).toArrow().to_pandas()
     y = rows.pop("q__y").to_numpy()
     fit = fit_logistic(rows.to_numpy(dtype=float), y, ridge=0.1) if 0 < y.sum() < len(y) else np.array([np.log(overall / (1 - overall)), *[0.0] * len(x)])
     z = F.lit(float(fit[0]))
     for w, c in zip(fit[1:], x, strict=True):
         z = z + F.lit(float(w)) * c
-    out = base.withColumn("q__z", z).join(hosts, F.col("q__host").eqNullSafe(F.col("h")), "left").join(paths, F.col("q__host").eqNullSafe(F.col("h2")) & F.col("q__path").eqNullSafe(F.col("p2")), "left")
+    out = base.withColumn("q__z", z).join(hosts, F.col("q__host").eqNullSafe(F.col("q__h")), "left").join(paths, F.col("q__host").eqNullSafe(F.col("q__h2")) & F.col("q__path").eqNullSafe(F.col("q__p2")), "left")
     out = out.withColumn("quality__host", F.coalesce("quality__host", F.lit(overall))).withColumn("quality__path", F.coalesce("quality__path", "quality__host"))
     shift = _logit(F.least(F.greatest("quality__path", F.lit(1e-6)), F.lit(1 - 1e-6))) - F.lit(float(np.log(overall / (1 - overall))))
     sigmoid = lambda v: 1 / (1 + F.exp(-v))
-    return out.withColumns({"quality__own": sigmoid(F.col("q__z")), "quality__score": sigmoid(F.col("q__z") + shift)}).select(*cols, "quality__own", "quality__host", "quality__path", "quality__score")
+    return out.withColumns({"quality__own": sigmoid(F.col("q__z")), "quality__score": sigmoid(F.col("q__z") + shift)}).select(*(F.col(f"`{c}`") for c in cols), "quality__own", "quality__host", "quality__path", "quality__score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

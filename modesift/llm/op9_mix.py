@@ -6,13 +6,16 @@ is above its cap. That fixed point has a closed form: sort the sources by cap /
 at the front, and the water level of the rest follows from running sums. A source's rate is its target
 over its size: every document is taken floor(rate) whole times, and a seeded sample takes one more.
 
-The sample is dealt without ordering a source in one place: documents fall into seeded hash buckets
-(about ``bucket_docs`` each), whole buckets are taken while they fit, and only the one bucket in which
-the target falls is walked, document by document in hash order, taking each one that still fits.
+The sample is dealt without ordering a source in one place. Documents have a seeded draw, which is cut
+into digits of up to 16 bits: all documents of a source are summed by the first digit, whole digits are taken
+while they fit, and of the one digit in which the target falls the documents are summed by the next, and so
+on, until what is left is at most twice ``bucket_docs`` documents or one draw; those are walked in the order of their draws,
+taking each one that still fits. The words are counted once, in a written table of ids and sizes.
 
 Defined results: null or empty text has size 0 and takes 0; a null source is a source of its own,
 last in order; rows that repeat an id and text stand or fall together in the hash order but each is
-counted; an empty table gives no rows; extra columns pass through.
+counted; an empty table gives no rows; extra columns pass through, names beginning with ``mix__`` are
+reserved.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, text_or_empty, word_count
+from .common import Scratch, documents, text_or_empty, word_count
 
 WEIGHTS = (5, 2, 1)
 #: A per-source table up to this many rows (about 6 MB with its sampled keys) is broadcast; beyond it, joined by shuffle.
@@ -46,49 +49,69 @@ def water_fill(sources: DataFrame, weights: tuple[int, ...], budget: float, max_
     return caps.withColumn("target", target).drop("weight", "cap", "total", "weights", "level")
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5, max_epochs: float = 2.0, seed: int = 9, bucket_docs: int = 256) -> DataFrame:
-    """df with size, source_size, target and copies (how often the mix takes the document)."""
+def sample_bounds(light: DataFrame, plan: DataFrame, bucket_docs: int) -> DataFrame:
+    """(source, bits, edge, taken) of light(source, draw, size) and plan(source, need, docs): of the draws
+    cut to their first ``bits`` bits those below ``edge`` are taken, and of those at it the ones in ``taken``."""
+    run = Window.partitionBy("source").orderBy("digit").rowsBetween(Window.unboundedPreceding, -1)
+    scratch = Scratch(light.sparkSession)
+    first = F.least(F.lit(16), F.greatest(F.lit(0), F.ceil(F.log2(F.col("docs") / F.lit(float(bucket_docs)))))).cast("int")
+    # What is still open: a source, the bits fixed so far, what they have to give, and how many bits come next.
+    open_, done = plan.where("need > 0").select("source", "need", F.lit(0).alias("bits"), F.lit(0).cast("long").alias("edge"), first.alias("width")), []
+    while True:
+        small = F.broadcast if open_.count() <= BROADCAST_SOURCES else (lambda x: x)
+        met = light.join(small(open_.withColumnRenamed("source", "o_source")), F.col("source").eqNullSafe(F.col("o_source")) & (F.expr("if(bits = 0, 0, shiftrightunsigned(draw, 64 - bits))") == F.col("edge")))
+        sums = met.withColumn("digit", F.expr("if(width = 0, 0, shiftrightunsigned(shiftleft(draw, bits), 64 - width))"))
+        sums = sums.groupBy("source", "need", "bits", "edge", "width", "digit").agg(F.sum("size").alias("words"), F.count("*").alias("docs"))
+        at = sums.withColumn("left", F.col("need") - F.coalesce(F.sum("words").over(run), F.lit(0))).where("left >= 0 and words > left")
+        at = at.select("source", "left", "docs", (F.col("bits") + F.col("width")).alias("bits"), F.expr("shiftleft(edge, width) | digit").alias("edge"))
+        at = scratch.write(at)
+        last = (F.col("docs") <= 2 * bucket_docs) | (F.col("bits") == 64)
+        done.append(at.where(last).select("source", "bits", "edge", "left"))
+        open_ = at.where(~last).select("source", F.col("left").alias("need"), "bits", "edge", F.expr("least(16, 64 - bits)").alias("width"))
+        if not open_.take(1):
+            break
+    found = done[0]
+    for d in done[1:]:
+        found = found.unionByName(d)
+    f = found.select(F.col("source").alias("f_source"), "bits", "edge", "left")
+    cut = F.expr("if(bits = 0, 0, shiftrightunsigned(draw, 64 - bits))")
+    near = light.join(F.broadcast(f) if found.count() <= BROADCAST_SOURCES else f, F.col("source").eqNullSafe(F.col("f_source"))).where(cut == F.col("edge"))
+    near = near.groupBy("source", "bits", "edge", "left", "draw", "size").agg(F.count("*").alias("rows"))
+    walked = near.groupBy("source", "bits", "edge", "left").agg(F.sort_array(F.collect_list(F.struct("draw", "size", "rows"))).alias("keys"))
+    step = lambda acc, k: F.when(k["size"] * k["rows"] <= acc["left"], F.struct((acc["left"] - k["size"] * k["rows"]).alias("left"), F.concat(acc["taken"], F.array(k["draw"])).alias("taken"))).otherwise(acc)
+    start = F.struct(F.col("left").cast("double").alias("left"), F.array().cast("array<bigint>").alias("taken"))
+    return walked.select("source", "bits", "edge", F.aggregate("keys", start, step)["taken"].alias("taken"))
+
+
+def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", size_col: str | None = None, weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5, max_epochs: float = 2.0, seed: int = 9, bucket_docs: int = 256) -> DataFrame:
+    """df with mix__size, mix__source_size, mix__target and mix__copies (how often the mix takes the
+    document). size_col: a column of df that holds the sizes already."""
     spark = df.sparkSession
-    keyed = df.withColumn("size", word_count(text_or_empty(text_col)))
-    draw = F.xxhash64(F.lit(seed), F.col(id_col), F.col("size")).cast("long")
-    light = df.select(F.col(source_col).alias("source"), F.col(id_col).alias("mix_id"), word_count(text_or_empty(text_col)).alias("size")).withColumn("draw", F.xxhash64(F.lit(seed), F.col("mix_id"), F.col("size")))
-    # Buckets nest: 2^bits of them for a source of about bucket_docs * 2^bits documents.
-    fine = light.withColumn("part", F.shiftrightunsigned("draw", 64 - 16))
-    sums = fine.groupBy("source", "part").agg(F.sum("size").alias("words"), F.count("*").alias("docs"))
-    totals = sums.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("docs").alias("docs"))
-    plan = water_fill(totals.select("source", "source_size", "docs"), weights, budget, max_epochs)
+    size = F.col(size_col).cast("long") if size_col else word_count(text_or_empty(text_col))
+    keyed = df.withColumn("mix__size", size).withColumn("mix__draw", F.xxhash64(F.lit(seed), F.col(id_col), F.col("mix__size")))
+    light = keyed.select(F.col(source_col).alias("source"), F.col("mix__draw").alias("draw"), F.col("mix__size").alias("size"))
+    light = Scratch(spark).write(light)
+    totals = light.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
+    plan = water_fill(totals, weights, budget, max_epochs)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = plan.withColumn("whole", F.floor(rate + F.lit(1e-12)).cast("long")).withColumn("need", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
-    plan = plan.withColumn("bits", F.least(F.lit(16), F.greatest(F.lit(0), F.ceil(F.log2(F.col("docs") / F.lit(float(bucket_docs)))))).cast("int"))
-
-    same = lambda a, b: a.eqNullSafe(b)
+    plan = Scratch(spark).write(plan)
+    bounds = Scratch(spark).write(sample_bounds(light, plan, bucket_docs).withColumnRenamed("source", "b_source"))
+    plan = plan.join(bounds, F.col("source").eqNullSafe(F.col("b_source")), "left").drop("b_source", "docs")
+    plan = plan.select(*(F.col(c).alias(f"mix__p_{c}") for c in plan.columns))
     small = F.broadcast if plan.count() <= BROADCAST_SOURCES else (lambda x: x)
-    p = plan.select(F.col("source").alias("p_source"), "source_size", "target", "whole", "need", "bits")
-    mask = lambda c: F.expr(f"shiftrightunsigned({c}, 16 - bits)")
-    coarse = sums.join(small(p), same(sums.source, F.col("p_source"))).withColumn("bucket", mask("part")).groupBy("source", "bucket", "need", "bits").agg(F.sum("words").alias("words"))
-    run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    edge = coarse.withColumn("upto", F.sum("words").over(run)).where("upto > need").groupBy("source").agg(F.min_by(F.struct("bucket", (F.col("need") - (F.col("upto") - F.col("words"))).alias("left")), "bucket").alias("edge"))
-    edge = edge.select(F.col("source").alias("e_source"), "edge.bucket", "edge.left")
-    plan = p.join(edge, same(F.col("p_source"), F.col("e_source")), "left").drop("e_source")
-    # Only the edge bucket's documents are gathered: about bucket_docs keys a source, each with a count of the rows that share it.
-    near = fine.groupBy("source", "part", "draw", "size").agg(F.count("*").alias("rows"))
-    near = near.join(small(plan.select("p_source", "bucket", "bits", "left")), same(F.col("source"), F.col("p_source"))).where(mask("part") == F.col("bucket"))
-    walked = near.groupBy("source", "left").agg(F.sort_array(F.collect_list(F.struct("draw", "size", "rows"))).alias("keys"))
-    step = lambda acc, k: F.when(k["size"] * k["rows"] <= acc["left"], F.struct((acc["left"] - k["size"] * k["rows"]).alias("left"), F.concat(acc["taken"], F.array(k["draw"])).alias("taken"))).otherwise(acc)
-    start = F.struct(F.col("left").cast("double").alias("left"), F.array().cast("array<bigint>").alias("taken"))
-    walked = walked.select(F.col("source").alias("w_source"), F.aggregate("keys", start, step)["taken"].alias("taken_keys"))
-    plan = plan.join(walked, same(F.col("p_source"), F.col("w_source")), "left").drop("w_source", "left")
-    names = {n: f"mix__{n}" for n in plan.columns}
-    plan = plan.select(*(F.col(a).alias(b) for a, b in names.items()))
-    out = keyed.join(small(plan), same(F.col(source_col), F.col("mix__p_source")), "left")
-    bucket = F.expr(f"shiftrightunsigned(shiftrightunsigned(mix__draw, {64 - 16}), 16 - mix__bits)")
-    out = out.withColumn("mix__draw", draw)
-    extra = (F.col("mix__need") > 0) & (F.col("mix__bucket").isNull() | (bucket < F.col("mix__bucket")) | ((bucket == F.col("mix__bucket")) & F.coalesce(F.array_contains("mix__taken_keys", F.col("mix__draw")), F.lit(False))))
-    out = out.withColumns({"source_size": F.col("mix__source_size"), "target": F.col("mix__target"), "copies": F.col("mix__whole") + extra.cast("long")})
-    out = out.withColumn("copies", F.coalesce(F.least("copies", F.lit(int(max_epochs))), F.lit(0)).cast("long"))
-    return out.drop(*(c for c in out.columns if c.startswith("mix__")))
+    out = keyed.join(small(plan), F.col(source_col).eqNullSafe(F.col("mix__p_source")), "left")
+    # Draws are compared without a sign: the flipped highest bit orders them as they are dealt.
+    cut, edge = (F.expr(f"{c} ^ shiftleft(1L, 63)") for c in ("if(mix__p_bits = 0, 0L, shiftrightunsigned(mix__draw, 64 - mix__p_bits))", "mix__p_edge"))
+    at = F.col("mix__p_edge").isNotNull() & (cut == edge) & F.coalesce(F.array_contains("mix__p_taken", F.col("mix__draw")), F.lit(False))
+    extra = (F.col("mix__p_need") > 0) & (F.col("mix__p_edge").isNull() | (cut < edge) | at)
+    copies = F.col("mix__p_whole") + extra.cast("long")
+    out = out.withColumns({"mix__source_size": F.col("mix__p_source_size"), "mix__target": F.col("mix__p_target"), "mix__copies": F.coalesce(F.least(copies, F.lit(int(max_epochs))), F.lit(0)).cast("long")})
+    return out.drop("mix__draw", *(c for c in out.columns if c.startswith("mix__p_")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    docs = documents(spark, sf_dir)
+    sizes = Scratch(spark).write(docs.select("doc_id", "source", word_count(text_or_empty("text")).alias("words")))
+    out = mix(sizes, size_col="words")
+    return out.select("doc_id", F.col("mix__size").alias("size"), F.col("mix__source_size").alias("source_size"), F.col("mix__target").alias("target"), (F.col("mix__size") * F.col("mix__copies")).alias("taken"), F.col("mix__copies").alias("copies"))

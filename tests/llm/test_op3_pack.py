@@ -67,3 +67,13 @@ def test_pack(spark):
     again = op3_pack.pack(df.repartition(7), capacity=100, shard_docs=100).collect()
     assert sorted(map(str, again)) == sorted(map(str, out))
     assert op3_pack.pack(df.limit(0)).count() == 0
+
+
+def test_ids_of_any_kind(spark):
+    big = 2**60 + 1
+    rows = [(big + i, "a b c", "s") for i in range(5)] + [(None, "a b", "s")]
+    out = op3_pack.pack(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted(r.doc_id or 0 for r in out) == [0, *(big + i for i in range(5))]
+    rows = [("x1", "a b c", "s"), (None, "a", "s"), ("", "b", None)]
+    out = op3_pack.pack(spark.createDataFrame(rows, "doc_id string, text string, source string")).collect()
+    assert {r.doc_id for r in out} == {"x1", None, ""}

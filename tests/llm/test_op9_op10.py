@@ -35,31 +35,51 @@ def test_mix(spark, seed):
         s = rng.choice(["hot", "hot", "hot", "b", "é", "ab", "z", None])
         rows.append((i, " ".join(["w"] * rng.choice([1, 5, 40, 200])) if rng.random() < 0.97 else None, s))
     rows += [(5000, "same words", "b")] * 7 + [(None, "no id", "b")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'c' as weight", "3 as bits")
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'c' as weight", "3 as bits", "'mine' as size", "60.0 as target", "1 as copies", "0 as draw")
     out = op9_mix.mix(df, bucket_docs=32).collect()
     assert len(out) == len(rows)
     sizes, taken = defaultdict(int), defaultdict(int)
     for r in out:
-        assert r.size == len((r.text or "").split()) and 0 <= r.copies <= 2
-        sizes[r.source] += r.size
-        taken[r.source] += r.size * r.copies
+        assert r.mix__size == len((r.text or "").split()) and 0 <= r.mix__copies <= 2
+        assert (r.size, r.target, r.copies, r.draw) == ("mine", 60, 1, 0)
+        sizes[r.source] += r.mix__size
+        taken[r.source] += r.mix__size * r.mix__copies
     want = targets(sizes)
     for r in out:
-        assert r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source])
+        assert r.mix__source_size == sizes[r.source] and r.mix__target == pytest.approx(want[r.source])
     for s in sizes:
         assert abs(taken[s] - want[s]) <= max(200, 0.01 * want[s])
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.mix__copies)
     again = op9_mix.mix(df.repartition(5), bucket_docs=32).collect()
-    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.copies)
     assert [key(r) for r in sorted(again, key=key)] == [key(r) for r in sorted(out, key=key)]
 
 
+def test_bounds_go_down_all_digits(spark):
+    """Draws that agree in their first digits: the search ends at the last one, and what it takes is what a walk in unsigned order takes."""
+    rng = random.Random(8)
+    highs = [0, 5 << 48, (0xFFFF << 48) - 2**64, (0xFFFF << 48 | 7 << 32) - 2**64]
+    draws = [rng.choice(highs) | rng.choice([0, 9 << 16, rng.randrange(2**32)]) for _ in range(4000)]
+    rows = [("s", d, 1 + d % 9) for d in draws]  # equal draws have equal sizes
+    light = spark.createDataFrame(rows, "source string, draw long, size long")
+    for need in (0.5, 900.0, 9000.0, 15_000.0):
+        plan = spark.createDataFrame([("s", need, len(rows))], "source string, need double, docs long")
+        b = op9_mix.sample_bounds(light, plan, 1).first()
+        assert b.bits >= 48
+        cut = lambda d: (d % 2**64) >> (64 - b.bits)  # noqa: E731,B023
+        sure = [r for r in rows if cut(r[1]) < b.edge % 2**64]
+        edge = [r for r in rows if cut(r[1]) == b.edge % 2**64]
+        words = sum(r[2] for r in sure)
+        assert words <= need < words + sum(r[2] for r in edge)
+        assert words + sum(r[2] for r in edge if r[1] in b.taken) <= need
+
+
 def test_mix_edges(spark):
     schema = "doc_id long, text string, source string"
     assert op9_mix.mix(spark.createDataFrame([], schema)).count() == 0
     out = op9_mix.mix(spark.createDataFrame([(1, None, None), (2, "", "a")], schema)).collect()
-    assert [(r.size, r.target, r.copies * r.size) for r in out] == [(0, 0.0, 0)] * 2
+    assert [(r.mix__size, r.mix__target, r.mix__copies * r.mix__size) for r in out] == [(0, 0.0, 0)] * 2
     one = op9_mix.mix(spark.createDataFrame([(1, "a b c d", "x")], schema)).first()
-    assert one.target == 6.0 and one.copies in (1, 2)
+    assert one.mix__target == 6.0 and one.mix__copies in (1, 2)
 
 
 LEAVES = "record_id long, file string, offset long, length long, leaf string"
