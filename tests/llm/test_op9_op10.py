@@ -64,11 +64,11 @@ def test_bounds_go_down_all_digits(spark):
     for need in (0.5, 900.0, 9000.0, 15_000.0):
         plan = spark.createDataFrame([("s", need, len(rows))], "source string, need double, docs long")
         b = op9_mix.sample_bounds(light, plan, 1).first()
-        assert b.bits >= 48
         cut = lambda d: (d % 2**64) >> (64 - b.bits)  # noqa: E731,B023
         sure = [r for r in rows if cut(r[1]) < b.edge % 2**64]
         edge = [r for r in rows if cut(r[1]) == b.edge % 2**64]
         words = sum(r[2] for r in sure)
+        assert b.bits == 64 or len(edge) <= 2
         assert words <= need < words + sum(r[2] for r in edge)
         assert words + sum(r[2] for r in edge if r[1] in b.taken) <= need
 
