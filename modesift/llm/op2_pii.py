@@ -3,7 +3,7 @@
 
 Base spans are the leftmost non-overlapping matches of four patterns, checked after matching (address
 parts, Luhn, digit counts). Protected are each kind and each single entity (a kind's value). The corpus
-tells how strongly a term (a run of letters, lower-cased) reveals one of them: the disclosure of c by
+tells how strongly a term (a word of three letters or more, lower-cased) reveals one of them: the disclosure of c by
 term t is the share of c's information that t gives away,
 
     D(c; t) = log(p(c|t) / p(c)) / -log p(c),
@@ -46,7 +46,9 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
-TERM = r"\p{L}+"
+#: A term has three letters at least and stands alone: letters within hexadecimal keys and the like are no words.
+_EDGE = r"[\p{L}\p{N}_]"
+TERM = rf"(?<!{_EDGE})\p{{L}}{{3,}}+(?!{_EDGE})"
 #: Min-hashes of a text: pairs that agree by half share one of so many bands of two with odds of 0.97 or more.
 BANDS, ALIKE = 12, 0.5
 
@@ -203,7 +205,7 @@ def find(df: DataFrame, text_col: str = "text", generalise: float = 0.5, remove:
     told = told.groupBy("pii__key").agg(F.collect_list("term").alias("pii__found"), F.collect_list(F.when(F.col("gone"), F.col("term"))).alias("pii__gone"))
     held = held.join(told, "pii__key", "left").drop("pii__key")
     # Terms are runs of letters, so they stand in a pattern as they are.
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("pii__found", "|"), F.lit(r")(?!\p{L})"))
+    pattern = F.concat(F.lit(rf"(?iu)(?<!{_EDGE})(?:"), F.array_join("pii__found", "|"), F.lit(rf")(?!{_EDGE})"))
     base = F.concat(*(F.col(f"pii__{k}") for k in KINDS))
     free = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     spans = F.filter(matches(text_or_empty(text_col), pattern, F.lit("term")), free)

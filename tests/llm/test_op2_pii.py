@@ -1,5 +1,8 @@
 import hashlib
+import math
+import random
 import re
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -114,6 +117,72 @@ def test_a_term_beside_nineteen_addresses(spark):
     assert not out[1000].pii__terms
 
 
+def judged(rows, generalise=0.5, chance=0.01, prior=10.0):
+    """(term, target) by the formulae, where no two texts are near copies."""
+    docs = []
+    for text in rows:
+        spans = brute(text)[0]
+        entities = {f"{k}:{text[a:b]}" for k, a, b in spans}
+        rest = list(text)
+        for _, a, b in spans:
+            rest[a:b] = " " * (b - a)
+        docs.append((entities, set(re.findall(r"(?<![^\W])[^\W\d_]{3,}(?!\w)", "".join(rest).lower()))))
+    often = Counter(e for entities, _ in docs for e in entities)
+    targets = [*BRUTE, *(e for e, n in often.items() if n > 1)]
+    every = Counter(t for _, terms in docs for t in terms)
+    out = set()
+    for target in targets:
+        kind = target in BRUTE
+        mine = [(min(e for e in es if e.startswith(target + ":")) if kind else i, terms) for i, (es, terms) in enumerate(docs) if any(e.startswith(target + ":") for e in es)] if kind else [(i, terms) for i, (es, terms) in enumerate(docs) if target in es]
+        seen, held = defaultdict(set), Counter()
+        for evidence, terms in mine:
+            for t in terms:
+                seen[t].add(evidence)
+                held[t] += 1
+        found, without = len({e for e, _ in mine}), len(docs) - len(mine)
+        if not found or not without:
+            continue
+        n, p = found + without, found / (found + without)
+        for t, evidence in seen.items():
+            f, w = len(evidence), every[t] - held[t]
+            if f < 2:
+                continue
+            q = f / (f + w)
+            odds = f * math.log(q / p) + (w * math.log((1 - q) / (1 - p)) if w else 0.0)
+            if q > p and odds >= 2 * math.log(n) - math.log(chance) and math.log((f + prior * p) / (f + w + prior) / p) / -math.log(p) >= generalise:
+                out.add((t, target))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_added_terms_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(900)]
+    texts = []
+    for i in range(700):
+        own = rng.sample(words, 14)
+        if i % 7 == 0:
+            own += [rng.choice(["", f"m{i}@host.org", f"m{i}@host.org"]), *rng.sample(["wattle", "fern", "oak"], 2)]
+        if i % 50 == 1:
+            own += ["boss@host.org", "weaver"]
+        if i % 60 == 2:
+            own += [f"10.0.{i % 256}.7", "router", 'token="ab12cd34ef"']
+        if i % 90 == 3:
+            own += ["fern", "oak"]
+        rng.shuffle(own)
+        texts.append(" ".join(own))
+    want = judged(texts)
+    assert len(want) >= 4 and not any(len(t) < 3 for t, _ in want)
+    told = defaultdict(set)
+    for term, target in want:
+        told[target].add(term)
+    out = op2_pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in out:
+        entities = {f"{k}:{r.text[a:b]}" for k, a, b in brute(r.text)[0]}
+        terms = set().union(*(told[x] for x in entities | {e.split(":")[0] for e in entities}))
+        assert {r.text[s.start : s.end] for s in r.pii__terms} == terms & set(re.findall(r"(?<![^\W])[^\W\d_]{3,}(?!\w)", r.text)), r.text
+
+
 @pytest.mark.parametrize("rows", [[], [(None, None)], [(1, None), (1, None)]])
 def test_edges(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string")
