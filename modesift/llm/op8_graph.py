@@ -4,24 +4,31 @@ Equal vectors form classes, of which one takes part. Classes are dealt to overla
 each to its nearest cell (its home) and to the ``overlap`` - 1 next ones. A cell is a centre, or all
 centres that reach each other by steps in range: a large group of near copies draws many centres, and
 its links must not be cut by them. In such a merged cell nearly all are in range of all, so its links
-are found by plain products. In each other shard a flat graph is built by robust pruning: a node keeps its nearest neighbour, drops the candidates that are nearer to
-that one than to itself, keeps the nearest of the rest, and so on, up to ``degree``; such a graph
-contains the shard's spanning tree of nearest links. The adjacency lists of all shards are united by
-node. The search then runs in each shard for the nodes at home there, on the united graph: a greedy
-beam search from the medoid to an entry in range, and from there (and from the node's own place) an
-expansion over neighbours for as long as they are in range. What is found is verified by its cosine in
-double precision. Each node is searched for in its home only, so links are counted, not listed, and
-only a spanning forest of them leaves a shard. Recall is audited against brute force for ``audit``
-vectors (a stated query set against all rows); while it is below ``RECALL`` the whole is repeated with
-twice the overlap, up to all cells, where nothing is missed for lack of a shard.
+are found by plain products. In each other shard a flat graph is built by insertion in growing batches:
+a beam search from the medoid over the graph so far gives a node's candidates, and robust pruning keeps
+the nearest, drops those that are nearer to it than to the node, keeps the nearest of the rest, and so
+on, up to ``degree``; edges are made in both directions and pruned alike. The adjacency lists of all
+shards are united by node. The search then runs in each shard for the nodes at home there, on the united
+graph: a beam search from the medoid, and from all that it met in range an expansion over neighbours for
+as long as they are in range. What is found is verified by its cosine in double precision. Links between
+nodes of one home are counted for both ends, those across homes are listed as pairs (of few nodes at
+the edges of cells) and counted once for both, so the two ends of a link agree; only a spanning forest
+leaves a shard. Recall is audited against brute force for ``audit`` vectors (a stated query set against
+all rows) and returned; while it is below ``RECALL`` the whole is repeated with twice the overlap and
+beam, up to all cells, where nothing is missed for lack of a shard.
+
+Vectors of different lengths have no cosine: each length of ``shard`` classes or more has centres of its
+own, vectors of rarer lengths meet in one merged cell a length.
 
 Bounds: the centres are fitted on at most 32 vectors a centre, at most 2048 centres (a sample of at
-most 65,536 vectors); every vector is indexed. A shard of more than ``GROUP`` members is dealt in
-blocks so that every two blocks meet in one task.
-
-Defined results: vectors that are null, zero, hold null or non-finite components, have no id, or whose
-length is not the table's most common link with nothing; repeated vectors are links to each other;
-rows that repeat an id and vector each count; an empty table gives no rows; extra columns are ignored.
+most 65,536 vectors) a length; every vector is indexed. A shard of more than ``GROUP`` members is dealt
+in blocks so that every two blocks meet in one task.
+
+Defined results: vectors that are null, zero, hold null or non-finite components or have no id link with
+nothing; repeated vectors are links to each other; components are scaled by a power of two before they
+are multiplied, so very large and very small vectors are compared like others; rows that repeat an id
+and vector each count; an empty table gives no rows; extra columns are ignored; recall is null where the
+audited vectors have no link.
 """
 
 from __future__ import annotations
@@ -36,11 +43,18 @@ from pyspark.sql import functions as F
 from .common import Scratch, components, draw
 from .op7_jaccard import _dealt
 
-SHARD, CENTRES, GROUP = 512, 2048, 4096
+SHARD, CENTRES, GROUP = 2048, 2048, 16_384
+DEGREE, BEAM = 16, 24
 COSINE, RECALL = 0.9, 0.9
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest components near 1: cosines stay, nothing overflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
@@ -72,88 +86,182 @@ def merged_cells(c: np.ndarray, cosine: float) -> np.ndarray:
         cell = new
 
 
-def robust_prune(x: np.ndarray, degree: int) -> np.ndarray:
-    """Neighbours of each row of unit vectors, -1 where fewer than degree remain."""
-    n = len(x)
-    sim = (x @ x.T).astype(np.float32)
-    left = sim.copy()
-    np.fill_diagonal(left, -np.inf)
-    out = np.full((n, min(degree, max(1, n - 1))), -1, dtype=np.int64)
-    for r in range(out.shape[1]):
-        best = left.argmax(axis=1)
-        ok = left[np.arange(n), best] > -np.inf
-        if not ok.any():
-            break
-        out[ok, r] = best[ok]
-        left[(sim[best] >= sim) & ok[:, None]] = -np.inf  # nearer to the kept one than to the node
+def robust_prune(x: np.ndarray, at: np.ndarray, near: np.ndarray, degree: int) -> np.ndarray:
+    """Of each node's candidates (rows of ``near``, -1 for none) up to degree neighbours, nearest first."""
+    out = np.full((len(at), degree), -1, dtype=np.int64)
+    for k in range(0, len(at), 256):
+        node, cand = at[k : k + 256], np.sort(near[k : k + 256], axis=1)
+        cand[:, 1:][cand[:, 1:] == cand[:, :-1]] = -1
+        cand[cand == node[:, None]] = -1
+        v = x[cand]
+        own = np.where(cand >= 0, np.matmul(v, x[node][:, :, None])[:, :, 0], -np.inf)
+        among = np.matmul(v, v.transpose(0, 2, 1))
+        left, rows = own.copy(), np.arange(len(node))
+        for r in range(degree):
+            best = left.argmax(axis=1)
+            ok = left[rows, best] > -np.inf
+            if not ok.any():
+                break
+            out[k : k + 256, r][ok] = cand[rows, best][ok]
+            left[(among[rows, best] >= own) & ok[:, None]] = -np.inf  # nearer to the kept one than to the node
+            left[rows, best] = -np.inf
     return out
 
 
-def symmetric(neighbours: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and targets of the graph with every edge in both directions."""
-    n = len(neighbours)
-    a = np.repeat(np.arange(n), [len(v) for v in neighbours])
-    b = np.concatenate(neighbours) if n else np.zeros(0, dtype=np.int64)
-    code = np.unique(np.concatenate([a * n + b, b * n + a]))
-    src, dst = code // max(n, 1), code % max(n, 1)
-    return np.searchsorted(src, np.arange(n + 1)), dst
-
-
-def enter(x: np.ndarray, queries: np.ndarray, out: np.ndarray, medoid: int, steps: int = 40) -> np.ndarray:
-    """Greedy search from the medoid over the padded lists ``out``, all queries at once: the node each ends at."""
-    at = np.full(len(queries), medoid)
-    score = queries @ x[medoid]
-    active = np.arange(len(queries))
-    for _ in range(steps):
-        near = out[at[active]]
-        s = np.where(near >= 0, np.einsum("qrd,qd->qr", x[near], queries[active]), -2.0)
-        best = s.argmax(axis=1)
-        value = s[np.arange(len(active)), best]
-        better = value > score[active]
-        active, near, best, value = active[better], near[better], best[better], value[better]
-        if not len(active):
-            break
-        at[active], score[active] = near[np.arange(len(active)), best], value
-    return at
+def beam_search(x: np.ndarray, asked: np.ndarray, lists: np.ndarray, start: int, beam: int) -> np.ndarray:
+    """The ``beam`` nearest nodes (-1 for none) that a greedy search from the start meets for each query,
+    over padded neighbour lists."""
+    out = np.full((len(asked), beam), -1, dtype=np.int64)
+    for k in range(0, len(asked), 512):
+        q = asked[k : k + 512]
+        ids = np.full((len(q), beam), -1, dtype=np.int64)
+        score = np.full((len(q), beam), -np.inf)
+        done = np.zeros((len(q), beam), dtype=bool)
+        ids[:, 0], score[:, 0] = start, q @ x[start]
+        active = np.arange(len(q))
+        while len(active):
+            open_ = np.where(done[active] | (ids[active] < 0), -np.inf, score[active])
+            best = open_.argmax(axis=1)
+            more = open_[np.arange(len(active)), best] > -np.inf
+            active, best = active[more], best[more]
+            if not len(active):
+                break
+            done[active, best] = True
+            near = lists[ids[active, best]]
+            known = (near[:, :, None] == ids[active][:, None, :]).any(axis=2) | (near < 0)
+            s = np.where(known, -np.inf, np.matmul(x[near], q[active][:, :, None])[:, :, 0])
+            all_ids, all_score = np.concatenate([ids[active], near], axis=1), np.concatenate([score[active], s], axis=1)
+            all_done = np.concatenate([done[active], known], axis=1)
+            top = np.argpartition(-all_score, beam - 1, axis=1)[:, :beam]
+            keep = np.take_along_axis(all_score, top, axis=1)
+            ids[active] = np.where(keep > -np.inf, np.take_along_axis(all_ids, top, axis=1), -1)
+            score[active], done[active] = keep, np.take_along_axis(all_done, top, axis=1)
+        out[k : k + 512] = ids
+    return out
 
 
-def expand(x: np.ndarray, i: int, entries: list[int], off: np.ndarray, dst: np.ndarray, least: float) -> np.ndarray:
-    """Nodes in range of node i that a walk over nodes in range reaches from the entries."""
-    seen = np.zeros(len(x), dtype=bool)
-    front = np.unique(np.array(entries))
-    front = front[x[front] @ x[i] >= least]
+def build_graph(x: np.ndarray, degree: int, beam: int, seed: int = 8) -> np.ndarray:
+    """Padded neighbour lists of unit vectors, by insertion in batches that at most double the graph."""
+    n = len(x)
+    lists = np.full((n, degree), -1, dtype=np.int64)
+    start = int((x @ x.mean(axis=0)).argmax())
+    order = np.random.default_rng(seed).permutation(n)
+    order = np.concatenate([[start], order[order != start]])
+    at = 1
+    while at < n:
+        batch = order[at : at + min(at, max(32, n // 8))]
+        found = np.concatenate([beam_search(x, x[batch], lists, start, beam), lists[batch]], axis=1)
+        lists[batch] = robust_prune(x, batch, found, degree)
+        # The other direction, at most degree new edges of a node at a time.
+        src, dst = np.repeat(batch, degree), lists[batch].ravel()
+        src, dst = src[dst >= 0], dst[dst >= 0]
+        by = np.argsort(dst, kind="stable")
+        src, dst = src[by], dst[by]
+        place = np.arange(len(dst)) - np.searchsorted(dst, dst)
+        for r in range(0, int(place.max(initial=-1)) + 1, degree):
+            use = (place >= r) & (place < r + degree)
+            nodes, row = np.unique(dst[use], return_inverse=True)
+            new = np.full((len(nodes), degree), -1, dtype=np.int64)
+            new[row, place[use] - r] = src[use]
+            lists[nodes] = robust_prune(x, nodes, np.concatenate([lists[nodes], new], axis=1), degree)
+        at += len(batch)
+    return lists
+
+
+def expand(x: np.ndarray, v: int, entries: np.ndarray, lists: np.ndarray, least: float) -> np.ndarray:
+    """Nodes in range of node v that a walk over nodes in range reaches from the entries."""
+    seen = np.zeros(len(x) + 1, dtype=bool)
+    seen[-1] = True  # where -1 points
+    front = entries[x[entries] @ x[v] >= least]
     seen[front] = True
     while len(front):
-        near = np.unique(np.concatenate([dst[off[a] : off[a + 1]] for a in front.tolist()]))
+        near = np.unique(lists[front])
         near = near[~seen[near]]
-        front = near[x[near] @ x[i] >= least]
+        front = near[x[near] @ x[v] >= least]
         seen[front] = True
-    return np.flatnonzero(seen)
+    seen[v] = False
+    return np.flatnonzero(seen[:-1])
 
 
 def _vectors(frame: pd.DataFrame) -> np.ndarray:
     return np.stack(frame["vec"].to_numpy()).astype(np.float64)
 
 
-def _builder(degree: int):
+def _builder(degree: int, beam: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("sid")
         nodes = frame["sid"].to_numpy()
-        out = robust_prune(unit(_vectors(frame)), degree)
-        return pd.DataFrame({"sid": nodes, "near": [nodes[row[row >= 0]] for row in out]})
+        lists = build_graph(unit(_vectors(frame)), degree, beam)
+        return pd.DataFrame({"sid": nodes, "near": [nodes[row[row >= 0]] for row in lists]})
 
     return run
 
 
-def in_merged(raw: np.ndarray, mult: np.ndarray, home: np.ndarray, mine: np.ndarray, cross: bool, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links of each home node and the least node of each node's component, by products of all with all;
-    cross: only those between the two blocks."""
-    n = len(raw)
+_FOUND = "a long, b long, links long, cross boolean"
+
+
+class Links:
+    """What a shard finds: links between home nodes as bits, pairs of a home node and another, and a forest of both."""
+
+    def __init__(self, home: np.ndarray):
+        self.home = np.flatnonzero(home)
+        self.place = np.full(len(home), -1)
+        self.place[self.home] = np.arange(len(self.home))
+        self.width = -(-len(self.home) // 8)
+        self.bits = np.zeros((8 * self.width, self.width), dtype=np.uint8)
+        self.pairs: list[np.ndarray] = []
+        self.parent = np.arange(len(home))
+
+    def find(self, v: int) -> int:
+        while self.parent[v] != v:
+            self.parent[v] = self.parent[self.parent[v]]
+            v = self.parent[v]
+        return v
+
+    def add(self, v: int, found: np.ndarray) -> None:
+        at = self.place[found]
+        row = np.zeros(8 * self.width, dtype=bool)
+        row[at[at >= 0]] = True
+        self.bits[self.place[v]] |= np.packbits(row)
+        if (at < 0).any():
+            self.pairs.append(np.column_stack([np.full((at < 0).sum(), v), found[at < 0]]))
+        p = self.find(v)
+        others = self.parent[found]
+        for w in np.unique(others[others != p]).tolist():
+            q = self.find(w)
+            if p != q:
+                self.parent[max(p, q)] = min(p, q)
+                p = min(p, q)
+
+    def counts(self, mult: np.ndarray) -> np.ndarray:
+        """Links of each home node to home nodes, a link found from either end counting for both."""
+        out, weight = np.zeros(len(self.home), dtype=np.int64), np.zeros(8 * self.width, dtype=np.int64)
+        weight[: len(self.home)] = mult[self.home]
+        for k in range(0, len(self.home), 512):
+            there = np.unpackbits(self.bits[k : k + 512], axis=1).astype(bool)
+            back = np.unpackbits(self.bits[:, k // 8 : (k + 512) // 8], axis=1).astype(bool).T
+            both = (there[: len(back)] | back[: len(there)]) @ weight
+            out[k : k + 512] = both[: len(out[k : k + 512])]
+        return out
+
+    def frame(self, nodes: np.ndarray, mult: np.ndarray) -> pd.DataFrame:
+        roots = np.array([self.find(v) for v in range(len(nodes))], dtype=np.int64)
+        links = np.zeros(len(nodes), dtype=np.int64)
+        links[self.home] = self.counts(mult)
+        keep = (self.place >= 0) | (roots != np.arange(len(nodes)))
+        pairs = np.concatenate(self.pairs) if self.pairs else np.zeros((0, 2), dtype=np.int64)
+        own = pd.DataFrame({"a": nodes[keep], "b": nodes[roots[keep]], "links": links[keep], "cross": False})
+        return pd.concat([own, pd.DataFrame({"a": nodes[pairs[:, 0]], "b": nodes[pairs[:, 1]], "links": 0, "cross": True})])
+
+
+def in_merged(raw: np.ndarray, home: np.ndarray, mine: np.ndarray, cross: bool, cosine: float) -> Links:
+    """Links of each home node by products of all with all; cross: only those between the two blocks."""
+    raw = scaled(raw)
     norm = np.linalg.norm(raw, axis=1)
     x = raw / norm[:, None]
-    links, label = np.zeros(n, dtype=np.int64), np.arange(n)
+    links = Links(home)
     for block in np.unique(mine):
-        others = np.flatnonzero(mine != block) if cross else np.arange(n)
+        others = np.flatnonzero(mine != block) if cross else np.arange(len(raw))
         asked = np.flatnonzero(home & (mine == block))
         for k in range(0, len(asked), 512):
             part = asked[k : k + 512]
@@ -163,102 +271,72 @@ def in_merged(raw: np.ndarray, mult: np.ndarray, home: np.ndarray, mine: np.ndar
                 v, w = part[q], others[o]
                 near[q, o] = (raw[w] @ raw[v]) / (norm[w] * norm[v]) >= cosine
             near[part[:, None] == others[None, :]] = False
-            links[part] = near @ mult[others]
-            for q, v in enumerate(part.tolist()):
-                met = label[others[near[q]]]
-                if (met != label[v]).any():
-                    met = np.unique(np.append(met, label[v]))
-                    label[np.isin(label, met)] = met[0]
-    return links, label
+            for q in np.flatnonzero(near.any(axis=1)).tolist():
+                links.add(int(part[q]), others[near[q]])
+    return links
 
 
 def _merged_searcher(cosine: float):
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("sid").reset_index(drop=True)
-        nodes, home = frame["sid"].to_numpy(), frame["home"].to_numpy(dtype=bool)
-        links, label = in_merged(_vectors(frame), frame["mult"].to_numpy(), home, frame["mine"].to_numpy(), key[1] != key[2], cosine)
-        keep = home | (label != np.arange(len(nodes)))
-        return pd.DataFrame({"a": nodes[keep], "b": nodes[label[keep]], "links": links[keep]})
+        links = in_merged(_vectors(frame), frame["home"].to_numpy(dtype=bool), frame["mine"].to_numpy(), key[1] != key[2], cosine)
+        return links.frame(frame["sid"].to_numpy(), frame["mult"].to_numpy())
 
     return run
 
 
-def _searcher(cosine: float):
+def _padded(near: pd.Series, nodes: np.ndarray) -> np.ndarray:
+    """The united lists as padded places in the shard; neighbours that are not in it go."""
+    lens = near.map(lambda v: 0 if v is None else len(v)).to_numpy()
+    flat = np.concatenate([np.asarray(v, dtype=np.int64) for v in near if v is not None]) if lens.any() else np.zeros(0, dtype=np.int64)
+    at = np.minimum(np.searchsorted(nodes, flat), len(nodes) - 1)
+    out = np.full((len(nodes), max(1, int(lens.max(initial=0)))), -1, dtype=np.int64)
+    out[np.repeat(np.arange(len(nodes)), lens), np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)] = np.where(nodes[at] == flat, at, -1)
+    return out
+
+
+def _searcher(cosine: float, beam: int):
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("sid").reset_index(drop=True)
         _, i, j = key
-        raw = _vectors(frame)
+        raw = scaled(_vectors(frame))
         norm = np.linalg.norm(raw, axis=1)
         x = raw / norm[:, None]
-        nodes, mult = frame["sid"].to_numpy(), frame["mult"].to_numpy()
-        home, mine = frame["home"].to_numpy(dtype=bool), frame["mine"].to_numpy()
-        n = len(nodes)
-        lists = []
-        for near in frame["near"]:
-            near = np.unique(np.asarray(near, dtype=np.int64)) if near is not None else np.zeros(0, dtype=np.int64)
-            at = np.searchsorted(nodes, near)
-            at = at[(at < n)]
-            near = near[: len(at)]
-            lists.append(at[nodes[at] == near])
-        off, dst = symmetric(lists)
-        width = max(1, int(np.diff(off).max())) if n else 1
-        padded = np.full((n, min(width, 64)), -1, dtype=np.int64)
-        for a in range(n):
-            row = dst[off[a] : off[a + 1]][: padded.shape[1]]
-            padded[a, : len(row)] = row
-        medoid = int((x @ x.mean(axis=0)).argmax())
-        asked = np.flatnonzero(home)
-        entry = np.full(n, medoid)
-        for k in range(0, len(asked), 512):
-            part = asked[k : k + 512]
-            entry[part] = enter(x, x[part], padded, medoid)
-        # Nodes without any neighbour in range have no walk to make.
-        a = np.repeat(np.arange(n), np.diff(off))
-        close = np.zeros(n, dtype=bool)
-        for k in range(0, len(dst), 1 << 18):
-            s = np.einsum("ed,ed->e", x[a[k : k + (1 << 18)]], x[dst[k : k + (1 << 18)]])
-            close[a[k : k + (1 << 18)][s >= cosine - 1e-9]] = True
-        parent = np.arange(n)
-
-        def find(v: int) -> int:
-            while parent[v] != v:
-                parent[v] = parent[parent[v]]
-                v = parent[v]
-            return v
-
-        links = np.zeros(n, dtype=np.int64)
-        for v in asked.tolist():
-            if not close[v] and (entry[v] == v or x[entry[v]] @ x[v] < cosine - 1e-9):
-                continue
-            found = expand(x, v, [v, int(entry[v])], off, dst, cosine - 1e-9)
-            found = found[found != v]
+        nodes, mine = frame["sid"].to_numpy(), frame["mine"].to_numpy()
+        lists = _padded(frame["near"], nodes)
+        links = Links(frame["home"].to_numpy(dtype=bool))
+        met = beam_search(x, x[links.home], lists, int((x @ x.mean(axis=0)).argmax()), beam)
+        near = np.matmul(x[met], x[links.home][:, :, None])[:, :, 0] >= cosine - 1e-9
+        near &= (met >= 0) & (met != links.home[:, None])
+        for k in np.flatnonzero(near.any(axis=1)).tolist():
+            v = int(links.home[k])
+            found = expand(x, v, met[k][near[k]], lists, cosine - 1e-9)
             found = found[(raw[found] @ raw[v]) / (norm[found] * norm[v]) >= cosine]
             if i != j:  # two blocks: only links across them are counted here
                 found = found[mine[found] != mine[v]]
-            links[v] = int(mult[found].sum())
-            for w in found.tolist():
-                p, q = find(v), find(w)
-                if p != q:
-                    parent[max(p, q)] = min(p, q)
-        roots = np.array([find(v) for v in range(n)], dtype=np.int64)
-        keep = home | (roots != np.arange(n))
-        return pd.DataFrame({"a": nodes[keep], "b": nodes[roots[keep]], "links": np.where(home, links, 0)[keep]})
+            if len(found):
+                links.add(v, found)
+        return links.frame(nodes, frame["mult"].to_numpy())
 
     return run
 
 
-def _linked(spark: SparkSession, scratch: Scratch, classes: DataFrame, centres, spread: int, cosine: float, degree: int) -> DataFrame:
-    """(vec, sid, links, comp) of each class, searched for in shards of its ``spread`` nearest cells."""
+def _linked(scratch: Scratch, classes: DataFrame, centres, spread: int, cosine: float, degree: int, beam: int) -> DataFrame:
+    """(vec, sid, mult, links, comp) of each class, searched for in shards of its ``spread`` nearest cells."""
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c, first, merged = centres.value
         for f in frames:
-            for at in range(0, len(f), 2048):
-                g = f.iloc[at : at + 2048]
-                s = np.maximum.reduceat(unit(_vectors(g)) @ c.T, first, axis=1)
-                top = np.argsort(-s, axis=1, kind="stable")[:, :spread]
-                for r in range(spread):
-                    yield pd.DataFrame({"shard": top[:, r].astype(np.int64), "merged": merged[top[:, r]], "home": r == 0, "sid": g["sid"].to_numpy(), "mult": g["mult"].to_numpy(), "vec": g["vec"].to_numpy()})
+            for d, own in f.groupby(f["vec"].map(len), sort=False):
+                if d not in centres.value:
+                    yield pd.DataFrame({"shard": -d, "merged": True, "home": True, "sid": own["sid"].to_numpy(), "mult": own["mult"].to_numpy(), "vec": own["vec"].to_numpy()})
+                    continue
+                c, first, merged, base = centres.value[d]
+                for at in range(0, len(own), 2048):
+                    g = own.iloc[at : at + 2048]
+                    s = np.maximum.reduceat(unit(_vectors(g)) @ c.T, first, axis=1)
+                    top = np.argsort(-s, axis=1, kind="stable")[:, :spread]
+                    for r in range(top.shape[1]):
+                        yield pd.DataFrame({"shard": base + top[:, r].astype(np.int64), "merged": merged[top[:, r]], "home": r == 0, "sid": g["sid"].to_numpy(), "mult": g["mult"].to_numpy(), "vec": g["vec"].to_numpy()})
 
     members = scratch.write(classes.select("sid", "mult", "vec").mapInPandas(assign, "shard long, merged boolean, home boolean, sid long, mult long, vec array<double>"))
     sizes = members.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(float(GROUP))).cast("int").alias("blocks"))
@@ -267,52 +345,66 @@ def _linked(spark: SparkSession, scratch: Scratch, classes: DataFrame, centres,
     marks = keyed.select("shard", "sid", mine)
     dealt = _dealt(keyed, "shard").join(members, ["shard", "sid"]).join(marks, ["shard", "sid"])
     plain = dealt.where("not merged")
-    graph = plain.groupBy("shard", "i", "j").applyInPandas(_builder(degree), "sid long, near array<long>")
+    graph = plain.groupBy("shard", "i", "j").applyInPandas(_builder(degree, beam), "sid long, near array<long>")
     union = scratch.write(graph.groupBy("sid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
-    walked = plain.join(union, "sid", "left").groupBy("shard", "i", "j").applyInPandas(_searcher(cosine), "a long, b long, links long")
-    multiplied = dealt.where("merged").groupBy("shard", "i", "j").applyInPandas(_merged_searcher(cosine), "a long, b long, links long")
+    walked = plain.join(union, "sid", "left").groupBy("shard", "i", "j").applyInPandas(_searcher(cosine, beam), _FOUND)
+    multiplied = dealt.where("merged").groupBy("shard", "i", "j").applyInPandas(_merged_searcher(cosine), _FOUND)
     found = scratch.write(walked.unionByName(multiplied))
-    comps = components(spark, found.select("a", "b"), scratch)
-    counts = found.groupBy(F.col("a").alias("sid")).agg(F.sum("links").alias("links"))
-    of_class = classes.join(counts, "sid", "left").join(comps, F.col("sid") == F.col("node"), "left").select("vec", "sid", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links"), F.coalesce("comp", "sid").alias("comp"))
+    comps = components(classes.sparkSession, found.select("a", "b"), scratch)
+    pairs = found.where("cross").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = pairs.select(F.col("a").alias("sid"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("sid"), F.col("a").alias("other")))
+    across = pairs.join(classes.select(F.col("sid").alias("other"), F.col("mult").alias("links")), "other").select("sid", "links")
+    counts = found.where("not cross").select(F.col("a").alias("sid"), "links").unionByName(across).groupBy("sid").agg(F.sum("links").alias("links"))
+    of_class = classes.join(counts, "sid", "left").join(comps, F.col("sid") == F.col("node"), "left").select("vec", "sid", "mult", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links"), F.coalesce("comp", "sid").alias("comp"))
     of_class = scratch.write(of_class)
     scratch.drop(members, union, found)
     return of_class
 
 
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = COSINE, overlap: int = 3, degree: int = 16, shard: int = SHARD, audit: int = 200) -> DataFrame:
+def _fit(classes: DataFrame, lengths: dict[int, int], shard: int, cosine: float) -> dict[int, tuple]:
+    """For each length of ``shard`` classes or more: centres by cell, each cell's first, whether it is merged, and its first shard's number."""
+    out, base = {}, 0
+    for d, n in sorted(lengths.items()):
+        if n < shard and len(lengths) > 1:
+            continue
+        k = max(1, min(CENTRES, n // shard))
+        sample = draw(classes.where(F.size("vec") == d), "sid", 32 * k).select("vec").toArrow().to_pandas()
+        fitted = fit_centres(unit(_vectors(sample)), k)
+        cell = merged_cells(fitted, cosine)
+        order = np.argsort(cell, kind="stable")
+        cells = int(cell.max()) + 1
+        out[d] = (fitted[order], np.searchsorted(cell[order], np.arange(cells)), np.bincount(cell) > 1, base)
+        base += cells
+    return out
+
+
+def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = COSINE, overlap: int = 3, degree: int = DEGREE, beam: int = BEAM, shard: int = SHARD, audit: int = 200) -> DataFrame:
     """One row a vector: id, n_links, component_id, kept, and the audited recall."""
     spark, scratch = df.sparkSession, Scratch(df.sparkSession)
     rows = df.select(F.col(id_col).alias("vec_id"), F.transform(F.col(vec_col), lambda v: v.cast("double")).alias("vec"))
     good = F.col("vec_id").isNotNull() & F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vec", lambda v: v != 0)
-    sound = rows.where(F.col("vec").isNotNull() & F.coalesce(good, F.lit(False)))
-    dims = sound.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    nothing = (F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(None).cast("double").alias("recall"))
-    if dims is None:
-        return rows.select(F.col("vec_id").alias(id_col), *nothing)
-    usable = F.col("vec").isNotNull() & F.coalesce(good, F.lit(False)) & (F.size("vec") == dims["d"])
+    usable = F.col("vec").isNotNull() & F.coalesce(good, F.lit(False))
+    nothing = (F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     classes = scratch.write(rows.where(usable).groupBy("vec").agg(F.min("vec_id").alias("sid"), F.count("*").alias("mult")))
-    n = classes.count()
-    k = max(1, min(CENTRES, n // shard))
-    sample = draw(classes, "sid", 32 * k).select("vec").toArrow().to_pandas()
-    fitted = fit_centres(unit(_vectors(sample)), k)
-    cell = merged_cells(fitted, cosine)
-    order = np.argsort(cell, kind="stable")
-    n_cells = int(cell.max()) + 1
-    centres = spark.sparkContext.broadcast((fitted[order], np.searchsorted(cell[order], np.arange(n_cells)), np.bincount(cell) > 1))
+    lengths = {r["d"]: r["count"] for r in classes.groupBy(F.size("vec").alias("d")).count().collect()}
+    if not lengths:
+        return rows.select(F.col("vec_id").alias(id_col), *nothing, F.lit(None).cast("double").alias("recall"))
+    fitted = _fit(classes, lengths, shard, cosine)
+    most = max((len(first) for _, first, _, _ in fitted.values()), default=1)
+    centres = spark.sparkContext.broadcast(fitted)
     while True:
-        spread = min(overlap, n_cells)
-        of_class = _linked(spark, scratch, classes, centres, spread, cosine, degree)
+        spread = min(overlap, most)
+        of_class = _linked(scratch, classes, centres, spread, cosine, degree, beam)
         recall = audit_recall(of_class, classes, audit, cosine)
-        if recall is None or recall >= RECALL or spread == n_cells:
+        if recall is None or recall >= RECALL or (spread == most and beam >= 8 * BEAM):
             break
         scratch.drop(of_class)
-        overlap *= 2
+        overlap, beam = 2 * overlap, 2 * beam
     # Joined by the vector itself; a hot vector's rows are split, its class is one row.
+    audited = F.lit(recall).cast("double").alias("recall")
     linked = rows.where(usable).join(of_class, "vec").select("vec_id", "links", "comp")
-    out = linked.select("vec_id", F.col("links").cast("long").alias("n_links"), F.col("comp").alias("component_id"), (F.col("vec_id") == F.col("comp")).alias("kept"), F.lit(recall).cast("double").alias("recall"))
-    rest = rows.where(~F.coalesce(usable, F.lit(False))).select("vec_id", *nothing[:-1], F.lit(recall).cast("double").alias("recall"))
-    return out.unionByName(rest).withColumnRenamed("vec_id", id_col)
+    out = linked.select("vec_id", F.col("links").cast("long").alias("n_links"), F.col("comp").alias("component_id"), (F.col("vec_id") == F.col("comp")).alias("kept"), audited)
+    return out.unionByName(rows.where(~usable).select("vec_id", *nothing, audited)).withColumnRenamed("vec_id", id_col)
 
 
 def audit_recall(of_class: DataFrame, classes: DataFrame, audit: int, cosine: float) -> float | None:
@@ -320,13 +412,16 @@ def audit_recall(of_class: DataFrame, classes: DataFrame, audit: int, cosine: fl
     drawn = draw(of_class, "sid", audit, seed=1).toArrow().to_pandas()
     if drawn.empty:
         return None
-    queries = classes.sparkSession.sparkContext.broadcast(unit(_vectors(drawn)))
+    asked = {d: (own.index.to_numpy(), unit(_vectors(own))) for d, own in drawn.groupby(drawn["vec"].map(len))}
+    queries = classes.sparkSession.sparkContext.broadcast(asked)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(queries.value))
+        total = np.zeros(sum(len(at) for at, _ in queries.value.values()))
         for f in frames:
-            if len(f):
-                total += (f["mult"].to_numpy()[:, None] * (unit(_vectors(f)) @ queries.value.T >= cosine)).sum(axis=0)
+            for d, own in f.groupby(f["vec"].map(len), sort=False):
+                if d in queries.value:
+                    at, q = queries.value[d]
+                    total[at] += (own["mult"].to_numpy()[:, None] * (unit(_vectors(own)) @ q.T >= cosine)).sum(axis=0)
         yield pd.DataFrame({"q": np.arange(len(total)), "links": total})
 
     truth = classes.select("vec", "mult").mapInPandas(count, "q long, links double").groupBy("q").agg(F.sum("links").alias("links")).orderBy("q").toArrow().to_pandas()["links"].to_numpy() - 1
@@ -335,14 +430,14 @@ def audit_recall(of_class: DataFrame, classes: DataFrame, audit: int, cosine: fl
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")).drop("recall")
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
 
 
-#: All pairs by brute force: right where the table is small.
+#: All pairs by brute force: right where the table is small, where the graph misses none and its audit says 1.
 ORACLE = """
 WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS l FROM v),
 p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) / (a.l * b.l) >= 0.9e0),
 r AS (SELECT vec_id, vec_id AS other FROM v UNION SELECT r.vec_id, p.b FROM r JOIN p ON p.a = r.other)
-SELECT v.vec_id, (SELECT count(*) FROM p WHERE p.a = v.vec_id)::BIGINT AS n_links, min(r.other)::BIGINT AS component_id, v.vec_id = min(r.other) AS kept FROM v JOIN r ON r.vec_id = v.vec_id GROUP BY v.vec_id
+SELECT v.vec_id, (SELECT count(*) FROM p WHERE p.a = v.vec_id)::BIGINT AS n_links, min(r.other)::BIGINT AS component_id, v.vec_id = min(r.other) AS kept, (SELECT CASE WHEN count(*) > 0 THEN 1.0e0 END FROM p) AS recall FROM v JOIN r ON r.vec_id = v.vec_id GROUP BY v.vec_id
 """
