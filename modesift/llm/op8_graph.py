@@ -5,12 +5,13 @@ each to its nearest cell (its home) and to the ``overlap`` - 1 next ones. A cell
 centres that reach each other by steps in range: a large group of near copies draws many centres, and
 its links must not be cut by them. In such a merged cell nearly all are in range of all, so its links
 are found by plain products. In each other shard a flat graph is built by insertion in growing batches:
-a beam search from the medoid over the graph so far gives a node's candidates, and robust pruning keeps
-the nearest, drops those that are nearer to it than to the node, keeps the nearest of the rest, and so
-on, up to ``degree``; edges are made in both directions and pruned alike. The adjacency lists of all
-shards are united by node. The search then runs in each shard for the nodes at home there, on the united
-graph: a beam search from the medoid, and from all that it met in range an expansion over neighbours for
-as long as they are in range. What is found is verified by its cosine in double precision. Links between
+a beam search over the graph so far, from the nearest of twice as many medoids as the root of the shard's
+size, gives a node's candidates, and robust pruning keeps the nearest, drops those that are nearer to it
+than to the node, keeps the nearest of the rest, and so on, up to ``degree``; edges are made in both
+directions and pruned alike. The adjacency lists of all shards are united by node. The search then runs
+in each shard for the nodes at home there, on the united graph: a beam search from the medoids, and from
+all that it met in range an expansion over neighbours, by edges of either direction, for as long as they
+are in range. What is found is verified by its cosine in double precision. Links between
 nodes of one home are counted for both ends, those across homes are listed as pairs (of few nodes at
 the edges of cells) and counted once for both, so the two ends of a link agree; only a spanning forest
 leaves a shard. Recall is audited against brute force for ``audit`` vectors (a stated query set against
@@ -108,16 +109,30 @@ def robust_prune(x: np.ndarray, at: np.ndarray, near: np.ndarray, degree: int) -
     return out
 
 
-def beam_search(x: np.ndarray, asked: np.ndarray, lists: np.ndarray, start: int, beam: int) -> np.ndarray:
-    """The ``beam`` nearest nodes (-1 for none) that a greedy search from the start meets for each query,
-    over padded neighbour lists."""
+def medoids(x: np.ndarray, seed: int = 8) -> np.ndarray:
+    """Nodes nearest to the middles of 2 sqrt(n) cells around drawn nodes."""
+    n = len(x)
+    drawn = x[np.random.default_rng(seed).choice(n, min(n, max(1, int(2 * np.sqrt(n)))), replace=False)]
+    cell = np.concatenate([(x[k : k + 4096] @ drawn.T).argmax(axis=1) for k in range(0, n, 4096)])
+    middle = np.zeros_like(drawn)
+    np.add.at(middle, cell, x)
+    order = np.lexsort((-np.einsum("nd,nd->n", x, middle[cell]), cell))
+    return np.sort(order[np.unique(cell[order], return_index=True)[1]])
+
+
+def beam_search(x: np.ndarray, asked: np.ndarray, lists: np.ndarray, starts: np.ndarray, beam: int) -> np.ndarray:
+    """The ``beam`` nearest nodes (-1 for none) that a greedy search from the nearest starts meets for each
+    query, over padded neighbour lists."""
     out = np.full((len(asked), beam), -1, dtype=np.int64)
+    width = min(beam, len(starts))
     for k in range(0, len(asked), 512):
         q = asked[k : k + 512]
         ids = np.full((len(q), beam), -1, dtype=np.int64)
         score = np.full((len(q), beam), -np.inf)
         done = np.zeros((len(q), beam), dtype=bool)
-        ids[:, 0], score[:, 0] = start, q @ x[start]
+        s = q @ x[starts].T
+        first = np.argpartition(-s, width - 1, axis=1)[:, :width]
+        ids[:, :width], score[:, :width] = starts[first], np.take_along_axis(s, first, axis=1)
         active = np.arange(len(q))
         while len(active):
             open_ = np.where(done[active] | (ids[active] < 0), -np.inf, score[active])
@@ -141,17 +156,16 @@ def beam_search(x: np.ndarray, asked: np.ndarray, lists: np.ndarray, start: int,
 
 
 def build_graph(x: np.ndarray, degree: int, beam: int, seed: int = 8) -> np.ndarray:
-    """Padded neighbour lists of unit vectors, by insertion in batches that at most double the graph."""
+    """Padded neighbour lists of unit vectors, by insertion in batches that at most double the graph; the
+    medoids, where searches start, come first and are linked among themselves."""
     n = len(x)
     lists = np.full((n, degree), -1, dtype=np.int64)
-    start = int((x @ x.mean(axis=0)).argmax())
+    starts = medoids(x)
     order = np.random.default_rng(seed).permutation(n)
-    order = np.concatenate([[start], order[order != start]])
-    at = 1
-    while at < n:
-        batch = order[at : at + min(at, max(32, n // 8))]
-        found = np.concatenate([beam_search(x, x[batch], lists, start, beam), lists[batch]], axis=1)
-        lists[batch] = robust_prune(x, batch, found, degree)
+    order = order[~np.isin(order, starts)]
+
+    def insert(batch: np.ndarray, found: np.ndarray) -> None:
+        lists[batch] = robust_prune(x, batch, np.concatenate([found, lists[batch]], axis=1), degree)
         # The other direction, at most degree new edges of a node at a time.
         src, dst = np.repeat(batch, degree), lists[batch].ravel()
         src, dst = src[dst >= 0], dst[dst >= 0]
@@ -164,23 +178,44 @@ def build_graph(x: np.ndarray, degree: int, beam: int, seed: int = 8) -> np.ndar
             new = np.full((len(nodes), degree), -1, dtype=np.int64)
             new[row, place[use] - r] = src[use]
             lists[nodes] = robust_prune(x, nodes, np.concatenate([lists[nodes], new], axis=1), degree)
+
+    s = x[starts] @ x[starts].T
+    insert(starts, starts[np.argsort(-s, axis=1)[:, : beam + 1]])
+    at = 0
+    while at < len(order):
+        batch = order[at : at + min(at + len(starts), max(32, n // 8))]
+        insert(batch, beam_search(x, x[batch], lists, starts, beam))
         at += len(batch)
     return lists
 
 
-def expand(x: np.ndarray, v: int, entries: np.ndarray, lists: np.ndarray, least: float) -> np.ndarray:
-    """Nodes in range of node v that a walk over nodes in range reaches from the entries."""
-    seen = np.zeros(len(x) + 1, dtype=bool)
-    seen[-1] = True  # where -1 points
-    front = entries[x[entries] @ x[v] >= least]
-    seen[front] = True
-    while len(front):
-        near = np.unique(lists[front])
-        near = near[~seen[near]]
-        front = near[x[near] @ x[v] >= least]
+class Walk:
+    """The lists' edges in both directions, to walk over nodes in range."""
+
+    def __init__(self, lists: np.ndarray):
+        n = len(lists)
+        a, b = np.repeat(np.arange(n), lists.shape[1]), lists.ravel()
+        a, b = a[b >= 0], b[b >= 0]
+        code = np.unique(np.concatenate([a * n + b, b * n + a]))
+        self.to = code % max(n, 1)
+        self.off = np.searchsorted(code // max(n, 1), np.arange(n + 1))
+
+    def neighbours(self, front: np.ndarray) -> np.ndarray:
+        lens = self.off[front + 1] - self.off[front]
+        return np.unique(self.to[np.repeat(self.off[front] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())])
+
+    def expand(self, x: np.ndarray, v: int, entries: np.ndarray, least: float) -> np.ndarray:
+        """Nodes in range of node v that a walk over nodes in range reaches from the entries."""
+        seen = np.zeros(len(x), dtype=bool)
+        front = entries[x[entries] @ x[v] >= least]
         seen[front] = True
-    seen[v] = False
-    return np.flatnonzero(seen[:-1])
+        while len(front):
+            near = self.neighbours(front)
+            near = near[~seen[near]]
+            front = near[x[near] @ x[v] >= least]
+            seen[front] = True
+        seen[v] = False
+        return np.flatnonzero(seen)
 
 
 def _vectors(frame: pd.DataFrame) -> np.ndarray:
@@ -305,12 +340,13 @@ def _searcher(cosine: float, beam: int):
         nodes, mine = frame["sid"].to_numpy(), frame["mine"].to_numpy()
         lists = _padded(frame["near"], nodes)
         links = Links(frame["home"].to_numpy(dtype=bool))
-        met = beam_search(x, x[links.home], lists, int((x @ x.mean(axis=0)).argmax()), beam)
+        met = beam_search(x, x[links.home], lists, medoids(x), beam)
+        walk = Walk(lists)
         near = np.matmul(x[met], x[links.home][:, :, None])[:, :, 0] >= cosine - 1e-9
         near &= (met >= 0) & (met != links.home[:, None])
         for k in np.flatnonzero(near.any(axis=1)).tolist():
             v = int(links.home[k])
-            found = expand(x, v, met[k][near[k]], lists, cosine - 1e-9)
+            found = walk.expand(x, v, met[k][near[k]], cosine - 1e-9)
             found = found[(raw[found] @ raw[v]) / (norm[found] * norm[v]) >= cosine]
             if i != j:  # two blocks: only links across them are counted here
                 found = found[mine[found] != mine[v]]

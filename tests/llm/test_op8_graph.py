@@ -87,12 +87,26 @@ def test_graph_finds_nearest(spark):
     x = op8_graph.unit(rng.normal(size=(1500, 24)))
     lists = op8_graph.build_graph(x, 16, 24)
     assert ((lists >= -1) & (lists < len(x))).all() and (lists != np.arange(len(x))[:, None]).all()
-    got = op8_graph.beam_search(x, x, lists, int((x @ x.mean(axis=0)).argmax()), 24)
+    got = op8_graph.beam_search(x, x, lists, op8_graph.medoids(x), 24)
     s = x @ x.T
     np.fill_diagonal(s, -1)
     assert np.mean([s[i].argmax() in got[i] for i in range(len(x))]) >= 0.9
 
 
+def test_a_tight_group_among_strangers_is_reached():
+    """A group much nearer to itself than to all else has few edges from outside: medoids lead to it."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(4000, 64))
+    x[::20] = x[0] + rng.normal(size=(200, 64)) * 0.2
+    x = op8_graph.unit(x)
+    lists = op8_graph.build_graph(x, 16, 24)
+    met, walk = op8_graph.beam_search(x, x[::20], lists, op8_graph.medoids(x), 24), op8_graph.Walk(lists)
+    for v, found in zip(range(0, 4000, 20), met, strict=True):
+        near = np.flatnonzero(x @ x[v] >= 0.9)
+        entries = found[(found >= 0) & (found != v)]
+        assert len(walk.expand(x, v, entries[x[entries] @ x[v] >= 0.9], 0.9)) >= 0.95 * (len(near) - 1)
+
+
 def test_counts_agree_at_both_ends():
     rng = np.random.default_rng(3)
     home = rng.random(37) < 0.8
