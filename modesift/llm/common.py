@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import uuid
 from collections.abc import Iterator
@@ -85,6 +87,21 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tidy(run):
+    """run, and after it what it has freed goes back to the system: workers are reused by the next stages."""
+
+    @functools.wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError):  # glibc only
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 def arrow_rows(batch: pa.RecordBatch, max_bytes: int, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of rows whose texts hold about max_bytes; a longer text stands alone."""
     sizes = np.diff(text_offsets(batch.column(column)))

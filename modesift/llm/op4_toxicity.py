@@ -36,9 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, crc_mod, documents, draw, text_bytes
+from .common import Scratch, arrow_rows, crc_mod, documents, draw, text_bytes, tidy
 
 SAMPLE = 60_000
+BLOCK = 1 << 21  # bytes of text taken out of a batch at once
 CLAUSE = re.compile(r"[.!?;\n]+")
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[\"“”«»„]")
 SHORTEST, LONGEST = 4, 10
@@ -193,7 +194,7 @@ class Grammar:
         """What the lexicon transducer writes for a word."""
         if word in self.symbols:
             return self.symbols[word]
-        if len(self.symbols) > 200_000:
+        if len(self.symbols) > 50_000:
             self.symbols.clear()
         out = next((self.lexicon[word[:n]] for n in range(min(len(word), self.longest), SHORTEST - 1, -1) if word[:n] in self.lexicon), None) or SEEDS.get(word)
         if out is not None:
@@ -220,7 +221,7 @@ class Grammar:
                 key.append(s)
         key = tuple(key)
         if key not in self.known:
-            if len(self.known) > 50_000:
+            if len(self.known) > 4_000:
                 self.known.clear()
             self.known[key] = self.fst.best(key)
         return self.known[key]
@@ -251,10 +252,11 @@ def _counter(wanted: frozenset[str] | None):
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["beginning", "docs"])
 
         for batch in batches:
-            for text in text_bytes(batch.column("text")):
-                found = _beginnings(text.decode("utf-8", "replace"))
-                held.update(found if wanted is None else found & wanted)
-                if len(held) > 400_000:
+            for part in arrow_rows(batch, BLOCK):
+                for text in text_bytes(part.column("text")):
+                    found = _beginnings(text.decode("utf-8", "replace"))
+                    held.update(found if wanted is None else found & wanted)
+                if len(held) > 200_000:
                     yield flush()
                     held.clear()
         if held:
@@ -277,7 +279,7 @@ def learn_lexicon(sample: DataFrame, chance: float = 0.01) -> dict[str, float]:
     toxic, clean = n.get(1, 0), n.get(0, 0)
     if not toxic or not clean:
         return {}
-    count = lambda df, wanted: df.select("text").mapInArrow(_counter(wanted), "beginning string, docs long").groupBy("beginning").agg(F.sum("docs").alias("docs"))
+    count = lambda df, wanted: df.select("text").mapInArrow(tidy(_counter(wanted)), "beginning string, docs long").groupBy("beginning").agg(F.sum("docs").alias("docs"))
     least = 3
     hits = {r["beginning"]: r["docs"] for r in count(sample.where("toxic = 1"), None).where(F.col("docs") >= least).collect()}
     if not hits:
@@ -321,9 +323,10 @@ def _marks(lexicon: dict[str, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar, held = Grammar(lexicon), Counter()
         for batch in batches:
-            for text, toxic in zip(text_bytes(batch.column("text")), batch.column("toxic").to_pylist(), strict=True):
-                for _, out in grammar.clauses(text.decode("utf-8", "replace")):
-                    held.update((s[2], toxic) for s in out if type(s) is tuple)
+            for part in arrow_rows(batch, BLOCK):
+                for text, toxic in zip(text_bytes(part.column("text")), part.column("toxic").to_pylist(), strict=True):
+                    for _, out in grammar.clauses(text.decode("utf-8", "replace")):
+                        held.update((s[2], toxic) for s in out if type(s) is tuple)
         yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in held], pa.string()), pa.array([t for _, t in held], pa.int32()), pa.array(list(held.values()), pa.int64())], names=["marks", "toxic", "hits"])
 
     return run
@@ -342,34 +345,37 @@ def factors_of(counts: dict[tuple[str, int], int], prior: float = PRIOR) -> dict
     return out
 
 
-def _features(lexicon: dict[str, float], factors: dict[str, float], keep: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _features(lexicon: dict[str, float], factors: dict[str, float]):
+    """A column function of texts: struct(max, sum). Only texts go to Python and only two numbers come back."""
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         grammar = Grammar(lexicon, factors)
-        for batch in batches:
-            found = [grammar.features(x.decode("utf-8", "replace")) for x in text_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.float64())], names=[*keep, "toxicity__max", "toxicity__sum"])
+        for texts in columns:
+            found = []
+            for part in arrow_rows(pa.RecordBatch.from_arrays([texts], names=["text"]), BLOCK):
+                found += [grammar.features(x.decode("utf-8", "replace")) for x in text_bytes(part.column("text"))]
+            yield pa.StructArray.from_arrays([pa.array([f[k] for f in found], pa.float64()) for k in (0, 1)], names=["max", "sum"])
 
-    return run
+    return F.arrow_udf(tidy(run), "max double, sum double", F.ArrowUDFType.SCALAR_ITER)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], dict[str, float], np.ndarray]:
     """Lexicon, factors and logistic weights."""
     rows = Scratch(docs.sparkSession).write(labelled(docs, labels, "toxic", sample))
     lexicon = learn_lexicon(rows)
-    counts = rows.mapInArrow(_marks(lexicon), "marks string, toxic int, hits long").groupBy("marks", "toxic").agg(F.sum("hits").alias("hits")).collect()
+    counts = rows.mapInArrow(tidy(_marks(lexicon)), "marks string, toxic int, hits long").groupBy("marks", "toxic").agg(F.sum("hits").alias("hits")).collect()
     factors = factors_of({(r["marks"], r["toxic"]): r["hits"] for r in counts})
-    found = rows.mapInArrow(_features(lexicon, factors, ["toxic"]), "toxic int, toxicity__max double, toxicity__sum double").toArrow().to_pandas()
+    found = rows.select("toxic", _features(lexicon, factors)("text").alias("f")).select("toxic", "f.max", "f.sum").toArrow().to_pandas()
     if found["toxic"].nunique() < 2:
         return lexicon, factors, DEFAULT_FIT
-    return lexicon, factors, fit_logistic(found[["toxicity__max", "toxicity__sum"]].to_numpy(), found["toxic"].to_numpy(dtype=float))
+    return lexicon, factors, fit_logistic(found[["max", "sum"]].to_numpy(), found["toxic"].to_numpy(dtype=float))
 
 
 def score(docs: DataFrame, lexicon: dict[str, float], factors: dict[str, float], fit: np.ndarray) -> DataFrame:
     """docs with toxicity__score."""
     cols = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    found = docs.mapInArrow(_features(lexicon, factors, cols), f"{schema}, toxicity__max double, toxicity__sum double")
-    z = F.lit(float(fit[0])) + F.lit(float(fit[1])) * F.col("toxicity__max") + F.lit(float(fit[2])) * F.col("toxicity__sum")
+    found = docs.withColumn("toxicity__f", _features(lexicon, factors)(F.col("text")))
+    z = F.lit(float(fit[0])) + F.lit(float(fit[1])) * F.col("toxicity__f.max") + F.lit(float(fit[2])) * F.col("toxicity__f.sum")
     return found.withColumn("toxicity__score", 1 / (1 + F.exp(-z))).select(*(F.col(f"`{c}`") for c in cols), "toxicity__score")
 
 

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_rows, crc_mod, documents, shuffle_partitions, text_bytes, text_or_empty
+from .common import Scratch, arrow_rows, crc_mod, documents, shuffle_partitions, text_bytes, tidy, text_or_empty
 
 DEPTH = 5
 MARK = b"\xff"  # never part of UTF-8: stands before and after every text
@@ -277,7 +277,7 @@ def build(strings: DataFrame, scratch: Scratch, part: int = PART) -> DataFrame:
         for f in _whole_contexts(frames, part):
             yield Part(f["string"].to_numpy(dtype=np.int64), f["n"].to_numpy()).hand_up()
 
-    third = scratch.write(dealt(keyed).mapInPandas(up, "context long, node long, zeros long, ones long, weighted long"))
+    third = scratch.write(dealt(keyed).mapInPandas(tidy(up), "context long, node long, zeros long, ones long, weighted long"))
     summed = lambda df, by: df.groupBy(by, "node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "weighted")))
     second = summed(third.withColumn("pair", F.col("context").bitwiseAND(0xFFFF)), "pair")
     second = scratch.write(second.mapInPandas(_second, "pair long, node long, zeros long, ones long, weighted long, keep double"))
@@ -294,7 +294,7 @@ def build(strings: DataFrame, scratch: Scratch, part: int = PART) -> DataFrame:
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     both = keyed.select("context", "string", "n", none("long", "node"), none("long", "zeros"), none("long", "ones"), none("double", "keep"))
     both = both.unionByName(above.select("context", none("long", "string"), F.lit(0).cast("long").alias("n"), "node", "zeros", "ones", "keep"))
-    return dealt(both).mapInPandas(predict, "string long, n long, log10_p long")
+    return dealt(both).mapInPandas(tidy(predict), "string long, n long, log10_p long")
 
 
 # --- scores --------------------------------------------------------------------------------------
@@ -412,7 +412,7 @@ def score(df: DataFrame, held_out: str = "held_out", string_share: int = STRING_
     """df(doc_id, text, held_out): doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     spark, scratch = df.sparkSession, Scratch(df.sparkSession)
     rows = df.select("doc_id", text_or_empty("text").alias("text"), F.col(held_out).alias("held_out"))
-    counts = rows.select("text", "held_out").mapInArrow(_count, "string long, word binary, n long").groupBy("string", "word").agg(F.sum("n").alias("n"))
+    counts = rows.select("text", "held_out").mapInArrow(tidy(_count), "string long, word binary, n long").groupBy("string", "word").agg(F.sum("n").alias("n"))
     counts = scratch.write(counts)
     total = counts.groupBy(F.col("word").isNotNull().alias("words")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
     (n_words, v_words), n_strings = next(((r["n"], r["v"]) for r in total if r["words"]), (0, 0)), next((r["n"] for r in total if not r["words"]), 0)
@@ -427,7 +427,7 @@ def score(df: DataFrame, held_out: str = "held_out", string_share: int = STRING_
     table = spark.sparkContext.broadcast((held["string"].to_numpy(), held["log10_p"].to_numpy()))
     del held
     rare = model.where(~common).select(F.unhex(F.concat(F.lit(_STRING.hex()), F.lpad(F.hex("string"), 12, "0"))).alias("key"), F.col("log10_p").alias("v")).unionByName(words.where(~many).select("key", "v"))
-    flat = rows.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(_scorer(frequent, table, scratch.root), _FLAT)
+    flat = rows.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(tidy(_scorer(frequent, table, scratch.root)), _FLAT)
     met = flat.join(rare, "key", "left")
     add = lambda name, when, c: (F.coalesce(F.sum(f"stats.{name}"), F.lit(0)) + F.coalesce(F.sum(F.when(F.expr(when), c)), F.lit(0))).alias(name)
     none = F.lit(None).cast("long")

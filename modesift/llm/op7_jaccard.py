@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_rows, components, documents, mix64, shingle_sets, shuffle_partitions, text_bytes
+from .common import Scratch, arrow_rows, components, documents, mix64, shingle_sets, shuffle_partitions, text_bytes, tidy
 
 FREQUENT = 1 << 18
 CHUNK = 1 << 22
@@ -393,7 +393,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
     spark, scratch = df.sparkSession, Scratch(df.sparkSession)
     texts = df.select(F.col(text_col).alias("text"))
     kind = df.schema[id_col].dataType.simpleString()
-    both = scratch.write(df.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(_id_sets(width, id_col), f"`{id_col}` {kind}, {_IDS}"))
+    both = scratch.write(df.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(tidy(_id_sets(width, id_col)), f"`{id_col}` {kind}, {_IDS}"))
     ids = both.where("sid is not null").select(id_col, "sid", "n", "sig")
     counted = both.where("shingle is not null").groupBy("shingle").agg(F.sum("docs").alias("docs"))
     # Shingles with a share of 1 / FREQUENT of all counts or more: at most FREQUENT of them, without any ordering.
@@ -403,14 +403,14 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
     by_value = np.argsort(frequent)
     order = spark.sparkContext.broadcast((frequent[by_value], top["docs"].to_numpy(dtype=np.int64)[by_value]))
 
-    postings = texts.mapInArrow(_postings(width, num, den, order), "shingle long, sid long, n int")
+    postings = texts.mapInArrow(tidy(_postings(width, num, den, order)), "shingle long, sid long, n int")
     sorted_postings = postings.repartition(shuffle_partitions(spark), "shingle").sortWithinPartitions("shingle", "n", "sid")
-    sized = scratch.write(sorted_postings.mapInArrow(_sized(num, den), "shingle long, sid long"))
+    sized = scratch.write(sorted_postings.mapInArrow(tidy(_sized(num, den)), "shingle long, sid long"))
     blocks = F.ceil(F.count("*") / F.lit(float(GROUP))).cast("int")
     hot = sized.groupBy("shingle").agg(blocks.alias("blocks")).where("blocks > 1")
     classes = ids.where("sid <> 0").groupBy("sid").agg(F.min(id_col).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     asked = _dealt(sized.join(hot, "shingle", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))), "shingle").join(classes.drop("rep"), "sid")
-    mates = asked.repartition(shuffle_partitions(spark), "shingle", "i", "j").select("shingle", "i", "j", "sid", "n", "sig").mapInArrow(_mate_finder(num, den), "leader long, sid long")
+    mates = asked.repartition(shuffle_partitions(spark), "shingle", "i", "j").select("shingle", "i", "j", "sid", "n", "sig").mapInArrow(tidy(_mate_finder(num, den)), "leader long, sid long")
     met = scratch.write(mates.distinct())
     scratch.drop(sized)
 
@@ -420,7 +420,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
     bits = np.zeros(words, dtype=np.uint64)
     bits[rows["word"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64).view(np.uint64)
     bitmap = spark.sparkContext.broadcast(bits)
-    sets = texts.mapInArrow(_active_sets(width, bitmap), "sid long, shingles binary").dropDuplicates(["sid"])
+    sets = texts.mapInArrow(tidy(_active_sets(width, bitmap)), "sid long, shingles binary").dropDuplicates(["sid"])
     sizes = met.groupBy("leader").agg(F.ceil(F.count("*") / F.lit(float(GROUP))).cast("int").alias("blocks"))
     dealt = _dealt(met.join(sizes, "leader"), "leader")
     links = dealt.join(sets, "sid").groupBy("leader", "i", "j").applyInPandas(_joiner(num, den, order), "a long, b long")
