@@ -15,39 +15,78 @@ from ..functions import profiles as P
 from .relational import frequency_clusters
 
 
+SHAPE = "profile array<double>, r0 double, width double"
+
+
+def shapes(mode: pd.Series) -> pd.DataFrame:
+    """Ridge profile, centroid and width of modes: all of a mode that the comparison needs."""
+    rows = []
+    for m in mode:
+        cells = np.array([list(row) for row in m], dtype=np.float32)
+        profile = P.ridge_profile(cells, P.ridge(cells))
+        rows.append((np.asarray(profile, dtype=np.float64), *map(float, P.profile_location(profile))))
+    return pd.DataFrame(rows, columns=["profile", "r0", "width"])
+
+
+def _members(df: DataFrame, group: list[str], key: str, tolerance: float) -> tuple[DataFrame, DataFrame]:
+    """Clusters of one, and the members of larger ones with their shapes."""
+    marks = frequency_clusters(df, group, "omega", key, tolerance)
+    sized = marks.join(marks.groupBy(*group, "cluster_index").agg(F.count("*").alias("members")), [*group, "cluster_index"])
+    alone = sized.where("members = 1").select(*group, key, "cluster_index", F.lit(1).alias("type_index"), F.lit(True).alias("selected"))
+    shaped = df.select(*group, key, "omega", "score", F.pandas_udf(shapes, SHAPE)("mode").alias("shape"))
+    return alone, sized.where("members > 1").select(*group, key, "cluster_index").join(shaped, [*group, key])
+
+
+def _typed(frame: pd.DataFrame, key: str, tolerance: float, cosine: float, r_tol: float, width_tol: float) -> tuple[pd.DataFrame, list[tuple]]:
+    """type_index and selected of a cluster's members, and the comparisons made."""
+    frame = frame.sort_values(["score", "omega", key], ascending=[False, True, True], kind="stable")
+    kept = [(np.asarray(s["profile"], dtype=np.float64), s["r0"], s["width"]) for s in frame["shape"]]
+    omega, names = frame["omega"].to_numpy(), frame[key].tolist()
+    types: list[int] = []
+    at, chosen, log = np.zeros(len(frame), dtype=int), np.zeros(len(frame), dtype=bool), []
+    for i in range(len(frame)):
+        for t, rep in enumerate(types):
+            apart = abs(omega[i] - omega[rep]) / max(abs(omega[rep]), 1e-12)
+            same = bool(apart < tolerance and P.same_type(kept[i], kept[rep], cosine, r_tol, width_tol))
+            log.append((names[i], names[rep], float(apart), float(abs(kept[i][1] - kept[rep][1])), float(abs(kept[i][2] - kept[rep][2])), same))
+            if same:
+                at[i] = t + 1
+                break
+        else:
+            types.append(i)
+            at[i], chosen[i] = len(types), True
+    return frame.assign(type_index=at, selected=chosen), log
+
+
 def representatives(df: DataFrame, group: list[str], key: str = "mode_id", tolerance: float = 0.02, cosine: float = 0.90, r_tol: float = 0.10, width_tol: float = 0.05) -> DataFrame:
     """df(group, key, omega, score, mode): group, key, cluster_index, type_index, selected.
 
     In a cluster modes are taken by score, best first (ties by frequency, then key), and join the first
     type whose representative is close in frequency, profile, centroid and width; else they open one and
     represent it. A cluster of one is its own representative."""
-    marks = frequency_clusters(df, group, "omega", key, tolerance)
-    sized = marks.join(marks.groupBy(*group, "cluster_index").agg(F.count("*").alias("members")), [*group, "cluster_index"])
-    alone = sized.where("members = 1").select(*group, key, "cluster_index", F.lit(1).alias("type_index"), F.lit(True).alias("selected"))
-    rest = sized.where("members > 1").select(*group, key, "cluster_index").join(df.select(*group, key, "omega", "score", "mode"), [*group, key])
+    alone, rest = _members(df, group, key, tolerance)
     names = [*group, key, "cluster_index", "type_index", "selected"]
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields} | {"cluster_index": "int", "type_index": "int", "selected": "boolean"}
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["score", "omega", key], ascending=[False, True, True], kind="stable")
-        shapes = []
-        for mode in frame["mode"]:
-            m = np.array([list(row) for row in mode], dtype=np.float32)
-            profile = P.ridge_profile(m, P.ridge(m))
-            shapes.append((profile, *P.profile_location(profile)))
-        omega = frame["omega"].to_numpy()
-        types: list[int] = []
-        at = np.zeros(len(frame), dtype=int)
-        chosen = np.zeros(len(frame), dtype=bool)
-        for i in range(len(frame)):
-            for t, rep in enumerate(types):
-                if abs(omega[i] - omega[rep]) / max(abs(omega[rep]), 1e-12) < tolerance and P.same_type(shapes[i], shapes[rep], cosine, r_tol, width_tol):
-                    at[i] = t + 1
-                    break
-            else:
-                types.append(i)
-                at[i], chosen[i] = len(types), True
-        return frame.assign(type_index=at, selected=chosen)[names]
+        return _typed(frame, key, tolerance, cosine, r_tol, width_tol)[0][names]
 
     grouped = rest.groupBy(*group, "cluster_index").applyInPandas(run, ", ".join(f"`{n}` {kinds[n]}" for n in names))
     return alone.select(*names).unionByName(grouped)
+
+
+def comparisons(df: DataFrame, group: list[str], key: str = "mode_id", tolerance: float = 0.02, cosine: float = 0.90, r_tol: float = 0.10, width_tol: float = 0.05) -> DataFrame:
+    """What ``representatives`` compared: group, cluster_index, the mode, the representative it was held
+    against, how far they are apart in frequency (relative), centroid and width, and whether they are one type."""
+    _, rest = _members(df, group, key, tolerance)
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    own = ", ".join(f"`{g}` {kinds[g]}" for g in group)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        log = _typed(frame, key, tolerance, cosine, r_tol, width_tol)[1]
+        out = pd.DataFrame(log, columns=[key, "against", "relative_omega", "d_r0", "d_width", "same"])
+        for name in [*group, "cluster_index"]:
+            out[name] = frame[name].iloc[0]
+        return out
+
+    return rest.groupBy(*group, "cluster_index").applyInPandas(run, f"{own}, cluster_index int, `{key}` {kinds[key]}, against {kinds[key]}, relative_omega double, d_r0 double, d_width double, same boolean")

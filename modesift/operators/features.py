@@ -114,14 +114,15 @@ def crossing_records(df: DataFrame, shear_from: float = 0.2) -> DataFrame:
     return d.withColumn("crossings", F.coalesce(F.concat(*both), none)).drop("w_peak", "valid")
 
 
-def crossing_summary(df: DataFrame, shear_from: float = 0.2) -> DataFrame:
-    """Seven features of the crossings; ties for a maximum go to the larger radius; zeros without any."""
+def crossing_summary(df: DataFrame, shear_from: float = 0.2, null_missing: bool = False) -> DataFrame:
+    """Seven features of the crossings; ties for a maximum go to the larger radius. Without any they are
+    zeros; with null_missing the two radii are NULL then."""
     d = crossing_records(df, shear_from) if "crossings" not in df.columns else df
     best = lambda name: F.array_max(F.transform("crossings", lambda x: F.struct(x[name].alias("v"), x["r_cross"].alias("r"))))
-    zero = F.lit(0.0)
+    zero, at = F.lit(0.0), F.lit(None if null_missing else 0.0).cast("double")
     return d.withColumns({
-        "n_cross": F.size("crossings"), "r_star_max": F.coalesce(best("W_peak")["r"], zero), "W_star_max": F.coalesce(best("W_peak")["v"], zero), "W_star_sum": A.total(F.transform("crossings", lambda x: x["W_peak"])),
-        "r_star_high_shear": F.coalesce(best("shear_weighted")["r"], zero), "W_star_high_shear": F.coalesce(best("shear_weighted")["v"], zero), "W_star_high_shear_sum": A.total(F.transform("crossings", lambda x: x["shear_weighted"])),
+        "n_cross": F.size("crossings"), "r_star_max": F.coalesce(best("W_peak")["r"], at), "W_star_max": F.coalesce(best("W_peak")["v"], zero), "W_star_sum": A.total(F.transform("crossings", lambda x: x["W_peak"])),
+        "r_star_high_shear": F.coalesce(best("shear_weighted")["r"], at), "W_star_high_shear": F.coalesce(best("shear_weighted")["v"], zero), "W_star_high_shear_sum": A.total(F.transform("crossings", lambda x: x["shear_weighted"])),
     })
 
 
@@ -167,12 +168,30 @@ CROSSING_FEATURES = ("n_cross", "r_star_max", "W_star_sum", "r_star_high_shear",
 EXTREMUM_FEATURES = ("ext_dr", "ext_df_gap", "ext_energy_frac")
 
 
-def feature_vector(df: DataFrame, crossing: bool = False) -> DataFrame:
-    """features: the 22 (or 28) named values in order as doubles. Without a boundary profile the continuum
-    ones take their fallbacks 0, 1e30, 1e30, 0 and 0."""
+# Fixed names of the feature schemas by (with crossings, with extremum).
+SCHEMAS = {(False, False): "rf_w_star_max_22_v2", (True, False): "rf_all_crossings_28_v2", (False, True): "rf_extremum_energy_25_v2", (True, True): "rf_all_crossings_extremum_energy_31_v2"}
+ENERGY_TIE_SUFFIX = "_rstar_energy_tie_v1"
+
+
+def feature_names(crossing: bool = False, extremum: bool = False) -> tuple[str, ...]:
+    return RF_FEATURES + CROSSING_FEATURES * crossing + EXTREMUM_FEATURES * extremum
+
+
+def schema_version(crossing: bool = False, extremum: bool = False, energy_tie: bool = False) -> str:
+    return SCHEMAS[crossing, extremum] + ENERGY_TIE_SUFFIX * energy_tie
+
+
+def feature_vector(df: DataFrame, crossing: bool = False, extremum: bool = False, energy_tie: bool = False, alpha: float = 1.0) -> DataFrame:
+    """features: the 22, 25, 28 or 31 named values in order as doubles. Without a boundary profile the
+    continuum ones take their fallbacks 0, 1e30, 1e30, 0 and 0, without a matched extremum its three take
+    1, 1 and 0. energy_tie: among equal distances r_star is where the energy is largest. The extremum's
+    columns (ext_dr, ext_df_gap, ext_energy_frac) come from ``gates.measure``."""
+    if extremum and (lack := set(EXTREMUM_FEATURES) - set(df.columns)):
+        raise ValueError(f"{sorted(lack)} must be measured first")
     has = F.col("low2").isNotNull() & F.col("high2").isNotNull()
-    d = crossing_summary(continuum_scalars(structure(with_energy(df))))
+    d = crossing_summary(continuum_scalars(structure(with_energy(df)), alpha, energy_tie))
     fall = {"r_star": 0.0, "delta2_eff": ABSENT, "S": ABSENT, "W_star": 0.0, "W_star_max": 0.0}
     d = d.withColumns({k: F.when(has, F.col(k)).otherwise(F.lit(v)) for k, v in fall.items()})
-    names = RF_FEATURES + (CROSSING_FEATURES if crossing else ())
-    return d.withColumn("features", F.array(*(F.col(c).cast("double") for c in names)))
+    absent = dict(zip(EXTREMUM_FEATURES, (1.0, 1.0, 0.0), strict=True))
+    value = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(absent[c])) if c in absent else F.col(c).cast("double")
+    return d.withColumn("features", F.array(*(value(c) for c in feature_names(crossing, extremum))))

@@ -5,7 +5,6 @@ Filter to the routed modes first: nothing is pushed through the Python stage.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -64,28 +63,33 @@ def measure_one(mode: np.ndarray, omega: float, low2: np.ndarray, high2: np.ndar
 
 
 def measure(df: DataFrame, cfg: GateConfig = GateConfig()) -> DataFrame:
-    """df with the array measurements; measure_error where a mode cannot be measured."""
+    """df with the array measurements; measure_error where a mode cannot be measured. Only the four inputs
+    of a measurement go to Python."""
     names = [part.strip().split(" ")[0] for part in MEASURES.split(",")]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for mode, omega, low, high in zip(frame["mode"], frame["omega"], frame["low2"], frame["high2"], strict=True):
-                try:
-                    m = np.array([list(row) for row in mode], dtype=float)
-                    rows.append(measure_one(m, float(omega), _array(low, m.shape[1]), _array(high, m.shape[1]), cfg))
-                except (ValueError, TypeError, IndexError) as e:
-                    rows.append({"measure_error": f"{type(e).__name__}: {e}"})
-            found = pd.DataFrame(rows, columns=names, index=frame.index).astype(object)
-            found = found.where(found.notna(), None)
-            yield pd.concat([frame, found], axis=1)
-
-    return df.mapInPandas(run, f"{fields}, {MEASURES}")
-
-
-def decide(df: DataFrame, cfg: GateConfig = GateConfig()) -> DataFrame:
-    """rule_decision and primary_reason: the first gate that applies, else REVIEW."""
+
+    def run(mode: pd.Series, omega: pd.Series, low2: pd.Series, high2: pd.Series) -> pd.DataFrame:
+        rows = []
+        for m, w, low, high in zip(mode, omega, low2, high2, strict=True):
+            try:
+                if m is None or low is None or high is None:
+                    raise ValueError("mode, low2 and high2 are required")
+                cells = np.array([list(row) for row in m], dtype=float)
+                rows.append(measure_one(cells, float(w), _array(low, cells.shape[1]), _array(high, cells.shape[1]), cfg))
+            except (ValueError, TypeError, IndexError) as e:
+                rows.append({"measure_error": f"{type(e).__name__}: {e}"})
+        found = pd.DataFrame(rows, columns=names, dtype=object)
+        return found.where(found.notna(), None)
+
+    taken = F.pandas_udf(run, MEASURES)
+    return df.withColumn("gates__m", taken("mode", "omega", "low2", "high2")).select("*", "gates__m.*").drop("gates__m")
+
+
+IDENTITY = ("path", "mode_key", "shot", "input_fingerprint")
+
+
+def decide(df: DataFrame, cfg: GateConfig = GateConfig(), identity: tuple[str, ...] = IDENTITY) -> DataFrame:
+    """rule_decision and primary_reason: the first gate that applies, else REVIEW. A mode needs its identity:
+    columns that are absent, NULL or empty, or a fingerprint of another length than 64, make it invalid."""
     on = lambda *t: all(x is not None for x in t)
     c = F.col
     never = F.lit(False)
@@ -96,14 +100,20 @@ def decide(df: DataFrame, cfg: GateConfig = GateConfig()) -> DataFrame:
     window = (c("n_cross") > 0) & (hits[0] | hits[1] if len(hits) > 1 else hits[0]) if hits else never
     edge = c("edge_energy_peak_in_window") & (c("edge_energy_halfmax_width_grid") <= cfg.edge_width) if on(cfg.edge_width) else never
     bad_input = c("omega").isNull() | F.isnan("omega") | (c("omega") <= 0) | c("gamma_d").isNull() | F.isnan("gamma_d") | c("ntor").isNull() | (c("ntor") <= 0) | ~F.coalesce(c("gap_region"), F.lit("")).isin("tae_like", "mixed")
+    for name in identity:
+        text = c(name) if name in df.columns else F.lit(None).cast("string")
+        bad_input = bad_input | F.coalesce(F.length(text) != 64 if name == "input_fingerprint" else text == "", F.lit(True))
+    lacks = c("mode").isNull() | c("low2").isNull() | c("high2").isNull()
     reason = (
-        F.when(bad_input, "RULE_INPUT_INVALID").when(c("measure_error").isNotNull(), "RULE_FEATURE_EXTRACTION_FAILED").when(axis, "BAD_AXIS_SPIKE").when(grid, "BAD_GRID_SCALE_SPIKE")
+        F.when(bad_input, "RULE_INPUT_INVALID").when(lacks | c("measure_error").isNotNull(), "RULE_FEATURE_EXTRACTION_FAILED").when(axis, "BAD_AXIS_SPIKE").when(grid, "BAD_GRID_SCALE_SPIKE")
         .when(cross, "BAD_CONT_CROSS").when(window, "BAD_CONT_CROSS_WINDOW").when(edge, "BAD_EDGE_SPIKE").otherwise("NO_GOOD_TEMPLATE")
     )
     d = df.withColumn("primary_reason", reason)
     return d.withColumn("rule_decision", F.when(F.startswith("primary_reason", F.lit("RULE_")), "INVALID").when(F.startswith("primary_reason", F.lit("BAD_")), "BAD").otherwise("REVIEW"))
 
 
-def evaluate(df: DataFrame, cfg: GateConfig = GateConfig()) -> DataFrame:
-    """All gate features and the decision for routed modes."""
-    return decide(X.cross_window(X.crossing_summary(X.with_energy(measure(df, cfg))), cfg.window_half_width), cfg)
+def evaluate(df: DataFrame, cfg: GateConfig = GateConfig(), identity: tuple[str, ...] = IDENTITY) -> DataFrame:
+    """All gate features and the decision for routed modes. Without crossings the radii of the largest ones
+    are NULL here, sums stay 0."""
+    d = X.crossing_summary(X.with_energy(measure(df, cfg)), null_missing=True)
+    return decide(X.cross_window(d, cfg.window_half_width), cfg, identity)

@@ -15,13 +15,21 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import cnn as C
-from .features import CROSSING_FEATURES, RF_FEATURES
+from .features import feature_names, schema_version
+from .scoring import stratified_split
 
-SCHEMA_VERSIONS = {len(RF_FEATURES): "rf_w_star_max_22_v2", len(RF_FEATURES + CROSSING_FEATURES): "rf_all_crossings_28_v2"}
+#: Width of each schema: whether it has crossings and an extremum.
+WIDTHS = {len(feature_names(c, e)): (c, e) for c in (False, True) for e in (False, True)}
+
+
+def schema_of(width: int, energy_tie: bool = False, r_shear0: float = 0.2) -> dict:
+    """What a model must agree on with the features it scores."""
+    crossing, extremum = WIDTHS[width]
+    return {"count": width, "names": list(feature_names(crossing, extremum)), "version": schema_version(crossing, extremum, energy_tie), "crossing": crossing, "extremum": extremum, "energy_tie": energy_tie, "r_shear0": r_shear0}
 
 
 def train_forest(df: DataFrame, label: str = "y", trees: int = 300, depth: int = 30, seed: int = 42) -> PipelineModel:
@@ -40,29 +48,50 @@ def score_forest(model: PipelineModel, df: DataFrame, out: str = "p_rf") -> Data
     return scored.withColumn(out, vector_to_array("probability")[1]).drop("raw", "scaled", "rawPrediction", "probability", "prediction")
 
 
-def save_forest(model: PipelineModel, path: str, spark: SparkSession, width: int) -> None:
+def save_forest(model: PipelineModel, path: str, spark: SparkSession, width: int, energy_tie: bool = False) -> None:
     """The model, and beside it the schema of its features."""
     model.write().overwrite().save(f"{path}/model")
-    names = [*RF_FEATURES, *CROSSING_FEATURES][:width]
-    spark.createDataFrame([(json.dumps({"count": width, "names": names, "version": SCHEMA_VERSIONS[width]}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/schema")
+    spark.createDataFrame([(json.dumps(schema_of(width, energy_tie)),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/schema")
 
 
-def load_forest(path: str, spark: SparkSession, width: int) -> PipelineModel:
+def load_forest(path: str, spark: SparkSession, width: int, energy_tie: bool = False) -> PipelineModel:
     """The model, if it was trained on the same features."""
-    meta = json.loads(spark.read.text(f"{path}/schema").first()[0])
-    if meta["count"] != width or meta["version"] != SCHEMA_VERSIONS[width]:
-        raise ValueError(f"model has features {meta['version']}, need {SCHEMA_VERSIONS[width]}")
+    meta, want = json.loads(spark.read.text(f"{path}/schema").first()[0]), schema_of(width, energy_tie)
+    if meta != want:
+        raise ValueError(f"model has features {meta['version']}, need {want['version']}")
     return PipelineModel.load(f"{path}/model")
 
 
-def folds(df: DataFrame, key: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """fold 0..k-1 by a seeded hash: near-equal and stratified in expectation, without ordering anything."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(k)).cast("int"))
+def folds(df: DataFrame, key: str, label: str = "y", k: int = 5, seed: int = 42) -> DataFrame:
+    """fold 0..k-1, each label dealt out evenly: within a label rows are numbered in a seeded hash order,
+    cut into 2^12 parts so that no label is ordered in one place, and parts go on where the last one ended."""
+    h = F.xxhash64(F.lit(seed), key)
+    d = df.withColumns({"fold__h": h, "fold__part": F.shiftrightunsigned(h, 52)})
+    counts = d.groupBy(F.col(label).alias("fold__label"), F.col("fold__part").alias("fold__p")).agg(F.count("*").alias("fold__n"))
+    before = Window.partitionBy("fold__label").orderBy("fold__p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("fold__before", F.coalesce(F.sum("fold__n").over(before), F.lit(0))).drop("fold__n")
+    d = d.withColumn("fold__rank", F.row_number().over(Window.partitionBy(label, "fold__part").orderBy("fold__h", key)))
+    d = d.join(counts, F.col(label).eqNullSafe(F.col("fold__label")) & (F.col("fold__part") == F.col("fold__p")))
+    return d.withColumn("fold", F.pmod(F.col("fold__before") + F.col("fold__rank"), F.lit(k)).cast("int")).drop(*(c for c in d.columns if c.startswith("fold__")))
+
+
+def cross_validate(df: DataFrame, key: str, label: str = "y", k: int = 5, **forest) -> DataFrame:
+    """(fold, n, accuracy) of forests trained on the other folds."""
+    scored = out_of_fold(df.where(F.col(label).isin(0, 1)), key, label, k, **forest)
+    right = ((F.col("p_oof") >= 0.5).cast("int") == F.col(label)).cast("double")
+    return scored.groupBy("fold").agg(F.count("*").alias("n"), F.avg(right).alias("accuracy"))
+
+
+def holdout(df: DataFrame, key: str, label: str = "y", fraction: float = 0.1, **forest) -> tuple[DataFrame, PipelineModel]:
+    """Scores of a stratified share by a forest trained on the rest, and the forest refitted on all."""
+    d = stratified_split(df.where(F.col(label).isin(0, 1)), label, key, fraction)
+    model = train_forest(d.where(~F.col("is_test")), label, **forest)
+    return score_forest(model, d.where("is_test")), train_forest(df, label, **forest)
 
 
 def out_of_fold(df: DataFrame, key: str, label: str = "y", k: int = 5, **forest) -> DataFrame:
     """df with p_oof, each fold scored by a forest trained on the others."""
-    d = folds(df, key, k)
+    d = folds(df, key, label, k)
     parts = [score_forest(train_forest(d.where(F.col("fold") != i), label, **forest), d.where(F.col("fold") == i), "p_oof") for i in range(k)]
     out = parts[0]
     for p in parts[1:]:
@@ -72,7 +101,7 @@ def out_of_fold(df: DataFrame, key: str, label: str = "y", k: int = 5, **forest)
 
 def importances(model: PipelineModel, width: int) -> list[tuple[str, float]]:
     values = model.stages[-1].featureImportances.toArray()
-    return sorted(zip([*RF_FEATURES, *CROSSING_FEATURES][:width], values.tolist(), strict=True), key=lambda x: -x[1])
+    return sorted(zip(schema_of(width)["names"], values.tolist(), strict=True), key=lambda x: -x[1])
 
 
 def score_array_model(df: DataFrame, weights: dict[str, np.ndarray], rows: int = 64, cols: int = 201, how: str = "robust", threshold: float = 0.5, out: str = "p_cnn") -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,10 +66,13 @@ def label_match(scored: DataFrame, labels: DataFrame, key: str) -> DataFrame:
 
 
 def apply_overrides(rows: DataFrame, overrides: DataFrame) -> DataFrame:
-    """rows with override_status and final_decision. Undecided override rows don't count. The first that
+    """rows with override_status and its message, final_decision, decision_source, and of applied overrides
+    what the reviewer wrote. Undecided override rows don't count. The first that
     applies of: none, key not unique on either side, stale fingerprint, ineligible decision, applied."""
     given = overrides.where(F.trim(F.coalesce("manual_decision", F.lit(""))) != "")
-    given = given.groupBy(F.trim("mode_key").alias("o_key")).agg(F.count("*").alias("o_n"), F.first("manual_decision").alias("o_decision"), F.first("input_fingerprint").alias("o_print"))
+    told = ("manual_reason", "reviewer", "adjudication_timestamp")
+    given = given.withColumns({c: F.lit(None).cast("string") for c in told if c not in overrides.columns})
+    given = given.groupBy(F.trim("mode_key").alias("o_key")).agg(F.count("*").alias("o_n"), F.first("manual_decision").alias("o_decision"), F.first(F.lower("input_fingerprint")).alias("o_print"), *(F.first(c).alias(f"o_{c}") for c in told))
     counts = rows.groupBy("mode_key").agg(F.count("*").alias("k_n")).withColumnRenamed("mode_key", "k_key")
     d = rows.join(counts, F.col("mode_key") == F.col("k_key"), "left").join(given, F.col("mode_key") == F.col("o_key"), "left")
     eligible = F.coalesce(F.col("rule_decision").isin(*DECISIONS), F.lit(False))
@@ -77,7 +85,10 @@ def apply_overrides(rows: DataFrame, overrides: DataFrame) -> DataFrame:
     )
     d = d.withColumn("override_status", status)
     applied = F.col("override_status") == "APPLIED"
-    return d.withColumns({"final_decision": F.when(applied, decision(F.col("o_decision"))).otherwise(F.col("rule_decision")), "decision_source": F.when(applied, "manual_override").otherwise("rule_engine")}).drop("k_key", "k_n", "o_key", "o_n", "o_decision", "o_print")
+    return d.withColumns({"final_decision": F.when(applied, decision(F.col("o_decision"))).otherwise(F.col("rule_decision")), "decision_source": F.when(applied, "manual_override").otherwise("rule_engine"), "manual_decision": F.when(applied, decision(F.col("o_decision"))), **{c: F.when(applied, F.col(f"o_{c}")) for c in told}})
+    said = F.col("override_status")
+    message = F.when(said == "AMBIGUOUS_OVERRIDE", "the key is not unique among the rows or the overrides").when(said == "STALE_FINGERPRINT", "the inputs have changed since the review").when(said == "INELIGIBLE_DECISION", "only GOOD, BAD and REVIEW can be overridden")
+    return d.withColumn("override_message", message).drop("k_key", "k_n", "o_key", "o_n", "o_decision", "o_print", *(f"o_{c}" for c in told))
 
 
 def manifest(training: DataFrame, reference: DataFrame, listed: DataFrame) -> DataFrame:
@@ -109,30 +120,60 @@ def provenance_summary(rows: DataFrame) -> DataFrame:
     return out.withColumn("overall_status", F.when(m & c, "mode_and_continuum_mismatch").when(m, "mode_mismatch").when(c, "continuum_mismatch").otherwise("active_payload_aligned"))
 
 
+def _joins(v: float, anchor: float, tolerance: float) -> bool:
+    return abs(v - anchor) / max(abs(anchor), 1e-12) < tolerance
+
+
+def _cluster_scan(group: list[str], value: str, tolerance: float):
+    """Appends cluster_index to rows sorted by group and value. What is kept between batches is one row's
+    group, the anchor and the index; the end of a cluster is found by bisection."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, anchor, index = None, None, 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            new = np.zeros(n, dtype=bool)
+            for name in group:
+                a, b = batch.column(name).slice(1), batch.column(name).slice(0, n - 1)
+                same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+                new[1:] |= ~same.to_numpy(zero_copy_only=False)
+            first = tuple(batch.column(name)[0].as_py() for name in group)
+            new[0] = first != last
+            last = tuple(batch.column(name)[n - 1].as_py() for name in group)
+            v = batch.column(value).cast(pa.float64()).to_numpy(zero_copy_only=False)
+            out = np.zeros(n, dtype=np.int32)
+            cuts = [*np.flatnonzero(new).tolist(), n]
+            if cuts[0]:
+                cuts = [0, *cuts]
+            for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+                if new[start]:
+                    anchor, index = None, 0
+                i = start
+                while i < stop:
+                    if anchor is None or not _joins(v[i], anchor, tolerance):
+                        anchor, index = (None if np.isnan(v[i]) else float(v[i])), index + 1
+                    low, high = i + 1, stop  # the first row from here on that doesn't join; a row without value joins nothing
+                    if anchor is None:
+                        high = low
+                    while low < high:
+                        mid = (low + high) // 2
+                        low, high = (mid + 1, high) if _joins(v[mid], anchor, tolerance) else (low, mid)
+                    out[i:low] = index
+                    i = low
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "cluster_index"])
+
+    return run
+
+
 def frequency_clusters(df: DataFrame, group: list[str], value: str, key: str, tolerance: float = 0.02) -> DataFrame:
     """cluster_index per row: in order of value, a row joins the cluster while its distance from the
-    cluster's first member, relative to that, is below the tolerance.
-
-    Where a value is farther than the tolerance from the one before it, it is farther still from any
-    earlier anchor, so a cluster must begin there. Groups are cut at these gaps by a window that streams,
-    and only the stretches between them are folded over their sorted pairs. All steps share one shuffle."""
-    order = Window.partitionBy(*group).orderBy(value, key)
-    before = F.lag(value).over(order)
-    gap = before.isNull() | F.coalesce((before > 0) & (F.try_divide(F.col(value) - before, before) >= tolerance), F.lit(False))
-    cut = df.select(*group, F.col(value).alias("v"), F.col(key).alias("k"), F.col(value), F.col(key)).withColumn("gap", gap.cast("int")).withColumn("stretch", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    pairs = cut.groupBy(*group, "stretch").agg(F.array_sort(F.collect_list(F.struct("v", "k"))).alias("pairs"))
-    start = F.struct(F.lit(0).alias("c"), F.lit(None).cast("double").alias("anchor"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, p: Column) -> Column:
-        joins = F.coalesce(F.abs(p["v"] - acc["anchor"]) / F.greatest(F.abs(acc["anchor"]), F.lit(1e-12)) < tolerance, F.lit(False))
-        c = acc["c"] + F.when(joins, 0).otherwise(1)
-        return F.struct(c.alias("c"), F.when(joins, acc["anchor"]).otherwise(p["v"]).alias("anchor"), F.concat(acc["out"], F.array(c)).alias("out"))
-
-    marked = pairs.withColumn("marks", F.aggregate("pairs", start, step, lambda acc: acc["out"]))
-    earlier = Window.partitionBy(*group).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    marked = marked.withColumn("shift", F.coalesce(F.sum(F.element_at("marks", -1)).over(earlier), F.lit(0)).cast("int"))
-    zipped = F.zip_with("pairs", "marks", lambda p, c: F.struct(p["k"].alias(key), p["v"].alias(value), (c + F.col("shift")).alias("cluster_index")))
-    return marked.select(*group, F.inline(zipped))
+    cluster's first member, relative to that, is below the tolerance. Rows without value are clusters of
+    their own. One shuffle by group, then a streaming scan in sorted order: no group is gathered."""
+    rows = df.select(*group, key, value).repartition(*group).sortWithinPartitions(*group, value, key)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(_cluster_scan(group, value, tolerance), f"{schema}, cluster_index int")
 
 
 def fold_counts(df: DataFrame, shot: str, label: str) -> DataFrame:

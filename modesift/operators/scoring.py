@@ -92,21 +92,26 @@ def health(df: DataFrame, score: str, truth: str, threshold: float = 0.5, class_
     return d.withColumn("collapse_reasons", F.array_join(F.filter(reasons, lambda r: r.isNotNull()), ";"))
 
 
-def threshold_sweep(df: DataFrame, score: str, truth: str, steps: int = 1000) -> DataFrame:
-    """True and false positives at or above each score (cut to ``steps`` levels, so the window orders at
-    most that many rows whatever the input), with precision and recall."""
-    level = F.floor(F.col(score) * steps).cast("int")
-    rows = df.where(F.col(score).isNotNull() & F.col(truth).isNotNull()).groupBy(level.alias("level")).agg(F.count_if(F.col(truth) == 1).alias("good"), F.count("*").alias("n"))
-    down = Window.orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, 0)
-    d = rows.select("level", F.sum("good").over(down).alias("tp"), F.sum("n").over(down).alias("n_above"), F.sum("good").over(Window.partitionBy()).alias("all_good"))
-    return d.select("level", "tp", (F.col("n_above") - F.col("tp")).alias("fp"), F.try_divide(F.col("tp").cast("double"), F.col("n_above")).alias("precision"), F.try_divide(F.col("tp").cast("double"), F.col("all_good")).alias("recall"))
-
-
-def average_precision(df: DataFrame, score: str, truth: str, steps: int = 1000) -> DataFrame:
-    """Sum over levels of precision times the step in recall."""
-    d = threshold_sweep(df, score, truth, steps)
-    before = F.coalesce(F.lag("recall").over(Window.orderBy(F.desc("level"))), F.lit(0.0))
-    return d.withColumn("step", F.col("recall") - before).agg(F.sum(F.col("step") * F.col("precision")).alias("average_precision"))
+def threshold_sweep(df: DataFrame, score: str, truth: str, parts: int = 1024) -> DataFrame:
+    """True and false positives at or above each distinct score, with precision and recall. Scores are
+    counted first; the counts are cut into ``parts`` ranges of the score, whose sums are added up in one
+    small window, and running sums are taken inside each range, so no task orders all scores."""
+    rows = df.where(F.col(score).isNotNull() & F.col(truth).isNotNull())
+    seen = rows.groupBy(F.col(score).cast("double").alias("level")).agg(F.count_if(F.col(truth) == 1).alias("good"), F.count("*").alias("n"))
+    seen = seen.withColumn("part", F.least(F.greatest(F.floor(F.col("level") * parts), F.lit(0)), F.lit(parts)).cast("int"))
+    sums = seen.groupBy("part").agg(F.sum("good").alias("g"), F.sum("n").alias("m"))  # at most parts + 1 rows
+    above = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("part").alias("of"), F.coalesce(F.sum("g").over(above), F.lit(0)).alias("g0"), F.coalesce(F.sum("m").over(above), F.lit(0)).alias("m0"), F.sum("g").over(Window.partitionBy()).alias("all_good"))
+    down = Window.partitionBy("part").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, 0)
+    d = seen.select("level", "part", "good", F.sum("good").over(down).alias("g1"), F.sum("n").over(down).alias("m1")).join(F.broadcast(sums), F.col("part") == F.col("of"))
+    d = d.select("level", "good", (F.col("g0") + F.col("g1")).alias("tp"), (F.col("m0") + F.col("m1")).alias("above"), "all_good")
+    share = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b))
+    return d.select("level", "tp", (F.col("above") - F.col("tp")).alias("fp"), share("tp", "above").alias("precision"), share("tp", "all_good").alias("recall"), share("good", "all_good").alias("step"))
+
+
+def average_precision(df: DataFrame, score: str, truth: str) -> DataFrame:
+    """Sum over distinct scores of precision times the step in recall."""
+    return threshold_sweep(df, score, truth).agg(F.sum(F.col("step") * F.col("precision")).alias("average_precision"))
 
 
 def histogram(df: DataFrame, score: str, bins: int = 16) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,11 +20,17 @@ from ..operators import scoring as S
 from ..sources import files, sinks
 
 
-def load(spark: SparkSession, root: str, n_min: int | None = None, n_max: int | None = None) -> DataFrame:
-    """Mode files of all shots below root with their boundaries, checked: aborts if a group has none."""
-    files.preflight(spark, root)
-    d = files.with_continuum(files.read_modes(spark, root, n_min, n_max), files.read_continuum(spark, root))
-    return X.validate(d.withColumn("mode_key", R.mode_key(F.col("path"))))
+def load(spark: SparkSession, root: str, n_min: int | None = None, n_max: int | None = None, strict: bool = False, tag: str | None = None) -> DataFrame:
+    """Mode files of all shots below root with their boundaries, keys and input fingerprints, checked. A shot
+    of which a populated group has no boundary file is not run: its rows say so (strict: it raises)."""
+    lack = files.preflight(spark, root)
+    if strict and (first := lack.orderBy("shot", "expected_n").limit(20).collect()):
+        raise FileNotFoundError("no continuum file for " + ", ".join(f"{r.shot}/N{r.expected_n}" for r in first))
+    d = files.with_continuum(files.read_modes(spark, root, n_min, n_max, tag), files.read_continuum(spark, root))
+    d = X.validate(d.withColumn("mode_key", R.mode_key(F.col("path"))))
+    halted = lack.select(F.col("shot").alias("halted")).distinct()
+    d = d.join(halted, F.col("shot") == F.col("halted"), "left")
+    return d.withColumn("rejection_reason", F.when(F.col("halted").isNotNull(), "missing_continuum_group").otherwise(F.col("rejection_reason"))).drop("halted")
 
 
 def preprocess(df: DataFrame, tae_fraction: float = 0.5, eae_fraction: float = 0.4, eae_delta: float = -0.1) -> DataFrame:
@@ -66,21 +73,22 @@ def sort_rules(df: DataFrame, overrides: DataFrame | None = None, cfg: gates.Gat
     scorer, or where it leaves a cluster member without score, all members of the cluster stay."""
     d = preprocess(df)
     go = (F.col("rejection_reason") == "") & F.col("gap_region").isin("tae_like", "mixed")
-    ruled = gates.evaluate(d.where(go).drop("w", "r"), cfg).persist()  # every report below reads it
+    ruled = gates.evaluate(X.radial(d.where(go)).drop("w", "r", "w_sum"), cfg).persist()  # every report below reads it
     rest = d.where(~F.coalesce(go, F.lit(False))).withColumn("rule_decision", F.when(F.col("rejection_reason") != "", "INVALID").otherwise("EAE")).withColumn("primary_reason", F.upper("rejection_reason"))
     rows = ruled.unionByName(rest, allowMissingColumns=True)
     if overrides is not None:
         rows = R.apply_overrides(rows, overrides)
     else:
-        rows = rows.withColumns({"override_status": F.when(F.col("rule_decision").isin(*R.DECISIONS), "NOT_PRESENT").otherwise(""), "final_decision": F.col("rule_decision"), "decision_source": F.lit("rule_engine")})
+        rows = rows.withColumns({"override_status": F.when(F.col("rule_decision").isin(*R.DECISIONS), "NOT_PRESENT").otherwise(""), "final_decision": F.col("rule_decision"), "decision_source": F.lit("rule_engine"), **{c: F.lit(None).cast("string") for c in ("override_message", "manual_decision", "manual_reason", "reviewer", "adjudication_timestamp")}})
     good = rows.where("final_decision = 'GOOD'")
     if score is None:
         return rows.withColumn("selected", F.col("final_decision") == "GOOD")
-    scored = score(good).select(*group, "path", "omega", "score", "mode")
+    scored = score(good).select(*group, "path", "omega", "score", "mode").persist()
     marks = R.frequency_clusters(scored, list(group), "omega", "path")
     open_ = scored.where("score is null").select("path").join(marks, "path").select(*group, "cluster_index").distinct().withColumn("keep_all", F.lit(True))
     picked = dedup.representatives(scored.fillna({"score": 0.0}), list(group), "path").join(open_, [*group, "cluster_index"], "left")
-    picked = picked.select("path", (F.col("selected") | F.coalesce("keep_all", F.lit(False))).alias("selected"))
+    picked = picked.select("path", "cluster_index", "type_index", (F.col("selected") | F.coalesce("keep_all", F.lit(False))).alias("selected"))
+    picked = picked.join(scored.select("path", F.col("score").alias("duplicate_rank_score")), "path")
     return rows.join(picked, "path", "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
 
 
@@ -91,29 +99,133 @@ def sort_single(df: DataFrame, score: Callable[[DataFrame], DataFrame], threshol
     return d.join(marks.select("path", "cluster_index", "type_index", "selected"), "path", "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
 
 
-MIXED_COLUMNS = ["shot", "path", "expected_n", "ntor", "omega", "gamma_d", "nr", "nhar", "rejection_reason", "gap_region", "signed_delta", "fraction_below_upper2", "p_rf", "p_cnn", "p_avg", "tier", "final_label", "model_disagreement", "near_threshold", "score_gap", "selected"]
+# Column names and file names of a run's outputs, fixed by their readers.
+MIXED_COLUMNS = [
+    "path", "shot", "n", "ntor", "nr", "nhar", "omega", "gamma_d", "rad_loc", "rad_width", "status", "gap_region", "signed_delta", "fraction_below_upper2", "p_rf_good", "p_cnn_good", "p_avg",
+    "final_label", "tier", "model_disagreement", "near_threshold", "large_score_gap", "selected_final", "rejection_reason", "error_message",
+]
+RULE_COLUMNS = [
+    "path", "mode_key", "shot", "n", "ntor", "nr", "nhar", "omega", "gamma_d", "rad_loc", "rad_width", "input_fingerprint", "processing_status", "gap_region", "signed_delta", "fraction_below_upper2",
+    "preprocessing_primary_reason", "rule_decision", "rule_primary_reason", "rule_triggered_rules", "rule_version", "rule_features", "manual_decision", "manual_reason", "reviewer", "adjudication_timestamp",
+    "override_status", "override_message", "final_decision", "decision_source", "duplicate_rank_score", "duplicate_rank_source", "selected_final", "diagnostic_message",
+]
+RULE_VERSION = "tae-rules-axis-grid-cont-window-edge-v7"
+CLUSTER_COLUMNS = ["ntor", "cluster_index", "type_group", "path", "omega", "action", "score"]
 
 
-def write_mixed(rows: DataFrame, root: str) -> dict[str, int]:
-    """The run's lists, one CSV each, and its summary."""
+def _filled(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """rows with every column of an output; what a run has not made is NULL and written as ''."""
+    return rows.withColumns({c: F.lit(None).cast("string") for c in columns if c not in rows.columns})
+
+
+def _errors(rows: DataFrame) -> list:
+    return [F.col(c) for c in ("load_error", "continuum_error", "measure_error") if c in rows.columns]
+
+
+def mixed_rows(rows: DataFrame) -> DataFrame:
+    """The 25 columns of a mixed run's lists."""
+    c = F.col
+    d = rows if "rad_loc" in rows.columns else X.radial(rows)
+    status = F.when(c("rejection_reason") != "", "rejected").when(c("gap_region") == "eae_like", "eae_like").otherwise("scored")
+    d = d.withColumns({"n": c("expected_n"), "status": status, "p_rf_good": c("p_rf"), "p_cnn_good": c("p_cnn"), "large_score_gap": c("score_gap"), "selected_final": F.when(status == "scored", c("selected")), "error_message": F.coalesce(*_errors(rows), F.lit(""))})
+    return _filled(d, MIXED_COLUMNS)
+
+
+def rule_rows(rows: DataFrame) -> DataFrame:
+    """The 34 columns of a rule run's lists; rule_features is nested here and JSON in a file."""
+    c = F.col
+    evaluated = (c("rejection_reason") == "") & (c("gap_region") != "eae_like")
+    d = rows if "rad_loc" in rows.columns else X.radial(rows)
+    pick = lambda prefix: F.struct(*(F.col(k) for k in d.columns if k.startswith(prefix)))
+    crossing = F.struct(*(F.col(k) for k in ("n_cross", "r_star_max", "W_star_max", "W_star_sum", "r_star_high_shear", "W_star_high_shear", "W_star_high_shear_sum") if k in d.columns), pick("cross_window_").alias("window"))
+    features = F.struct(
+        F.struct(pick("grid_scale_").alias("grid_scale_spike")).alias("numerical_structure_features"), crossing.alias("crossing_features"), F.col("crossings").alias("crossing_records"),
+        pick("ext_").alias("extremum_features"), F.struct(pick("axis_").alias("axis_artifact"), pick("edge_").alias("edge_artifact")).alias("boundary_features"),
+    )
+    status = F.when(c("rejection_reason") != "", "INVALID").when(c("gap_region") == "eae_like", "ROUTED_EAE").when(c("rule_decision") == "INVALID", "INVALID").otherwise("RULE_EVALUATED")
+    blank = F.lit(None).cast("string")
+    final = lambda x: F.when(status == "ROUTED_EAE", blank).otherwise(x)
+    ranked = F.col("duplicate_rank_score") if "duplicate_rank_score" in d.columns else F.lit(None).cast("double")
+    d = d.withColumns({
+        "n": c("expected_n"), "processing_status": status, "preprocessing_primary_reason": F.when(c("rejection_reason") != "", F.upper("rejection_reason")), "rule_decision": F.when(evaluated, c("rule_decision")), "rule_primary_reason": F.when(evaluated, c("primary_reason")),
+        "rule_triggered_rules": F.when(evaluated, F.array("primary_reason")), "rule_version": F.when(evaluated, RULE_VERSION), "rule_features": F.when(evaluated, features), "final_decision": final(c("final_decision")), "decision_source": final(c("decision_source")),
+        "duplicate_rank_source": F.when(ranked.isNotNull(), "rf"), "selected_final": F.when(c("final_decision") == "GOOD", c("selected")), "diagnostic_message": F.coalesce(*_errors(rows), F.lit("")),
+    })
+    return _filled(d, RULE_COLUMNS)
+
+
+def _clusters(rows: DataFrame, root: str, score: str) -> None:
+    """Members of near-frequency clusters of two or more, kept or dropped, as a list and as a report; they
+    are few of a run's rows and are written one after the other."""
+    if "cluster_index" not in rows.columns:
+        rows = rows.withColumns({"cluster_index": F.lit(None).cast("int"), "type_index": F.lit(None).cast("int")})
+    kept = F.when(F.col("selected"), "KEEP").otherwise("DROP")
+    value = F.col(score) if score in rows.columns else F.lit(None).cast("double")
+    d = rows.where("cluster_index is not null").select("shot", "ntor", "cluster_index", F.col("type_index").alias("type_group"), "path", "omega", kept.alias("action"), value.alias("score"))
+    large = d.groupBy("shot", "ntor", "cluster_index").count().where("count > 1").drop("count")
+    d = d.join(large, ["shot", "ntor", "cluster_index"]).orderBy("shot", "ntor", "cluster_index", "type_group", "omega", "path").persist()
+    sinks.write_rows(f"{root}/frequency_clusters.csv", ["shot", *CLUSTER_COLUMNS], d.toLocalIterator())
+    lines, last = ["Clusters of modes of near frequency"], None
+    for r in d.toLocalIterator():
+        if last != (r.shot, r.ntor, r.cluster_index):
+            last = (r.shot, r.ntor, r.cluster_index)
+            lines.append(f"\n{r.shot} n={r.ntor} cluster={r.cluster_index}")
+        lines.append(f"  type {r.type_group} [{r.action}] {r.path} omega={r.omega:.6g}" + (f" score={r.score:.6f}" if r.score is not None else ""))
+    sinks.write_text(f"{root}/frequency_cluster_report.txt", "\n".join(lines) + "\n")
+    d.unpersist()
+
+
+def _summaries(root: str, found: DataFrame, settings: dict) -> None:
+    """A summary by shot in both layouts and by n; ``found`` has n NULL in a shot's own row."""
+    own = [r.asDict() | settings for r in found.where("n is null").orderBy("shot").collect()]
+    fields = [k for k in (own[0] if own else {"shot": None}) if k != "n"]
+    sinks.write_vertical({k: v for k, v in own[0].items() if k != "n"} if len(own) == 1 else {r["shot"]: r["n_total_files"] for r in own}, os.path.join(root, "shot_summary.csv"))
+    sinks.write_rows(os.path.join(root, "shot_summary_wide.csv"), fields, own)
+    by_n = (r.asDict() | settings for r in found.where("n is not null").orderBy("shot", "n").toLocalIterator())
+    sinks.write_rows(os.path.join(root, "shot_summary_by_n.csv"), ["shot", "n", *(k for k in fields if k != "shot")], by_n)
+
+
+def write_preprocess(rows: DataFrame, root: str) -> dict[str, int]:
+    """The three lists of ``preprocess``."""
     c = F.col
+    d = rows.withColumns({"rule_decision": F.lit(None).cast("string"), "primary_reason": F.lit(None).cast("string"), "final_decision": F.lit(None).cast("string"), "decision_source": F.lit(None).cast("string"), "selected": F.lit(None).cast("boolean"), "crossings": F.lit(None).cast("string")})
+    d = rule_rows(d).withColumns({k: F.lit(None).cast("string") for k in ("rule_triggered_rules", "rule_version", "rule_features")})
+    routes = {"tae_like_all": c("gap_region").isin("tae_like", "mixed"), "eae_like": c("gap_region") == "eae_like", "rejected_modes": c("rejection_reason") != ""}
+    return sinks.fan_out(d, root, routes, RULE_COLUMNS, ["shot", "n", "omega", "path"])
+
+
+def write_mixed(rows: DataFrame, root: str, by_executors: bool = False) -> dict[str, int]:
+    """A mixed run's eight lists, its summaries, and its clusters."""
+    c = F.col
+    d, scored = mixed_rows(rows), c("status") == "scored"
+    good = scored & (c("final_label") == "good")
     routes = {
-        "all_modes": F.lit(True), "tae_like": c("gap_region") == "tae_like", "mixed": c("gap_region") == "mixed", "eae_like": c("gap_region") == "eae_like", "invalid": c("rejection_reason") != "", "gold_good": c("tier") == "gold_good",
-        "silver_good": c("tier") == "silver_good", "good": c("final_label") == "good", "bad": c("final_label") == "bad", "flagged": F.startswith("tier", F.lit("flagged_")) | c("model_disagreement") | c("near_threshold") | c("score_gap"), "selected_final": c("selected"),
+        "all_modes_scored": F.lit(True), "tae_like_all": c("gap_region").isin("tae_like", "mixed"), "good_tae_unchecked": good, "good_tae_final": good & c("selected_final"), "bad_tae_like": scored & (c("final_label") == "bad"),
+        "flagged_tae_like": scored & (F.startswith("tier", F.lit("flagged_")) | c("model_disagreement") | c("near_threshold") | c("large_score_gap")), "eae_like": c("status") == "eae_like", "rejected_modes": c("status") == "rejected",
     }
-    counts = sinks.fan_out(rows, root, routes, MIXED_COLUMNS, ["expected_n", "ntor", "omega", "path"])
-    sinks.write_vertical(counts, os.path.join(root, "summary.csv"))
+    counts = sinks.fan_out(d, root, routes, MIXED_COLUMNS, ["n", "ntor", "omega", "path"], by_executors)
+    _summaries(root, S.summary(rows, ["shot", "expected_n"]).withColumnRenamed("expected_n", "n"), {})
+    _clusters(rows, root, "p_avg")
     return counts
 
 
-RULE_COLUMNS = ["mode_key", "shot", "path", "expected_n", "ntor", "omega", "gap_region", "rejection_reason", "rule_decision", "primary_reason", "override_status", "final_decision", "decision_source", "selected"]
-
-
-def write_rules(rows: DataFrame, root: str) -> dict[str, int]:
+def write_rules(rows: DataFrame, root: str, overrides: DataFrame | None = None, cfg: gates.GateConfig = gates.GateConfig(), by_executors: bool = False) -> dict[str, int]:
+    """A rule run's ten lists, its summaries with the run's thresholds, its clusters and the overrides given."""
     c = F.col
-    routes = {"all_modes": F.lit(True), **{f"final_{x.lower()}": c("final_decision") == x for x in (*R.DECISIONS, "INVALID")}, **{r.lower(): c("primary_reason") == r for r in ("BAD_AXIS_SPIKE", "BAD_GRID_SCALE_SPIKE", "BAD_CONT_CROSS", "BAD_CONT_CROSS_WINDOW", "BAD_EDGE_SPIKE")}, "eae_like": c("gap_region") == "eae_like", "overridden": c("override_status") == "APPLIED", "selected_final": c("selected")}
-    counts = sinks.fan_out(rows, root, routes, RULE_COLUMNS, ["shot", "expected_n", "omega", "path"])
-    sinks.write_vertical(counts, os.path.join(root, "summary.csv"))
+    d = rule_rows(rows).withColumn("rules__n", F.coalesce("ntor", "n"))
+    routes = {
+        "all_modes_rules": F.lit(True), "tae_like_all": c("gap_region").isin("tae_like", "mixed"), "eae_like": c("processing_status") == "ROUTED_EAE", "rejected_modes": c("final_decision") == "INVALID", "rule_results": c("rule_version").isNotNull(),
+        "final_classifications": c("processing_status") != "ROUTED_EAE", "bad_tae_like": c("final_decision") == "BAD", "review_tae_like": c("final_decision") == "REVIEW", "good_tae_unchecked": c("final_decision") == "GOOD", "good_tae_final": (c("final_decision") == "GOOD") & c("selected_final"),
+    }
+    counts = sinks.fan_out(d, root, routes, RULE_COLUMNS, ["shot", "rules__n", "omega", "path", "mode_key"], by_executors)
+    given = overrides.where(F.trim(F.coalesce("manual_decision", F.lit(""))) != "") if overrides is not None else None
+    lost = given.join(rows.select("mode_key"), "mode_key", "left_anti").select(F.get(F.split("mode_key", "/"), F.lit(0)).alias("shot"), "mode_key") if given is not None else None
+    settings = {"n_manual_override_rows": overrides.count(), "n_modes_manually_inspected": given.count()} if overrides is not None else {"n_manual_override_rows": 0, "n_modes_manually_inspected": 0}
+    settings |= {"rule_set_version": RULE_VERSION, "duplicate_processing_status": "PROCESSED" if "cluster_index" in rows.columns else "NOT_SCORED", **asdict(cfg)}
+    _summaries(root, S.rule_summary(rows.withColumn("selected", F.coalesce("selected", F.lit(False))), lost), settings)
+    _clusters(rows, root, "duplicate_rank_score")
+    told = _filled(overrides, files.OVERRIDE_COLUMNS) if overrides is not None else rows.sparkSession.createDataFrame([], ", ".join(f"{k} string" for k in files.OVERRIDE_COLUMNS))
+    sinks.write_csv(told, f"{root}/manual_overrides.csv", files.OVERRIDE_COLUMNS, ["mode_key"])
     return counts
 
 

@@ -68,11 +68,13 @@ def gap_routing(spark, d):
     return X.route(X.upper_gap(D.joined(spark, d))).groupBy("ntor", "gap_region").agg(F.count("*").alias("n_modes"), r6(F.avg("signed_delta"), "mean_signed_delta"))
 
 
-@query(M + """ SELECT mode_id, CASE WHEN ntor <> CASE WHEN mode_id % 13 = 0 THEN ntor + 1 ELSE ntor END THEN 'ntor-N_mismatch' WHEN 4 < 4 * ntor THEN 'too_small_nhar' WHEN mode_id % 17 = 0 THEN 'nonfinite_mode_data' ELSE '' END AS rejection_reason FROM m""")
+@query(M + """, v AS (SELECT mode_id, CASE WHEN mode_id % 3 = 0 THEN ntor ELSE 1 END AS k FROM m) SELECT mode_id, CASE WHEN mode_id % 19 = 1 THEN 'mode_load_failed' WHEN mode_id % 23 = 2 THEN 'invalid_metadata' WHEN mode_id % 13 = 0 THEN 'ntor-N_mismatch' WHEN 4 < 4 * k THEN 'too_small_nhar' WHEN mode_id % 17 = 0 THEN 'nonfinite_mode_data' WHEN mode_id % 29 = 3 THEN 'invalid_weights' ELSE '' END AS rejection_reason FROM v""")
 def mode_validation(spark, d):
-    m = D.modes(spark, d).withColumn("expected_n", F.when(F.col("mode_id") % 13 == 0, F.col("ntor") + 1).otherwise(F.col("ntor")))
-    hole = F.transform("mode", lambda row: F.transform(row, lambda x, i: F.when((F.col("mode_id") % 17 == 0) & (i == 3), F.lit(float("nan"))).otherwise(x)))
-    return X.validate(m.withColumn("mode", hole)).select("mode_id", "rejection_reason")
+    i = F.col("mode_id")
+    m = D.modes(spark, d).withColumn("ntor", F.when(i % 3 == 0, F.col("ntor")).otherwise(1)).withColumn("expected_n", F.when(i % 13 == 0, F.col("ntor") + 1).otherwise(F.col("ntor")))
+    cell = lambda x, k: F.when((i % 17 == 0) & (k == 3), F.lit(float("nan"))).when(i % 29 == 3, F.lit(0.0)).otherwise(x)
+    broken = m.withColumn("mode", F.when(i % 19 != 1, F.transform("mode", lambda row: F.transform(row, cell)))).withColumn("omega", F.when(i % 23 == 2, F.lit(float("inf"))).otherwise(F.col("omega")))
+    return X.validate(broken).select("mode_id", "rejection_reason")
 
 
 @query(M + """, c AS (SELECT *, abs(a) AS b, lead(a) OVER v - a AS d1, lead(a, 2) OVER v - 2 * lead(a) OVER v + a AS d2, abs(lead(a) OVER v) - abs(a) AS e1, abs(lead(a, 2) OVER v) - 2 * abs(lead(a) OVER v) + abs(a) AS e2 FROM cells WINDOW v AS (PARTITION BY mode_id, h ORDER BY i)),
@@ -138,15 +140,48 @@ def cross_window(spark, d):
     return X.cross_window(D.joined(spark, d)).select("mode_id", r6("cross_window_A_max"), r6("cross_window_W_max"))
 
 
-@query()
+def _features_sql(extra: str) -> str:
+    """The vector's columns from the queries of its parts."""
+    part = lambda name: f"({ORACLES[name]})"
+    base = ("mean_amp", "std_amp", "rad_loc", "rad_width", "max_to_mean", "max_to_median", "mean_abs_d1_mode", "max_abs_d1_abs", "mean_abs_d2_mode", "max_abs_d2_abs", "std_per_m_max", "max_per_m_mean", "std_per_m_mean", "spikes_per_m", "frac_spikes")
+    return (
+        f"{M} SELECT mode_id, {', '.join(base)}, round(gamma_d, 6) AS gamma_d, ntor::DOUBLE AS ntor, r_star, delta2_eff, S, W_star, W_star_max{extra} FROM m JOIN {part('structure_stats')} USING (mode_id) "
+        f"JOIN {part('radial_features')} USING (mode_id) JOIN {part('continuum_scalars')} USING (mode_id) JOIN {part('crossing_summary')} USING (mode_id)"
+    )
+
+
+@query(_features_sql(", n_cross::DOUBLE AS n_cross, r_star_max, W_star_sum, r_star_high_shear, W_star_high_shear, W_star_high_shear_sum"))
 def rf_feature_vector(spark, d):
-    return X.feature_vector(D.joined(spark, d), crossing=True).select("mode_id", "features")
+    """The 28 values of the vector under their names."""
+    v = X.feature_vector(D.joined(spark, d), crossing=True)
+    return v.select("mode_id", *(r6(F.get("features", F.lit(k)), name) for k, name in enumerate(X.feature_names(crossing=True))))
+
+
+MEASURED = """, g AS (SELECT mode_id, ntor, CASE mode_id % 5 WHEN 0 THEN 'eae_like' WHEN 1 THEN 'mixed' ELSE 'tae_like' END AS gap_region, CASE WHEN mode_id % 31 = 4 THEN 'short' ELSE repeat('a', 64) END AS fp, mode_id % 37 = 5 AS lacks, mode_id % 41 = 6 AS failed,
+  (mode_id * 7) % 100 / 100e0 AS axis_peak, mode_id % 3 = 0 AS axis_max, (mode_id * 11) % 20 / 1e0 AS axis_width, mode_id % 4 = 1 AS grid_found, (mode_id * 13) % 100 / 100e0 AS grid_peak, (mode_id % 6)::INTEGER AS n_cross,
+  (mode_id * 17) % 100 / 1000e0 AS w_max, (mode_id * 19) % 100 / 200e0 AS win_a, (mode_id * 23) % 100 / 1000e0 AS win_w, mode_id % 7 = 2 AS edge_in, (mode_id * 29) % 20 / 1e0 AS edge_width FROM m)"""
+
+
+@query(M + MEASURED + """, k AS (SELECT mode_id, CASE WHEN gap_region = 'eae_like' OR fp = 'short' THEN 'RULE_INPUT_INVALID' WHEN lacks OR failed THEN 'RULE_FEATURE_EXTRACTION_FAILED' WHEN axis_max AND axis_peak >= 0.2e0 AND axis_width <= 10e0 THEN 'BAD_AXIS_SPIKE' WHEN grid_found AND grid_peak >= 0.3e0 THEN 'BAD_GRID_SCALE_SPIKE'
+  WHEN n_cross > 0 AND w_max > 0.03e0 THEN 'BAD_CONT_CROSS' WHEN n_cross > 0 AND (win_a >= 0.25e0 OR win_w >= 0.05e0) THEN 'BAD_CONT_CROSS_WINDOW' WHEN edge_in AND edge_width <= 10e0 THEN 'BAD_EDGE_SPIKE' ELSE 'NO_GOOD_TEMPLATE' END AS primary_reason FROM g)
+ SELECT mode_id, primary_reason, CASE WHEN primary_reason LIKE 'RULE%' THEN 'INVALID' WHEN primary_reason LIKE 'BAD%' THEN 'BAD' ELSE 'REVIEW' END AS rule_decision FROM k""")
+def gate_ladder(spark, d):
+    """The order and limits of all gates, over measurements that reach each of them."""
+    i = F.col("mode_id")
+    over = lambda k, n, by: (i * k) % n / F.lit(by)
+    m = D.joined(spark, d).withColumns({
+        "gap_region": F.when(i % 5 == 0, "eae_like").when(i % 5 == 1, "mixed").otherwise("tae_like"), "path": F.lit("p"), "mode_key": F.lit("k"), "shot": F.lit("s"), "input_fingerprint": F.when(i % 31 == 4, "short").otherwise(F.repeat(F.lit("a"), 64)),
+        "low2": F.when(i % 37 != 5, F.col("low2")), "measure_error": F.when(i % 41 == 6, "failed"), "axis_peak": over(7, 100, 100.0), "axis_peak_is_local_max": i % 3 == 0, "axis_halfmax_width_grid": over(11, 20, 1.0),
+        "grid_scale_candidate_found": i % 4 == 1, "grid_scale_peak": over(13, 100, 100.0), "n_cross": (i % 6).cast("int"), "W_star_max": over(17, 100, 1000.0), "cross_window_A_max": over(19, 100, 200.0), "cross_window_W_max": over(23, 100, 1000.0),
+        "edge_energy_peak_in_window": i % 7 == 2, "edge_energy_halfmax_width_grid": over(29, 20, 1.0),
+    })
+    return gates.decide(m).select("mode_id", "primary_reason", "rule_decision")
 
 
 @query()
 def rule_gates(spark, d):
     routed = X.route(X.upper_gap(D.joined(spark, d))).where("gap_region in ('tae_like', 'mixed')").drop("w", "r")
-    return gates.evaluate(routed).select("mode_id", "ntor", "gap_region", "rule_decision", "primary_reason", "axis_peak", "grid_scale_peak", "n_cross", "W_star_max", "ext_dr", "ext_df_gap", "ext_energy_frac")
+    return gates.evaluate(routed, identity=()).select("mode_id", "ntor", "gap_region", "rule_decision", "primary_reason", "axis_peak", "grid_scale_peak", "n_cross", "W_star_max", "ext_dr", "ext_df_gap", "ext_energy_frac")
 
 
 @query()
@@ -322,9 +357,11 @@ def prediction_health(spark, d):
     return out.select(*(r6(c) if c in ("prob_mean", "prob_std", "predicted_good_fraction", "true_good_fraction") else F.col(c) for c in out.columns))
 
 
-@query(SC + ", b AS (SELECT floor(p_rf * 1000)::INTEGER AS level, count(*) FILTER (WHERE y = 1) AS g, count(*) AS n FROM s WHERE y IS NOT NULL GROUP BY 1), c AS (SELECT level, sum(g) OVER w AS tp, sum(n) OVER w AS k, sum(g) OVER () AS t, g FROM b WINDOW w AS (ORDER BY level DESC)) SELECT round(sum(g / t::DOUBLE * tp / k::DOUBLE), 6) AS average_precision FROM c")
+@query(SC + ", b AS (SELECT p_rf + p_cnn / 7e0 AS level, count(*) FILTER (WHERE y = 1) AS g, count(*) AS n FROM s WHERE y IS NOT NULL GROUP BY 1), c AS (SELECT level, sum(g) OVER w AS tp, sum(n) OVER w AS k, sum(g) OVER () AS t, g FROM b WINDOW w AS (ORDER BY level DESC)) SELECT round(sum(g / t::DOUBLE * tp / k::DOUBLE), 6) AS average_precision FROM c")
 def average_precision(spark, d):
-    return S.average_precision(D.scores(spark, d), "p_rf", "y").select(r6("average_precision"))
+    """Of a continuous score, every value a level of its own."""
+    return S.average_precision(D.scores(spark, d).withColumn("p", F.col("p_rf") + F.col("p_cnn") / F.lit(7.0)), "p", "y").select(r6("average_precision"))
+
 
 
 @query(SC + " SELECT least(floor(p_rf * 16), 15)::INTEGER AS bin, count(*) AS n FROM s GROUP BY 1")

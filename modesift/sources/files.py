@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.profiles import clean_boundaries
+from ..operators.relational import decision, fingerprint
 
-MODE_SCHEMA = "path string, shot string, expected_n int, file string, omega double, gamma_d double, ntor int, nr int, nhar int, mode array<array<double>>, load_error string, size long, sha256 string"
+MODE_SCHEMA = "path string, shot string, expected_n int, file string, omega double, gamma_d double, ntor int, nr int, nhar int, mode array<array<double>>, load_error string, size long, sha256 string, input_fingerprint string"
 
 
 def decode_mode(content: bytes) -> dict:
@@ -40,9 +41,19 @@ def listing(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     return d.select("path", F.element_at(part, -3).alias("shot"), F.regexp_extract(F.element_at(part, -2), "^N([0-9]+)$", 1).alias("n_text"), F.element_at(part, -1).alias("file"), "modificationTime", "length", "content").where("n_text <> ''").withColumn("expected_n", F.col("n_text").cast("int")).drop("n_text")
 
 
-def read_modes(spark: SparkSession, root: str, n_min: int | None = None, n_max: int | None = None) -> DataFrame:
-    """One row a mode file egn*; a file that cannot be decoded keeps its row with load_error."""
-    d = listing(spark, root, "egn*")
+def _own_continuum(spark: SparkSession, root: str) -> DataFrame:
+    """The files datcon<N> of the groups N<N>."""
+    return listing(spark, root, "datcon*").where(F.col("file") == F.concat(F.lit("datcon"), F.col("expected_n").cast("string")))
+
+
+def read_modes(spark: SparkSession, root: str, n_min: int | None = None, n_max: int | None = None, tag: str | None = None) -> DataFrame:
+    """One row a mode file egn*; a file that cannot be decoded keeps its row with load_error. The input
+    fingerprint covers the bytes of the mode and of its group's boundary file (NULL without one); it is
+    made where the mode is read, so files are read once. tag: that of existing fingerprints."""
+    boundaries = _own_continuum(spark, root).select("shot", "expected_n", F.col("content").alias("boundary"))
+    d = listing(spark, root, "egn*").join(boundaries, ["shot", "expected_n"], "left")
+    parts = [("mode", F.col("content")), ("datcon", F.col("boundary"))]
+    d = d.withColumn("input_fingerprint", fingerprint(parts, tag) if tag else fingerprint(parts))
     if n_min is not None:
         d = d.where(F.col("expected_n") >= n_min)
     if n_max is not None:
@@ -59,9 +70,9 @@ def read_modes(spark: SparkSession, root: str, n_min: int | None = None, n_max:
                     rows.append({"load_error": f"{type(e).__name__}: {e}"})
             found = pd.DataFrame(rows, columns=names, index=frame.index, dtype=object)
             found = found.where(found.notna(), None)
-            yield pd.concat([frame.drop(columns="content"), found], axis=1)[["path", "shot", "expected_n", "file", *names, "size", "sha256"]]
+            yield pd.concat([frame.drop(columns="content"), found], axis=1)[["path", "shot", "expected_n", "file", *names, "size", "sha256", "input_fingerprint"]]
 
-    d = d.select("path", "shot", "expected_n", "file", "content", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    d = d.select("path", "shot", "expected_n", "file", "content", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), "input_fingerprint")
     return d.mapInPandas(run, MODE_SCHEMA)
 
 
@@ -80,7 +91,7 @@ def parse_continuum(text: str) -> tuple[int, int, np.ndarray, np.ndarray]:
 
 def read_continuum(spark: SparkSession, root: str) -> DataFrame:
     """One row a file datcon<N> in N<N>/: shot, n, i1, i2, low, high (NULL where undefined), error."""
-    d = listing(spark, root, "datcon*").where(F.col("file") == F.concat(F.lit("datcon"), F.col("expected_n").cast("string")))
+    d = _own_continuum(spark, root)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         plain = lambda a: [None if np.isnan(v) else float(v) for v in a]
@@ -107,17 +118,16 @@ def with_continuum(modes: DataFrame, continuum: DataFrame) -> DataFrame:
     return d.withColumns({"low2": place("low"), "high2": place("high")}).drop("c_shot", "n", "i1", "i2", "low", "high")
 
 
-def preflight(spark: SparkSession, root: str) -> None:
-    """Raises if a populated group has no continuum file."""
-    have = listing(spark, root, "datcon*").where(F.col("file") == F.concat(F.lit("datcon"), F.col("expected_n").cast("string"))).select("shot", "expected_n")
-    lack = listing(spark, root, "egn*").select("shot", "expected_n").distinct().join(have, ["shot", "expected_n"], "left_anti").orderBy("shot", "expected_n").limit(20).collect()
-    if lack:
-        raise FileNotFoundError("no continuum file for " + ", ".join(f"{r.shot}/N{r.expected_n}" for r in lack))
+def preflight(spark: SparkSession, root: str) -> DataFrame:
+    """(shot, expected_n) of the populated groups without a continuum file."""
+    have = _own_continuum(spark, root).select("shot", "expected_n")
+    return listing(spark, root, "egn*").select("shot", "expected_n").distinct().join(have, ["shot", "expected_n"], "left_anti")
 
 
 # --- lists -----------------------------------------------------------------------------------------
 
 PATH_NAMES, LABEL_NAMES = ("path", "file", "filename", "mode", "mode_path"), ("label", "validity", "class", "y")
+VALIDITIES, FAMILIES = ("good", "bad"), ("tae", "eae", "mixed")
 _LABELS = {"good", "bad", "g", "b", "1", "0", "review"}
 
 
@@ -144,16 +154,35 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_wide(spark: SparkSession, path: str) -> DataFrame:
-    """All columns of a CSV as strings under unique names (x, x_2, ...); short rows are padded with NULL."""
-    top = spark.read.text(path).limit(1).collect()
-    names, seen = [], {}
-    for x in next(csv.reader([top[0].value])) if top else []:
-        x = x.strip() or "column"
+    """All columns of a CSV as strings under unique names (x, x_2, ...), in file order; blank and # lines
+    are skipped, short rows padded with ''. Without a path column in its first line the file has no header:
+    its columns are path, validity or col2, family or col3, col4 and so on, by the values they hold."""
+    lines = spark.read.text(path).where("trim(value) <> '' and not startswith(trim(value), '#')").withColumn("seq", F.monotonically_increasing_id())
+    top = lines.orderBy("seq").limit(1).collect()
+    if not top:
+        raise ValueError(f"{path}: no rows")
+    first = [x.strip() for x in next(csv.reader([top[0].value]))]
+    named = any(x.lower() in PATH_NAMES for x in first)
+    # No row has more cells than commas and one.
+    width = lines.agg(F.max(F.size(F.split("value", ",")))).first()[0]
+    cells = F.from_csv(F.col("value"), ", ".join(f"c{i} string" for i in range(width)), {"mode": "PERMISSIVE", "nullValue": "\u0000"})
+    rows = lines.select("seq", cells.alias("x")).select("seq", F.filter(F.array("x.*"), lambda x: x.isNotNull()).alias("c"))
+    if named:
+        rows = rows.where(F.col("seq") != top[0].seq)
+    # Two columns' values tell the roles; each is a set of distinct values of which one beyond the known settles it.
+    known = lambda i, names: bool(rows.where(F.size("c") > i).select(F.lower(F.trim(F.get("c", F.lit(i)))).alias("v")).where("v <> ''").agg(F.count("*") > 0, F.coalesce(F.every(F.col("v").isin(*names)), F.lit(False))).first()[:] == (True, True))
+    width = max(len(first), rows.agg(F.max(F.size("c"))).first()[0] or 0)
+    if named:
+        names = [x or f"col{i + 1}" for i, x in enumerate(first)]
+    else:
+        names = ["path", *(["validity" if known(1, VALIDITIES) else "col2"] if width > 1 else []), *(["family" if known(2, FAMILIES) else "col3"] if width > 2 else [])]
+    names += [f"col{i + 1}" for i in range(len(names), width)]
+    seen: dict[str, int] = {}
+    unique = []
+    for x in names:
         seen[x] = seen.get(x, 0) + 1
-        names.append(x if seen[x] == 1 else f"{x}_{seen[x]}")
-    if not names:
-        return spark.createDataFrame([], "path string")
-    return spark.read.csv(path, header=True, schema=", ".join(f"`{n}` string" for n in names), enforceSchema=True, mode="PERMISSIVE")
+        unique.append(x if seen[x] == 1 else f"{x}_{seen[x]}")
+    return rows.orderBy("seq").select(*(F.coalesce(F.trim(F.get("c", F.lit(i))), F.lit("")).alias(n) for i, n in enumerate(unique)))
 
 
 def read_strict(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -168,19 +197,24 @@ def read_strict(spark: SparkSession, path: str, columns: list[str] | None = None
     return spark.read.csv(path, header=True, schema=", ".join(f"`{n}` string" for n in names), mode="FAILFAST", enforceSchema=False)
 
 
-OVERRIDE_COLUMNS = ["mode_key", "shot", "path", "input_fingerprint", "rule_decision", "primary_reason", "manual_decision", "manual_reason", "reviewer", "adjudication_timestamp"]
+# Fixed by the file format.
+OVERRIDE_COLUMNS = ["mode_key", "path", "input_fingerprint", "ntor", "frequency", "original_rule_decision", "manual_decision", "manual_reason", "reviewer", "adjudication_timestamp"]
 
 
 def read_overrides(spark: SparkSession, path: str, columns: list[str] = OVERRIDE_COLUMNS) -> DataFrame:
-    """Override rows; the first invalid decided row fails the read."""
+    """Override rows, trimmed, decisions in full and fingerprints in lower case; blank rows are skipped, the
+    first invalid row fails the read."""
     d = read_strict(spark, path, columns)
-    text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
-    decided = text("manual_decision") != ""
-    bad = F.when(decided & ~F.upper(text("manual_decision")).isin("G", "B", "R", "GOOD", "BAD", "REVIEW"), "manual_decision").when(decided & (text("manual_reason") == ""), "manual_reason").when(decided & (text("mode_key") == ""), "mode_key").when(decided & (F.length(text("input_fingerprint")) != 64), "input_fingerprint").when(decided & (text("reviewer") == ""), "reviewer").when(decided & (text("adjudication_timestamp") == ""), "adjudication_timestamp")
+    d = d.select(*(F.trim(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in columns))
+    d = d.where(F.array_join(F.array(*columns), "") != "").withColumn("input_fingerprint", F.lower("input_fingerprint"))
+    given, full = F.col("manual_decision") != "", decision(F.col("manual_decision"))
+    bad = F.when(~given & (F.col("manual_reason") != ""), "manual_decision").when(given & full.isNull(), "manual_decision")
+    for name, wrong in (("manual_reason", F.col("manual_reason") == ""), ("mode_key", F.col("mode_key") == ""), ("input_fingerprint", ~F.col("input_fingerprint").rlike("^[0-9a-f]{64}$")), ("reviewer", F.col("reviewer") == ""), ("adjudication_timestamp", F.col("adjudication_timestamp") == "")):
+        bad = bad.when(given & wrong, name)
     wrong = d.select(bad.alias("bad"), "mode_key").where("bad is not null").limit(1).collect()
     if wrong:
         raise ValueError(f"override {wrong[0].mode_key}: {wrong[0].bad} is missing or invalid")
-    return d
+    return d.withColumn("manual_decision", F.coalesce(full, F.lit("")))
 
 
 def read_training(spark: SparkSession, path: str) -> DataFrame:

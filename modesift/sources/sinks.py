@@ -15,6 +15,7 @@ from collections.abc import Iterable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def stable_json(value: Any) -> str:
@@ -67,20 +68,34 @@ def write_rows(path: str, columns: list[str], rows: Iterable[Any]) -> int:
     return n
 
 
+def _ordered(df: DataFrame, order: list[str]) -> DataFrame:
+    """Sorted, missing values last."""
+    return df.orderBy(*(F.col(c).asc_nulls_last() for c in order))
+
+
 def write_csv(df: DataFrame, path: str, columns: list[str], order: list[str]) -> int:
     """A DataFrame as one ordered CSV, a partition at a time on the driver."""
-    return write_rows(path, columns, df.select(*columns).orderBy(*order).toLocalIterator())
+    return write_rows(path, columns, _ordered(df, order).select(*columns).toLocalIterator())
 
 
 def write_vertical(values: dict[str, Any], path: str) -> None:
     write_rows(path, ["field", "value"], [{"field": k, "value": v} for k, v in values.items()])
 
 
-def fan_out(df: DataFrame, root: str, routes: dict[str, Column], columns: list[str], order: list[str]) -> dict[str, int]:
-    """One CSV a route from one persisted input; returns the row counts."""
-    kept = df.select(*columns).persist()
+def fan_out(df: DataFrame, root: str, routes: dict[str, Column], columns: list[str], order: list[str], by_executors: bool = False) -> dict[str, int]:
+    """One CSV a route from one sorted and persisted input; a filter keeps its order, so a run is sorted
+    once. Returns the row counts. by_executors: every route is a folder of sorted parts that executors write
+    to a store all share, nested values as JSON; else one file a route that the driver writes."""
+    kept = _ordered(df, order).select(*columns, *(c.alias(f"route__{name}") for name, c in routes.items())).persist()
     try:
-        return {name: write_rows(f"{root}/{name}.csv", columns, kept.where(c).orderBy(*order).toLocalIterator()) for name, c in routes.items()}
+        if not by_executors:
+            return {name: write_rows(f"{root}/{name}.csv", columns, kept.where(f"`route__{name}`").select(*columns).toLocalIterator()) for name in routes}
+        nested = {f.name for f in kept.schema.fields if f.dataType.typeName() in ("struct", "array", "map")}
+        flat = [F.to_json(c).alias(c) if c in nested else F.col(c) for c in columns]
+        for name in routes:
+            kept.where(f"`route__{name}`").select(*flat).write.mode("overwrite").csv(f"{root}/{name}", header=True)
+        counts = kept.agg(*(F.count_if(f"route__{name}").alias(name) for name in routes)).first()
+        return {name: counts[name] for name in routes}
     finally:
         kept.unpersist()
 

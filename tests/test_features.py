@@ -91,21 +91,47 @@ def test_gates(spark):
     far = [0.01] * 201, [9.0] * 201
     df = frame(spark, gate_mode([(2, 2, 1.0)]), gate_mode([(1, 80, 0.7), (1, 81, -0.7)]), (edge.tolist(), 1, *far), (zero.tolist(), 1, *far), gate_mode([(2, 2, 1.0), (1, 80, 0.7)])).withColumn("gap_region", F.lit("mixed"))
     off = gates.GateConfig(cross_energy=None, window_amplitude=None, window_energy=None)
-    got = [r.primary_reason for r in gates.evaluate(df, off).orderBy("mode_id").collect()]
+    evaluate = lambda df, cfg=gates.GateConfig(): gates.evaluate(df, cfg, identity=())
+    got = [r.primary_reason for r in evaluate(df, off).orderBy("mode_id").collect()]
     assert got == ["BAD_AXIS_SPIKE", "BAD_GRID_SCALE_SPIKE", "BAD_EDGE_SPIKE", "NO_GOOD_TEMPLATE", "BAD_AXIS_SPIKE"]
     quiet = gates.GateConfig(axis_amplitude=None, grid_amplitude=None, edge_width=None, cross_energy=None, window_amplitude=None, window_energy=None)
-    rows = gates.evaluate(df, quiet).orderBy("mode_id").collect()
+    rows = evaluate(df, quiet).orderBy("mode_id").collect()
     assert {r.rule_decision for r in rows} == {"REVIEW"} and rows[0].axis_peak == 1.0
-    bad = gates.evaluate(df.withColumn("omega", F.lit(-1.0)), off).first()
+    bad = evaluate(df.withColumn("omega", F.lit(-1.0)), off).first()
     assert (bad.rule_decision, bad.primary_reason) == ("INVALID", "RULE_INPUT_INVALID")
-    assert gates.evaluate(frame(spark, gate_mode()).withColumn("gap_region", F.lit("tae_like"))).first().primary_reason == "NO_GOOD_TEMPLATE"
+    assert evaluate(frame(spark, gate_mode()).withColumn("gap_region", F.lit("tae_like"))).first().primary_reason == "NO_GOOD_TEMPLATE"
     mode, _, low, high = gate_mode()
     cross = frame(spark, (mode, 0.905, low, high)).withColumn("gap_region", F.lit("tae_like"))
-    r = gates.evaluate(cross).first()
+    r = evaluate(cross).first()
     assert r.n_cross > 0 and r.primary_reason == "BAD_CONT_CROSS"
     w = r.W_star_max
-    assert gates.evaluate(cross, gates.GateConfig(cross_energy=w, window_amplitude=None, window_energy=None)).first().primary_reason == "NO_GOOD_TEMPLATE"
-    assert gates.evaluate(cross, gates.GateConfig(cross_energy=None)).first().primary_reason == "BAD_CONT_CROSS_WINDOW"
+    assert evaluate(cross, gates.GateConfig(cross_energy=w, window_amplitude=None, window_energy=None)).first().primary_reason == "NO_GOOD_TEMPLATE"
+    assert evaluate(cross, gates.GateConfig(cross_energy=None)).first().primary_reason == "BAD_CONT_CROSS_WINDOW"
+    lone = evaluate(df.withColumn("low2", F.lit(None).cast("array<double>")), off).first()
+    assert (lone.rule_decision, lone.primary_reason) == ("INVALID", "RULE_FEATURE_EXTRACTION_FAILED") and lone.r_star_max is None and lone.W_star_sum == 0
+    named = df.limit(1).withColumns({"path": F.lit("p"), "mode_key": F.lit("k"), "shot": F.lit("s"), "input_fingerprint": F.lit("a" * 64)})
+    assert gates.evaluate(named, off).first().primary_reason == "BAD_AXIS_SPIKE"
+    for column, value in (("path", ""), ("mode_key", None), ("input_fingerprint", "a" * 63)):
+        assert gates.evaluate(named.withColumn(column, F.lit(value).cast("string")), off).first().primary_reason == "RULE_INPUT_INVALID"
+    assert gates.evaluate(named.drop("shot"), off).first().primary_reason == "RULE_INPUT_INVALID"
+
+
+def test_feature_schemas(spark):
+    df = frame(spark, (as_w([0, 1, 4, 4, 0]), 1, [0.0] * 5, [2.0] * 5), (as_w([0, 1, 4, 4, 0]), 1, None, None))
+    with pytest.raises(ValueError):
+        X.feature_vector(df, extremum=True)
+    measured = gates.measure(df)
+    for crossing in (False, True):
+        for extremum in (False, True):
+            names = X.feature_names(crossing, extremum)
+            for r in X.feature_vector(measured, crossing, extremum).collect():
+                assert len(r.features) == len(names) == 22 + 6 * crossing + 3 * extremum and None not in r.features
+                if extremum:
+                    assert r.features[-3:] == [1.0, 1.0, 0.0]
+    at = X.RF_FEATURES.index("r_star")
+    first, tied = X.feature_vector(df).first().features[at], X.feature_vector(df, energy_tie=True).first().features[at]
+    assert (first, tied) == (0.0, 0.75)
+    assert X.schema_version(True, True, True) == "rf_all_crossings_extremum_energy_31_v2_rstar_energy_tie_v1"
 
 
 def test_secondary_crossing_against_a_loop(spark):

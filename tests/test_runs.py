@@ -45,34 +45,99 @@ def test_sources(spark, tree):
 
 
 def test_preflight(spark, tree, tmp_path):
+    """A shot with an incomplete group is not run; the others are."""
     (tmp_path / "data/s2/N1/datcon1").unlink()
     with pytest.raises(FileNotFoundError, match="s2/N1"):
-        runs.load(spark, tree)
+        runs.load(spark, tree, strict=True)
+    rows = runs.sort_rules(runs.load(spark, tree)).collect()
+    assert {r.rejection_reason for r in rows if r.shot == "s2"} == {"missing_continuum_group"}
+    assert {r.final_decision for r in rows if r.shot == "s1"} == {"REVIEW", "INVALID"}
 
 
-def test_mixed_and_rule_runs(spark, tree, tmp_path):
+def test_fingerprint_of_a_run(spark, tree):
+    import hashlib
+
+    rows = runs.load(spark, tree, tag="SOME_TAG").where("shot = 's1'").collect()
+    boundary = open(f"{tree}/s1/N1/datcon1", "rb").read()
+    for r in rows:
+        mode = open(r.path.removeprefix("file:"), "rb").read()
+        want = b"SOME_TAG\0" + b"".join(name + b"\0" + len(x).to_bytes(16, "big") + x for name, x in ((b"mode", mode), (b"datcon", boundary)))
+        assert r.input_fingerprint == hashlib.sha256(want).hexdigest()
+
+
+def table(path):
+    import csv
+
+    return list(csv.DictReader(open(path, newline="")))
+
+
+def test_mixed_run(spark, tree, tmp_path):
     df = runs.load(spark, tree)
     rf = lambda d: d.withColumn("p_rf", F.when(F.col("file") == "egn_c", 0.1).when(F.col("file") == "egn_b", 0.95).otherwise(0.9))
     cnn = lambda d: d.withColumn("p_cnn", F.when(F.col("file") == "egn_c", 0.1).otherwise(0.9))
     rows = runs.sort_mixed(df, rf, cnn)
     counts = runs.write_mixed(rows, str(tmp_path / "out"))
-    assert (counts["all_modes"], counts["gold_good"], counts["selected_final"], counts["invalid"]) == (7, 4, 2, 1)
-    chosen = {r.file for r in rows.where("selected").collect()}
-    assert chosen == {"egn_b"}
-    before = (tmp_path / "out/all_modes.csv").read_bytes()
+    assert (counts["all_modes_scored"], counts["good_tae_unchecked"], counts["good_tae_final"], counts["rejected_modes"]) == (7, 4, 2, 1)
+    assert {r.file for r in rows.where("selected").collect()} == {"egn_b"}
+    got = table(tmp_path / "out/all_modes_scored.csv")
+    assert list(got[0]) == runs.MIXED_COLUMNS and len(runs.MIXED_COLUMNS) == 25
+    # Rows that could not be read have no ntor and omega and come last in their n.
+    assert got[-1]["status"] == "rejected" and got[-1]["ntor"] == "" and "ValueError" in got[-1]["error_message"]
+    assert float(got[0]["rad_loc"]) == pytest.approx(0.4, abs=0.05)
+    before = (tmp_path / "out/all_modes_scored.csv").read_bytes()
     runs.write_mixed(rows, str(tmp_path / "out"))
-    assert (tmp_path / "out/all_modes.csv").read_bytes() == before
-    ruled = runs.sort_rules(df)
-    counts = runs.write_rules(ruled, str(tmp_path / "rules"))
-    assert counts["final_review"] == 6 and counts["final_good"] == 0 and counts["final_invalid"] == 1
-    assert (tmp_path / "rules/final_good.csv").read_text().count("\n") == 1  # a header all the same
-    good = ruled.withColumn("x", F.col("mode_key")).select(F.col("mode_key"), F.lit("f").alias("input_fingerprint"), F.lit("GOOD").alias("manual_decision"))
-    over = runs.sort_rules(df.withColumn("input_fingerprint", F.lit("f")), good, score=lambda d: d.withColumn("score", F.when(F.col("shot") == "s1", F.when(F.col("file") == "egn_a", 0.9).otherwise(0.1))))
-    kept = {(r.shot, r.file) for r in over.where("selected").collect()}
-    assert ("s1", "egn_a") in kept and ("s1", "egn_b") not in kept and {("s2", "egn_a"), ("s2", "egn_b")} <= kept
+    assert (tmp_path / "out/all_modes_scored.csv").read_bytes() == before
+    clusters = table(tmp_path / "out/frequency_clusters.csv")
+    assert sorted((r["shot"], r["path"][-5:], r["action"]) for r in clusters) == [(s, f, a) for s in ("s1", "s2") for f, a in (("egn_a", "DROP"), ("egn_b", "KEEP"))]
+    assert "n=1 cluster=1" in (tmp_path / "out/frequency_cluster_report.txt").read_text()
+    assert [r["n_final_good"] for r in table(tmp_path / "out/shot_summary_wide.csv")] == ["1", "1"]
+    assert [(r["shot"], r["n"]) for r in table(tmp_path / "out/shot_summary_by_n.csv")] == [("s1", "1"), ("s2", "1")]
+    assert runs.write_mixed(rows, str(tmp_path / "parts"), by_executors=True) == counts
     single = runs.sort_single(df, lambda d: d.withColumn("score", F.lit(0.7)))
     assert single.where("selected").count() == 4
     assert {r.gap_group for r in runs.split_gap(df).collect()} == {"below_upper2", None}
+    assert runs.write_preprocess(runs.preprocess(df), str(tmp_path / "pre")) == {"tae_like_all": 6, "eae_like": 0, "rejected_modes": 1}
+
+
+def test_rule_run_with_overrides_from_a_file(spark, tree, tmp_path):
+    df = runs.load(spark, tree)
+    plain = runs.sort_rules(df)
+    counts = runs.write_rules(plain, str(tmp_path / "rules"))
+    assert counts["review_tae_like"] == 6 and counts["good_tae_final"] == 0 and counts["rejected_modes"] == 1
+    assert (tmp_path / "rules/good_tae_final.csv").read_text().count("\n") == 1  # a header all the same
+    got = table(tmp_path / "rules/all_modes_rules.csv")
+    assert list(got[0]) == runs.RULE_COLUMNS and len(runs.RULE_COLUMNS) == 34
+    one = got[0]
+    assert one["rule_triggered_rules"] == '["NO_GOOD_TEMPLATE"]' and one["processing_status"] == "RULE_EVALUATED" and len(one["input_fingerprint"]) == 64
+    import json
+
+    features = json.loads(one["rule_features"])
+    assert features["boundary_features"]["axis_artifact"]["axis_peak"] is not None and features["crossing_features"]["r_star_max"] is None and features["crossing_records"] == []
+    bad = next(r for r in got if r["processing_status"] == "INVALID")
+    assert bad["preprocessing_primary_reason"] == "MODE_LOAD_FAILED" and bad["rule_features"] == ""
+    lines = [",".join(files.OVERRIDE_COLUMNS)]
+    for k, r in enumerate(x for x in got if x["rule_decision"] == "REVIEW"):
+        key, mark = r["mode_key"], r["input_fingerprint"]
+        stale = mark if k != 1 else "0" * 64
+        lines.append(f"{key},{r['path']},{stale.upper()},1,{r['omega']},REVIEW,{'G' if k != 2 else ''},{'seen' if k != 2 else ''},me,2024-01-01")
+    lines.append("gone/N1/egn,x," + "1" * 64 + ",1,1,REVIEW,B,gone,me,2024-01-01")
+    (tmp_path / "o.csv").write_text("\n".join(lines) + "\n")
+    over = files.read_overrides(spark, str(tmp_path / "o.csv"))
+    score = lambda d: d.withColumn("score", F.when(F.col("file") == "egn_a", 0.9).otherwise(0.1))
+    rows = runs.sort_rules(df, over, score=score)
+    runs.write_rules(rows, str(tmp_path / "over"), over)
+    got = {r["mode_key"]: r for r in table(tmp_path / "over/all_modes_rules.csv")}
+    status = [r["override_status"] for r in got.values()]
+    assert status.count("APPLIED") == 4 and status.count("STALE_FINGERPRINT") == 1 and status.count("NOT_PRESENT") == 1
+    applied = next(r for r in got.values() if r["override_status"] == "APPLIED")
+    assert (applied["final_decision"], applied["manual_decision"], applied["manual_reason"], applied["reviewer"], applied["decision_source"]) == ("GOOD", "GOOD", "seen", "me", "manual_override")
+    stale = next(r for r in got.values() if r["override_status"] == "STALE_FINGERPRINT")
+    assert stale["override_message"] and stale["final_decision"] == "REVIEW" and stale["reviewer"] == ""
+    wide = {r["shot"]: r for r in table(tmp_path / "over/shot_summary_wide.csv")}
+    assert sum(int(r["n_overrides_applied"]) for r in wide.values()) == 4 and all(r["n_manual_override_rows"] == "7" and r["n_modes_manually_inspected"] == "6" for r in wide.values())
+    assert {json.loads(r["transition_counts_json"]).get("REVIEW->GOOD", 0) for r in wide.values()} <= {1, 2, 3}
+    assert len(table(tmp_path / "over/manual_overrides.csv")) == 7
+    assert all(r["selected_final"] in ("True", "False") for r in got.values() if r["final_decision"] == "GOOD")
 
 
 def test_audit(spark, tree, tmp_path):
@@ -108,15 +173,25 @@ def test_lists(spark, tmp_path):
     assert m == {"s/N1/egn1": "bad", "s/N1/egn2": "good"}
     p3 = tmp_path / "c.csv"
     p3.write_text("x,x,y\n1,2,3\n4\n")
-    assert files.read_wide(spark, str(p3)).columns == ["x", "x_2", "y"]
+    assert files.read_wide(spark, str(p3)).columns == ["path", "col2", "col3"]
+    p3.write_text("x,path,x\n1,s/N1/a,3\n4\n")
+    wide = files.read_wide(spark, str(p3))
+    assert wide.columns == ["x", "path", "x_2"] and [tuple(r) for r in wide.collect()] == [("1", "s/N1/a", "3"), ("4", "", "")]
+    p3.write_text("# note\ns/N1/a,good,tae,7\n\ns/N1/b,Bad,eae\n")
+    wide = files.read_wide(spark, str(p3))
+    assert wide.columns == ["path", "validity", "family", "col4"] and wide.count() == 2
+    p3.write_text("x,x,y\n1,2,3\n4\n")
     with pytest.raises(ValueError):
         files.read_strict(spark, str(p3))
-    p4 = tmp_path / "o.csv"
-    p4.write_text(",".join(files.OVERRIDE_COLUMNS) + "\nk,s,p," + "a" * 64 + ",BAD,r,G,why,me,2024-01-01\n")
-    assert files.read_overrides(spark, str(p4)).count() == 1
-    p4.write_text(",".join(files.OVERRIDE_COLUMNS) + "\nk,s,p,short,BAD,r,G,why,me,2024-01-01\n")
-    with pytest.raises(ValueError, match="input_fingerprint"):
-        files.read_overrides(spark, str(p4))
+    p4, head = tmp_path / "o.csv", ",".join(files.OVERRIDE_COLUMNS) + "\n"
+    row = lambda mark, decision, reason: f"k,p,{mark},1,1.5,BAD,{decision},{reason},me,2024-01-01\n"
+    p4.write_text(head + row("A" * 64, " g ", "why"))
+    one = files.read_overrides(spark, str(p4)).first()
+    assert (one.manual_decision, one.input_fingerprint) == ("GOOD", "a" * 64)
+    for bad, match in ((row("short", "G", "why"), "input_fingerprint"), (row("g" * 64, "G", "why"), "input_fingerprint"), (row("a" * 64, "", "why"), "manual_decision"), (row("a" * 64, "G", ""), "manual_reason"), (row("a" * 64, "maybe", "why"), "manual_decision")):
+        p4.write_text(head + bad)
+        with pytest.raises(ValueError, match=match):
+            files.read_overrides(spark, str(p4))
 
 
 def test_overrides(spark):
@@ -140,6 +215,22 @@ def test_clusters_and_dedup(spark):
     assert c == {"a": 1, "b": 1, "d": 1, "c": 2, "e": 1}
     kept = {r.mode_id for r in dedup.representatives(df, ["ntor"]).where("selected").collect()}
     assert kept == {"b", "d", "c", "e"}
+    log = {(r.mode_id, r.against): (r.same, round(r.relative_omega, 4)) for r in dedup.comparisons(df, ["ntor"]).collect()}
+    assert log[("a", "b")] == (True, 0.0148) and log[("d", "b")][0] is False and set(log) == {("d", "b"), ("a", "b")}
+
+
+def test_clusters_against_a_loop(spark):
+    """Dense and sparse values, ties, missing ones, and groups that end within a batch."""
+    rng = np.random.default_rng(6)
+    rows = [(int(g) if g else None, f"k{i}", None if i % 97 == 0 else float(v)) for i, (g, v) in enumerate(zip(rng.integers(0, 4, 30_000), np.concatenate([rng.uniform(1, 1.5, 20_000), rng.uniform(0, 100, 9_000), np.full(1_000, 3.0)]), strict=True))]
+    df = spark.createDataFrame(rows, "ntor int, mode_id string, omega double")
+    got = {r.mode_id: r.cluster_index for r in R.frequency_clusters(df, ["ntor"], "omega", "mode_id").collect()}
+    for g in {r[0] for r in rows}:
+        index, anchor = 0, None
+        for _, k, v in sorted((r for r in rows if r[0] == g), key=lambda r: (r[2] is not None, r[2] or 0, r[1])):
+            if anchor is None or v is None or not abs(v - anchor) / max(abs(anchor), 1e-12) < 0.02:
+                index, anchor = index + 1, v
+            assert got[k] == index
 
 
 def test_forest_and_array_models(spark, tmp_path):
@@ -157,6 +248,13 @@ def test_forest_and_array_models(spark, tmp_path):
         ml.load_forest(str(tmp_path / "rf"), spark, 28)
     scored = ml.score_forest(ml.load_forest(str(tmp_path / "rf"), spark, 22), small)
     assert scored.where("(p_rf >= 0.5) = (y = 1)").count() >= 55
+    with pytest.raises(ValueError):
+        ml.load_forest(str(tmp_path / "rf"), spark, 22, energy_tie=True)
+    dealt = ml.folds(small, "mode_id", k=3).groupBy("fold", "y").count().collect()
+    assert {r["count"] for r in dealt} == {10} and len(dealt) == 6
+    assert ml.cross_validate(small, "mode_id", k=2, trees=5, depth=4).where("accuracy > 0.7").count() == 2
+    tested, refitted = ml.holdout(small, "mode_id", fraction=0.2, trees=5, depth=4)
+    assert tested.count() == 12 and len(ml.importances(refitted, 22)) == 22
     oof = ml.out_of_fold(small, "mode_id", k=2, trees=10, depth=5)
     assert oof.count() == 60 and oof.where("(p_oof >= 0.5) = (y = 1)").count() >= 45
     loso = runs.leave_one_out(small, trees=5, depth=4)
@@ -194,6 +292,21 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == sorted(map(str, S.flagged(S.fuse(rows)).select("id", "tier", "is_flagged").collect()))
 
 
+def test_average_precision_against_a_loop(spark):
+    rng = np.random.default_rng(7)
+    p = np.concatenate([rng.uniform(-0.2, 1.3, 900), np.full(50, 0.5), np.full(50, 1.0)])
+    y = (rng.random(1000) < 0.3).astype(int)
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(p, y, strict=True)] + [(None, 1), (0.3, None)], "p double, y int")
+    want, last = 0.0, 0.0
+    for level in sorted(set(p), reverse=True):
+        above = p >= level
+        recall = y[above].sum() / y.sum()
+        want += (recall - last) * y[above].mean()
+        last = recall
+    assert S.average_precision(df, "p", "y").first()[0] == pytest.approx(want)
+    assert S.threshold_sweep(df, "p", "y").count() == len(set(p))
+
+
 def test_sinks():
     assert sinks.stable_json({"b": float("nan"), "a": [1, {"d": True}]}) == '{"a":[1,{"d":true}],"b":null}'
     assert sinks.text(float("inf")) == "" and sinks.text(None) == ""
