@@ -5,12 +5,14 @@ Filter to the routed modes first: nothing is pushed through the Python stage.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import profiles as P
 from . import features as X
@@ -63,25 +65,29 @@ def measure_one(mode: np.ndarray, omega: float, low2: np.ndarray, high2: np.ndar
 
 
 def measure(df: DataFrame, cfg: GateConfig = GateConfig()) -> DataFrame:
-    """df with the array measurements; measure_error where a mode cannot be measured. Only the four inputs
-    of a measurement go to Python."""
-    names = [part.strip().split(" ")[0] for part in MEASURES.split(",")]
-
-    def run(mode: pd.Series, omega: pd.Series, low2: pd.Series, high2: pd.Series) -> pd.DataFrame:
-        rows = []
-        for m, w, low, high in zip(mode, omega, low2, high2, strict=True):
-            try:
-                if m is None or low is None or high is None:
-                    raise ValueError("mode, low2 and high2 are required")
-                cells = np.array([list(row) for row in m], dtype=float)
-                rows.append(measure_one(cells, float(w), _array(low, cells.shape[1]), _array(high, cells.shape[1]), cfg))
-            except (ValueError, TypeError, IndexError) as e:
-                rows.append({"measure_error": f"{type(e).__name__}: {e}"})
-        found = pd.DataFrame(rows, columns=names, dtype=object)
-        return found.where(found.notna(), None)
-
-    taken = F.pandas_udf(run, MEASURES)
-    return df.withColumn("gates__m", taken("mode", "omega", "low2", "high2")).select("*", "gates__m.*").drop("gates__m")
+    """df with the array measurements; measure_error where a mode cannot be measured. The stage takes Arrow
+    batches: all other columns pass through as they are, only the four inputs become Python objects, and what
+    follows reads its output instead of repeating a call."""
+    measures = T.StructType.fromDDL(MEASURES)
+    types = {"double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string()}
+    kinds = {f.name: types[f.dataType.simpleString()] for f in measures}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for m, w, low, high in zip(*(batch.column(name).to_pylist() for name in ("mode", "omega", "low2", "high2")), strict=True):
+                try:
+                    if m is None or low is None or high is None:
+                        raise ValueError("mode, low2 and high2 are required")
+                    cells = np.array(m, dtype=float)
+                    rows.append(measure_one(cells, float(w), _array(low, cells.shape[1]), _array(high, cells.shape[1]), cfg))
+                except (ValueError, TypeError, IndexError) as e:
+                    rows.append({"measure_error": f"{type(e).__name__}: {e}"})
+            found = [pa.array([r.get(name) for r in rows], type=kind, from_pandas=True) for name, kind in kinds.items()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=[*batch.schema.names, *kinds])
+
+    kept = [T.StructField(f.name, f.dataType) for f in df.schema]
+    return df.mapInArrow(run, T.StructType([*kept, *measures]))
 
 
 IDENTITY = ("path", "mode_key", "shot", "input_fingerprint")
