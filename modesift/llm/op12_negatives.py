@@ -54,13 +54,19 @@ class Tree:
         self.order = np.arange(len(x))
         self.cut = [np.array([0, len(x)])]
         while (len(x) >> (len(self.cut) - 1)) > leaf:
-            cut = self.cut[-1]
+            cut, halves = self.cut[-1], []
             for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 own = self.order[lo:hi]
                 p = x[own[((x[own] - x[own].mean(axis=0)) ** 2).sum(axis=1).argmax()]]
                 q = x[own[((x[own] - p) ** 2).sum(axis=1).argmax()]]
-                self.order[lo:hi] = own[np.argsort(x[own] @ (q - p), kind="stable")]
-            self.cut.append(np.sort(np.concatenate([cut, (cut[:-1] + cut[1:]) // 2])))
+                along = x[own] @ (q - p)
+                by = np.argsort(along, kind="stable")
+                self.order[lo:hi] = own[by]
+                first, stop = (hi - lo) // 2, (hi - lo) // 2 + 1
+                if leaf >= 16 and hi - lo >= 64:  # at the widest gap near the middle; small nodes in halves, so that none is empty
+                    first, stop = 3 * (hi - lo) // 8, 5 * (hi - lo) // 8
+                halves.append(lo + first + int(np.diff(along[by[first - 1 : stop]]).argmax()))
+            self.cut.append(np.sort(np.concatenate([cut, halves])))
         x = x[self.order]
         self.balls = [_balls(x, cut) for cut in self.cut]
 
