@@ -61,24 +61,21 @@ def axis_artifact(mode: np.ndarray, r_ax: float = 0.03) -> dict:
     half-maximum width (the inner edge held at the axis)."""
     n = mode.shape[1]
     r = np.linspace(0.0, 1.0, n)
-    window = np.abs(mode[:, r <= r_ax + EPS * max(1.0, abs(r_ax))])
-    h, k = np.unravel_index(int(window.argmax()), window.shape)
-    profile = np.abs(mode[h])
+    size = np.abs(mode)
+    near_axis = size[:, : np.searchsorted(r, r_ax + EPS * max(1.0, abs(r_ax)), side="right")]
+    h = int(near_axis.max(axis=1).argmax())
+    k = int(near_axis[h].argmax())
+    profile = size[h]
     peak = float(profile[k])
-    tol = EPS * max(1.0, peak)
-    near = np.abs(profile - peak) <= tol
-    left, right = k, k
-    while left > 0 and near[left - 1]:
-        left -= 1
-    while right < n - 1 and near[right + 1]:
-        right += 1
-    lower = (left == 0 or profile[left - 1] < peak - tol) and (right == n - 1 or profile[right + 1] < peak - tol)
+    # The flat top ends where the profile first leaves the peak's height; there it must fall.
+    away = np.flatnonzero(np.abs(profile - peak) > EPS * max(1.0, peak))
+    beside = profile[np.concatenate([away[away < k][-1:], away[away > k][:1]])]
     if peak > 0:
-        inner, outer, touches, _ = half_max(profile, int(k))
+        inner, outer, touches, _ = half_max(profile, k)
     else:
         inner, outer, touches = 0.0, 1.0, True
     return {
-        "axis_peak": peak, "axis_peak_harmonic_index": int(h), "axis_peak_r": float(r[k]), "axis_peak_is_local_max": bool(peak > 0 and lower and (left > 0 or right < n - 1)),
+        "axis_peak": peak, "axis_peak_harmonic_index": h, "axis_peak_r": float(r[k]), "axis_peak_is_local_max": bool(peak > 0 and len(beside) and (beside < peak).all()),
         "axis_halfmax_width_r": outer - inner, "axis_halfmax_width_grid": (outer - inner) * (n - 1), "axis_halfmax_outer_edge_r": outer, "axis_component_touches_boundary": touches,
     }
 

@@ -10,7 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import RunTables
+from . import chains
+
 DECISIONS = ("GOOD", "BAD", "REVIEW")
+#: Rows of a group that one task may scan.
+HOT = 2_000_000
 
 
 def binary_label(c: Column) -> Column:
@@ -65,16 +70,19 @@ def label_match(scored: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     return both.agg(F.count_if(s & l).alias("matched"), F.count_if(s & ~l).alias("unmatched_scored"), F.count_if(~s & l).alias("labeled_not_scored"))
 
 
-def apply_overrides(rows: DataFrame, overrides: DataFrame) -> DataFrame:
+def apply_overrides(rows: DataFrame, overrides: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """rows with override_status and its message, final_decision, decision_source, and of applied overrides
-    what the reviewer wrote. Undecided override rows don't count. The first that
-    applies of: none, key not unique on either side, stale fingerprint, ineligible decision, applied."""
+    what the reviewer wrote. Undecided override rows don't count. The first that applies of: none, key not
+    unique on either side, stale fingerprint, ineligible decision, applied. Only the keys of the overrides
+    are counted among the rows, so these meet one small table and are never grouped themselves.
+    keys: the same mode_keys from a plan that is cheaper to read twice than rows."""
     given = overrides.where(F.trim(F.coalesce("manual_decision", F.lit(""))) != "")
     told = ("manual_reason", "reviewer", "adjudication_timestamp")
     given = given.withColumns({c: F.lit(None).cast("string") for c in told if c not in overrides.columns})
     given = given.groupBy(F.trim("mode_key").alias("o_key")).agg(F.count("*").alias("o_n"), F.first("manual_decision").alias("o_decision"), F.first(F.lower("input_fingerprint")).alias("o_print"), *(F.first(c).alias(f"o_{c}") for c in told))
-    counts = rows.groupBy("mode_key").agg(F.count("*").alias("k_n")).withColumnRenamed("mode_key", "k_key")
-    d = rows.join(counts, F.col("mode_key") == F.col("k_key"), "left").join(given, F.col("mode_key") == F.col("o_key"), "left")
+    found = (rows if keys is None else keys).select(F.col("mode_key").alias("k_key"))
+    counts = found.join(given.select(F.col("o_key").alias("k_key")), "k_key", "left_semi").groupBy("k_key").agg(F.count("*").alias("k_n"))
+    d = rows.join(given.join(counts, F.col("o_key") == F.col("k_key")).drop("k_key"), F.col("mode_key") == F.col("o_key"), "left")
     eligible = F.coalesce(F.col("rule_decision").isin(*DECISIONS), F.lit(False))
     status = (
         F.when(F.col("o_n").isNull(), F.when(eligible, "NOT_PRESENT").otherwise(""))
@@ -84,11 +92,11 @@ def apply_overrides(rows: DataFrame, overrides: DataFrame) -> DataFrame:
         .otherwise("APPLIED")
     )
     d = d.withColumn("override_status", status)
-    applied = F.col("override_status") == "APPLIED"
-    return d.withColumns({"final_decision": F.when(applied, decision(F.col("o_decision"))).otherwise(F.col("rule_decision")), "decision_source": F.when(applied, "manual_override").otherwise("rule_engine"), "manual_decision": F.when(applied, decision(F.col("o_decision"))), **{c: F.when(applied, F.col(f"o_{c}")) for c in told}})
     said = F.col("override_status")
+    applied = said == "APPLIED"
     message = F.when(said == "AMBIGUOUS_OVERRIDE", "the key is not unique among the rows or the overrides").when(said == "STALE_FINGERPRINT", "the inputs have changed since the review").when(said == "INELIGIBLE_DECISION", "only GOOD, BAD and REVIEW can be overridden")
-    return d.withColumn("override_message", message).drop("k_key", "k_n", "o_key", "o_n", "o_decision", "o_print", *(f"o_{c}" for c in told))
+    d = d.withColumns({"final_decision": F.when(applied, decision(F.col("o_decision"))).otherwise(F.col("rule_decision")), "decision_source": F.when(applied, "manual_override").otherwise("rule_engine"), "manual_decision": F.when(applied, decision(F.col("o_decision"))), "override_message": message, **{c: F.when(applied, F.col(f"o_{c}")) for c in told}})
+    return d.drop("k_n", "o_key", "o_n", "o_decision", "o_print", *(f"o_{c}" for c in told))
 
 
 def manifest(training: DataFrame, reference: DataFrame, listed: DataFrame) -> DataFrame:
@@ -167,11 +175,24 @@ def _cluster_scan(group: list[str], value: str, tolerance: float):
     return run
 
 
-def frequency_clusters(df: DataFrame, group: list[str], value: str, key: str, tolerance: float = 0.02) -> DataFrame:
+def frequency_clusters(df: DataFrame, group: list[str], value: str, key: str, tolerance: float = 0.02, hot: int = HOT, tables: RunTables | None = None) -> DataFrame:
     """cluster_index per row: in order of value, a row joins the cluster while its distance from the
     cluster's first member, relative to that, is below the tolerance. Rows without value are clusters of
-    their own. One shuffle by group, then a streaming scan in sorted order: no group is gathered."""
-    rows = df.select(*group, key, value).repartition(*group).sortWithinPartitions(*group, value, key)
+    their own. Groups of up to ``hot`` rows take one shuffle and a streaming scan in sorted order, so that
+    none is gathered; larger ones are dealt to ranges of values (``chains``). Both give the same."""
+    rows = df.select(*group, key, value)
+    large = rows.groupBy(*group).agg(F.count("*").alias("cluster__n")).where(F.col("cluster__n") > hot)
+    if large.isEmpty():
+        return _scanned(rows, group, value, key, tolerance)
+    tables = tables or RunTables(df.sparkSession)
+    large = tables.stage("hot_groups", lambda: large)
+    match = [rows[c].eqNullSafe(large[c]) for c in group]
+    cold = _scanned(rows.join(large, match, "left_anti"), group, value, key, tolerance)
+    return cold.unionByName(chains.chain_clusters(rows.join(large, match, "left_semi"), group, value, key, tolerance, tables, part=max(1, hot // 2)))
+
+
+def _scanned(rows: DataFrame, group: list[str], value: str, key: str, tolerance: float) -> DataFrame:
+    rows = rows.repartition(*group).sortWithinPartitions(*group, value, key)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.mapInArrow(_cluster_scan(group, value, tolerance), f"{schema}, cluster_index int")
 
