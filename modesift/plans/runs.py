@@ -1,7 +1,9 @@
 """Whole runs: from files to decisions, reports and evaluations.
 
-Sorts keep their scored rows persisted, as the joins after them and every report read them again; the
-caller drops them with ``spark.catalog.clearCache()`` when the reports are written.
+A sort is a row of stage tables (``RunTables``): inputs routed, rows decided, scores, near-duplicates, and
+the sorted rows that every report reads. Arrays are written once, in the first; of the others only rows
+that are still to be scored or compared keep theirs. Give a sort the same tables again and it goes on
+after its last whole stage.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from ..operators import features as X
 from ..operators import relational as R
 from ..operators import scoring as S
 from ..sources import files, sinks
+from ..sources.tables import RunTables
 
 
 def load(spark: SparkSession, root: str, n_min: int | None = None, n_max: int | None = None, strict: bool = False, tag: str | None = None) -> DataFrame:
@@ -58,45 +61,80 @@ def _scored(df: DataFrame, scorers: dict[str, Callable[[DataFrame], DataFrame]])
     return d, df.where(~F.coalesce(go, F.lit(False)))
 
 
-def sort_mixed(df: DataFrame, score_rf: Callable[[DataFrame], DataFrame], score_cnn: Callable[[DataFrame], DataFrame], group: tuple[str, ...] = ("shot", "ntor"), **dedup_args) -> DataFrame:
-    """All rows of a mixed run: scores, fusion, flags and ``selected`` after near-duplicates among the good."""
-    d, rest = _scored(preprocess(df), {"rf": score_rf, "cnn": score_cnn})
-    d = S.flagged(S.fuse(d)).persist()  # read twice below: scoring must not run again
-    good = d.where("final_label = 'good'").withColumn("score", F.col("p_avg"))
-    marks = dedup.representatives(good.select(*group, "path", "omega", "score", "mode"), list(group), "path", **dedup_args)
-    d = d.join(marks.select("path", "cluster_index", "type_index", "selected"), "path", "left")
-    return d.unionByName(rest, allowMissingColumns=True).withColumn("selected", F.coalesce("selected", F.lit(False)))
+def _arrays(rows: DataFrame) -> list[str]:
+    """The columns that hold a mode's inputs: large, and of no use to reports."""
+    return [f.name for f in rows.schema.fields if f.dataType.typeName() == "array"]
 
 
-def sort_rules(df: DataFrame, overrides: DataFrame | None = None, cfg: gates.GateConfig = gates.GateConfig(), score: Callable[[DataFrame], DataFrame] | None = None, group: tuple[str, ...] = ("shot", "ntor")) -> DataFrame:
-    """All rows of a rule run: gates, overrides, final decisions and ``selected`` among the GOOD. Without a
-    scorer, or where it leaves a cluster member without score, all members of the cluster stay."""
-    d = preprocess(df)
-    go = (F.col("rejection_reason") == "") & F.col("gap_region").isin("tae_like", "mixed")
-    ruled = gates.evaluate(X.radial(d.where(go)).drop("w", "r", "w_sum"), cfg).persist()  # every report below reads it
-    rest = d.where(~F.coalesce(go, F.lit(False))).withColumn("rule_decision", F.when(F.col("rejection_reason") != "", "INVALID").otherwise("EAE")).withColumn("primary_reason", F.upper("rejection_reason"))
-    rows = ruled.unionByName(rest, allowMissingColumns=True)
-    if overrides is not None:
-        rows = R.apply_overrides(rows, overrides)
-    else:
-        rows = rows.withColumns({"override_status": F.when(F.col("rule_decision").isin(*R.DECISIONS), "NOT_PRESENT").otherwise(""), "final_decision": F.col("rule_decision"), "decision_source": F.lit("rule_engine"), **{c: F.lit(None).cast("string") for c in ("override_message", "manual_decision", "manual_reason", "reviewer", "adjudication_timestamp")}})
-    good = rows.where("final_decision = 'GOOD'")
-    if score is None:
-        return rows.withColumn("selected", F.col("final_decision") == "GOOD")
-    scored = score(good).select(*group, "path", "omega", "score", "mode").persist()
-    marks = R.frequency_clusters(scored, list(group), "omega", "path")
-    open_ = scored.where("score is null").select("path").join(marks, "path").select(*group, "cluster_index").distinct().withColumn("keep_all", F.lit(True))
-    picked = dedup.representatives(scored.fillna({"score": 0.0}), list(group), "path").join(open_, [*group, "cluster_index"], "left")
-    picked = picked.select("path", "cluster_index", "type_index", (F.col("selected") | F.coalesce("keep_all", F.lit(False))).alias("selected"))
-    picked = picked.join(scored.select("path", F.col("score").alias("duplicate_rank_score")), "path")
-    return rows.join(picked, "path", "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
+def _only_where(rows: DataFrame, arrays: list[str], keep) -> DataFrame:
+    return rows.withColumns({c: F.when(keep, F.col(c)) for c in arrays})
+
+
+def _with_marks(rows: DataFrame, arrays: list[str], marks: DataFrame) -> DataFrame:
+    """rows without their arrays, with what near-duplicates say of them; a path that has no mark is not selected."""
+    return rows.drop(*arrays).join(marks, "path", "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
+
+
+def sort_mixed(df: DataFrame, score_rf: Callable[[DataFrame], DataFrame], score_cnn: Callable[[DataFrame], DataFrame], group: tuple[str, ...] = ("shot", "ntor"), tables: RunTables | None = None, **dedup_args) -> DataFrame:
+    """All rows of a mixed run, without their arrays: scores, fusion, flags and ``selected`` after
+    near-duplicates among the good."""
+    tables = tables or RunTables(df.sparkSession)
+    routed = tables.stage("routed", lambda: X.radial(preprocess(df)).drop("w", "r", "w_sum"))
+    arrays = _arrays(routed)
 
+    def fused() -> DataFrame:
+        d, rest = _scored(routed, {"rf": score_rf, "cnn": score_cnn})
+        d = _only_where(S.flagged(S.fuse(d)), arrays, F.col("final_label") == "good")
+        return d.unionByName(_only_where(rest, arrays, F.lit(False)), allowMissingColumns=True)
 
-def sort_single(df: DataFrame, score: Callable[[DataFrame], DataFrame], threshold: float = 0.5, group: tuple[str, ...] = ("shot", "ntor")) -> DataFrame:
-    """A run with one model: label by threshold, near-duplicates among the good."""
-    d = score(df.where("rejection_reason = ''")).withColumn("final_label", F.when(F.col("score") >= threshold, "good").otherwise("bad"))
-    marks = dedup.representatives(d.where("final_label = 'good'").select(*group, "path", "omega", "score", "mode"), list(group), "path")
-    return d.join(marks.select("path", "cluster_index", "type_index", "selected"), "path", "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
+    rows = tables.stage("fused", fused)
+    good = rows.where("final_label = 'good'").withColumn("score", F.col("p_avg"))
+    marks = dedup.representatives(good.select(*group, "path", "omega", "score", "mode"), list(group), "path", tables=tables, **dedup_args)
+    return tables.stage("sorted", lambda: _with_marks(rows, arrays, marks.select("path", "cluster_index", "type_index", "selected")))
+
+
+def sort_rules(df: DataFrame, overrides: DataFrame | None = None, cfg: gates.GateConfig = gates.GateConfig(), score: Callable[[DataFrame], DataFrame] | None = None, group: tuple[str, ...] = ("shot", "ntor"), tables: RunTables | None = None) -> DataFrame:
+    """All rows of a rule run, without their arrays: gates, overrides, final decisions and ``selected``
+    among the GOOD. Without a scorer, or where it leaves a cluster member without score, all members of the
+    cluster stay."""
+    tables = tables or RunTables(df.sparkSession)
+    routed = tables.stage("routed", lambda: preprocess(df))
+    arrays = _arrays(routed)
+
+    def decided() -> DataFrame:
+        go = (F.col("rejection_reason") == "") & F.col("gap_region").isin("tae_like", "mixed")
+        ruled = gates.evaluate(X.radial(routed.where(go)).drop("w", "r", "w_sum"), cfg)
+        rest = routed.where(~F.coalesce(go, F.lit(False))).withColumn("rule_decision", F.when(F.col("rejection_reason") != "", "INVALID").otherwise("EAE")).withColumn("primary_reason", F.upper("rejection_reason"))
+        rows = ruled.unionByName(rest, allowMissingColumns=True)
+        if overrides is not None:
+            rows = R.apply_overrides(rows, overrides, keys=routed)
+        else:
+            blank = {c: F.lit(None).cast("string") for c in ("override_message", "manual_decision", "manual_reason", "reviewer", "adjudication_timestamp")}
+            rows = rows.withColumns({"override_status": F.when(F.col("rule_decision").isin(*R.DECISIONS), "NOT_PRESENT").otherwise(""), "final_decision": F.col("rule_decision"), "decision_source": F.lit("rule_engine"), **blank})
+        return _only_where(rows, arrays, F.col("final_decision") == "GOOD")
+
+    rows = tables.stage("decided", decided)
+    good = rows.where("final_decision = 'GOOD'")
+    if score is None:
+        return tables.stage("sorted", lambda: rows.drop(*arrays).withColumn("selected", F.col("final_decision") == "GOOD"))
+    scored = tables.stage("scored", lambda: score(good).select(*group, "path", "omega", "score", "mode"))
+    marks = dedup.representatives(scored.fillna({"score": 0.0}), list(group), "path", tables=tables)
+    marks = tables.stage("types", lambda: marks.join(scored.select("path", F.col("score").alias("duplicate_rank_score")), "path"))
+    whole = [*group, "cluster_index"]
+    open_ = marks.where("duplicate_rank_score is null").select(*(F.col(c).alias(f"open__{c}") for c in whole)).distinct().withColumn("keep_all", F.lit(True))
+    picked = marks.join(open_, [F.col(c).eqNullSafe(F.col(f"open__{c}")) for c in whole], "left")
+    picked = picked.select("path", "cluster_index", "type_index", (F.col("selected") | F.coalesce("keep_all", F.lit(False))).alias("selected"), "duplicate_rank_score")
+    return tables.stage("sorted", lambda: _with_marks(rows, arrays, picked))
+
+
+def sort_single(df: DataFrame, score: Callable[[DataFrame], DataFrame], threshold: float = 0.5, group: tuple[str, ...] = ("shot", "ntor"), tables: RunTables | None = None) -> DataFrame:
+    """A run with one model, without arrays: label by threshold, near-duplicates among the good."""
+    tables = tables or RunTables(df.sparkSession)
+    arrays = _arrays(df)
+    labelled = lambda: score(df.where("rejection_reason = ''")).withColumn("final_label", F.when(F.col("score") >= threshold, "good").otherwise("bad"))
+    rows = tables.stage("scored", lambda: _only_where(labelled(), arrays, F.col("final_label") == "good"))
+    marks = dedup.representatives(rows.where("final_label = 'good'").select(*group, "path", "omega", "score", "mode"), list(group), "path", tables=tables)
+    return tables.stage("sorted", lambda: _with_marks(rows, arrays, marks.select("path", "cluster_index", "type_index", "selected")))
 
 
 # Column names and file names of a run's outputs, fixed by their readers.
@@ -110,6 +148,7 @@ RULE_COLUMNS = [
     "override_status", "override_message", "final_decision", "decision_source", "duplicate_rank_score", "duplicate_rank_source", "selected_final", "diagnostic_message",
 ]
 RULE_VERSION = "tae-rules-axis-grid-cont-window-edge-v7"
+RULE_ORDER = ["shot", "rules__n", "rules__omega", "rules__file", "rules__key"]
 CLUSTER_COLUMNS = ["ntor", "cluster_index", "type_group", "path", "omega", "action", "score"]
 
 
@@ -163,7 +202,7 @@ def _clusters(rows: DataFrame, root: str, score: str) -> None:
     value = F.col(score) if score in rows.columns else F.lit(None).cast("double")
     d = rows.where("cluster_index is not null").select("shot", "ntor", "cluster_index", F.col("type_index").alias("type_group"), "path", "omega", kept.alias("action"), value.alias("score"))
     large = d.groupBy("shot", "ntor", "cluster_index").count().where("count > 1").drop("count")
-    d = d.join(large, ["shot", "ntor", "cluster_index"]).orderBy("shot", "ntor", "cluster_index", "type_group", "omega", "path").persist()
+    d = d.join(large, ["shot", "ntor", "cluster_index"]).orderBy("shot", "ntor", "cluster_index", "type_group", "omega", "path")
     sinks.write_rows(f"{root}/frequency_clusters.csv", ["shot", *CLUSTER_COLUMNS], d.toLocalIterator())
     lines, last = ["Clusters of modes of near frequency"], None
     for r in d.toLocalIterator():
@@ -172,7 +211,6 @@ def _clusters(rows: DataFrame, root: str, score: str) -> None:
             lines.append(f"\n{r.shot} n={r.ntor} cluster={r.cluster_index}")
         lines.append(f"  type {r.type_group} [{r.action}] {r.path} omega={r.omega:.6g}" + (f" score={r.score:.6f}" if r.score is not None else ""))
     sinks.write_text(f"{root}/frequency_cluster_report.txt", "\n".join(lines) + "\n")
-    d.unpersist()
 
 
 def _summaries(root: str, found: DataFrame, settings: dict) -> None:
@@ -212,12 +250,14 @@ def write_mixed(rows: DataFrame, root: str, by_executors: bool = False) -> dict[
 def write_rules(rows: DataFrame, root: str, overrides: DataFrame | None = None, cfg: gates.GateConfig = gates.GateConfig(), by_executors: bool = False) -> dict[str, int]:
     """A rule run's ten lists, its summaries with the run's thresholds, its clusters and the overrides given."""
     c = F.col
-    d = rule_rows(rows).withColumn("rules__n", F.coalesce("ntor", "n"))
+    # By shot, n, frequency (what is not finite last), then the file's own name, not its path, and the key.
+    ntor, omega = F.when(c("ntor") != 0, c("ntor")), F.when(F.abs("omega") < float("inf"), c("omega"))
+    d = rule_rows(rows).withColumns({"rules__n": F.coalesce(ntor, "n"), "rules__omega": omega, "rules__file": F.substring_index("path", "/", -1), "rules__key": F.coalesce("mode_key", "path")})
     routes = {
         "all_modes_rules": F.lit(True), "tae_like_all": c("gap_region").isin("tae_like", "mixed"), "eae_like": c("processing_status") == "ROUTED_EAE", "rejected_modes": c("final_decision") == "INVALID", "rule_results": c("rule_version").isNotNull(),
         "final_classifications": c("processing_status") != "ROUTED_EAE", "bad_tae_like": c("final_decision") == "BAD", "review_tae_like": c("final_decision") == "REVIEW", "good_tae_unchecked": c("final_decision") == "GOOD", "good_tae_final": (c("final_decision") == "GOOD") & c("selected_final"),
     }
-    counts = sinks.fan_out(d, root, routes, RULE_COLUMNS, ["shot", "rules__n", "omega", "path", "mode_key"], by_executors)
+    counts = sinks.fan_out(d, root, routes, RULE_COLUMNS, RULE_ORDER, by_executors)
     given = overrides.where(F.trim(F.coalesce("manual_decision", F.lit(""))) != "") if overrides is not None else None
     lost = given.join(rows.select("mode_key"), "mode_key", "left_anti").select(F.get(F.split("mode_key", "/"), F.lit(0)).alias("shot"), "mode_key") if given is not None else None
     settings = {"n_manual_override_rows": overrides.count(), "n_modes_manually_inspected": given.count()} if overrides is not None else {"n_manual_override_rows": 0, "n_modes_manually_inspected": 0}
