@@ -48,7 +48,7 @@ SHORTEST, LONGEST = 4, 10
 TARGETS = frozenset("you your yours yourself u ya du dich dir dein deine euch ihr tu te toi ton ta tes vous votre tú ti usted ustedes vosotros".split())
 NEGATION = frozenset("not never no isn't aren't don't nicht kein keine nie ne pas jamais nunca jamás".split())
 REPORT = frozenset("said says called wrote claimed quoted sagte sagt nannte schrieb dit disait écrit appelé dijo dice llamó escribió".split())
-SEEDS = {w: ("threat", 2) for w in "kill hurt destroy beat töten schlagen tuer frapper matar golpear".split()} | {w: ("insult", 3) for w in "idiot moron scum stupid pathetic worthless disgusting".split()}
+SEEDS = {w: ("threat", 6) for w in "kill hurt destroy beat töten schlagen tuer frapper matar golpear".split()} | {w: ("insult", 3) for w in "idiot moron scum stupid pathetic worthless disgusting".split()}
 QUOTES = frozenset('"“”«»„')
 
 HITS = ("insult", "threat")
@@ -300,18 +300,26 @@ def learn_lexicon(sample: DataFrame, chance: float = 0.01) -> dict[str, float]:
     return lexicon
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, steps: int = 40) -> np.ndarray:
-    """Newton's method; the first column of the design is 1 and not penalised."""
-    a = np.column_stack([np.ones(len(x)), x])
-    w = np.zeros(a.shape[1])
-    penalty = np.diag([1e-6] + [ridge] * (a.shape[1] - 1))
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p) + 1e-9)[:, None]).T @ a + penalty, a.T @ (p - y) + penalty @ w)
-        w -= step
-        if np.abs(step).max() < 1e-8:
-            break
-    return w
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, steps: int = 40, nonnegative: bool = False) -> np.ndarray:
+    """Newton's method; the first column of the design is 1 and not penalised. nonnegative: a feature whose
+    weight would be negative is left out (weight 0) and the rest fitted again."""
+    used = list(range(x.shape[1]))
+    while True:
+        a = np.column_stack([np.ones(len(x)), x[:, used]])
+        w = np.zeros(a.shape[1])
+        penalty = np.diag([1e-6] + [ridge] * len(used))
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+            step = np.linalg.solve((a * (p * (1 - p) + 1e-9)[:, None]).T @ a + penalty, a.T @ (p - y) + penalty @ w)
+            w -= step
+            if np.abs(step).max() < 1e-8:
+                break
+        worst = int(w[1:].argmin()) if used else 0
+        if not nonnegative or not used or w[1 + worst] >= 0:
+            out = np.zeros(1 + x.shape[1])
+            out[[0, *(1 + k for k in used)]] = w
+            return out
+        del used[worst]
 
 
 DEFAULT_FIT = np.array([-4.0, 2.0, 2.0])
@@ -368,7 +376,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dic
     found = rows.select("toxic", _features(lexicon, factors)("text").alias("f")).select("toxic", "f.max", "f.sum").toArrow().to_pandas()
     if found["toxic"].nunique() < 2:
         return lexicon, factors, DEFAULT_FIT
-    return lexicon, factors, fit_logistic(found[["max", "sum"]].to_numpy(), found["toxic"].to_numpy(dtype=float))
+    return lexicon, factors, fit_logistic(found[["max", "sum"]].to_numpy(), found["toxic"].to_numpy(dtype=float), nonnegative=True)  # more evidence never lowers a score
 
 
 def score(docs: DataFrame, lexicon: dict[str, float], factors: dict[str, float], fit: np.ndarray) -> DataFrame:

@@ -10,11 +10,11 @@ The sample is dealt without ordering a source in one place. Documents have a see
 into digits of up to 16 bits: all documents of a source are summed by the first digit, whole digits are taken
 while they fit, and of the one digit in which the target falls the documents are summed by the next, and so
 on, until what is left is at most twice ``bucket_docs`` documents or one draw; those are walked in the order of their draws,
-taking each one that still fits. The words are counted once, in a written table of ids and sizes.
+taking as many rows of each draw as still fit. The words are counted once, in a written table of ids and sizes.
 
 Defined results: null or empty text has size 0 and takes 0; a null source is a source of its own,
-last in order; rows that repeat an id and text stand or fall together in the hash order but each is
-counted; an empty table gives no rows; extra columns pass through, names beginning with ``mix__`` are
+last in order; draws are of the id and the text, so only rows that repeat both share one, and of these as
+many are taken as fit (which ones makes no difference: they are equal); an empty table gives no rows; extra columns pass through, names beginning with ``mix__`` are
 reserved.
 """
 
@@ -51,7 +51,8 @@ def water_fill(sources: DataFrame, weights: tuple[int, ...], budget: float, max_
 
 def sample_bounds(light: DataFrame, plan: DataFrame, bucket_docs: int) -> DataFrame:
     """(source, bits, edge, taken) of light(source, draw, size) and plan(source, need, docs): of the draws
-    cut to their first ``bits`` bits those below ``edge`` are taken, and of those at it the ones in ``taken``."""
+    cut to their first ``bits`` bits those below ``edge`` are taken, and of those at it the ones in ``taken``
+    (draw, its rows, and how many of them)."""
     run = Window.partitionBy("source").orderBy("digit").rowsBetween(Window.unboundedPreceding, -1)
     scratch = Scratch(light.sparkSession)
     first = F.least(F.lit(16), F.greatest(F.lit(0), F.ceil(F.log2(F.col("docs") / F.lit(float(bucket_docs)))))).cast("int")
@@ -78,17 +79,20 @@ def sample_bounds(light: DataFrame, plan: DataFrame, bucket_docs: int) -> DataFr
     near = light.join(F.broadcast(f) if found.count() <= BROADCAST_SOURCES else f, F.col("source").eqNullSafe(F.col("f_source"))).where(cut == F.col("edge"))
     near = near.groupBy("source", "bits", "edge", "left", "draw", "size").agg(F.count("*").alias("rows"))
     walked = near.groupBy("source", "bits", "edge", "left").agg(F.sort_array(F.collect_list(F.struct("draw", "size", "rows"))).alias("keys"))
-    step = lambda acc, k: F.when(k["size"] * k["rows"] <= acc["left"], F.struct((acc["left"] - k["size"] * k["rows"]).alias("left"), F.concat(acc["taken"], F.array(k["draw"])).alias("taken"))).otherwise(acc)
-    start = F.struct(F.col("left").cast("double").alias("left"), F.array().cast("array<bigint>").alias("taken"))
+    fit = lambda acc, k: F.when(k["size"] > 0, F.least(k["rows"], F.floor(acc["left"] / k["size"]).cast("long"))).otherwise(k["rows"])
+    take = lambda acc, k: F.struct((acc["left"] - k["size"] * fit(acc, k)).alias("left"), F.concat(acc["taken"], F.array(F.struct(k["draw"].alias("draw"), k["rows"].alias("rows"), fit(acc, k).alias("n")))).alias("taken"))
+    step = lambda acc, k: F.when(fit(acc, k) > 0, take(acc, k)).otherwise(acc)
+    start = F.struct(F.col("left").cast("double").alias("left"), F.array().cast("array<struct<draw: bigint, rows: bigint, n: bigint>>").alias("taken"))
     return walked.select("source", "bits", "edge", F.aggregate("keys", start, step)["taken"].alias("taken"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", size_col: str | None = None, weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5, max_epochs: float = 2.0, seed: int = 9, bucket_docs: int = 256) -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", size_col: str | None = None, mark_col: str | None = None, weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5, max_epochs: float = 2.0, seed: int = 9, bucket_docs: int = 256) -> DataFrame:
     """df with mix__size, mix__source_size, mix__target and mix__copies (how often the mix takes the
-    document). size_col: a column of df that holds the sizes already."""
+    document). size_col, mark_col: columns of df that hold the sizes and hashes of the texts already."""
     spark = df.sparkSession
     size = F.col(size_col).cast("long") if size_col else word_count(text_or_empty(text_col))
-    keyed = df.withColumn("mix__size", size).withColumn("mix__draw", F.xxhash64(F.lit(seed), F.col(id_col), F.col("mix__size")))
+    mark = F.col(mark_col) if mark_col else F.xxhash64(F.col(text_col))
+    keyed = df.withColumn("mix__size", size).withColumn("mix__draw", F.xxhash64(F.lit(seed), F.col(id_col), F.col("mix__size"), mark))
     light = keyed.select(F.col(source_col).alias("source"), F.col("mix__draw").alias("draw"), F.col("mix__size").alias("size"))
     light = Scratch(spark).write(light)
     totals = light.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
@@ -103,8 +107,16 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
     out = keyed.join(small(plan), F.col(source_col).eqNullSafe(F.col("mix__p_source")), "left")
     # Draws are compared without a sign: the flipped highest bit orders them as they are dealt.
     cut, edge = (F.expr(f"{c} ^ shiftleft(1L, 63)") for c in ("if(mix__p_bits = 0, 0L, shiftrightunsigned(mix__draw, 64 - mix__p_bits))", "mix__p_edge"))
-    at = F.col("mix__p_edge").isNotNull() & (cut == edge) & F.coalesce(F.array_contains("mix__p_taken", F.col("mix__draw")), F.lit(False))
-    extra = (F.col("mix__p_need") > 0) & (F.col("mix__p_edge").isNull() | (cut < edge) | at)
+    own = F.get(F.filter("mix__p_taken", lambda x: x["draw"] == F.col("mix__draw")), F.lit(0))
+    out = out.withColumn("mix__p_own", F.when(F.col("mix__p_edge").isNotNull() & (cut == edge), own))
+    part = F.coalesce(F.col("mix__p_own.n") < F.col("mix__p_own.rows"), F.lit(False))
+    if bounds.where(F.exists("taken", lambda x: x["n"] < x["rows"])).isEmpty():
+        fits = F.col("mix__p_own").isNotNull()
+    else:  # equal rows of which only some fit are numbered, and no others
+        place = F.row_number().over(Window.partitionBy(source_col, "mix__draw").orderBy(F.lit(0)))
+        out = out.where(~part).withColumn("mix__p_place", F.lit(0)).unionByName(out.where(part).withColumn("mix__p_place", place))
+        fits = F.col("mix__p_place") <= F.col("mix__p_own.n")
+    extra = (F.col("mix__p_need") > 0) & (F.col("mix__p_edge").isNull() | (cut < edge) | F.coalesce(fits, F.lit(False)))
     copies = F.col("mix__p_whole") + extra.cast("long")
     out = out.withColumns({"mix__source_size": F.col("mix__p_source_size"), "mix__target": F.col("mix__p_target"), "mix__copies": F.coalesce(F.least(copies, F.lit(int(max_epochs))), F.lit(0)).cast("long")})
     return out.drop("mix__draw", *(c for c in out.columns if c.startswith("mix__p_")))
@@ -112,6 +124,6 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    sizes = Scratch(spark).write(docs.select("doc_id", "source", word_count(text_or_empty("text")).alias("words")))
-    out = mix(sizes, size_col="words")
+    sizes = Scratch(spark).write(docs.select("doc_id", "source", word_count(text_or_empty("text")).alias("words"), F.xxhash64("text").alias("mark")))
+    out = mix(sizes, size_col="words", mark_col="mark")
     return out.select("doc_id", F.col("mix__size").alias("size"), F.col("mix__source_size").alias("source_size"), F.col("mix__target").alias("target"), (F.col("mix__size") * F.col("mix__copies")).alias("taken"), F.col("mix__copies").alias("copies"))

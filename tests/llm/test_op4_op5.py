@@ -2,6 +2,7 @@ import math
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from modesift.llm import op4_toxicity as T
@@ -99,6 +100,22 @@ def test_edges(spark):
     assert [r.quality__score for r in q] == [0.5] * 4
 
 
+@pytest.mark.parametrize("folder,found,marked", [("sf0.01", 4, 0), ("sf0.1", 89, 2)])
+def test_held_out_rows_and_single_clauses(spark, folder, found, marked):
+    """What is missed has no word that the training rows of its language hold often enough."""
+    docs = spark.read.parquet(f"/root/testdata/{folder}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"/root/testdata/{folder}/labels.parquet")
+    lexicon, factors, fit = T.train(docs, labels)
+    assert (fit[1:] >= 0).all() and fit[1:].max() > 0
+    scores = {r.doc_id: r.toxicity__score for r in T.score(docs, lexicon, factors, fit).collect()}
+    held = [(scores[r.doc_id] >= 0.5, r.toxic) for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert sum(p for p, y in held if y == 1) >= found and sum(p for p, y in held if y == 0) <= marked
+    grammar = T.Grammar(lexicon, factors)
+    one = lambda text: 1 / (1 + np.exp(-(fit[0] + fit[1:] @ np.array(grammar.features(text)))))
+    assert one("I will kill you") >= 0.5 and one("you idiot") >= 0.5 > one("they kill time") and one("you idiot") > one('she said "you idiot"')
+    assert one("you idiot") > one("the idiot") > one("a plain sentence") and one("you idiot, you moron") > one("you idiot")
+
+
 def test_query_on_data(spark):
     out = {r.doc_id: r for r in T.query(spark, "/root/testdata/sf0.01").collect()}
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()

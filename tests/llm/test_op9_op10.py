@@ -70,7 +70,21 @@ def test_bounds_go_down_all_digits(spark):
         words = sum(r[2] for r in sure)
         assert b.bits == 64 or len(edge) <= 2
         assert words <= need < words + sum(r[2] for r in edge)
-        assert words + sum(r[2] for r in edge if r[1] in b.taken) <= need
+        assert words + sum(r[2] for r in edge if r[1] in {x.draw for x in b.taken}) <= need or any(x.n < x.rows for x in b.taken)
+        held = {x.draw: x.n for x in b.taken}
+        size = {r[1]: r[2] for r in edge}
+        assert words + sum(size[d] * n for d, n in held.items()) <= need and all(x.n <= x.rows for x in b.taken)
+
+
+@pytest.mark.parametrize("ids", ["one id and text", "no ids", "no ids, one text"])
+def test_repeated_rows_come_near_their_target(spark, ids):
+    rows = [(i, f"a{i} " + "w " * 9, "abc"[i % 3]) for i in range(900)]
+    rows = [(r[0] if r[2] != "c" else 2 if ids == "one id and text" else None, "same " * 10 if r[2] == "c" and "one" in ids else r[1], r[2]) for r in rows]
+    out = op9_mix.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    want = targets({s: 3000 for s in "abc"})
+    for s in "abc":
+        assert abs(sum(r.mix__size * r.mix__copies for r in out if r.source == s) - want[s]) <= 10, s
+    assert len(out) == 900
 
 
 def test_mix_edges(spark):
