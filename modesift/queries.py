@@ -13,6 +13,7 @@ from .operators import dedup, gates
 from .operators import features as X
 from .operators import relational as R
 from .operators import scoring as S
+from .plans import folds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -346,6 +347,28 @@ def loso_totals(spark, d):
     return _metric_row(both.groupBy("regime").agg(*(F.sum(c).alias(c) for c in ("n_matched", *CELLS))), "regime")
 
 
+_FOLD_CELLS = "count(*)::BIGINT AS n_matched, count(*) FILTER (WHERE y = 0 AND q = 0)::BIGINT AS tn_bad, count(*) FILTER (WHERE y = 0 AND q = 1)::BIGINT AS fp_bad_as_good, count(*) FILTER (WHERE y = 1 AND q = 0)::BIGINT AS fn_good_as_bad, count(*) FILTER (WHERE y = 1 AND q = 1)::BIGINT AS tp_good"
+_FOLD_RATES = "round((tn_bad + tp_good) / nullif(n_matched, 0)::DOUBLE, 6) AS accuracy, round(tp_good / nullif(tp_good + fp_bad_as_good, 0)::DOUBLE, 6) AS precision_good, round(tp_good / nullif(tp_good + fn_good_as_bad, 0)::DOUBLE, 6) AS recall_good, round(2 * tp_good / nullif(CASE WHEN tp_good > 0 THEN 2 * tp_good + fp_bad_as_good + fn_good_as_bad END, 0)::DOUBLE, 6) AS f1_good"
+
+
+def _folds(spark, d):
+    """Two models' scores over held-out shots, as a leave-one-out run has them."""
+    rows = D.scores(spark, d)
+    by = lambda name, p: rows.select("shot", "y", F.lit(name).alias("model"), (F.col(p) >= 0.5).cast("int").alias("predicted"))
+    return folds.fold_summary(by("CNN", "p_cnn").unionByName(by("RF", "p_rf")), rows)
+
+
+@query(SC + f", m AS (SELECT shot, y, 'RF' AS model, (p_rf >= 0.5)::INT AS q FROM s UNION ALL SELECT shot, y, 'CNN', (p_cnn >= 0.5)::INT FROM s), c AS (SELECT shot, model, {_FOLD_CELLS} FROM m WHERE y IN (0, 1) AND q IS NOT NULL GROUP BY 1, 2), o AS (SELECT shot, count(*) AS n, count(*) FILTER (WHERE y = 1) AS g, count(*) FILTER (WHERE y = 0) AS b FROM s GROUP BY 1), w AS (SELECT sum(n) AS n, sum(g) AS g, sum(b) AS b FROM o) SELECT c.shot, (w.n - o.n)::BIGINT AS n_train, (w.g - o.g)::BIGINT AS n_train_good, (w.b - o.b)::BIGINT AS n_train_bad, o.n::BIGINT AS n_test, o.g::BIGINT AS n_test_good, o.b::BIGINT AS n_test_bad, model, n_matched, tn_bad, fp_bad_as_good, fn_good_as_bad, tp_good, {_FOLD_RATES} FROM c JOIN o ON o.shot = c.shot, w")
+def loso_fold_summary(spark, d):
+    return _folds(spark, d).select(*folds.SUMMARY_COLUMNS[:-4], *(r6(c) for c in folds.RATES))
+
+
+@query(SC + f", m AS (SELECT shot, y, 'RF' AS model, (p_rf >= 0.5)::INT AS q FROM s UNION ALL SELECT shot, y, 'CNN', (p_cnn >= 0.5)::INT FROM s), c AS (SELECT model, count(DISTINCT shot)::BIGINT AS n_folds, {_FOLD_CELLS} FROM m WHERE y IN (0, 1) AND q IS NOT NULL GROUP BY 1) SELECT model, n_folds, n_matched, tn_bad, fp_bad_as_good, fn_good_as_bad, tp_good, {_FOLD_RATES} FROM c")
+def loso_model_totals(spark, d):
+    """The joined totals of all folds, by model."""
+    return folds.fold_totals(_folds(spark, d)).select(*folds.TOTAL_COLUMNS[:-4], *(r6(c) for c in folds.RATES))
+
+
 @query(SC + ", o AS (SELECT shot AS fold, count(*) AS n_rows, count(*) FILTER (WHERE y = 1) AS n_good, count(*) FILTER (WHERE y = 0) AS n_bad FROM s GROUP BY 1), b AS (SELECT fold, 'test' AS split, n_rows, n_good, n_bad FROM o UNION ALL SELECT fold, 'train', (sum(n_rows) OVER () - n_rows)::BIGINT, (sum(n_good) OVER () - n_good)::BIGINT, (sum(n_bad) OVER () - n_bad)::BIGINT FROM o) SELECT *, n_rows - n_good - n_bad AS n_other FROM b")
 def loso_split_counts(spark, d):
     return R.fold_counts(D.scores(spark, d), "shot", "y")

@@ -43,7 +43,11 @@ class RunTables:
         fs, path = self._path(f"{name}/{MANIFEST}")
         if not fs.exists(path):
             return None
-        return json.loads(self.spark.read.text(path.toString(), wholetext=True).first()[0])
+        stream = fs.open(path)  # not by spark.read, which passes over such names too
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     def stage(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """The table of that name; ``build`` is called only where it is not there yet."""
@@ -61,7 +65,22 @@ class RunTables:
             if not fs.rename(part, self._path(f"{name}/{MANIFEST}")[1]):
                 raise OSError(f"the manifest of {self.root}/{name} can't be put in place")
             self.made.append(name)
-        elif told["settings"] != self.settings:
+        return self._table(name, told)
+
+    def has(self, name: str) -> bool:
+        """Whether the table is there as a whole."""
+        fs, path = self._path(f"{name}/{MANIFEST}")
+        return fs.exists(path)
+
+    def read(self, name: str) -> DataFrame:
+        """A table that is there; KeyError if it is not."""
+        told = self._manifest(name)
+        if told is None:
+            raise KeyError(name)
+        return self._table(name, told)
+
+    def _table(self, name: str, told: dict) -> DataFrame:
+        if told["settings"] != self.settings:
             raise ValueError(f"{self.root}/{name} was made with other settings: {told['settings']!r}, not {self.settings!r}")
         return self.spark.read.schema(T.StructType.fromJson(told["schema"])).parquet(f"{self.root}/{name}")
 
