@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from .profiles import straighten
+
 CLIP = 5.0
 
 
@@ -53,21 +55,26 @@ def gap_channels(omega: float, low2: np.ndarray, high2: np.ndarray, n: int, clip
     return on((high - omega) / omega), on((omega - low) / omega), ok[nearest]
 
 
-def image(mode: np.ndarray, omega: float, low2: np.ndarray, high2: np.ndarray, rows: int, cols: int, how: str = "robust", channels: bool = False) -> np.ndarray:
+def image(mode: np.ndarray, omega: float, low2: np.ndarray, high2: np.ndarray, rows: int, cols: int, how: str = "robust", channels: bool = False, clip: float = CLIP) -> np.ndarray:
     """(1 or 3, rows, cols): the mode and, if asked, du and dl repeated over the harmonics."""
     x = normalise(fit_to(resample(mode, cols), rows, cols)[None], how).astype(np.float32)
     if not channels:
         return x
-    du, dl, _ = gap_channels(omega, low2, high2, cols)
+    du, dl, _ = gap_channels(omega, low2, high2, cols, clip)
     return np.concatenate([x, np.broadcast_to(np.stack([du, dl])[:, None, :], (2, rows, cols))]).astype(np.float32)
 
 
-def branch(mode: np.ndarray, omega: float, low2: np.ndarray, high2: np.ndarray, cols: int, zero: bool = False) -> np.ndarray:
+def straight_image(mode: np.ndarray, half: int, cols: int, k: int, step: int, how: str) -> np.ndarray:
+    """(1, 2 half + 1, cols): the window around the mode's ridge."""
+    return normalise(straighten(resample(mode, cols), half, k, step)[None], how).astype(np.float32)
+
+
+def branch(mode: np.ndarray, omega: float, low2: np.ndarray, high2: np.ndarray, cols: int, zero: bool = False, clip: float = CLIP) -> np.ndarray:
     """(4, cols): normalised W, du, dl and the mask of usable radii; du and dl are 0 outside it."""
     if zero:
         return np.zeros((4, cols), dtype=np.float32)
     w = (resample(mode, cols) ** 2).sum(axis=0)
-    du, dl, ok = gap_channels(omega, low2, high2, cols)
+    du, dl, ok = gap_channels(omega, low2, high2, cols, clip)
     return np.stack([w / w.max() if w.max() > 0 else w, np.where(ok, du, 0), np.where(ok, dl, 0), ok]).astype(np.float32)
 
 

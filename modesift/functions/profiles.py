@@ -270,9 +270,9 @@ def ridge_profile(mode: np.ndarray, center: np.ndarray, band: int = 1) -> np.nda
     return (np.abs(a) * a).sum(axis=0) / (np.abs(a).sum(axis=0) + np.float32(1e-14))
 
 
-def straighten(mode: np.ndarray, half: int = 8) -> np.ndarray:
+def straighten(mode: np.ndarray, half: int = 8, k: int = 3, step: int = 2) -> np.ndarray:
     """The 2 half + 1 harmonics around the ridge at each radius, zeros outside the mode."""
-    c = ridge(mode, floor=1e-4, shift=1e-8)
+    c = ridge(mode, floor=1e-4, shift=1e-8, k=k, step=step)
     padded = np.pad(np.asarray(mode, dtype=np.float32), ((half, half), (0, 0)))
     return np.take_along_axis(padded, c[None, :] + np.arange(2 * half + 1)[:, None], axis=0)
 

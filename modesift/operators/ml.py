@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import cnn as C
+from ..sources.checkpoints import Checkpoint
 from .features import feature_names, schema_version
 from .scoring import stratified_split
 
@@ -104,9 +105,20 @@ def importances(model: PipelineModel, width: int) -> list[tuple[str, float]]:
     return sorted(zip(schema_of(width)["names"], values.tolist(), strict=True), key=lambda x: -x[1])
 
 
-def score_array_model(df: DataFrame, weights: dict[str, np.ndarray], rows: int = 64, cols: int = 201, how: str = "robust", threshold: float = 0.5, out: str = "p_cnn") -> DataFrame:
+def score_checkpoint(df: DataFrame, checkpoint: Checkpoint, threshold: float | None = None, out: str = "p_cnn") -> DataFrame:
+    """df scored by a saved model with the settings it was trained with."""
+    c, s = checkpoint, checkpoint.settings
+    if s.get("center_power", 2.0) != 2.0:
+        raise ValueError("ridges are centres of energy: center_power must be 2")
+    straight = (s["M"], s["median_k"], s["max_step"]) if c.kind in ("straightened", "hybrid") else None
+    rows = 2 * s["M"] + 1 if straight else s["M_target"]
+    return score_array_model(df, c.weights, rows, s["R_target"], c.normalise, c.threshold if threshold is None else threshold, out, straight, c.scalars, s.get("continuum_clip", C.CLIP), s.get("continuum_branch_zero_inputs", False))
+
+
+def score_array_model(df: DataFrame, weights: dict[str, np.ndarray], rows: int = 64, cols: int = 201, how: str = "robust", threshold: float = 0.5, out: str = "p_cnn", straight: tuple[int, int, int] | None = None, scalars: tuple[np.ndarray, np.ndarray] | None = None, clip: float = C.CLIP, zero_branch: bool = False) -> DataFrame:
     """df with p (NULL where a mode cannot be scored), its label and an error. Weights are broadcast: a
-    model of these kinds has under 100,000 of them."""
+    model of these kinds has under 100,000 of them. straight: half width, median and step of the window
+    around the ridge that stands for the image; scalars: means and deviations of the hybrid model's."""
     kind = C.kind_of(weights)
     held = df.sparkSession.sparkContext.broadcast(weights)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
@@ -117,12 +129,13 @@ def score_array_model(df: DataFrame, weights: dict[str, np.ndarray], rows: int =
         low, high = (blank if v is None else np.array([np.nan if x is None else x for x in v], dtype=float) for v in (r.low2, r.high2))
         if not np.isfinite(mode).all() or not np.isfinite(r.omega) or r.omega <= 0:
             raise ValueError("mode or omega is not usable")
-        x = C.image(mode, r.omega, low, high, rows, cols, how, channels=kind == "raw3")
+        x = C.straight_image(mode, straight[0], cols, *straight[1:], how) if straight else C.image(mode, r.omega, low, high, rows, cols, how, channels=kind == "raw3", clip=clip)
         if kind == "branch":
-            z = C.with_branch(p, x, C.branch(mode, r.omega, low, high, cols))
+            z = C.with_branch(p, x, C.branch(mode, r.omega, low, high, cols, zero_branch, clip))
         elif kind == "hybrid":
             has = r.low2 is not None
-            z = C.hybrid(p, x, np.array([r.gamma_d, r.delta2_eff if has else 1e3, r.W_star if has else 0.0, r.S if has else 1e3, r.r_star if has else 0.0, r.omega, r.ntor, float(has)], dtype=np.float32))
+            values = np.array([r.gamma_d, r.delta2_eff if has else 1e3, r.W_star if has else 0.0, r.S if has else 1e3, r.r_star if has else 0.0, r.omega, r.ntor, float(has)], dtype=np.float32)
+            z = C.hybrid(p, x, values if scalars is None else (values - scalars[0]) / scalars[1])
         else:
             z = C.small(p, x)
         return float(1 / (1 + np.exp(-z)))
