@@ -24,6 +24,7 @@ from ..operators import relational as R
 from ..operators import scoring as S
 from ..sources import sinks
 from ..sources.tables import RunTables
+from . import training
 
 COUNTS = ("n_matched", "tn_bad", "fp_bad_as_good", "fn_good_as_bad", "tp_good")
 RATES = ("accuracy", "precision_good", "recall_good", "f1_good")
@@ -45,6 +46,11 @@ def forest(label: str = "y", name: str = "RF", **args) -> Model:
     return Model(name, lambda d: ml.train_forest(d, label, **args), lambda m, d: ml.score_forest(m, d, "p"))
 
 
+def array_model(settings: training.Training, kind: str = "raw", key: str = "path", label: str = "y", name: str = "raw_CNN") -> Model:
+    fit = lambda d: training.train_array_model(d, kind, key, label, settings)
+    return Model(name, fit, lambda m, d: ml.score_array_model(d, m.weights, settings.rows, settings.cols, settings.how, out="p"))
+
+
 class FoldError(RuntimeError):
     """Folds that failed, by (shot, model), each with its error; all others are done."""
 

@@ -325,9 +325,43 @@ def merge_labels(lists: list[DataFrame]) -> DataFrame:
     return R.last_wins(out, "path", "label", "seq")
 
 
-def adjudication_candidates(rows: DataFrame, decisions: tuple[str, ...] = ("REVIEW",), done: DataFrame | None = None) -> DataFrame:
-    """Rows to adjudicate that are not done; a repeated key fails."""
-    d = rows.where(F.col("final_decision").isin(*decisions))
-    if d.groupBy("mode_key").count().where("count > 1").limit(1).count():
+def resolved(path, root: str | None = None):
+    """An absolute path without empty, ``.`` and ``..`` parts; others are below root (NULL without one)."""
+    whole = F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit((root or "").rstrip("/") + "/"), path) if root else F.lit(None).cast("string"))
+    step = lambda done, x: F.when(x.isin("", "."), done).when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x)))
+    return F.when(whole.isNotNull(), F.concat(F.lit("/"), F.array_join(F.aggregate(F.split(whole, "/"), F.array().cast("array<string>"), step), "/")))
+
+
+def below(rows: DataFrame, directories: DataFrame, path: str = "path") -> DataFrame:
+    """Rows whose path is one of directories(path) or below it: each path's own folders meet the list in one
+    equi-join, so the list may be of any size and no row is held against patterns."""
+    parts = F.split(path, "/")
+    folders = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    known = directories.select(F.coalesce(F.nullif(F.rtrim(F.col("path"), F.lit("/")), F.lit("")), F.lit("")).alias("below__folder")).distinct()
+    hits = rows.select(path, F.explode(folders).alias("below__folder")).join(known, "below__folder", "left_semi").select(path).distinct()
+    return rows.join(hits, path, "left_semi")
+
+
+def adjudication_candidates(rows: DataFrame, scope: str = "review", directories: DataFrame | None = None, root: str | None = None, done: DataFrame | None = None) -> DataFrame:
+    """Rows of a rule run to adjudicate, in the order of its lists: those decided REVIEW (scope ``all``: GOOD
+    and BAD too), below the directories, and not done. A path that can't be resolved, a key that is not its
+    path's, and a repeated key are errors."""
+    c = F.col
+    if scope not in ("review", "all"):
+        raise ValueError("scope is review or all")
+    if lacks := {"path", "mode_key", "input_fingerprint", "ntor", "omega", "rule_decision"} - set(rows.columns):
+        raise ValueError(f"missing columns: {', '.join(sorted(lacks))}")
+    said = F.upper(F.trim("rule_decision"))
+    d = rows.where(said.isin(*(R.DECISIONS if scope == "all" else ("REVIEW",)))).withColumn("path", resolved(c("path"), root))
+    if not d.where("path is null").isEmpty():
+        raise ValueError("a relative path needs a root")
+    d = below(d, directories) if directories is not None else d
+    wrong = d.where(~F.trim("mode_key").eqNullSafe(R.mode_key(c("path")))).select("mode_key", "path").first()
+    if wrong is not None:
+        raise ValueError(f"mode_key {wrong.mode_key!r} is not that of {wrong.path!r}")
+    if not d.groupBy("mode_key").count().where("count > 1").isEmpty():
         raise ValueError("mode_key is not unique among the candidates")
-    return d.join(done.select("mode_key"), "mode_key", "left_anti") if done is not None else d
+    d = d.join(done.select("mode_key"), "mode_key", "left_anti") if done is not None else d
+    number = F.coalesce(F.when(c("ntor") != 0, c("ntor")), c("n") if "n" in rows.columns else F.lit(None).cast("int"))
+    order = [F.split("mode_key", "/")[0], number.asc_nulls_last(), F.when(F.abs("omega") < float("inf"), c("omega")).asc_nulls_last(), F.substring_index("path", "/", -1), c("mode_key")]
+    return d.orderBy(*order)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import scoring as S
+from ..sources.log import AppendLog
 
 
 def scores(spark: SparkSession, path: str, schema: str, max_files: int = 64) -> DataFrame:
@@ -22,3 +23,8 @@ def append(stream: DataFrame, out: str, checkpoint: str, available_now: bool = T
 
 def each_batch(stream: DataFrame, act: Callable[[DataFrame, int], None], checkpoint: str):
     return stream.writeStream.foreachBatch(act).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def append_once(stream: DataFrame, log: AppendLog, name: str, checkpoint: str):
+    """Micro-batches into a log, each by its number: one that is run again after a crash adds nothing."""
+    return each_batch(stream, lambda batch, number: log.append(batch, f"{name}-{number}"), checkpoint)
