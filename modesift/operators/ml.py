@@ -45,8 +45,16 @@ def train_forest(df: DataFrame, label: str = "y", trees: int = 300, depth: int =
 
 
 def score_forest(model: PipelineModel, df: DataFrame, out: str = "p_rf") -> DataFrame:
+    """df with the share of good. A model without probabilities gives the logistic of its margin, and one
+    without margins its prediction."""
     scored = model.transform(df.withColumn("raw", array_to_vector("features")))
-    return scored.withColumn(out, vector_to_array("probability")[1]).drop("raw", "scaled", "rawPrediction", "probability", "prediction")
+    if "probability" in scored.columns:
+        p = vector_to_array("probability")[1]
+    elif "rawPrediction" in scored.columns:
+        p = 1 / (1 + F.exp(-vector_to_array("rawPrediction")[1]))
+    else:
+        p = F.col("prediction")
+    return scored.withColumn(out, p).drop("raw", "scaled", "rawPrediction", "probability", "prediction")
 
 
 def save_forest(model: PipelineModel, path: str, spark: SparkSession, width: int, energy_tie: bool = False) -> None:

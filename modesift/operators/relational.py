@@ -258,6 +258,21 @@ def changed_modes(diff: DataFrame) -> DataFrame:
     return d.agg(F.count("*").alias("n_changed"), F.count_if(~F.col("shape_equal")).alias("n_shape"), F.median(change).alias("median_abs_relative_omega"), F.max(change).alias("max_abs_relative_omega"), F.max("max_abs_delta").alias("max_abs_delta"))
 
 
+def changed_by_shot(changed: DataFrame, training: DataFrame, reference: DataFrame) -> DataFrame:
+    """For files (path, shot) that differ between trees of modes(path, mode, omega, load_error): how many by
+    shot, of unequal arrays, of another shape, how far omega is apart, and how many can't be compared."""
+    side = lambda d, name: d.select("path", F.struct("mode", "omega", "load_error").alias(name))
+    both = changed.select("path", "shot").join(side(training, "a"), "path", "left").join(side(reference, "b"), "path", "left")
+    size = lambda m: F.struct(F.size(m), F.size(F.get(m, F.lit(0))))
+    lost = F.col("a.mode").isNull() | F.col("b.mode").isNull()
+    change = F.when(~lost, F.try_divide(F.abs(F.col("b.omega") - F.col("a.omega")), F.abs("a.omega")))
+    count = lambda c: F.count_if(~lost & c).cast("long")
+    return both.groupBy("shot").agg(
+        F.count("*").alias("n_changed"), count(~F.col("a.mode").eqNullSafe(F.col("b.mode"))).alias("n_structure"), count(size(F.col("a.mode")) != size(F.col("b.mode"))).alias("n_shape"),
+        F.median(change).alias("median_abs_relative_omega"), F.max(change).alias("max_abs_relative_omega"), F.count_if(lost).cast("long").alias("n_not_compared"),
+    )
+
+
 def resolve_path(path: Column, root: str) -> Column:
     """Absolute paths as they are, others below the data root."""
     return F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path))

@@ -309,13 +309,36 @@ def audit(spark: SparkSession, training_root: str, reference_root: str, labels:
         for name, (d, order) in names.items():
             sinks.write_csv(d, f"{out}/{name}", d.columns, order)
         counts = {r.status: r["count"] for r in rows.groupBy("status").count().collect()}
-        sinks.write_text(f"{out}/report.md", "# Provenance\n\n" + "".join(f"- {k}: {v}\n" for k, v in sorted(counts.items())))
+        listed_modes = rows.where("in_training_csv and file_kind = 'mode'")
+        modes = lambda root: files.read_modes(spark, root).withColumn("path", F.concat_ws("/", "shot", F.concat(F.lit("N"), "expected_n"), "file"))
+        changed = R.changed_by_shot(listed_modes.where("status = 'different'"), modes(training_root), modes(reference_root))
+        sinks.write_csv(changed, f"{out}/mode_diagnostics.csv", changed.columns, ["shot"])
+        sinks.write_text(f"{out}/report.md", _audit_report(rows, summary, listed_modes, changed, counts))
         sinks.write_text(f"{out}/run_metadata.json", sinks.stable_json({"counts": counts, "training_root": training_root, "reference_root": reference_root}) + "\n")
         sums = "".join(f"{hashlib.sha256(open(f'{out}/{n}', 'rb').read()).hexdigest()}  {n}\n" for n in sorted(os.listdir(out)) if n != "SHA256SUMS")
         sinks.write_text(f"{out}/SHA256SUMS", sums)
     return rows, summary
 
 
+def _table(rows: list, columns: list[str]) -> list[str]:
+    number = lambda v: f"{v:.6g}" if isinstance(v, float) else "" if v is None else str(v)
+    return ["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns), *("| " + " | ".join(number(r[c]) for c in columns) + " |" for r in rows)]
+
+
+def _audit_report(rows: DataFrame, summary: DataFrame, listed: DataFrame, changed: DataFrame, counts: dict[str, int]) -> str:
+    """What an audit found, a row a shot in each table; shots are few."""
+    by_shot = lambda d: d.groupBy("shot").agg(F.count("*").alias("files"), F.count_if(F.col("status") == "different").alias("different")).orderBy("shot").collect()
+    told = lambda d: ", ".join(f"{r.shot} ({r.files})" for r in by_shot(d)) or "none"
+    old = ", ".join(f"{r.shot} ({r.files}, of which {r.different} differ from the reference's current file)" for r in by_shot(rows.where("file_kind = 'datcon_backup'"))) or "none"
+    lines = ["# Provenance", "", *(f"- {k}: {v}" for k, v in sorted(counts.items())), "", "## Shots", "", *_table(summary.orderBy("shot").collect(), summary.columns), "", "## Differences", ""]
+    lines += [f"- Listed modes that differ: {told(listed.where("status = 'different'"))}", f"- Listed modes that the reference lacks: {told(listed.where("status = 'training_only'"))}"]
+    lines += [f"- Boundary files that differ: {told(rows.where("file_kind = 'datcon' and status = 'different'"))}", f"- Kept backups of boundary files: {old}"]
+    if found := changed.orderBy("shot").collect():
+        lines += ["", "## Changed modes", "", *_table(found, changed.columns)]
+    lines += ["", "Files are identical if their SHA-256 are. Backups are held against the reference's current file of their group."]
+    return "\n".join(lines) + "\n"
+
+
 def merge_labels(lists: list[DataFrame]) -> DataFrame:
     """Label lists in order: the last label of a path wins, paths keep the order of first appearance."""
     out = None

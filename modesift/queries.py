@@ -410,7 +410,7 @@ def disagreements(spark, d):
 @query(SC + " SELECT doc_id, y, round(p_rf, 6) AS p_rf, CASE WHEN y = 1 THEN 'labeled_good_scored_bad' ELSE 'labeled_bad_scored_good' END AS flag FROM s WHERE (y = 1 AND p_rf <= 0.1e0) OR (y = 0 AND p_rf >= 0.9e0)")
 def oof_suspects(spark, d):
     s = D.scores(spark, d).where("(y = 1 and p_rf <= 0.1) or (y = 0 and p_rf >= 0.9)")
-    return s.select("doc_id", "y", r6("p_rf"), F.when(F.col("y") == 1, "labeled_good_scored_bad").otherwise("labeled_bad_scored_good").alias("flag"))
+    return s.select("doc_id", "y", r6("p_rf"), F.when(F.col("y") == 1, "labeled_good_scored_bad").otherwise("labeled_bad_scored_good").alias("flag")).orderBy(F.desc(F.abs(F.col("p_rf") - F.col("y"))), "doc_id")
 
 
 @query(M + RAD + " SELECT ntor, round(median(rad_loc), 6) AS median_rad_loc, round(median(rad_width), 6) AS median_rad_width FROM radw GROUP BY 1")

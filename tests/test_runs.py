@@ -155,6 +155,15 @@ def test_audit(spark, tree, tmp_path):
     assert (st["s1/N1/egn_a"], st["s1/N1/egn_b"], st["s1/N1/egn_gone"], st["s1/N1/datcon1"], st["s1/N1/datcon1_old"]) == ("different", "training_only", "missing_both", "different", "identical")
     verdict = {r.shot: r.overall_status for r in summary.collect()}
     assert verdict == {"s1": "mode_and_continuum_mismatch", "s2": "active_payload_aligned"}
+    report = (tmp_path / "audit/report.md").read_text()
+    assert "Listed modes that differ: s1 (1)" in report and "| s1 | 1 | 0 | 0 |  |  | 1 |" in report and "s1 (1, of which 0 differ" in report
+    other = files.encode_mode(default_mode(at=0.3), 1.1, 0.01, 1)
+    for shot, content in (("s1", other), ("s2", files.encode_mode(default_mode(nr=12), 1.0, 0.01, 1))):
+        (tmp_path / f"ref/{shot}/N1/egn_a").write_bytes(content)
+    runs.audit(spark, tree, str(tmp_path / "ref"), str(tmp_path / "labels.csv"), out, replace=True)
+    found = {r["shot"]: r for r in table(tmp_path / "audit/mode_diagnostics.csv")}
+    assert [found["s1"][k] for k in ("n_changed", "n_structure", "n_shape", "n_not_compared")] == ["1", "1", "0", "0"] and float(found["s1"]["max_abs_relative_omega"]) == pytest.approx(0.1)
+    assert [found["s2"][k] for k in ("n_changed", "n_structure", "n_shape")] == ["1", "1", "1"]
     with pytest.raises(FileExistsError):
         runs.audit(spark, tree, str(tmp_path / "ref"), str(tmp_path / "labels.csv"), out)
     (tmp_path / "labels.csv").write_text("path,validity\n../N1/egn_a,good\n")
@@ -265,6 +274,19 @@ def test_forest_and_array_models(spark, tmp_path):
         assert all(0 < r.p_cnn < 1 and r.p_cnn_error is None for r in out.collect()), kind
 
 
+def test_scores_of_models_without_probabilities(spark):
+    from pyspark.ml.classification import LinearSVC
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import LinearRegression
+
+    df = spark.createDataFrame([([float(i)], float(i >= 5)) for i in range(10)], "features array<double>, label double")
+    raw = df.withColumn("raw", array_to_vector("features"))
+    margin = ml.score_forest(LinearSVC(featuresCol="raw", labelCol="label").fit(raw), df, "p")
+    assert all((r.p >= 0.5) == (r.label == 1) and 0 < r.p < 1 for r in margin.collect()) and margin.columns == ["features", "label", "p"]
+    plain = ml.score_forest(LinearRegression(featuresCol="raw", labelCol="label").fit(raw), df, "p").collect()
+    assert plain[0].p < 0.2 and plain[9].p > 0.8
+
+
 def test_convolution_against_loops():
     rng = np.random.default_rng(1)
     x, w, b = rng.normal(size=(2, 5, 6)), rng.normal(size=(3, 2, 3, 3)), rng.normal(size=3)
