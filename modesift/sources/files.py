@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import csv
-import io
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.profiles import clean_boundaries
@@ -131,11 +130,68 @@ VALIDITIES, FAMILIES = ("good", "bad"), ("tae", "eae", "mixed")
 _LABELS = {"good", "bad", "g", "b", "1", "0", "review"}
 
 
+# A whole cell: quoted with what may follow its closing quote, or plain. All repetitions are possessive, so
+# that matching neither goes back nor recurses, however long the line.
+_QUOTED = r'[^"]*+(?:""[^"]*+)*+'
+_PLAIN = r'(?:[^",][^,]*+)?+'
+_CELL = rf'(?:"{_QUOTED}"{_PLAIN}|{_PLAIN})'
+_OPENED = rf'^(?:{_CELL},)*+"{_QUOTED}$'
+_STILL_OPEN = rf'^{_QUOTED}(?:"{_PLAIN},(?:{_CELL},)*+"{_QUOTED})?+$'
+_CSV = {"mode": "PERMISSIVE", "escape": '"'}
+
+
+def _open_before(d: DataFrame, group: list[str], order: str) -> DataFrame:
+    """d with before0 and before1: whether a quote is open before the row if none or one was open before its
+    group. A row maps the state before it to the state after it (after0, after1): it fixes the state, turns
+    it or keeps it, so the state is that of the last row that fixed it, turned as often as rows did since."""
+    so_far = Window.partitionBy(*group).orderBy(order)
+    earlier = so_far.rowsBetween(Window.unboundedPreceding, -1)
+    turns = F.when(F.col("after0") & ~F.col("after1"), 1).otherwise(0)
+    d = d.withColumn("turned", F.sum(turns).over(so_far))
+    fixed = F.max(F.when(F.col("after0") == F.col("after1"), F.struct(order, "after0", "turned"))).over(earlier)
+    d = d.withColumn("fixed", fixed).withColumn("turned_before", F.col("turned") - turns)
+
+    def state(start: bool) -> Column:
+        odd = (F.col("turned_before") - F.coalesce("fixed.turned", F.lit(0))) % 2 == 1
+        return F.coalesce("fixed.after0", F.lit(start)) != odd
+
+    return d.withColumn("before0", state(False)).withColumn("before1", state(True)).drop("turned", "fixed", "turned_before")
+
+
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    """(seq, value): the records of CSV files in the order of names and lines, blank ones left out. A record
+    goes on over line breaks within quotes (they become \\n), also over the border of two file blocks: states are
+    found within blocks, then over one row a block. A file that ends within quotes fails the read."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    lines = _open_before(lines.withColumn("after0", F.col("value").rlike(_OPENED)).withColumn("after1", F.col("value").rlike(_STILL_OPEN)), ["file", "block"], "at")
+    after = [F.max_by(F.when(F.col(f"before{k}"), F.col("after1")).otherwise(F.col("after0")), "at").alias(f"after{k}") for k in (0, 1)]
+    blocks = _open_before(lines.groupBy("file", "block").agg(*after, *(F.count_if(~F.col(f"before{k}")).alias(f"starts{k}") for k in (0, 1))), ["file"], "block")
+    ends = blocks.groupBy("file").agg(F.max_by(F.when(F.col("before0"), F.col("after1")).otherwise(F.col("after0")), "block").alias("open")).where("open").limit(1).collect()
+    if ends:
+        raise ValueError(f"{ends[0].file}: ends within quotes")
+    # One row a block of a file: few enough for one ordered sum.
+    starts = F.when(F.col("before0"), F.col("starts1")).otherwise(F.col("starts0"))
+    first = F.coalesce(F.sum(starts).over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("file", "block", F.col("before0").alias("open"), first.alias("first"))
+    d = lines.join(blocks, ["file", "block"]).withColumn("begins", ~F.when(F.col("open"), F.col("before1")).otherwise(F.col("before0")))
+    seq = F.col("first") - 1 + F.count_if("begins").over(Window.partitionBy("file", "block").orderBy("at"))
+    parts = F.sort_array(F.collect_list(F.struct("block", "at", "value")))
+    return d.withColumn("seq", seq).groupBy("seq").agg(F.array_join(parts["value"], "\n").alias("value")).where("trim(value) <> ''")
+
+
+def _strip(cell: Column) -> Column:
+    return F.trim(cell, F.lit(" \t\n\r\x0b\f"))
+
+
+def _cells(record: str) -> list[str]:
+    return next(csv.reader(record.splitlines(keepends=True)))
+
+
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """(seq, path, label) of a list with or without header; blank and # lines are skipped. The roles of
+    """(seq, path, label) of a list with or without header; blank and # records are skipped. The roles of
     the columns are inferred from the header or the first 20 rows."""
-    lines = spark.read.text(path).where("trim(value) <> '' and not startswith(trim(value), '#')").withColumn("seq", F.monotonically_increasing_id())
-    head = [next(csv.reader([r.value])) for r in lines.orderBy("seq").limit(21).collect()]
+    lines = _records(spark, path).where("not startswith(trim(value), '#')")
+    head = [_cells(r.value) for r in lines.orderBy("seq").limit(21).collect()]
     if not head:
         return spark.createDataFrame([], "seq long, path string, label string")
     first = [x.strip().lower() for x in head[0]]
@@ -146,31 +202,31 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     label = next((i for i, x in enumerate(first) if x in LABEL_NAMES), None) if named else None
     if label is None:
         label = next((i for i in range(width) if i != at and rows and all(i < len(r) and r[i].strip().lower() in _LABELS for r in rows)), None)
-    cells = F.from_csv("value", ", ".join(f"c{i} string" for i in range(width)), {"mode": "PERMISSIVE"})
+    cells = F.from_csv("value", ", ".join(f"c{i} string" for i in range(width)), _CSV)
     d = lines.select("seq", cells.alias("c"))
     if named:
         d = d.where(F.col("seq") != lines.agg(F.min("seq")).first()[0])
-    return d.select("seq", F.trim(f"c.c{at}").alias("path"), (F.trim(f"c.c{label}") if label is not None else F.lit(None).cast("string")).alias("label"))
+    return d.select("seq", _strip(F.col(f"c.c{at}")).alias("path"), (_strip(F.col(f"c.c{label}")) if label is not None else F.lit(None).cast("string")).alias("label"))
 
 
 def read_wide(spark: SparkSession, path: str) -> DataFrame:
-    """All columns of a CSV as strings under unique names (x, x_2, ...), in file order; blank and # lines
+    """All columns of a CSV as strings under unique names (x, x_2, ...), in file order; blank and # records
     are skipped, short rows padded with ''. Without a path column in its first line the file has no header:
     its columns are path, validity or col2, family or col3, col4 and so on, by the values they hold."""
-    lines = spark.read.text(path).where("trim(value) <> '' and not startswith(trim(value), '#')").withColumn("seq", F.monotonically_increasing_id())
+    lines = _records(spark, path).where("not startswith(trim(value), '#')")
     top = lines.orderBy("seq").limit(1).collect()
     if not top:
         raise ValueError(f"{path}: no rows")
-    first = [x.strip() for x in next(csv.reader([top[0].value]))]
+    first = [x.strip() for x in _cells(top[0].value)]
     named = any(x.lower() in PATH_NAMES for x in first)
     # No row has more cells than commas and one.
     width = lines.agg(F.max(F.size(F.split("value", ",")))).first()[0]
-    cells = F.from_csv(F.col("value"), ", ".join(f"c{i} string" for i in range(width)), {"mode": "PERMISSIVE", "nullValue": "\u0000"})
+    cells = F.from_csv(F.col("value"), ", ".join(f"c{i} string" for i in range(width)), _CSV | {"nullValue": "\u0000"})
     rows = lines.select("seq", cells.alias("x")).select("seq", F.filter(F.array("x.*"), lambda x: x.isNotNull()).alias("c"))
     if named:
         rows = rows.where(F.col("seq") != top[0].seq)
     # Two columns' values tell the roles; each is a set of distinct values of which one beyond the known settles it.
-    known = lambda i, names: bool(rows.where(F.size("c") > i).select(F.lower(F.trim(F.get("c", F.lit(i)))).alias("v")).where("v <> ''").agg(F.count("*") > 0, F.coalesce(F.every(F.col("v").isin(*names)), F.lit(False))).first()[:] == (True, True))
+    known = lambda i, names: bool(rows.where(F.size("c") > i).select(F.lower(_strip(F.get("c", F.lit(i)))).alias("v")).where("v <> ''").agg(F.count("*") > 0, F.coalesce(F.every(F.col("v").isin(*names)), F.lit(False))).first()[:] == (True, True))
     width = max(len(first), rows.agg(F.max(F.size("c"))).first()[0] or 0)
     if named:
         names = [x or f"col{i + 1}" for i, x in enumerate(first)]
@@ -182,19 +238,20 @@ def read_wide(spark: SparkSession, path: str) -> DataFrame:
     for x in names:
         seen[x] = seen.get(x, 0) + 1
         unique.append(x if seen[x] == 1 else f"{x}_{seen[x]}")
-    return rows.orderBy("seq").select(*(F.coalesce(F.trim(F.get("c", F.lit(i))), F.lit("")).alias(n) for i, n in enumerate(unique)))
+    return rows.orderBy("seq").select(*(F.coalesce(_strip(F.get("c", F.lit(i))), F.lit("")).alias(n) for i, n in enumerate(unique)))
 
 
 def read_strict(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """A CSV whose header must be non-blank and unique (and equal columns if given), every row as wide."""
-    lines = spark.read.text(path)
-    top = lines.limit(1).collect()
-    names = next(csv.reader(io.StringIO(top[0].value))) if top else []
+    lines = _records(spark, path)
+    top = lines.orderBy("seq").limit(1).collect()
+    names = _cells(top[0].value) if top else []
     if not names or any(not n.strip() for n in names) or len(set(names)) != len(names):
         raise ValueError(f"{path}: header must have unique non-blank names")
     if columns is not None and names != columns:
         raise ValueError(f"{path}: expected columns {columns}, found {names}")
-    return spark.read.csv(path, header=True, schema=", ".join(f"`{n}` string" for n in names), mode="FAILFAST", enforceSchema=False)
+    cells = F.from_csv("value", ", ".join(f"`{n.replace('`', '``')}` string" for n in names), _CSV | {"mode": "FAILFAST"})
+    return lines.where(F.col("seq") > top[0].seq).orderBy("seq").select(cells.alias("c")).select("c.*")
 
 
 # Fixed by the file format.
