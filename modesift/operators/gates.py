@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import profiles as P
+from ..functions import stacks as B
 from . import features as X
 
 
@@ -64,26 +65,79 @@ def measure_one(mode: np.ndarray, omega: float, low2: np.ndarray, high2: np.ndar
     return out | {"ext_dr": dr, "ext_df_gap": df, "ext_energy_frac": energy, "ext_matched": matched, "ext_r": at}
 
 
+def _measure_stack(stack: np.ndarray, cfg: GateConfig) -> dict[str, np.ndarray]:
+    grid = B.grid_spike(stack, cfg.grid_width) if cfg.grid_width is not None else {"grid_scale_candidate_found": np.zeros(len(stack), dtype=bool)}
+    return B.axis_artifact(stack, cfg.axis_r) | B.edge_artifact(stack, cfg.edge_r) | grid
+
+
+def _doubles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column of doubles, NaN for null, and where each list begins and ends."""
+    return column.values.to_numpy(zero_copy_only=False).astype(float, copy=False), column.offsets.to_numpy()
+
+
+def _by_shape(column: pa.Array) -> dict[tuple[int, int], list[tuple[int, int]]]:
+    """(row, position of its first value) of the rows that hold a matrix of two or more columns, by its shape."""
+    found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    outer, inner = column.offsets.to_numpy(), column.values.offsets.to_numpy()
+    for row, (a, b) in enumerate(zip(outer[:-1].tolist(), outer[1:].tolist(), strict=True)):
+        width = np.diff(inner[a : b + 1])
+        if len(width) and width[0] > 1 and (width == width[0]).all():
+            found.setdefault((b - a, int(width[0])), []).append((row, int(inner[a])))
+    return found
+
+
 def measure(df: DataFrame, cfg: GateConfig = GateConfig()) -> DataFrame:
     """df with the array measurements; measure_error where a mode cannot be measured. The stage takes Arrow
-    batches: all other columns pass through as they are, only the four inputs become Python objects, and what
-    follows reads its output instead of repeating a call."""
+    batches: modes of one shape are measured as one stack cut from the batch's own buffers, rows that miss an
+    input or are no matrix one by one; all other columns pass through as they are, and what follows reads its
+    output instead of repeating a call."""
     measures = T.StructType.fromDDL(MEASURES)
     types = {"double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string()}
     kinds = {f.name: types[f.dataType.simpleString()] for f in measures}
 
+    def alone(batch: pa.RecordBatch, i: int) -> dict:
+        try:
+            m, w, low, high = (batch.column(name)[i].as_py() for name in ("mode", "omega", "low2", "high2"))
+            if m is None or low is None or high is None:
+                raise ValueError("mode, low2 and high2 are required")
+            cells = np.array(m, dtype=float)
+            return measure_one(cells, float(w), _array(low, cells.shape[1]), _array(high, cells.shape[1]), cfg)
+        except (ValueError, TypeError, IndexError) as e:
+            return {"measure_error": f"{type(e).__name__}: {e}"}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for m, w, low, high in zip(*(batch.column(name).to_pylist() for name in ("mode", "omega", "low2", "high2")), strict=True):
-                try:
-                    if m is None or low is None or high is None:
-                        raise ValueError("mode, low2 and high2 are required")
-                    cells = np.array(m, dtype=float)
-                    rows.append(measure_one(cells, float(w), _array(low, cells.shape[1]), _array(high, cells.shape[1]), cfg))
-                except (ValueError, TypeError, IndexError) as e:
-                    rows.append({"measure_error": f"{type(e).__name__}: {e}"})
-            found = [pa.array([r.get(name) for r in rows], type=kind, from_pandas=True) for name, kind in kinds.items()]
+            out = {name: np.ma.masked_all(len(batch), dtype=object if kind == pa.string() else kind.to_pandas_dtype()) for name, kind in kinds.items()}
+            whole = np.all([batch.column(name).is_valid().to_numpy(zero_copy_only=False) for name in ("mode", "omega", "low2", "high2")], axis=0)
+            cells, _ = _doubles(batch.column("mode").values)
+            omega = batch.column("omega").to_numpy(zero_copy_only=False)
+            (low, low_at), (high, high_at) = _doubles(batch.column("low2")), _doubles(batch.column("high2"))
+            odd = np.ones(len(batch), dtype=bool)
+            for (nhar, n), rows in _by_shape(batch.column("mode")).items():
+                step = max(1, B.CELLS // (nhar * n))
+                for k in range(0, len(rows), step):
+                    part = [(i, np.asarray(cells[at : at + nhar * n]).reshape(nhar, n)) for i, at in rows[k : k + step] if whole[i]]
+                    part = [(i, m) for i, m in part if np.isfinite(m).all()]
+                    done, stack = [], []
+                    for i, m in part:
+                        try:
+                            ends = P.extremum_at(m, float(omega[i]), low[low_at[i] : low_at[i + 1]], high[high_at[i] : high_at[i + 1]])
+                        except (ValueError, TypeError, IndexError):
+                            continue  # measured alone below, which says what is wrong
+                        for name, value in zip(("ext_dr", "ext_df_gap", "ext_energy_frac", "ext_matched", "ext_r"), ends, strict=True):
+                            if value is not None:
+                                out[name][i] = value
+                        done.append(i)
+                        stack.append(m)
+                    if done:
+                        odd[done] = False
+                        for name, values in _measure_stack(np.stack(stack), cfg).items():
+                            out[name][done] = values
+            for i in np.flatnonzero(odd).tolist():
+                for name, value in alone(batch, i).items():
+                    if value is not None:
+                        out[name][i] = value
+            found = [pa.array(out[name].data, mask=np.ma.getmaskarray(out[name]), type=kind, from_pandas=True) for name, kind in kinds.items()]
             yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=[*batch.schema.names, *kinds])
 
     kept = [T.StructField(f.name, f.dataType) for f in df.schema]
