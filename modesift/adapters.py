@@ -37,6 +37,13 @@ def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modes(spark, sf_dir).join(F.broadcast(continuum(spark)), F.col("ntor") == F.col("n"), "left").drop("n")
 
 
+def shot_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boundary profiles (shot, n, low2, high2): half a vector a boundary, five vectors in a row a shot, and no
+    boundary where a component is above a limit."""
+    edge = lambda start, base: F.transform(F.slice("embedding", start, 32), lambda x: F.when(x <= 0.3, F.pow(base + x.cast("double"), F.lit(2.0))))
+    return table(spark, sf_dir, "embeddings").select((F.floor(F.col("vec_id") / 5)).alias("shot"), (6 + F.col("vec_id") % 5).cast("int").alias("n"), edge(1, F.lit(1.0)).alias("low2"), edge(33, F.lit(1.3)).alias("high2"))
+
+
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as scored rows of a run: two probabilities by integer arithmetic, a label where there is one."""
     d, y = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")

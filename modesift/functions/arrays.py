@@ -193,3 +193,31 @@ def finite_blocks(a: Column) -> Column:
 
 def mask_sentinel(a: Column, above: float = 999.0) -> Column:
     return F.transform(a, lambda x: F.when(F.isnan(x) | (x > above), F.lit(None).cast("double")).otherwise(x))
+
+
+def smooth5(a: Column) -> Column:
+    """Weights 1 2 3 2 1 over each run of known values, the run's ends repeated."""
+    at = lambda i: F.when((i >= 0) & (i < F.size(a)), F.get(a, i))
+
+    def one(x: Column, i: Column) -> Column:
+        sides = lambda k: (F.coalesce(at(i + k), x), F.coalesce(F.when(at(i + k).isNotNull(), at(i + 2 * k)), at(i + k), x))
+        (l1, l2), (r1, r2) = sides(-1), sides(1)
+        return (l2 + 2 * l1 + 3 * x + 2 * r1 + r2) / 9
+
+    return F.transform(a, one)
+
+
+def monotonicity(a: Column) -> Column:
+    """Size of the net change over the sum of the sizes of all steps between known neighbours: 1 for a monotone
+    or constant profile, near 0 for a wavy one, NULL without a step."""
+    steps = F.filter(differences(a), lambda x: x.isNotNull())
+    way = total(absolute(steps))
+    return F.when(F.size(steps) == 0, F.lit(None).cast("double")).when(way == 0, F.lit(1.0)).otherwise(F.abs(total(steps)) / way)
+
+
+def turns(a: Column, sign: int) -> Column:
+    """Number of inner maxima (sign 1) or minima (-1) within runs of known values; a flat top counts once."""
+    moves = F.filter(F.transform(differences(a), lambda x: F.coalesce(F.signum(x), F.lit(2.0))), lambda x: x != 0)
+    n = F.size(moves)
+    pairs = F.zip_with(F.slice(moves, 1, F.greatest(n - 1, F.lit(0))), F.slice(moves, 2, F.greatest(n - 1, F.lit(0))), lambda x, y: (x == sign) & (y == -sign))
+    return F.size(F.filter(pairs, lambda x: x))

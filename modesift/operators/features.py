@@ -195,3 +195,29 @@ def feature_vector(df: DataFrame, crossing: bool = False, extremum: bool = False
     absent = dict(zip(EXTREMUM_FEATURES, (1.0, 1.0, 0.0), strict=True))
     value = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(absent[c])) if c in absent else F.col(c).cast("double")
     return d.withColumn("features", F.array(*(value(c) for c in feature_names(crossing, extremum))))
+
+
+def topology(df: DataFrame, r_min: float = 0.05, r_max: float = 0.40) -> DataFrame:
+    """Shape of the gap between the boundaries low2 and high2 at r_min <= r <= r_max: the median of
+    (f_high - f_low) over their mean, the mean of both edges' monotonicity (net change over length of way), and
+    the number of maxima of the smoothed lower edge that a minimum of the smoothed upper edge can be paired with.
+    The formulae are this library's choice. NULL widths and edges, and no pair, where nothing is known."""
+    root = lambda c: F.transform(c, lambda x: F.when(x >= 0, F.sqrt(x)))
+    r = A.grid(F.size("low2"))
+    known = F.when(F.size("low2") > 1, F.filter(F.zip_with(F.zip_with(root(F.col("low2")), root(F.col("high2")), lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))), r, lambda e, x: F.struct(e["lo"].alias("lo"), e["hi"].alias("hi"), x.alias("r"))), lambda e: (e["r"] >= r_min) & (e["r"] <= r_max)))
+    d = df.withColumn("gap_edges", known)
+    lo, hi = F.col("gap_edges.lo"), F.col("gap_edges.hi")
+    width = F.filter(F.transform("gap_edges", lambda e: F.try_divide(2 * (e["hi"] - e["lo"]), e["hi"] + e["lo"])), lambda x: x.isNotNull())
+    pairs = F.least(A.turns(A.smooth5(lo), 1), A.turns(A.smooth5(hi), -1))
+    return d.withColumns({
+        "gap_width_median": F.when(F.size(width) > 0, A.median(width)), "edge_monotonicity": (A.monotonicity(lo) + A.monotonicity(hi)) / 2, "extremum_pairs": F.coalesce(F.when(F.size("gap_edges") > 0, pairs), F.lit(0)),
+    }).drop("gap_edges")
+
+
+def topology_screen(df: DataFrame, groups: tuple[int, ...] = (6, 7, 8, 9, 10), width: float = 0.25, wavy: float = 0.50) -> DataFrame:
+    """A row a shot with any profile of the groups: how many of them are wide, wavy and hold an extremum pair,
+    and whether all are. A group without a profile doesn't pass, one with several passes if one does."""
+    d = topology(df.where(F.col("n").isin(*groups)))
+    suits = (F.col("gap_width_median") >= width) & (F.col("edge_monotonicity") <= wavy) & (F.col("extremum_pairs") >= 1)
+    passed = F.count_distinct(F.when(suits, F.col("n")))
+    return d.groupBy("shot").agg(F.count_distinct("n").alias("n_groups"), passed.alias("n_suitable"), (passed == len(groups)).alias("passes"))

@@ -195,6 +195,29 @@ def extremum_screen(spark, d):
     return e.groupBy("ntor").agg(F.count("*").alias("n_modes"), F.count_if(F.col("ext_matched")).alias("n_matched"), F.count_if(good).alias("n_candidates"), *(F.count_if(good & (F.col("W_secondary") < t)).alias(n) for t, n in ((0.001, "n_below_0_1_percent"), (0.01, "n_below_1_percent"), (0.05, "n_below_5_percent"))))
 
 
+TOPOLOGY = """WITH p AS (SELECT vec_id, i, i / 31e0 AS r, e, b + x AS f FROM (SELECT vec_id, i, e, CASE WHEN e = 0 THEN 1e0 ELSE 1.3e0 END AS b, embedding[e * 32 + i + 1] AS x FROM embeddings, range(32) rs(i), range(2) es(e)) WHERE x <= 0.3),
+ win AS (SELECT a.*, vec_id * 64 + e * 32 + i - row_number() OVER (PARTITION BY vec_id, e ORDER BY i) AS run FROM p a WHERE r BETWEEN 0.05e0 AND 0.40e0),
+ s AS (SELECT *, f - lag(f) OVER v AS step, coalesce(lag(f) OVER v, f) AS l1, coalesce(lag(f, 2) OVER v, lag(f) OVER v, f) AS l2, coalesce(lead(f) OVER v, f) AS r1, coalesce(lead(f, 2) OVER v, lead(f) OVER v, f) AS r2 FROM win WINDOW v AS (PARTITION BY vec_id, e, run ORDER BY i)),
+ t AS (SELECT *, (l2 + 2 * l1 + 3 * f + 2 * r1 + r2) / 9 AS g FROM s),
+ m AS (SELECT *, sign(g - lag(g) OVER v) AS before, sign(lead(g) OVER v - g) AS after FROM t WINDOW v AS (PARTITION BY vec_id, e, run ORDER BY i)),
+ edge AS (SELECT vec_id, e, CASE WHEN count(step) = 0 THEN NULL WHEN sum(abs(step)) = 0 THEN 1e0 ELSE abs(sum(step)) / sum(abs(step)) END AS mono, count(*) FILTER (WHERE before = 1 - 2 * e AND after = 2 * e - 1) AS turns FROM m GROUP BY 1, 2),
+ edges AS (SELECT v.vec_id, CASE WHEN count(mono) = 2 THEN sum(mono) / 2 END AS edge_monotonicity, CASE WHEN count(turns) = 2 THEN min(turns) ELSE 0 END AS extremum_pairs FROM embeddings v LEFT JOIN edge USING (vec_id) GROUP BY 1),
+ wide AS (SELECT vec_id, median(2 * (h.f - l.f) / (h.f + l.f)) AS gap_width_median FROM win l JOIN win h USING (vec_id, i) WHERE l.e = 0 AND h.e = 1 GROUP BY 1),
+ top AS (SELECT vec_id // 5 AS shot, (6 + vec_id % 5)::INTEGER AS n, gap_width_median, edge_monotonicity, extremum_pairs FROM edges LEFT JOIN wide USING (vec_id))
+"""
+
+
+@query(TOPOLOGY + "SELECT shot, n, round(gap_width_median, 6) AS gap_width_median, round(edge_monotonicity, 6) AS edge_monotonicity, extremum_pairs FROM top")
+def gap_topology(spark, d):
+    t = X.topology(D.shot_profiles(spark, d))
+    return t.select("shot", "n", r6("gap_width_median"), r6("edge_monotonicity"), F.col("extremum_pairs").cast("long").alias("extremum_pairs"))
+
+
+@query(TOPOLOGY + "SELECT shot, count(DISTINCT n) AS n_groups, count(DISTINCT n) FILTER (WHERE gap_width_median >= 0.25e0 AND edge_monotonicity <= 0.5e0 AND extremum_pairs >= 1) AS n_suitable, count(DISTINCT n) FILTER (WHERE gap_width_median >= 0.25e0 AND edge_monotonicity <= 0.5e0 AND extremum_pairs >= 1) = 5 AS passes FROM top GROUP BY shot")
+def topology_screen(spark, d):
+    return X.topology_screen(D.shot_profiles(spark, d))
+
+
 @query(M + RAD + """, x AS (SELECT * FROM cells WHERE h = 0), c AS (SELECT mode_id, i, r, sum(a * a) OVER (PARTITION BY mode_id ORDER BY i) / sum(a * a) OVER (PARTITION BY mode_id) AS s FROM x),
  e AS (SELECT *, lead(s) OVER v AS s2, lead(r) OVER v AS r2 FROM c WINDOW v AS (PARTITION BY mode_id ORDER BY i)),
  q AS (SELECT mode_id, q.q, coalesce(max(r + (r2 - r) * (q.q - s) / (s2 - s)) FILTER (WHERE s <= q.q AND s2 > q.q), 0e0) AS edge FROM e, (VALUES (0.1e0), (0.9e0)) q(q) GROUP BY 1, 2)
