@@ -1,6 +1,7 @@
 """Media columns: signature sniffing of binary values.
 
-An Aho-Corasick automaton locates the magic bytes of all formats in one pass. For each hit a validator
+An Aho-Corasick automaton locates the magic bytes of all formats in one pass, and with them the trailers of
+formats that are bounded from their end, so that no validator searches on from each hit. For each hit a validator
 walks the format's own structure (chunks, boxes, pages, blocks, markers) with lengths and checksums and
 says where the medium ends, or rejects the hit. A valid medium at the start gives the detected type,
 which corrects the declared one; valid media further in are carved as spans.
@@ -11,6 +12,7 @@ unknown; hits inside an already validated medium are part of it; equal contents
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import struct
 import zlib
@@ -23,6 +25,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import arrow_rows, documents, text_bytes
 
+#: Bytes that end a medium or a part of one. Fixed by the formats.
+TRAILERS = (b"startxref", b"%%EOF", b"PK\x05\x06")
+
+
+class Marks:
+    """Where the automaton met each of the byte strings that validators look for, in order."""
+
+    def __init__(self) -> None:
+        self.at: dict[bytes, list[int]] = {}
+
+    def next(self, mark: bytes, start: int, default: int) -> int:
+        """The first position from ``start`` on, or the default."""
+        known = self.at.get(mark, [])
+        k = bisect.bisect_left(known, start)
+        return known[k] if k < len(known) else default
+
+
 PNG_MAGIC = b"\x89PNG\r\n\x1a\n"
 
 
@@ -123,26 +142,40 @@ def _ogg(d: bytes, at: int) -> int:
 
 
 def _mp4(d: bytes, at: int) -> int:
-    """Boxes from ftyp on; the magic stands four bytes after the start."""
-    p, known, end = at, {b"ftyp", b"moov", b"mdat", b"free", b"skip", b"moof", b"wide", b"uuid", b"sidx", b"meta", b"styp"}, -1
+    """Boxes from ftyp on; the magic stands four bytes after the start. Films and sound have a moov or moof box,
+    still images a meta box."""
+    p, known, kinds = at, {b"ftyp", b"moov", b"mdat", b"free", b"skip", b"moof", b"mfra", b"wide", b"uuid", b"sidx", b"meta", b"styp", b"pdin", b"idat"}, set()
     while p + 8 <= len(d):
         size, kind = struct.unpack_from(">I4s", d, p)
         if size == 1 and p + 16 <= len(d):
             size = struct.unpack_from(">Q", d, p + 8)[0]
-        if kind not in known or size < 8 or p + size > len(d):
+        if kind not in known or size < 8 or p + size > len(d) or (kind == b"ftyp") != (p == at):
             break
-        p = end = p + size
-    return end if end > at + 8 and b"moov" in d[at:end] or end > at + 8 and b"moof" in d[at:end] else -1
+        kinds.add(kind)
+        p += size
+    return p if kinds & ({b"meta"} if _brand(d, at).startswith("image/") else {b"moov", b"moof"}) else -1
+
+
+def _brand(d: bytes, at: int) -> str:
+    return BRANDS.get(d[at + 8 : at + 12], "video/mp4")
 
 
-def _pdf(d: bytes, at: int) -> int:
-    end = d.find(b"%%EOF", at)
-    return end + 5 if end > 0 and d.find(b"startxref", at, end) > 0 else -1
+def _pdf(d: bytes, at: int, marks: Marks) -> int:
+    """To the end of the last section (startxref, offset, %%EOF) before the next file's header, so incremental
+    updates belong to their file; a line break after the last mark does too if the value ends with it."""
+    until = marks.next(b"%PDF-", at + 1, len(d))
+    end, p = -1, at
+    while (start := marks.next(b"startxref", p, until)) < until:
+        p = start + 9
+        eof = marks.next(b"%%EOF", p, until)
+        if eof < until and eof - p <= 40 and d[p:eof].strip().isdigit():  # an offset and line breaks
+            end = p = eof + 5
+    return len(d) if end > 0 and d[end:] in (b"\n", b"\r", b"\r\n") else end
 
 
-def _zip(d: bytes, at: int) -> int:
+def _zip(d: bytes, at: int, marks: Marks) -> int:
     """Through the end record, whose directory offset must point at a directory entry."""
-    p = d.find(b"PK\x05\x06", at)
+    p = marks.next(b"PK\x05\x06", at, -1)
     if p < 0 or p + 22 > len(d):
         return -1
     size, start, note = struct.unpack_from("<IIH", d, p + 12)
@@ -162,7 +195,7 @@ def _gzip(d: bytes, at: int) -> int:
 
 
 #: Magic bytes, offset of the magic from the medium's start, media type, validator. Fixed by the formats.
-FORMATS: list[tuple[bytes, int, str, Callable[[bytes, int], int]]] = [
+FORMATS: list[tuple[bytes, int, str, Callable[..., int]]] = [
     (PNG_MAGIC, 0, "image/png", _png),
     (b"\xff\xd8\xff", 0, "image/jpeg", _jpeg),
     (b"GIF87a", 0, "image/gif", _gif),
@@ -171,11 +204,16 @@ FORMATS: list[tuple[bytes, int, str, Callable[[bytes, int], int]]] = [
     (b"RIFF", 0, "riff", _riff),
     (b"fLaC", 0, "audio/flac", _flac),
     (b"OggS", 0, "audio/ogg", _ogg),
-    (b"ftyp", 4, "video/mp4", _mp4),
+    (b"ftyp", 4, "boxes", _mp4),
     (b"%PDF-", 0, "application/pdf", _pdf),
     (b"PK\x03\x04", 0, "application/zip", _zip),
     (b"\x1f\x8b\x08", 0, "application/gzip", _gzip),
 ]
+#: Media types of files of boxes by their major brand, where it is not video/mp4. Fixed by the formats.
+BRANDS = {
+    b"M4A ": "audio/mp4", b"M4B ": "audio/mp4", b"M4P ": "audio/mp4", b"avif": "image/avif", b"avis": "image/avif", b"heic": "image/heic", b"heix": "image/heic",
+    b"heim": "image/heic", b"heis": "image/heic", b"mif1": "image/heif", b"msf1": "image/heif", b"qt  ": "video/quicktime", b"3gp4": "video/3gpp", b"3gp5": "video/3gpp", b"3gp6": "video/3gpp",
+}
 _RIFF_TYPES = {b"WAVE": "audio/wav", b"WEBP": "image/webp", b"AVI ": "video/avi"}
 
 
@@ -183,6 +221,8 @@ def _automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for k, (magic, *_) in enumerate(FORMATS):
         a.add_word(magic.decode("latin-1"), k)
+    for k, mark in enumerate(TRAILERS, start=len(FORMATS)):
+        a.add_word(mark.decode("latin-1"), k)
     a.make_automaton()
     return a
 
@@ -192,10 +232,13 @@ _MAGIC = _automaton()
 
 def sniff(data: bytes) -> tuple[int, list[tuple[int, int, str]]]:
     """Number of magic hits, and the valid media (start, end, type) left to right, not nested."""
-    hits = []
+    hits, marks = [], Marks()
     for end, k in _MAGIC.iter(data.decode("latin-1")):
-        magic, shift, _, _ = FORMATS[k]
-        hits.append((end + 1 - len(magic) - shift, k))
+        magic, shift = FORMATS[k][:2] if k < len(FORMATS) else (TRAILERS[k - len(FORMATS)], 0)
+        at = end + 1 - len(magic) - shift
+        marks.at.setdefault(magic, []).append(at)
+        if k < len(FORMATS):
+            hits.append((at, k))
     spans: list[tuple[int, int, str]] = []
     free = 0
     for at, k in sorted(h for h in hits if h[0] >= 0):
@@ -203,11 +246,11 @@ def sniff(data: bytes) -> tuple[int, list[tuple[int, int, str]]]:
             continue
         _, _, kind, check = FORMATS[k]
         try:
-            end = check(data, at)
+            end = check(data, at, marks) if check in (_pdf, _zip) else check(data, at)
         except (struct.error, IndexError):
             end = -1
         if end > at:
-            spans.append((at, end, _RIFF_TYPES[data[at + 8 : at + 12]] if kind == "riff" else kind))
+            spans.append((at, end, _RIFF_TYPES[data[at + 8 : at + 12]] if kind == "riff" else _brand(data, at) if kind == "boxes" else kind))
             free = end
     return len(hits), spans
 

@@ -61,6 +61,49 @@ def test_damage_is_rejected():
             M.sniff(bytes(x))  # never raises
 
 
+def box(kind, body):
+    return struct.pack(">I4s", 8 + len(body), kind) + body
+
+
+def test_brands_of_box_files():
+    film, still = box(b"moov", bytes(4)) + box(b"mdat", bytes(9)), box(b"meta", bytes(12)) + box(b"mdat", bytes(5))
+    for brand, rest, kind in ((b"M4A ", film, "audio/mp4"), (b"isom", film, "video/mp4"), (b"qt  ", film, "video/quicktime"), (b"heic", still, "image/heic"), (b"mif1", still, "image/heif"), (b"avif", still, "image/avif")):
+        data = box(b"ftyp", brand + bytes(4)) + rest
+        assert M.sniff(b"ab" + data + b" tail")[1] == [(2, 2 + len(data), kind)]
+    assert not M.sniff(box(b"ftyp", b"isom" + bytes(4)) + still)[1] and not M.sniff(box(b"ftyp", b"heic" + bytes(4)) + film)[1]
+    two = box(b"ftyp", b"isom" + bytes(4)) + film
+    assert [s[:2] for s in M.sniff(two + two)[1]] == [(0, len(two)), (len(two), 2 * len(two))]
+
+
+def test_pdf_updates_belong_to_their_file():
+    update = b"\n9 0 obj\nendobj\nstartxref\n12\n%%EOF"
+    twice = PDF + update
+    assert M.sniff(twice)[1] == [(0, len(twice), "application/pdf")]
+    assert M.sniff(b"x" + twice + b"\n" + PDF + b"text")[1] == [(1, 1 + len(twice), "application/pdf"), (2 + len(twice), 2 + len(twice) + len(PDF), "application/pdf")]
+    assert M.sniff(PDF + b" about startxref and %%EOF")[1] == [(0, len(PDF), "application/pdf")]
+    assert not M.sniff(b"%PDF-1.4 startxref %%EOF")[1]
+
+
+def test_repeated_hits_take_no_search_each():
+    def steps(data):
+        seen = []
+
+        class Counted(M.Marks):
+            def next(self, mark, start, default):
+                seen.append(mark)
+                return super().next(mark, start, default)
+
+        real, M.Marks = M.Marks, Counted
+        try:
+            assert not M.sniff(data)[1]
+        finally:
+            M.Marks = real
+        return len(seen)
+
+    for hit in (b"%PDF-1.4\n", b"PK\x03\x04 text "):
+        assert steps(hit * 4000) <= 2.1 * steps(hit * 2000)
+
+
 def test_declared_types(spark):
     rows = [(1, MEDIA["image/png"], "image/jpeg"), (2, MEDIA["image/gif"], "image/gif"), (3, b"text", "text/plain"), (4, None, None), (5, b"", "x")]
     out = {r.id: r for r in M.sniff_column(spark.createDataFrame(rows, "id long, content binary, declared string"), "content", "declared", ["id"]).collect()}
