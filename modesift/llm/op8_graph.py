@@ -4,7 +4,9 @@ Equal vectors form classes, of which one takes part. Classes are dealt to overla
 each to its nearest cell (its home) and to the ``overlap`` - 1 next ones. A cell is a centre, or all
 centres that reach each other by steps in range: a large group of near copies draws many centres, and
 its links must not be cut by them. In such a merged cell nearly all are in range of all, so its links
-are found by plain products. In each other shard a flat graph is built by insertion in growing batches:
+are found by plain products. Cells grow in number with the data: one that is home to more than
+``group`` / ``overlap`` classes gets centres of its own, fitted in a task on some of them, and its members
+are dealt on to the nearest of all finer cells, level by level. In each other shard a flat graph is built by insertion in growing batches:
 a beam search over the graph so far, from the nearest of twice as many medoids as the root of the shard's
 size, gives a node's candidates, and robust pruning keeps the nearest, drops those that are nearer to it
 than to the node, keeps the nearest of the rest, and so on, up to ``degree``; edges are made in both
@@ -15,15 +17,17 @@ are in range. What is found is verified by its cosine in double precision. Links
 nodes of one home are counted for both ends, those across homes are listed as pairs (of few nodes at
 the edges of cells) and counted once for both, so the two ends of a link agree; only a spanning forest
 leaves a shard. Recall is audited against brute force for ``audit`` vectors (a stated query set against
-all rows) and returned; while it is below ``RECALL`` the whole is repeated with twice the overlap and
-beam, up to all cells, where nothing is missed for lack of a shard.
+all rows), over all their links and as the mean of their own recalls, so that a large group does not hide
+lost links of small ones. While either is below ``RECALL`` the whole is repeated with twice the overlap
+and beam, up to all cells, where nothing is missed for lack of a shard; if it is still below, that is an error.
 
 Vectors of different lengths have no cosine: each length of ``shard`` classes or more has centres of its
 own, vectors of rarer lengths meet in one merged cell a length.
 
-Bounds: the centres are fitted on at most 32 vectors a centre, at most 2048 centres (a sample of at
-most 65,536 vectors) a length; every vector is indexed. A shard of more than ``GROUP`` members is dealt
-in blocks so that every two blocks meet in one task.
+Bounds: the centres are fitted on about 32 vectors a centre, at most ``fan`` (2048) centres in one fit (a
+sample of about 65,536 vectors) a length, and of each cell that is divided; every vector is indexed. What
+``LEVELS`` divisions leave above ``group`` members, and merged cells, are dealt in blocks so that every
+two blocks meet in one task.
 
 Defined results: vectors that are null, zero, hold null or non-finite components or have no id link with
 nothing; repeated vectors are links to each other; components are scaled by a power of two before they
@@ -38,13 +42,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, draw
 from .op7_jaccard import _dealt
 
-SHARD, CENTRES, GROUP = 2048, 2048, 16_384
+SHARD, CENTRES, GROUP, LEVELS = 2048, 2048, 16_384, 4
 DEGREE, BEAM = 16, 24
 COSINE, RECALL = 0.9, 0.9
 
@@ -357,25 +361,90 @@ def _searcher(cosine: float, beam: int):
     return run
 
 
-def _linked(scratch: Scratch, classes: DataFrame, centres, spread: int, cosine: float, degree: int, beam: int) -> DataFrame:
-    """(vec, sid, mult, links, comp) of each class, searched for in shards of its ``spread`` nearest cells."""
+_MEMBERS = "shard long, merged boolean, home boolean, score double, sid long, mult long, vec array<double>"
+
+
+def _nearest(own: pd.DataFrame, c: np.ndarray, first: np.ndarray, merged: np.ndarray, shards: np.ndarray, spread: int) -> Iterator[pd.DataFrame]:
+    """The rows once for each of their ``spread`` nearest cells, the nearest as their home if they live here."""
+    for at in range(0, len(own), 2048):
+        g = own.iloc[at : at + 2048]
+        s = np.maximum.reduceat(unit(_vectors(g)) @ c.T, first, axis=1)
+        top = np.argsort(-s, axis=1, kind="stable")[:, :spread]
+        lives = g["home"].to_numpy(dtype=bool) if "home" in g else np.ones(len(g), dtype=bool)
+        for r in range(top.shape[1]):
+            cell = top[:, r]
+            yield pd.DataFrame({"shard": shards[cell], "merged": merged[cell], "home": lives & (r == 0), "score": s[np.arange(len(g)), cell], "sid": g["sid"].to_numpy(), "mult": g["mult"].to_numpy(), "vec": g["vec"].to_numpy()})
+
+
+def _members(classes: DataFrame, centres, spread: int) -> DataFrame:
+    """Each class in its ``spread`` nearest cells of the first level."""
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for d, own in f.groupby(f["vec"].map(len), sort=False):
-                if d not in centres.value:
-                    yield pd.DataFrame({"shard": -d, "merged": True, "home": True, "sid": own["sid"].to_numpy(), "mult": own["mult"].to_numpy(), "vec": own["vec"].to_numpy()})
-                    continue
-                c, first, merged, base = centres.value[d]
-                for at in range(0, len(own), 2048):
-                    g = own.iloc[at : at + 2048]
-                    s = np.maximum.reduceat(unit(_vectors(g)) @ c.T, first, axis=1)
-                    top = np.argsort(-s, axis=1, kind="stable")[:, :spread]
-                    for r in range(top.shape[1]):
-                        yield pd.DataFrame({"shard": base + top[:, r].astype(np.int64), "merged": merged[top[:, r]], "home": r == 0, "sid": g["sid"].to_numpy(), "mult": g["mult"].to_numpy(), "vec": g["vec"].to_numpy()})
-
-    members = scratch.write(classes.select("sid", "mult", "vec").mapInPandas(assign, "shard long, merged boolean, home boolean, sid long, mult long, vec array<double>"))
-    sizes = members.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(float(GROUP))).cast("int").alias("blocks"))
+                if d in centres.value:
+                    c, first, merged, base = centres.value[d]
+                    yield from _nearest(own, c, first, merged, base + np.arange(len(first)), spread)
+                else:
+                    yield pd.DataFrame({"shard": -d, "merged": True, "home": True, "score": 1.0, "sid": own["sid"].to_numpy(), "mult": own["mult"].to_numpy(), "vec": own["vec"].to_numpy()})
+
+    return classes.select("sid", "mult", "vec").mapInPandas(assign, _MEMBERS)
+
+
+def _finer(members: DataFrame, level: int, spread: int, cosine: float, shard: int, fan: int, group: int) -> DataFrame | None:
+    """Members with cells of more homes than ``group`` / ``spread`` divided by centres fitted on their own members; None if there are none.
+
+    A finer cell's number is a hash of its parent's and its own: two that agreed would share a shard, which
+    loses nothing.
+    """
+    large = members.where("not merged").groupBy("shard").agg(F.count("*").alias("n"), F.sum(F.col("home").cast("long")).alias("homes")).where(F.col("homes") * spread > group)
+    large = large.select("shard", F.least(F.lit(fan), F.greatest(F.lit(2), F.ceil(F.col("homes") / shard))).cast("int").alias("k"), F.ceil(F.col("n") / float(group)).cast("int").alias("blocks"), "homes")
+    if large.isEmpty():
+        return None
+
+    def fit(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("sid")
+        x = unit(_vectors(frame))
+        fitted = fit_centres(x, min(int(frame["k"].iloc[0]), len(x)))
+        cell = merged_cells(fitted, cosine)
+        merged = np.bincount(cell) > 1
+        return pd.DataFrame({"shard": key[0], "cell": cell.astype(np.int64), "merged": merged[cell], "centre": list(fitted)})
+
+    def deal(key: tuple, own: pd.DataFrame, fitted: pd.DataFrame) -> pd.DataFrame:
+        fitted = fitted.sort_values("cell", kind="stable").reset_index(drop=True)
+        first = np.flatnonzero(~fitted["cell"].duplicated().to_numpy())
+        parts = list(_nearest(own, np.stack(fitted["centre"].to_numpy()), first, fitted["merged"].to_numpy()[first], fitted["child"].to_numpy()[first], spread))
+        return pd.concat(parts) if parts else pd.DataFrame(columns=["shard", "merged", "home", "score", "sid", "mult", "vec"])
+
+    share = F.least(F.lit(1.0), F.lit(32.0) * F.col("k") / F.col("homes"))
+    part = members.join(large, "shard")
+    # At least one vector a centre: the share is of many times as many.
+    sample = part.where("home").where(F.pmod(F.xxhash64(F.lit(100 + level), "sid"), F.lit(1 << 30)) < share * (1 << 30)).select("shard", "k", "sid", "vec")
+    fitted = sample.groupBy("shard").applyInPandas(fit, "shard long, cell long, merged boolean, centre array<double>")
+    fitted = fitted.join(large.select("shard", "blocks"), "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    fitted = fitted.select("shard", "block", "cell", "merged", "centre", F.xxhash64(F.lit(level), "shard", "cell").alias("child"))
+    part = part.withColumn("block", F.pmod(F.xxhash64(F.lit(200 + level), "sid"), F.col("blocks")).cast("int")).select("shard", "block", "home", "sid", "mult", "vec")
+    dealt = part.groupBy("shard", "block").cogroup(fitted.groupBy("shard", "block")).applyInPandas(deal, _MEMBERS)
+    both = members.join(large.select("shard"), "shard", "left_anti").unionByName(dealt)
+    # A class has at most spread * spread rows here. Who lives in a merged cell stays: its group is not cut.
+    stays = F.col("home") & F.col("merged")
+    ranked = both.withColumn("home", F.row_number().over(Window.partitionBy("sid").orderBy(stays.desc(), F.desc("score"), "shard")))
+    return ranked.where(F.col("home") <= spread).withColumn("home", F.col("home") == 1)
+
+
+def _linked(scratch: Scratch, classes: DataFrame, centres, spread: int, cosine: float, degree: int, beam: int, shard: int, fan: int, group: int) -> tuple[DataFrame, int]:
+    """(vec, sid, mult, links, comp) of each class, searched for in shards of its ``spread`` nearest cells, and
+    the number of cells."""
+    members = scratch.write(_members(classes, centres, spread))
+    for level in range(LEVELS):
+        finer = _finer(members, level, spread, cosine, shard, fan, group)
+        if finer is None:
+            break
+        finer = scratch.write(finer)
+        scratch.drop(members)
+        members = finer
+    cells = members.select("shard").distinct().count()
+    sizes = members.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(float(group))).cast("int").alias("blocks"))
     keyed = members.select("shard", "sid").join(sizes, "shard")
     mine = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("mine")
     marks = keyed.select("shard", "sid", mine)
@@ -394,16 +463,16 @@ def _linked(scratch: Scratch, classes: DataFrame, centres, spread: int, cosine:
     of_class = classes.join(counts, "sid", "left").join(comps, F.col("sid") == F.col("node"), "left").select("vec", "sid", "mult", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links"), F.coalesce("comp", "sid").alias("comp"))
     of_class = scratch.write(of_class)
     scratch.drop(members, union, found)
-    return of_class
+    return of_class, cells
 
 
-def _fit(classes: DataFrame, lengths: dict[int, int], shard: int, cosine: float) -> dict[int, tuple]:
+def _fit(classes: DataFrame, lengths: dict[int, int], shard: int, fan: int, cosine: float) -> dict[int, tuple]:
     """For each length of ``shard`` classes or more: centres by cell, each cell's first, whether it is merged, and its first shard's number."""
     out, base = {}, 0
     for d, n in sorted(lengths.items()):
         if n < shard and len(lengths) > 1:
             continue
-        k = max(1, min(CENTRES, n // shard))
+        k = max(1, min(fan, n // shard))
         sample = draw(classes.where(F.size("vec") == d), "sid", 32 * k).select("vec").toArrow().to_pandas()
         fitted = fit_centres(unit(_vectors(sample)), k)
         cell = merged_cells(fitted, cosine)
@@ -414,8 +483,8 @@ def _fit(classes: DataFrame, lengths: dict[int, int], shard: int, cosine: float)
     return out
 
 
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = COSINE, overlap: int = 3, degree: int = DEGREE, beam: int = BEAM, shard: int = SHARD, audit: int = 200) -> DataFrame:
-    """One row a vector: id, n_links, component_id, kept, and the audited recall."""
+def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = COSINE, overlap: int = 3, degree: int = DEGREE, beam: int = BEAM, shard: int = SHARD, audit: int = 200, fan: int = CENTRES, group: int = GROUP) -> DataFrame:
+    """One row a vector: id, n_links, component_id, kept, and the audited recall of links and mean recall of vectors."""
     spark, scratch = df.sparkSession, Scratch(df.sparkSession)
     rows = df.select(F.col(id_col).alias("vec_id"), F.transform(F.col(vec_col), lambda v: v.cast("double")).alias("vec"))
     good = F.col("vec_id").isNotNull() & F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vec", lambda v: v != 0)
@@ -424,27 +493,27 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     classes = scratch.write(rows.where(usable).groupBy("vec").agg(F.min("vec_id").alias("sid"), F.count("*").alias("mult")))
     lengths = {r["d"]: r["count"] for r in classes.groupBy(F.size("vec").alias("d")).count().collect()}
     if not lengths:
-        return rows.select(F.col("vec_id").alias(id_col), *nothing, F.lit(None).cast("double").alias("recall"))
-    fitted = _fit(classes, lengths, shard, cosine)
-    most = max((len(first) for _, first, _, _ in fitted.values()), default=1)
-    centres = spark.sparkContext.broadcast(fitted)
+        return rows.select(F.col("vec_id").alias(id_col), *nothing, *(F.lit(None).cast("double").alias(c) for c in ("recall", "vector_recall")))
+    centres = spark.sparkContext.broadcast(_fit(classes, lengths, shard, fan, cosine))
     while True:
-        spread = min(overlap, most)
-        of_class = _linked(scratch, classes, centres, spread, cosine, degree, beam)
-        recall = audit_recall(of_class, classes, audit, cosine)
-        if recall is None or recall >= RECALL or (spread == most and beam >= 8 * BEAM):
+        of_class, cells = _linked(scratch, classes, centres, overlap, cosine, degree, beam, shard, fan, group)
+        recalls = audit_recall(of_class, classes, audit, cosine)
+        if recalls is None or min(recalls) >= RECALL:
             break
         scratch.drop(of_class)
+        if overlap >= cells and beam >= 8 * BEAM:
+            raise RuntimeError(f"recall of links {recalls[0]:.3f}, of vectors {recalls[1]:.3f}, below {RECALL} with all {cells} cells and a beam of {beam}")
         overlap, beam = 2 * overlap, 2 * beam
     # Joined by the vector itself; a hot vector's rows are split, its class is one row.
-    audited = F.lit(recall).cast("double").alias("recall")
+    audited = [F.lit(r).cast("double").alias(c) for r, c in zip(recalls or (None, None), ("recall", "vector_recall"), strict=True)]
     linked = rows.where(usable).join(of_class, "vec").select("vec_id", "links", "comp")
-    out = linked.select("vec_id", F.col("links").cast("long").alias("n_links"), F.col("comp").alias("component_id"), (F.col("vec_id") == F.col("comp")).alias("kept"), audited)
-    return out.unionByName(rows.where(~usable).select("vec_id", *nothing, audited)).withColumnRenamed("vec_id", id_col)
+    out = linked.select("vec_id", F.col("links").cast("long").alias("n_links"), F.col("comp").alias("component_id"), (F.col("vec_id") == F.col("comp")).alias("kept"), *audited)
+    return out.unionByName(rows.where(~usable).select("vec_id", *nothing, *audited)).withColumnRenamed("vec_id", id_col)
 
 
-def audit_recall(of_class: DataFrame, classes: DataFrame, audit: int, cosine: float) -> float | None:
-    """Links counted over links there are, for ``audit`` classes against all; None without links."""
+def audit_recall(of_class: DataFrame, classes: DataFrame, audit: int, cosine: float) -> tuple[float, float] | None:
+    """For ``audit`` classes against all: links counted over links there are, and the mean of that over the
+    vectors that have links; None without links."""
     drawn = draw(of_class, "sid", audit, seed=1).toArrow().to_pandas()
     if drawn.empty:
         return None
@@ -461,8 +530,9 @@ def audit_recall(of_class: DataFrame, classes: DataFrame, audit: int, cosine: fl
         yield pd.DataFrame({"q": np.arange(len(total)), "links": total})
 
     truth = classes.select("vec", "mult").mapInPandas(count, "q long, links double").groupBy("q").agg(F.sum("links").alias("links")).orderBy("q").toArrow().to_pandas()["links"].to_numpy() - 1
-    there = float(np.maximum(truth, 0).sum())
-    return None if there == 0 else float(np.minimum(drawn["links"].to_numpy(), truth).sum() / there)
+    has = truth > 0
+    got = np.minimum(drawn["links"].to_numpy(), truth)[has]
+    return (float(got.sum() / truth[has].sum()), float((got / truth[has]).mean())) if has.any() else None
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -475,5 +545,5 @@ WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS l FROM v),
 p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) / (a.l * b.l) >= 0.9e0),
 r AS (SELECT vec_id, vec_id AS other FROM v UNION SELECT r.vec_id, p.b FROM r JOIN p ON p.a = r.other)
-SELECT v.vec_id, (SELECT count(*) FROM p WHERE p.a = v.vec_id)::BIGINT AS n_links, min(r.other)::BIGINT AS component_id, v.vec_id = min(r.other) AS kept, (SELECT CASE WHEN count(*) > 0 THEN 1.0e0 END FROM p) AS recall FROM v JOIN r ON r.vec_id = v.vec_id GROUP BY v.vec_id
+SELECT v.vec_id, (SELECT count(*) FROM p WHERE p.a = v.vec_id)::BIGINT AS n_links, min(r.other)::BIGINT AS component_id, v.vec_id = min(r.other) AS kept, (SELECT CASE WHEN count(*) > 0 THEN 1.0e0 END FROM p) AS recall, (SELECT CASE WHEN count(*) > 0 THEN 1.0e0 END FROM p) AS vector_recall FROM v JOIN r ON r.vec_id = v.vec_id GROUP BY v.vec_id
 """

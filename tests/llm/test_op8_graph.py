@@ -1,7 +1,10 @@
 import numpy as np
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
 from modesift.llm import op8_graph
+from modesift.llm.common import Scratch
 
 
 def brute(rows, cosine=0.9):
@@ -65,10 +68,44 @@ def test_many_shards_and_little_overlap(spark):
 
 
 def test_blocks_of_a_hot_shard(spark, monkeypatch):
-    monkeypatch.setattr(op8_graph, "GROUP", 100)
+    monkeypatch.setattr(op8_graph, "LEVELS", 0)
     rows, _ = corpus(400, seed=6)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    held({r.vec_id: r for r in op8_graph.near_duplicates(df, shard=200).collect()}, brute(rows), 0.97)
+    held({r.vec_id: r for r in op8_graph.near_duplicates(df, shard=200, group=100).collect()}, brute(rows), 0.97)
+
+
+def test_cells_grow_with_the_data(spark):
+    """Fits of at most four centres: cells are divided level by level until none holds over 600 members."""
+    rows, _ = corpus(4000, seed=9)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    out = {r.vec_id: r for r in op8_graph.near_duplicates(df, shard=150, fan=4, group=600).collect()}
+    held(out, brute(rows), 0.97)
+    assert min(out[0].recall, out[0].vector_recall) >= 0.9
+    scratch = Scratch(spark)
+    classes = scratch.write(df.select(F.col("vec_id").alias("sid"), F.lit(1).cast("long").alias("mult"), F.transform("embedding", lambda v: v.cast("double")).alias("vec")))
+    fitted = spark.sparkContext.broadcast(op8_graph._fit(classes, {16: len(rows)}, 150, 4, 0.9))
+    first = op8_graph._members(classes, fitted, 3)
+    second = scratch.write(op8_graph._finer(first, 0, 3, 0.9, 150, 4, 600))
+    third = scratch.write(op8_graph._finer(second, 1, 3, 0.9, 150, 4, 600))
+    cells = [m.select("shard").distinct().count() for m in (first, second, third)]
+    assert cells[0] <= 4 < 4 * 2 <= cells[1] < cells[2]
+    for m in (second, third):
+        per = m.groupBy("sid").agg(F.count("*").alias("n"), F.countDistinct("shard").alias("d"), F.sum(F.col("home").cast("int")).alias("h")).collect()
+        assert len(per) == len(rows) and all(r.h == 1 and r.n == r.d <= 3 for r in per)
+
+
+def test_a_recall_that_stays_low_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(op8_graph, "audit_recall", lambda *a: (0.99, 0.5))
+    df = spark.createDataFrame(corpus(60, seed=8)[0], "vec_id long, embedding array<float>")
+    with pytest.raises(RuntimeError, match="recall"):
+        op8_graph.near_duplicates(df)
+
+
+def test_recall_of_vectors_sees_small_groups(spark):
+    """A group of ten with all links, a pair without: 90 of 92 links, but five of six vectors."""
+    vecs = [[1.0, 0.001 * k, 0.0] for k in range(10)] + [[0.0, 0.0, 1.0], [0.0, 0.1, 1.0]]
+    df = spark.createDataFrame([(v, k, 1, 9 if k < 10 else 0) for k, v in enumerate(vecs)], "vec array<double>, sid long, mult long, links long")
+    assert op8_graph.audit_recall(df, df, 100, 0.9) == pytest.approx((90 / 92, 10 / 12))
 
 
 def test_lengths_and_sizes(spark):
