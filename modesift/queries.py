@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import adapters as D
 from .functions import arrays as A
-from .operators import dedup, gates
+from .operators import dedup, gates, ml
 from .operators import features as X
 from .operators import relational as R
 from .operators import scoring as S
@@ -179,6 +179,34 @@ def gate_ladder(spark, d):
     return gates.decide(m).select("mode_id", "primary_reason", "rule_decision")
 
 
+#: Lobes of the axis, of the edge, of the energy and of single cells (t), with the samples around their half heights.
+LOBES = """, prof AS (SELECT mode_id, h, i, a AS v FROM cells UNION ALL SELECT mode_id, -1, i, w FROM w),
+ ax AS (SELECT mode_id, h, i AS k FROM cells WHERE i / 15e0 <= 0.2e0 + 1e-12 QUALIFY row_number() OVER (PARTITION BY mode_id ORDER BY abs(a) DESC, h, i) = 1),
+ eh AS (SELECT mode_id, h, i AS k FROM cells WHERE i / 15e0 >= 0.8e0 - 1e-12 QUALIFY row_number() OVER (PARTITION BY mode_id ORDER BY abs(a) DESC, h, i DESC) = 1),
+ ee AS (SELECT mode_id, -1 AS h, i AS k FROM w QUALIFY row_number() OVER (PARTITION BY mode_id ORDER BY w DESC, i) = 1),
+ gs AS (SELECT mode_id, h, i AS k FROM cells WHERE abs(a) > 2e-14 WINDOW v AS (PARTITION BY mode_id, h ORDER BY i) QUALIFY coalesce(lag(a) OVER v * sign(a) < abs(a) - 2e-14, true) AND coalesce(lead(a) OVER v * sign(a) < abs(a) - 2e-14, true)),
+ cand AS (SELECT 'axis' AS t, * FROM ax UNION ALL SELECT 'edge', * FROM eh UNION ALL SELECT 'energy', * FROM ee UNION ALL SELECT 'grid', * FROM gs),
+ smp AS (SELECT c.t, c.mode_id, c.h, c.k, abs(z.v) AS top, sign(z.v)::INTEGER AS sg, q.i, CASE c.t WHEN 'grid' THEN q.v * sign(z.v) ELSE abs(q.v) END AS x FROM cand c JOIN prof z ON z.mode_id = c.mode_id AND z.h = c.h AND z.i = c.k JOIN prof q ON q.mode_id = c.mode_id AND q.h = c.h),
+ lob AS (SELECT t, mode_id, h, k, top, sg, list(x ORDER BY i) AS p, max(i) FILTER (WHERE i < k AND x < top / 2) AS lo, min(i) FILTER (WHERE i > k AND x < top / 2) AS hi,
+  arg_max(x, i) FILTER (WHERE i < k AND abs(x - top) > 2e-14) AS bl, arg_min(x, i) FILTER (WHERE i > k AND abs(x - top) > 2e-14) AS br FROM smp GROUP BY ALL),
+ cut AS (SELECT *, CASE WHEN lo IS NULL THEN 0e0 ELSE (lo + (top / 2 - p[lo + 1]) / (p[lo + 2] - p[lo + 1])) / 15e0 END AS inn, CASE WHEN hi IS NULL THEN 1e0 ELSE (hi - (top / 2 - p[hi + 1]) / (p[hi] - p[hi + 1])) / 15e0 END AS ou FROM lob),
+ fit AS (SELECT *, (ou - inn) * 15e0 AS width, coalesce(bl, br) IS NOT NULL AND coalesce(bl < top, true) AND coalesce(br < top, true) AS local FROM cut),
+ best AS (SELECT * FROM fit WHERE t = 'grid' AND width <= 0.75e0 + 1e-12 QUALIFY row_number() OVER (PARTITION BY mode_id ORDER BY top DESC, width, h, k) = 1)"""
+
+
+@query(M + LOBES + """ SELECT m.mode_id, round(a.top, 6) AS axis_peak, a.h::INTEGER AS axis_peak_harmonic_index, round(a.k / 15e0, 6) AS axis_peak_r, a.local AS axis_peak_is_local_max, round(a.width, 6) AS axis_halfmax_width_grid, round(a.ou, 6) AS axis_halfmax_outer_edge_r, a.lo IS NULL AS axis_component_touches_boundary,
+ g.mode_id IS NOT NULL AS grid_scale_candidate_found, round(g.top, 6) AS grid_scale_peak, g.sg AS grid_scale_peak_sign, g.h::INTEGER AS grid_scale_peak_harmonic_index, round(g.k / 15e0, 6) AS grid_scale_peak_r, round(g.width, 6) AS grid_scale_halfmax_width_grid, g.lo IS NULL OR g.hi IS NULL AS touches,
+ round(e.k / 15e0, 6) AS edge_energy_peak_r, e.k / 15e0 >= 0.8e0 - 1e-12 AS edge_energy_peak_in_window, round(e.width, 6) AS edge_energy_halfmax_width_grid, e.hi IS NULL AS edge_energy_component_touches_boundary,
+ round(b.top, 6) AS edge_harmonic_peak, b.h::INTEGER AS edge_harmonic_peak_harmonic_index, round(b.k / 15e0, 6) AS edge_harmonic_peak_r, b.local AS edge_harmonic_peak_is_local_max, round(b.width, 6) AS edge_harmonic_halfmax_width_grid
+ FROM m JOIN fit a ON a.mode_id = m.mode_id AND a.t = 'axis' JOIN fit b ON b.mode_id = m.mode_id AND b.t = 'edge' JOIN fit e ON e.mode_id = m.mode_id AND e.t = 'energy' LEFT JOIN best g ON g.mode_id = m.mode_id""".replace("g.lo IS NULL OR g.hi IS NULL AS touches", "CASE WHEN g.mode_id IS NOT NULL THEN g.lo IS NULL OR g.hi IS NULL END AS grid_scale_component_touches_boundary"))
+def gate_measures(spark, d):
+    """What the axis, grid and edge gates measure, with windows of three and four of the sixteen radii."""
+    m = gates.measure(D.joined(spark, d), gates.GateConfig(axis_r=0.2, edge_r=0.8, grid_width=0.75))
+    plain = ("axis_peak_harmonic_index", "axis_peak_is_local_max", "axis_component_touches_boundary", "grid_scale_candidate_found", "grid_scale_peak_sign", "grid_scale_peak_harmonic_index", "grid_scale_component_touches_boundary", "edge_energy_peak_in_window", "edge_energy_component_touches_boundary", "edge_harmonic_peak_harmonic_index", "edge_harmonic_peak_is_local_max")
+    rounded = ("axis_peak", "axis_peak_r", "axis_halfmax_width_grid", "axis_halfmax_outer_edge_r", "grid_scale_peak", "grid_scale_peak_r", "grid_scale_halfmax_width_grid", "edge_energy_peak_r", "edge_energy_halfmax_width_grid", "edge_harmonic_peak", "edge_harmonic_peak_r", "edge_harmonic_halfmax_width_grid")
+    return m.select("mode_id", *plain, *map(r6, rounded))
+
+
 @query()
 def rule_gates(spark, d):
     routed = X.route(X.upper_gap(D.joined(spark, d))).where("gap_region in ('tae_like', 'mixed')").drop("w", "r")
@@ -244,6 +272,14 @@ def median_filter(spark, d):
     return _ints(spark, d).select("mode_id", F.posexplode(A.median_filter(F.col("x"), 3)).alias("i", "y"))
 
 
+@query(M + """, q AS (SELECT mode_id, i, CASE WHEN a > 0.15e0 THEN NULL ELSE a END AS x FROM cells WHERE h = 0), b AS (SELECT *, i - row_number() OVER (PARTITION BY mode_id ORDER BY i) AS g FROM q WHERE x IS NOT NULL), e AS (SELECT *, min(i) OVER v AS f, max(i) OVER v AS l FROM b WINDOW v AS (PARTITION BY mode_id, g)),
+ y AS (SELECT e.mode_id, e.i, sum((3 - abs(k)) * o.x) / 9e0 AS y FROM e, range(-2, 3) ks(k) JOIN e o ON o.mode_id = e.mode_id AND o.i = least(greatest(e.i + k, e.f), e.l) GROUP BY 1, 2) SELECT q.mode_id, q.i::INTEGER AS i, round(y, 6) AS y FROM q LEFT JOIN y USING (mode_id, i)""")
+def smoothed_profiles(spark, d):
+    """Sentinels out, then smoothed over the runs that are left: values above 0.15 stand as 1e4."""
+    marked = F.transform(F.get("mode", F.lit(0)), lambda a: F.when(a > 0.15, F.lit(1e4)).otherwise(a))
+    return D.modes(spark, d).select("mode_id", F.posexplode(A.smooth5(A.mask_sentinel(marked))).alias("i", "v")).select("mode_id", "i", r6(F.col("v"), "y"))
+
+
 HOLES = ", q AS (SELECT mode_id, i, CASE WHEN abs(a) < 0.08e0 THEN NULL ELSE (round_even(a * 40, 0))::INTEGER END AS x FROM cells WHERE h = 0)"
 
 
@@ -578,3 +614,50 @@ def list_filter(spark, d):
     docs = D.table(spark, d, "documents")
     listed = docs.join(D.table(spark, d, "labels").select("doc_id"), "doc_id").select(F.concat(F.lit("/other/root/"), path).alias("path"))
     return R.in_list(docs.select("doc_id", path), listed)
+
+
+# --- labels, paths, resumption ----------------------------------------------------------------------
+
+TOKENS = ("good", " G ", "1", "BAD", "b", "0 ", "Review", " r", "", "unknown", "gOOd", "2")
+
+
+def _tokens(spark, d):
+    k = F.col("doc_id") % (len(TOKENS) + 1)
+    return D.table(spark, d, "documents").select("doc_id", F.get(F.array(*map(F.lit, TOKENS)), k.cast("int")).alias("token"))
+
+
+@query("WITH t AS (SELECT doc_id, lower(trim(" + str(list(TOKENS)) + """[(doc_id % 13 + 1)::INTEGER])) AS v FROM documents) SELECT doc_id, CASE WHEN v IN ('good', 'g', '1') THEN 1 WHEN v IN ('bad', 'b', '0') THEN 0 END AS label,
+ CASE WHEN v IN ('good', 'g') THEN 'GOOD' WHEN v IN ('bad', 'b') THEN 'BAD' WHEN v IN ('review', 'r') THEN 'REVIEW' END AS decision FROM t""")
+def label_tokens(spark, d):
+    return _tokens(spark, d).select("doc_id", R.binary_label(F.col("token")).alias("label"), R.decision(F.col("token")).alias("decision"))
+
+
+def _paths(spark, d):
+    i = F.col("doc_id")
+    tail = F.concat(F.col("source"), F.lit("/"), F.when(i % 7 == 3, "M").otherwise("n"), (i % 9).cast("string"), F.lit("/egn"), i.cast("string"))
+    return D.table(spark, d, "documents").select("doc_id", F.col("source").alias("shot"), F.concat(F.when(i % 5 == 0, "/a/b/").when(i % 5 == 1, "").otherwise("runs/"), tail).alias("path"))
+
+
+_PATHS = "p AS (SELECT doc_id, source, source || '/' || CASE WHEN doc_id % 7 = 3 THEN 'M' ELSE 'n' END || doc_id % 9 || '/egn' || doc_id AS tail FROM documents)"
+
+
+@query(f"WITH {_PATHS} SELECT doc_id, CASE WHEN doc_id % 7 <> 3 THEN tail END AS mode_key, tail AS shot_relative FROM p")
+def path_keys(spark, d):
+    return _paths(spark, d).select("doc_id", R.mode_key(F.col("path")).alias("mode_key"), R.shot_relative(F.col("path"), F.col("shot")).alias("shot_relative"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 0)")
+def resume_rows(spark, d):
+    """Rows without an entry in a log whose paths lie under another root."""
+    logged = D.table(spark, d, "labels").where("toxic = 0").select("doc_id")
+    done = _paths(spark, d).join(logged, "doc_id").select(F.concat(F.lit("/log/"), F.array_join(F.slice(F.split("path", "/"), -3, 3), "/")).alias("path"))
+    return R.not_done(_paths(spark, d), done).select("doc_id")
+
+
+@query(SC + ", c AS (SELECT unnest([{'name': 'p_rf', 'v': p_rf}, {'name': 'p_cnn', 'v': CASE WHEN doc_id % 17 <> 0 THEN p_cnn END}]) AS c FROM s) SELECT c.name AS name, round(avg(c.v), 6) AS mean, round(stddev_pop(c.v) + 1e-6, 6) AS deviation FROM c GROUP BY 1 UNION ALL SELECT 'n', 0e0, 1e0")
+def scalar_stats(spark, d):
+    """Means and deviations of the finite values; of the last column none are taken."""
+    i = F.col("doc_id")
+    s = D.scores(spark, d).withColumn("p_cnn", F.when(i % 17 != 0, F.col("p_cnn")).when(i % 2 == 0, F.lit(float("nan"))).otherwise(F.lit(float("inf"))))
+    rows = [(k, float(m), float(v)) for k, (m, v) in ml.scalar_stats(s, ["p_rf", "p_cnn", "n"]).items()]
+    return spark.createDataFrame(rows, "name string, mean double, deviation double").select("name", r6("mean"), r6("deviation"))
