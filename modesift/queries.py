@@ -488,7 +488,8 @@ def interaction_counts(spark, d):
     return c.groupBy("ntor").agg(F.count("*").alias("n_modes"), F.count_if((F.col("n_cross") > 0) & (F.col("W_star_max") >= 0.30) & (F.col("r_star_max") <= 0.02)).alias("n_interaction"))
 
 
-@query()
+@query(f"""WITH c AS ({ORACLES['continuum_scalars']}), t AS (SELECT r_star, W_star, CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS label, CASE WHEN starts_with(source, 'src1') THEN 'g' ELSE 'non_g' END AS own FROM c JOIN documents ON doc_id = mode_id JOIN labels USING (doc_id) WHERE quality IS NOT NULL)
+ SELECT label, regime, count(*) AS n_modes, count(*) FILTER (WHERE r_star <= 0.02e0 AND W_star >= 0.3e0) AS n_interaction FROM t, (VALUES ('all'), ('own')) v(k), LATERAL (SELECT CASE k WHEN 'all' THEN k ELSE own END AS regime) GROUP BY 1, 2""")
 def star_interaction_counts(spark, d):
     """The same of the legacy r_star and W_star, by label and regime of shots (and over all)."""
     of_mode = D.scores(spark, d).where("y is not null").select("doc_id", F.when(F.col("y") == 1, "good").otherwise("bad").alias("label"), F.when(F.startswith("shot", F.lit("src1")), "g").otherwise("non_g").alias("own"))
@@ -552,7 +553,19 @@ def override_join(spark, d):
     return R.apply_overrides(rows, one.unionByName(two)).select("doc_id", "override_status", "final_decision")
 
 
-@query()
+_RULE_JSON = lambda key: f"(SELECT '{{' || string_agg('\"' || {key} || '\":' || c, ',' ORDER BY {key}) || '}}' FROM (SELECT {key}, count(*) AS c FROM e x WHERE x.shot = o.shot AND x.of_n IS NOT DISTINCT FROM o.n AND {key} <> '' GROUP BY 1))"
+_RULE_COUNTS = {
+    "n_invalid": "final_decision = 'INVALID'", **{f"n_{g}": f"gap_region = '{g}'" for g in ("tae_like", "mixed", "eae_like")}, "n_rule_evaluated": "sound", **{f"n_preliminary_{x.lower()}": f"sound AND rule_decision = '{x}'" for x in ("BAD", "REVIEW", "GOOD", "INVALID")},
+    **{f"n_final_{x.lower()}": f"final_decision = '{x}'" for x in ("BAD", "REVIEW")}, "n_final_good_before_clustering": "final_decision = 'GOOD'", "n_final_good": "final_decision = 'GOOD' AND doc_id % 2 = 0",
+    "n_overrides_applied": "override_status = 'APPLIED'", "n_stale_overrides": "override_status = 'STALE_FINGERPRINT'", "n_ambiguous_overrides": "override_status = 'AMBIGUOUS_OVERRIDE'", "n_ineligible_overrides": "override_status = 'INELIGIBLE_DECISION'", "n_decisions_changed": "transition <> ''", "n_good_removed_as_duplicates": "final_decision = 'GOOD' AND doc_id % 2 = 1",
+}
+
+
+@query(SC + f""", ov AS ({ORACLES['override_join']}), j AS (SELECT s.*, ov.* EXCLUDE (doc_id), CASE WHEN s.doc_id % 6 = 0 THEN 'INVALID' WHEN s.doc_id % 3 = 0 THEN 'BAD' ELSE 'REVIEW' END AS rule_decision, CASE WHEN s.doc_id % 6 = 0 THEN 'RULE_INPUT_INVALID' WHEN s.doc_id % 3 = 0 THEN 'BAD_CONT_CROSS' ELSE 'NO_GOOD_TEMPLATE' END AS primary_reason FROM s JOIN ov USING (doc_id)),
+ k AS (SELECT *, rejection_reason = '' AS sound, CASE WHEN rejection_reason <> '' THEN rejection_reason ELSE primary_reason END AS reason, CASE WHEN override_status = 'APPLIED' AND rule_decision IS DISTINCT FROM final_decision THEN rule_decision || '->' || final_decision ELSE '' END AS transition FROM j),
+ e AS (SELECT *, NULL::INTEGER AS of_n FROM k UNION ALL SELECT *, n FROM k),
+ o AS (SELECT shot, of_n AS n, count(*) AS n_total_files, {', '.join(f"count(*) FILTER (WHERE {c}) AS {name}" for name, c in _RULE_COUNTS.items())} FROM e GROUP BY 1, 2)
+ SELECT o.*, coalesce({_RULE_JSON('transition')}, '{{}}') AS transition_counts_json, coalesce({_RULE_JSON('reason')}, '{{}}') AS primary_reason_counts_json, 0::BIGINT AS n_unmatched_overrides FROM o""")
 def rule_summary(spark, d):
     i = F.col("doc_id")
     rows = D.scores(spark, d).join(override_join(spark, d), "doc_id").withColumns({"ntor": F.col("n"), "rule_decision": F.when(i % 6 == 0, "INVALID").when(i % 3 == 0, "BAD").otherwise("REVIEW"), "selected": (F.col("final_decision") == "GOOD") & (i % 2 == 0)})
