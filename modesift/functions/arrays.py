@@ -18,6 +18,12 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x computed once. An expression is computed at each place it stands in, and within a lambda at
+    each call; a lambda's variable is not."""
+    return F.get(F.transform(F.array(x), lambda v: f(v)), F.lit(0))
+
+
 def total(a: Column) -> Column:
     """Sum of an array, NULL entries left out."""
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
@@ -129,28 +135,29 @@ def crossings(boundary: str, f: Column, valid: Column, r: Column, w: Column, she
 
 def cumulative_share(w: Column) -> Column:
     """Running sum over the total, by one pass that appends to an array of running sums."""
-    whole = total(w)
     start = F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("out"))
-    run = F.aggregate(w, start, lambda acc, x: F.struct((acc["s"] + x).alias("s"), F.concat(acc["out"], F.array(acc["s"] + x)).alias("out")), lambda acc: acc["out"])
-    return F.transform(run, lambda x: F.try_divide(x, whole))
+    run = lambda a: F.aggregate(a, start, lambda acc, x: F.struct((acc["s"] + x).alias("s"), F.concat(acc["out"], F.array(acc["s"] + x)).alias("out")), lambda acc: acc["out"])
+    return once(w, lambda a: once(total(a), lambda whole: F.transform(run(a), lambda x: F.try_divide(x, whole))))
 
 
 def inverse_interpolate(q: float, share: Column, r: Column) -> Column:
     """r where the non-decreasing share reaches q, linear in between; the ends are held."""
-    n = F.size(share)
-    index = F.sequence(F.lit(0), n - 1)
+
+    def place(share: Column, r: Column, j: Column) -> Column:
+        n, a, b = F.size(share), F.get(share, j), F.get(share, j + 1)
+        inner = F.get(r, j) + (F.get(r, j + 1) - F.get(r, j)) * F.try_divide(F.lit(q) - a, b - a)
+        return F.when(j.isNull(), F.get(r, F.lit(0))).when(j >= n - 1, F.get(r, n - 1)).otherwise(inner)
+
     # The cell [j, j+1) that holds q begins at the last index with share <= q.
-    j = F.get(F.filter(F.reverse(index), lambda k: F.get(share, k) <= q), F.lit(0))
-    a, b = F.get(share, j), F.get(share, j + 1)
-    inner = F.get(r, j) + (F.get(r, j + 1) - F.get(r, j)) * F.try_divide(F.lit(q) - a, b - a)
-    return F.when(j.isNull(), F.get(r, F.lit(0))).when(j >= n - 1, F.get(r, n - 1)).otherwise(inner)
+    last = lambda s: F.get(F.filter(F.reverse(F.sequence(F.lit(0), F.size(s) - 1)), lambda k: F.get(s, k) <= q), F.lit(0))
+    return once(F.struct(share.alias("share"), r.alias("r")), lambda v: once(last(v["share"]), lambda j: place(v["share"], v["r"], j)))
 
 
 def quantile_width(profile: Column, r: Column, low: float = 0.1, high: float = 0.9) -> Column:
     """r(high) - r(low) of the profile's cumulative squared weight; 0 for a vanishing profile."""
-    w = F.transform(profile, lambda a: a * a)
-    share = cumulative_share(w)
-    return F.when(total(w) <= TINY, F.lit(0.0)).otherwise(inverse_interpolate(high, share, r) - inverse_interpolate(low, share, r))
+    between = lambda v: inverse_interpolate(high, v["share"], v["r"]) - inverse_interpolate(low, v["share"], v["r"])
+    width = lambda w: F.when(total(w) <= TINY, F.lit(0.0)).otherwise(once(F.struct(cumulative_share(w).alias("share"), r.alias("r")), between))
+    return once(F.transform(profile, lambda a: a * a), width)
 
 
 def abs_cosine(a: Column, b: Column) -> Column:

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from modesift.functions import arrays as A
 from modesift.operators import features as X
 from modesift.operators import gates
 
@@ -156,3 +157,25 @@ def test_star_interactions_against_a_loop(spark):
         want[r.label, r.regime] = n + 1, hits + (r.r_star <= 0.02 and r.W_star >= 0.30)
     got = {(r.label, r.regime): (r.n_modes, r.n_interaction) for r in X.star_interactions(m, ["label", "regime"]).collect()}
     assert got == want and 0 < sum(h for _, h in got.values()) < 24
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_quantile_width_of_long_profiles_computes_each_step_once(spark):
+    rng, n = np.random.default_rng(3), 201
+    r, profiles = np.linspace(0, 1, n), rng.normal(size=(200, n))
+    profiles[0], profiles[1, :-1] = 0, 0
+    df = spark.createDataFrame([(i, p.tolist(), r.tolist()) for i, p in enumerate(profiles)], "i int, p array<double>, r array<double>")
+    out = df.select("i", A.quantile_width(F.col("p"), F.col("r")).alias("width"))
+    # The running sums and the two totals; each was there once for each index that the search looked at.
+    assert optimized(out).count("aggregate(") == 3 and optimized(out).count("p#") <= 3
+    share = np.cumsum(profiles[1:] ** 2, axis=1) / np.sum(profiles[1:] ** 2, axis=1, keepdims=True)
+
+    def edge(s, q):
+        j = np.flatnonzero(s <= q)
+        return r[0] if not len(j) else r[-1] if j[-1] == n - 1 else np.interp(q, s[j[-1] : j[-1] + 2], r[j[-1] : j[-1] + 2])
+
+    want = [0.0] + [edge(s, 0.9) - edge(s, 0.1) for s in share]
+    assert [x.width for x in out.orderBy("i").collect()] == pytest.approx(want, abs=1e-12)
