@@ -110,25 +110,26 @@ def crossings(boundary: str, f: Column, valid: Column, r: Column, w: Column, she
     the last index before the first later one that is not a valid zero, or it sees a change of sign to
     the next index. One record comes from each, at the run's middle or at the linear root.
     """
-    n = F.size(f)
-    zero = lambda i: F.coalesce(F.get(valid, i) & (F.get(f, i) == 0), F.lit(False))
-    index = F.sequence(F.lit(0), n - 1)
-
-    def run_end(i: Column) -> Column:
-        later = F.filter(index, lambda k: (k > i) & ~zero(k))
-        return F.coalesce(F.get(later, F.lit(0)), n) - 1
 
-    def place(i: Column) -> Column:
+    def place(v: Column, zeros: Column, i: Column) -> Column:
+        f, valid, r, w = (v[c] for c in ("f", "valid", "r", "w"))
+        n, zero = F.size(f), lambda k: F.coalesce(F.get(zeros, k), F.lit(False))
         opens = zero(i) & ((i == 0) | ~zero(i - 1))
+        end = F.coalesce(F.get(F.filter(F.sequence(F.lit(0), n - 1), lambda k: (k > i) & ~zero(k)), F.lit(0)), n) - 1
         both = F.coalesce(F.get(valid, i), F.lit(False)) & (i < n - 1) & F.coalesce(F.get(valid, i + 1), F.lit(False))
         a, b = F.get(f, i), F.get(f, i + 1)
         part = F.try_divide(-a, b - a)
         root = F.when(both & (a * b < 0), F.get(r, i) + part * (F.get(r, i + 1) - F.get(r, i)))
-        at = F.when(opens, (F.get(r, i) + F.get(r, run_end(i))) / 2).otherwise(root)
-        height = F.when(opens, interpolate((F.get(r, i) + F.get(r, run_end(i))) / 2, r, w)).otherwise(F.get(w, i) + part * (F.get(w, i + 1) - F.get(w, i)))
-        return F.struct(at.alias("r_cross"), height.alias("W_peak"))
+        at = F.when(opens, (F.get(r, i) + F.get(r, end)) / 2).otherwise(root)
+        height = lambda x: F.when(opens, interpolate(x, r, w)).otherwise(F.get(w, i) + part * (F.get(w, i + 1) - F.get(w, i)))
+        return once(at, lambda x: F.when(x.isNotNull(), F.struct(x.alias("r_cross"), height(x).alias("W_peak"))))
+
+    def places(v: Column) -> Column:
+        index = F.sequence(F.lit(0), F.size(v["f"]) - 1)
+        zeros = F.transform(index, lambda i: F.get(v["valid"], i) & (F.get(v["f"], i) == 0))
+        return once(zeros, lambda z: F.filter(F.transform(index, lambda i: place(v, z, i)), lambda x: x.isNotNull()))
 
-    found = F.filter(F.transform(index, place), lambda x: x["r_cross"].isNotNull())
+    found = once(F.struct(f.alias("f"), valid.alias("valid"), r.alias("r"), w.alias("w")), places)
     past = lambda x: F.greatest(x["r_cross"] - shear_from, F.lit(0.0))
     return F.transform(found, lambda x: F.struct(F.lit(boundary).alias("boundary"), x["r_cross"].alias("r_cross"), x["W_peak"].alias("W_peak"), (x["W_peak"] * past(x) * past(x)).alias("shear_weighted")))
 

@@ -107,11 +107,12 @@ def continuum_scalars(df: DataFrame, alpha: float = 1.0, energy_tie: bool = Fals
 def crossing_records(df: DataFrame, shear_from: float = 0.2) -> DataFrame:
     """crossings: the low boundary's records in radial order, then the high one's."""
     d = with_energy(df) if "w" not in df.columns else df
-    d = d.withColumn("w_peak", F.transform("w", lambda x: x / (F.array_max("w") + A.TINY))).withColumn("valid", F.zip_with("low2", "high2", lambda lo, hi: lo.isNotNull() & hi.isNotNull()))
+    peak = A.once(F.array_max("w") + A.TINY, lambda top: F.transform("w", lambda x: x / top))
+    valid = F.zip_with("low2", "high2", lambda lo, hi: lo.isNotNull() & hi.isNotNull())
     omega2 = F.col("omega") * F.col("omega")
-    both = [A.crossings(name, F.transform(c, lambda b: omega2 - b), F.col("valid"), F.col("r"), F.col("w_peak"), shear_from) for name, c in (("low", "low2"), ("high", "high2"))]
+    both = lambda v: F.concat(*(A.crossings(name, F.transform(c, lambda b: omega2 - b), v["valid"], v["r"], v["w_peak"], shear_from) for name, c in (("low", "low2"), ("high", "high2"))))
     none = F.array().cast("array<struct<boundary:string,r_cross:double,W_peak:double,shear_weighted:double>>")
-    return d.withColumn("crossings", F.coalesce(F.concat(*both), none)).drop("w_peak", "valid")
+    return d.withColumn("crossings", F.coalesce(A.once(F.struct(peak.alias("w_peak"), valid.alias("valid"), F.col("r").alias("r")), both), none))
 
 
 def crossing_summary(df: DataFrame, shear_from: float = 0.2, null_missing: bool = False) -> DataFrame:

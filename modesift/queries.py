@@ -126,7 +126,9 @@ cs AS (SELECT *, W_peak * greatest(r_cross - 0.2e0, 0) * greatest(r_cross - 0.2e
 
 @query(M + CROSS + " SELECT mode_id, boundary, round(r_cross, 6) AS r_cross, round(W_peak, 6) AS W_peak, round(shear_weighted, 6) AS shear_weighted FROM cs")
 def crossing_records(spark, d):
-    return X.crossing_records(D.joined(spark, d)).select("mode_id", F.inline("crossings")).select("mode_id", "boundary", r6("r_cross"), r6("W_peak"), r6("shear_weighted"))
+    # An inner inline would put a filter on the size of the crossings below, which computes them again.
+    rows = X.crossing_records(D.joined(spark, d)).select("mode_id", F.inline_outer("crossings")).where("boundary is not null")
+    return rows.select("mode_id", "boundary", r6("r_cross"), r6("W_peak"), r6("shear_weighted"))
 
 
 @query(M + CROSS + """ SELECT m.mode_id, count(cs.mode_id)::INTEGER AS n_cross, round(coalesce(arg_max(r_cross, struct_pack(a := W_peak, b := r_cross)), 0e0), 6) AS r_star_max, round(coalesce(max(W_peak), 0e0), 6) AS W_star_max, round(coalesce(sum(W_peak), 0e0), 6) AS W_star_sum,

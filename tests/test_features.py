@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from modesift import queries as Q
 from modesift.functions import arrays as A
 from modesift.operators import features as X
 from modesift.operators import gates
@@ -179,3 +180,43 @@ def test_quantile_width_of_long_profiles_computes_each_step_once(spark):
 
     want = [0.0] + [edge(s, 0.9) - edge(s, 0.1) for s in share]
     assert [x.width for x in out.orderBy("i").collect()] == pytest.approx(want, abs=1e-12)
+
+
+def test_crossing_records_computes_each_step_once(spark):
+    plan = optimized(Q.QUERIES["crossing_records"](spark, "/root/testdata/sf0.001"))
+    # The energy of a mode; it was there again, many times, in a filter on the size of the crossings.
+    assert plan.count("aggregate(") == 1
+    steps = optimized(X.crossing_records(frame(spark, ([[1.0] * 3], 1, [0.0] * 3, [2.0] * 3))).select("crossings"))
+    # Each boundary for its crossings, and both for the valid radii.
+    assert sum(steps.count(f"transform({c}#") for c in ("low2", "high2")) == 2 and steps.count("array_max(") == 1
+
+
+def test_crossings_with_a_missing_cell_are_the_same_in_every_plan(spark):
+    found = X.crossing_records(frame(spark, ([[1.0] * 4], 1, [0.0, 2.0, 0.0, 2.0], [3.0] * 4)).withColumn("mode", F.expr("array(array(1D, null, 3D, 1D))")))
+    assert found.select("crossings").first().crossings == found.select("crossings", "w").first().crossings
+
+
+def test_crossings_of_long_profiles_against_a_loop(spark):
+    rng, n = np.random.default_rng(8), 201
+    r, given = np.linspace(0, 1, n), []
+    for _ in range(20):
+        bounds = [[None if rng.random() < 0.1 else float(x) for x in rng.choice([0.5, 1, 1, 1, 2], size=n)] for _ in range(2)]
+        given.append((rng.normal(size=(2, n)).tolist(), 1.0, *bounds))
+
+    def loop(name, low, high, c, w):
+        ok = [a is not None and b is not None for a, b in zip(low, high, strict=True)]
+        zero = [ok[i] and c[i] == 1 for i in range(n)]
+        for i in range(n):
+            if zero[i] and not (i and zero[i - 1]):
+                end = next((k for k in range(i + 1, n) if not zero[k]), n) - 1
+                at = (r[i] + r[end]) / 2
+                yield name, at, np.interp(at, r, w)
+            elif i + 1 < n and ok[i] and ok[i + 1] and (1 - c[i]) * (1 - c[i + 1]) < 0:
+                part = -(1 - c[i]) / (c[i] - c[i + 1])
+                yield name, r[i] + part * (r[i + 1] - r[i]), w[i] + part * (w[i + 1] - w[i])
+
+    for x, (mode, _, low, high) in zip(X.crossing_records(frame(spark, *given)).orderBy("mode_id").collect(), given, strict=True):
+        w = np.sum(np.square(mode), axis=0)
+        want = [y for name, c in (("low", low), ("high", high)) for y in loop(name, low, high, c, w / w.max())]
+        assert [y.boundary for y in x.crossings] == [y[0] for y in want] and len(want) > 100
+        assert [v for y in x.crossings for v in (y.r_cross, y.W_peak)] == pytest.approx([v for y in want for v in y[1:]], abs=1e-9)
